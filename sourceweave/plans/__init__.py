@@ -1,4 +1,4 @@
-from sourceweave.plans import inventory  # noqa: F401
+from sourceweave.plans import inventory, mining, insight  # noqa: F401
 from sourceweave.plans.registry import PLANS
 
 __all__ = ["PLANS"]

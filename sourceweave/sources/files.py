@@ -65,7 +65,7 @@ def directory(path: Column) -> Column:
 
 def suffix(path: Column) -> Column:
     """Last suffix without the dot; empty for none and for dot files."""
-    return F.regexp_extract(file_name(path), r"[^.].*\.([^.]+)$|^[^.]\.([^.]+)$", 1)
+    return F.regexp_extract(file_name(path), r"[^.].*\.([^.]+)$", 1)
 
 
 def language_of(path: Column) -> Column:
@@ -212,8 +212,8 @@ def assign_directories(projects: DataFrame, salt_bits: int = 6) -> DataFrame:
 def write_table(df: DataFrame, path: str, partition_by: str = "project_id", mode: str = "overwrite") -> None:
     """Write an analysis output partitioned by project.
 
-    Rows are spread over ``(project, hash)`` so that a huge project is written
-    by many tasks while small ones still give few files.
+    Each task writes what it holds, so a huge project is written by many tasks;
+    dynamic overwrite replaces only the projects present in ``df``.
     """
     df.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(partition_by).parquet(path)
 
