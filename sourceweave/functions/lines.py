@@ -1,4 +1,9 @@
-"""Line and regex helpers on Columns; everything works inside one file row."""
+"""Line and regex helpers on Columns; everything works inside one file row.
+
+Operators unnest computed arrays with the ``*_outer`` generators and drop the
+null rows: the plain generators make the optimizer infer ``size(array) > 0``
+below them, which would evaluate the whole array expression a second time.
+"""
 
 from __future__ import annotations
 

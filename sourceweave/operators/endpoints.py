@@ -120,10 +120,10 @@ def extract_endpoints(files: DataFrame) -> DataFrame:
     found = F.lit(None)
     for fw, rule in reversed(R.ENDPOINT_RULES.items()):
         found = F.when(F.col("framework") == fw, rule_matches(F.col("line"), [rule])).otherwise(found)
-    rows = src.select("project_id", "path", "framework", "prefix", "lines", F.posexplode("lines").alias("pos", "line"))
+    rows = src.select("project_id", "path", "framework", "prefix", "lines", F.posexplode_outer("lines").alias("pos", "line"))
     hits = rows.select(
-        "project_id", "path", "framework", "prefix", "lines", (F.col("pos") + 1).alias("line_no"), "line", F.explode(found).alias("m")
-    )
+        "project_id", "path", "framework", "prefix", "lines", (F.col("pos") + 1).alias("line_no"), "line", F.explode_outer(found).alias("m")
+    ).where("m.rule is not null")
     fw, a, b = F.col("framework"), F.col("m.a"), F.col("m.b")
     prefixed = (fw == "fastapi") & (F.col("prefix") != "") & ~a.startswith(F.col("prefix"))
     spring = F.create_map(*[F.lit(x) for pair in R.SPRING_METHODS.items() for x in pair])
@@ -139,7 +139,7 @@ def extract_endpoints(files: DataFrame) -> DataFrame:
         "path",
         "framework",
         "line_no",
-        F.explode(methods).alias("verb"),
+        F.explode_outer(methods).alias("verb"),
         F.when(prefixed, F.concat("prefix", a)).otherwise(a).alias("api_path"),
         handler_name().alias("handler"),
         endpoint_doc().alias("description"),

@@ -49,14 +49,15 @@ def extract_routes(files: DataFrame) -> DataFrame:
     src = files.withColumn("framework", router_framework(F.col("content")))
     by_line = (
         src.where(F.col("framework").isin("react", "vue"))
-        .select("project_id", "path", "framework", F.posexplode(lines_of(F.col("content"))).alias("pos", "line"))
+        .select("project_id", "path", "framework", F.posexplode_outer(lines_of(F.col("content"))).alias("pos", "line"))
         .withColumn(
             "found",
             F.when(F.col("framework") == "react", rule_matches(F.col("line"), R.ROUTE_RULES["react"])).otherwise(
                 rule_matches(F.col("line"), R.ROUTE_RULES["vue"])
             ),
         )
-        .select("project_id", "path", "framework", (F.col("pos") + 1).alias("line_no"), F.explode("found").alias("m"))
+        .select("project_id", "path", "framework", (F.col("pos") + 1).alias("line_no"), F.explode_outer("found").alias("m"))
+        .where("m.rule is not null")
         .select(
             "project_id",
             "path",
@@ -140,10 +141,10 @@ def action_name(handler: Column) -> Column:
 
 def extract_ui_actions(files: DataFrame) -> DataFrame:
     """Clicks, submits, fetches, navigations and state hooks, one row per rule match."""
-    rows = files.select("project_id", "path", F.posexplode(lines_of(F.col("content"))).alias("pos", "line"))
+    rows = files.select("project_id", "path", F.posexplode_outer(lines_of(F.col("content"))).alias("pos", "line"))
     rows = rows.select(
-        "project_id", "path", (F.col("pos") + 1).alias("line_no"), F.explode(rule_matches(F.col("line"), R.UI_RULES)).alias("m")
-    )
+        "project_id", "path", (F.col("pos") + 1).alias("line_no"), F.explode_outer(rule_matches(F.col("line"), R.UI_RULES)).alias("m")
+    ).where("m.rule is not null")
     a, b, kind = F.col("m.a"), F.col("m.b"), F.col("m.kind")
     target = F.when(kind == "state", F.coalesce(non_empty(a), b)).otherwise(a)
     call = F.concat_ws(" ", F.coalesce(non_empty(F.upper(b)), F.lit("GET")), a)
@@ -214,7 +215,7 @@ def extract_api_calls(files: DataFrame, dedupe: bool = True) -> DataFrame:
     marks = F.filter(named, lambda m: m["name"].isNotNull())
     # one row per stretch of lines with the same enclosing function
     parts = src.select(
-        "project_id", "path", "base_url", "lines", F.explode(segments(marks, F.size(lines), "anonymous")).alias("s")
+        "project_id", "path", "base_url", "lines", F.explode_outer(segments(marks, F.size(lines), "anonymous")).alias("s")
     )
     rows = parts.select(
         "project_id", "path", "base_url", "lines", "s", F.posexplode(F.slice(lines, F.col("s.first"), F.col("s.length"))).alias("pos", "line")
@@ -239,7 +240,7 @@ def extract_api_calls(files: DataFrame, dedupe: bool = True) -> DataFrame:
         F.array_join(request_params(F.col("line")), ",").alias("params"),
         first_in(F.slice(lines, line_no, 10), R.BODY_LITERAL).alias("request_body"),
         jquery_method(F.col("line")).alias("jquery"),
-        F.explode(kept).alias("m"),
+        F.explode_outer(kept).alias("m"),
     )
     kind = F.col("m.kind")
     method = F.when(kind == "match", F.upper("m.verb")).when(kind == "jquery", F.col("jquery")).otherwise(kind)

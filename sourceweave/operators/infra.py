@@ -46,8 +46,9 @@ def detect_features(files: DataFrame) -> DataFrame:
     )
     hits = F.array_compact(F.array(*[_first_hit(F.col("line"), kind) for kind in R.FEATURE_PATTERNS]))
     rows = (
-        src.select("project_id", "path", "framework", "lines", F.posexplode("lines").alias("pos", "line"))
-        .select("project_id", "path", "framework", "lines", (F.col("pos") + 1).alias("line_no"), "line", F.explode(hits).alias("h"))
+        src.select("project_id", "path", "framework", "lines", F.posexplode_outer("lines").alias("pos", "line"))
+        .select("project_id", "path", "framework", "lines", (F.col("pos") + 1).alias("line_no"), "line", F.explode_outer(hits).alias("h"))
+        .where("h.at is not null")
     )
     at, text, lines, line_no = F.col("h.at"), F.col("h.text"), F.col("lines"), F.col("line_no")
     below = F.array_join(F.slice(lines, line_no, 202), "\n")

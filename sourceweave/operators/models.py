@@ -136,7 +136,7 @@ def extract_models(files: DataFrame, dialect: str | None = None) -> DataFrame:
     detected = orm_dialect(F.col("content")) if dialect is None else F.lit(dialect)
     src = files.select("project_id", "path", detected.alias("dialect"), "content", lines_of(F.col("content")).alias("lines"))
     rows = src.where("dialect <> 'unknown'").select(
-        "project_id", "path", "dialect", "content", "lines", F.posexplode("lines").alias("pos", "line")
+        "project_id", "path", "dialect", "content", "lines", F.posexplode_outer("lines").alias("pos", "line")
     )
     d, line, lines = F.col("dialect"), F.col("line"), F.col("lines")
     head = (
@@ -195,7 +195,8 @@ def extract_models(files: DataFrame, dialect: str | None = None) -> DataFrame:
 
 
 def model_fields(models: DataFrame) -> DataFrame:
-    rows = models.select("project_id", "path", F.col("name").alias("model"), "line_no", F.posexplode("fields").alias("pos", "f"))
+    rows = models.select("project_id", "path", F.col("name").alias("model"), "line_no", F.posexplode_outer("fields").alias("pos", "f"))
+    rows = rows.where("pos is not null")
     return rows.select("project_id", "path", "model", "line_no", (F.col("pos") + 1).alias("ordinal"), "f.*")
 
 

@@ -152,7 +152,7 @@ def scoped_files(files: DataFrame) -> DataFrame:
 
 def block_spans(files: DataFrame) -> DataFrame:
     """Start and end line of every function, method and class."""
-    rows = scoped_files(files).select("project_id", "path", "language", F.inline("spans"))
+    rows = scoped_files(files).select("project_id", "path", "language", F.inline_outer("spans")).where("first is not null")
     return rows.select(
         "project_id", "path", "language", "kind", "name", F.col("first").alias("start_line"), F.col("last").alias("end_line"),
         F.col("pk").alias("parent_kind"), F.col("pn").alias("parent_name"),
@@ -170,7 +170,7 @@ def extract_functions(files: DataFrame) -> DataFrame:
     included); other languages: every declaration. ``class_name`` is empty for
     plain functions.
     """
-    rows = scoped_files(files).select("project_id", "path", "language", "lines", F.explode("spans").alias("s"))
+    rows = scoped_files(files).select("project_id", "path", "language", "lines", F.explode_outer("spans").alias("s"))
     s = F.col("s")
     python = F.col("language") == "python"
     rows = rows.where((s["kind"] != "class") & (~python | (s["pk"].isin("", "class"))))
@@ -218,8 +218,8 @@ def extract_parameters(functions: DataFrame) -> DataFrame:
     """One row per parameter: name, type and default."""
     pieces = F.filter(F.transform(F.regexp_extract_all("params", F.lit(G.PARAM), 1), lambda p: strip(p)), lambda p: p.rlike(r"\w"))
     rows = functions.select(
-        "project_id", "path", "language", F.col("name").alias("function"), "class_name", "start_line", F.posexplode(pieces).alias("pos", "p")
-    )
+        "project_id", "path", "language", F.col("name").alias("function"), "class_name", "start_line", F.posexplode_outer(pieces).alias("pos", "p")
+    ).where("pos is not null")
     p, lang = F.col("p"), F.col("language")
     default = F.when(lang.isin("python", "javascript", "typescript"), F.regexp_extract(p, r"^[^=]*=\s*([\s\S]+)$", 1)).otherwise("")
     left = strip(F.regexp_extract(p, r"^([^=]*)", 1))
@@ -244,7 +244,7 @@ def extract_parameters(functions: DataFrame) -> DataFrame:
 
 def extract_classes(files: DataFrame) -> DataFrame:
     """Classes, interfaces and structs with bases and method count."""
-    rows = scoped_files(files).select("project_id", "path", "language", "lines", "spans", F.explode("spans").alias("s"))
+    rows = scoped_files(files).select("project_id", "path", "language", "lines", "spans", F.explode_outer("spans").alias("s"))
     s = F.col("s")
     rows = rows.where(s["kind"] == "class").select(
         "project_id",
@@ -332,7 +332,7 @@ def extract_imports(files: DataFrame) -> DataFrame:
         F.transform(go_block, lambda m: F.struct(m.alias("module"), F.lit("").alias("names"), F.lit(False).alias("is_from_import"))),
     )
     found = F.when(lang == "python", python).when(lang.isin("javascript", "typescript"), script).when(lang == "java", java).otherwise(go)
-    rows = src.select("project_id", "path", "language", F.posexplode(found).alias("pos", "m"))
+    rows = src.select("project_id", "path", "language", F.posexplode_outer(found).alias("pos", "m")).where("pos is not null")
     piece = F.when(lang == "python", r"([\w.*]+(?:\s+as\s+\w+)?)").otherwise(r"(\*\s+as\s+\w+|[\w$]+(?:\s+as\s+\w+)?)")
     names = F.transform(F.regexp_extract_all(F.col("m.names"), piece, F.lit(1)), lambda n: F.regexp_replace(n, r"\s+", " "))
     return rows.select(
@@ -345,7 +345,7 @@ def extract_variables(files: DataFrame) -> DataFrame:
     """Module-level assignments (Python) and bindings that are not functions (JS/TS)."""
     src = files.select("project_id", "path", language_of(F.col("path")).alias("language"), lines_of(F.col("content")).alias("lines"))
     rows = src.where(F.col("language").isin("python", "javascript", "typescript")).select(
-        "project_id", "path", "language", F.posexplode("lines").alias("pos", "line")
+        "project_id", "path", "language", F.posexplode_outer("lines").alias("pos", "line")
     )
     line, lang = F.col("line"), F.col("language")
     arrow = G.DECLARATIONS["javascript"][2][1]
@@ -382,10 +382,10 @@ def extract_calls(files: DataFrame) -> DataFrame:
 
     The owner ranges are disjoint, so each line of a file is read once.
     """
-    rows = scoped_files(files).select("project_id", "path", "language", "lines", F.explode("owners").alias("o"))
+    rows = scoped_files(files).select("project_id", "path", "language", "lines", F.explode_outer("owners").alias("o"))
     rows = rows.select("project_id", "path", "language", "o", F.posexplode(F.slice("lines", F.col("o.first"), F.col("o.length"))).alias("pos", "line"))
     text = _call_text(F.col("line"), F.col("language"))
     callees = F.filter(F.regexp_extract_all(text, F.lit(G.CALL), 1), lambda c: ~c.isin(G.KEYWORDS))
     return rows.select(
-        "project_id", "path", "language", (F.col("o.first") + F.col("pos")).alias("line_no"), F.col("o.name").alias("caller"), F.posexplode(callees).alias("ordinal", "callee")
-    )
+        "project_id", "path", "language", (F.col("o.first") + F.col("pos")).alias("line_no"), F.col("o.name").alias("caller"), F.posexplode_outer(callees).alias("ordinal", "callee")
+    ).where("ordinal is not null")

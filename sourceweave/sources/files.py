@@ -235,7 +235,7 @@ def line_count(content: Column, mode: str = "iterator") -> Column:
 
 def explode_lines(files: DataFrame, *keep: str) -> DataFrame:
     """One row per line with 1-based ``line_no`` and the ``indent`` width."""
-    rows = files.select(*["project_id", "path", *keep], F.posexplode(F.split("content", "\n", -1)).alias("pos", "line"))
+    rows = files.select(*["project_id", "path", *keep], F.posexplode_outer(F.split("content", "\n", -1)).alias("pos", "line"))
     return rows.select(
         "project_id",
         "path",
@@ -275,7 +275,7 @@ def directory_rollup(files: DataFrame, max_depth: int = 3) -> DataFrame:
     parts = F.split(directory(F.col("path")), "/")
     depth = F.least(F.when(F.col("path").contains("/"), F.size(parts)).otherwise(0), F.lit(max_depth))
     levels = F.transform(F.sequence(F.lit(0), depth), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
-    rows = kept.select("project_id", F.explode(levels).alias("dir"), line_count(F.col("content")).alias("n"))
+    rows = kept.select("project_id", F.explode_outer(levels).alias("dir"), line_count(F.col("content")).alias("n"))
     return rows.groupBy("project_id", "dir").agg(F.count("*").alias("files"), F.sum("n").alias("lines"))
 
 
@@ -299,7 +299,7 @@ def file_tree_listing(files: DataFrame, max_depth: int = 3, limit: int = 200) ->
             ).alias("sort_key"),
         ),
     )
-    rows = kept.select("project_id", F.explode(entries).alias("e")).select("project_id", "e.*").distinct()
+    rows = kept.select("project_id", F.explode_outer(entries).alias("e")).select("project_id", "e.*").distinct()
     order = Window.partitionBy("project_id").orderBy("sort_key", "entry")
     return (
         rows.withColumn("rank", F.row_number().over(order))
