@@ -1,4 +1,4 @@
-from sourceweave.plans import insight, inventory, mining, symbols  # noqa: F401
+from sourceweave.plans import insight, inventory, mining, retrieval, symbols  # noqa: F401
 from sourceweave.plans.registry import PLANS
 
 __all__ = ["PLANS"]
