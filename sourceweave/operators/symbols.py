@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from sourceweave.functions import grammar as G
 from sourceweave.functions.lines import extract, first_of, let, lines_of, non_empty, segments, strip
-from sourceweave.sources.files import language_of
+from sourceweave.sources.files import directory, language_of, skip_filter
 
 _ENTRY = "struct<first:int,level:int,kind:string,name:string,sets:boolean,opened:boolean,decos:int,pk:string,pn:string>"
 _SPAN = "struct<first:int,last:int,kind:string,name:string,decos:int,pk:string,pn:string>"
@@ -389,3 +389,53 @@ def extract_calls(files: DataFrame) -> DataFrame:
     return rows.select(
         "project_id", "path", "language", (F.col("o.first") + F.col("pos")).alias("line_no"), F.col("o.name").alias("caller"), F.posexplode_outer(callees).alias("ordinal", "callee")
     ).where("ordinal is not null")
+
+
+# --- roll-ups --------------------------------------------------------------------
+
+
+def structure_summary(files: DataFrame) -> DataFrame:
+    """Files, functions, classes, imports and calls of each project.
+
+    Every file row carries its own counts (array sizes), so one small
+    aggregation over the files is all that is shuffled.
+    """
+    kept = skip_filter(files, "structure")
+    spans = scoped_files(kept).select("project_id", "path", "language", "lines", "spans", "owners")
+    kinds = F.col("spans")
+    functions = F.size(
+        F.filter(kinds, lambda s: (s["kind"] != "class") & ((F.col("language") != "python") | s["pk"].isin("", "class")))
+    )
+    classes = F.size(F.filter(kinds, lambda s: s["kind"] == "class"))
+    per_file = spans.select("project_id", functions.alias("functions"), classes.alias("classes"))
+    zero = F.lit(0).cast("bigint")
+    out = per_file.groupBy("project_id").agg(
+        F.count("*").alias("files"), F.sum("functions").alias("functions"), F.sum("classes").alias("classes"), F.max(zero).alias("imports"), F.max(zero).alias("calls")
+    )
+    for name, rows in (("imports", extract_imports(kept)), ("calls", extract_calls(kept))):
+        one = rows.groupBy("project_id").agg(F.count("*").alias("n"))
+        out = out.unionByName(
+            one.select("project_id", *[(F.col("n") if c == name else zero).alias(c) for c in ("files", "functions", "classes", "imports", "calls")])
+        )
+    return out.groupBy("project_id").agg(
+        F.sum("files").alias("total_files"),
+        F.sum("functions").alias("total_functions"),
+        F.sum("classes").alias("total_classes"),
+        F.sum("imports").alias("total_imports"),
+        F.sum("calls").alias("total_calls"),
+    )
+
+
+def by_language_directory(files: DataFrame) -> DataFrame:
+    """File counts by language, by folder and per project from one grouping-sets pass."""
+    kept = skip_filter(files, "structure").select(
+        "project_id",
+        language_of(F.col("path")).alias("language"),
+        F.coalesce(non_empty(directory(F.col("path"))), F.lit("<root>")).alias("dir"),
+    )
+    sets = [["project_id", "language"], ["project_id", "dir"], ["project_id"]]
+    grouped = kept.groupingSets([[F.col(c) for c in s] for s in sets], "project_id", "language", "dir").agg(
+        F.grouping("language").alias("gl"), F.grouping("dir").alias("gd"), F.count("*").alias("files")
+    )
+    level = F.when(F.col("gl") == 0, "language").when(F.col("gd") == 0, "directory").otherwise("project")
+    return grouped.select("project_id", level.alias("level"), F.coalesce("language", "dir", F.lit("")).alias("key"), "files")

@@ -55,8 +55,9 @@ def spans(src: str) -> str:
     )
 
 
-def functions(src: str) -> str:
+def functions(src: str, with_spans: bool = True) -> str:
     """CTEs ending in ``functions``."""
+    first = f"{spans(src)}, " if with_spans else ""
     sig = r"regexp_replace(body, '^func\s+\([^)]*\)\s*', 'func ')"
     head = "string_split(body, chr(10))[1]"
     pre = r"^[^(]*" + G.PARAMS
@@ -73,7 +74,7 @@ def functions(src: str) -> str:
     ) + ", '')"
     recv = rf"nullif(regexp_extract({head}, '^func\s+\(\s*\w+\s+\*?(\w+)\s*\)', 1), '')"
     return (
-        f"{spans(src)}, fa as materialized (select project_id, path, string_split(content, chr(10)) as ls from sf), "
+        f"{first}fa as materialized (select project_id, path, string_split(content, chr(10)) as ls from sf), "
         # decorator lines directly above a declaration: runs of @ code lines
         "dg as (select *, k - row_number() over (partition by project_id, path order by k) as g from dp where deco), "
         "dr as (select project_id, path, max(k) as k, count(*) as n from dg group by project_id, path, g), "
@@ -87,8 +88,9 @@ def functions(src: str) -> str:
     )
 
 
-def calls(src: str) -> str:
+def calls(src: str, with_spans: bool = True) -> str:
     """CTEs ending in ``calls``."""
+    first = f"{spans(src)}, " if with_spans else ""
     t = """regexp_replace(line, '"[^"]*"|''[^'']*''', '""', 'g')"""
     t = rf"case when language = 'python' then regexp_replace({t}, '#.*$', '') else regexp_replace({t}, '//.*$|^\s*\*.*$', '', 'g') end"
     t = rf"regexp_replace({t}, '\b(?:def|class|function|func)\s+\w+|\bnew\s+[\w.]+\s*\(', ' ', 'g')"
@@ -100,7 +102,7 @@ def calls(src: str) -> str:
         return f"case when language in ({langs}) and {ex} <> '' and {ex} not in ({KW}) then regexp_replace({col}, '^[^(]*\\(', '(') else {col} end"
 
     return (
-        f"{spans(src)}, ct as (select project_id, path, language, line_no, {t} as t1 from sk), ct2 as (select *, {go} as t2 from ct), "
+        f"{first}ct as (select project_id, path, language, line_no, {t} as t1 from sk), ct2 as (select *, {go} as t2 from ct), "
         f"ct3 as (select *, {cut('t2', in_list(['javascript', 'typescript']), js)} as t3 from ct2), ct4 as (select *, {cut('t3', in_list(['java']), java)} as t4 from ct3), "
         f"cc as (select project_id, path, language, line_no, list_filter(regexp_extract_all(t4, {q(G.CALL)}, 1), lambda c: c not in ({KW})) as cs from ct4), "
         "ce as (select project_id, path, language, line_no, unnest(cs) as callee, generate_subscripts(cs, 1) - 1 as ordinal from cc), "
@@ -110,8 +112,9 @@ def calls(src: str) -> str:
     )
 
 
-def imports(src: str) -> str:
+def imports(src: str, with_files: bool = True) -> str:
     """CTEs ending in ``imports``."""
+    head = f"sf as materialized (select project_id, path, content, {LANG} as language from {src} where ({LANG}) is not null), " if with_files else ""
 
     def two(where: str, p: str, module: int, names: int, is_from: str, base: int) -> str:
         return (
@@ -132,7 +135,7 @@ def imports(src: str) -> str:
         r"case when language = 'python' then regexp_extract_all(raw, '([\w.*]+(?:\s+as\s+\w+)?)', 1) else regexp_extract_all(raw, '(\*\s+as\s+\w+|[\w$]+(?:\s+as\s+\w+)?)', 1) end"
     )
     return (
-        f"sf as materialized (select project_id, path, content, {LANG} as language from {src} where ({LANG}) is not null), im as ({' union all '.join(parts)}), "
+        f"{head}im as ({' union all '.join(parts)}), "
         f"imports as materialized (select project_id, path, language, row_number() over (partition by project_id, path order by o) as ordinal, {strip('module')} as module, "
         rf"array_to_string(list_transform({names}, lambda n: regexp_replace(n, '\s+', ' ', 'g')), ',') as names, is_from_import from im)"
     )
