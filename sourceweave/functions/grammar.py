@@ -37,6 +37,14 @@ DECLARATIONS = {
         ("class", r"^type\s+(\w+)\s+(?:struct|interface)\b"),
     ],
 }
+#: A line without any of these words cannot hold a declaration of the language.
+GUARDS = {
+    "python": ["def", "class"],
+    "javascript": ["{", "=>", "function", "class"],
+    "typescript": ["{", "=>", "function", "class", "interface"],
+    "java": ["(", "class", "interface", "enum"],
+    "go": ["func", "type"],
+}
 #: Words that look like a method declaration or a call but are statements.
 KEYWORDS = [
     "if", "for", "while", "switch", "catch", "return", "function", "elif", "not", "and", "or", "in", "with",

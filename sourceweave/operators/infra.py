@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sourceweave.functions import rules as R
-from sourceweave.functions.lines import extract, first_extract, lines_of
-from sourceweave.sources.files import file_name
+from sourceweave.functions.lines import contains_any, extract, first_extract, lines_of
 
 
 def feature_framework(content: Column) -> Column:
@@ -35,21 +36,46 @@ def _first_hit(line: Column, kind: str) -> Column:
     return out
 
 
+def _needles(patterns: list[str]) -> list[str]:
+    """Lower-case literals of which every match of the patterns contains at least one."""
+    words = set()
+    for p in patterns:
+        pieces = re.split(r"\\[sw]\+|\.\*", p)
+        words.add(max((re.sub(r"\\(.)", r"\1", x) for x in pieces), key=len).lower())
+    return sorted(w for w in words if not any(o != w and o in w for o in words))
+
+
+NEEDLES = {kind: _needles(patterns) for kind, patterns in R.FEATURE_PATTERNS.items()}
+
+
 def detect_features(files: DataFrame) -> DataFrame:
     """Feature hits, one per (file, line, type): the first pattern of the type wins.
 
-    Name and settings are read from the text around the hit, which may reach
-    over neighbouring lines, through the line array of the row.
+    Plain substring tests on the whole file decide which types can occur at
+    all; only their patterns meet the lines, and files without any are not
+    split. Name and settings are read from the text around the hit, which may
+    reach over neighbouring lines, through the line array of the row.
     """
-    src = files.select(
-        "project_id", "path", feature_framework(F.col("content")).alias("framework"), lines_of(F.col("content")).alias("lines")
+    low = F.lower("content")
+    every = [w for words in NEEDLES.values() for w in words]
+    kinds = F.array_compact(F.array(*[F.when(contains_any(low, words), kind) for kind, words in NEEDLES.items()]))
+    src = files.where(contains_any(low, every)).select(
+        "project_id", "path", feature_framework(F.col("content")).alias("framework"), kinds.alias("kinds"), lines_of(F.col("content")).alias("lines")
+    )
+    rows = src.select("project_id", "path", "framework", "kinds", "lines", F.posexplode_outer("lines").alias("pos", "line")).select(
+        "project_id", "path", "framework", "kinds", "lines", "pos", "line", F.lower("line").alias("low")
     )
-    hits = F.array_compact(F.array(*[_first_hit(F.col("line"), kind) for kind in R.FEATURE_PATTERNS]))
-    rows = (
-        src.select("project_id", "path", "framework", "lines", F.posexplode_outer("lines").alias("pos", "line"))
-        .select("project_id", "path", "framework", "lines", (F.col("pos") + 1).alias("line_no"), "line", F.explode_outer(hits).alias("h"))
-        .where("h.at is not null")
+    hits = F.array_compact(
+        F.array(
+            *[
+                F.when(F.array_contains("kinds", kind) & contains_any(F.col("low"), words), _first_hit(F.col("line"), kind))
+                for kind, words in NEEDLES.items()
+            ]
+        )
     )
+    rows = rows.select(
+        "project_id", "path", "framework", "lines", (F.col("pos") + 1).alias("line_no"), "line", F.explode_outer(hits).alias("h")
+    ).where("h.at is not null")
     at, text, lines, line_no = F.col("h.at"), F.col("h.text"), F.col("lines"), F.col("line_no")
     below = F.array_join(F.slice(lines, line_no, 202), "\n")
     lo = F.greatest(line_no - 51, F.lit(1))
@@ -102,7 +128,3 @@ def tech_stack(files: DataFrame) -> DataFrame:
     empty = F.array().cast("array<string>")
     techs = F.array_compact(F.concat(F.array(by_file), F.coalesce(by_package, empty), F.coalesce(by_requirement, empty)))
     return root.select("project_id", F.explode(techs).alias("technology")).distinct()
-
-
-def root_file(path: Column) -> Column:
-    return file_name(path) == path

@@ -129,8 +129,14 @@ def tree_find(tree: DataFrame, node_id: str | None = None, type_: str | None = N
 
 def arch_modules(tree: DataFrame, limit: int = 10) -> DataFrame:
     """Leaf nodes of each side, the first ``limit`` of each in section, file and line order."""
-    inner = tree.select(F.col("parent_id").alias("node_id")).where("node_id is not null").distinct()
-    leaves = tree.join(inner, "node_id", "left_anti").where(F.col("parent_id").isNotNull())
+    # one pass over the tree: each node arrives as itself and as its parent's child mark
+    row = F.struct("project_id", "category", "section", "path", "line_no", "name", "type")
+    marks = F.array(
+        F.struct(F.col("node_id").alias("node_id"), F.when(F.col("parent_id").isNotNull(), row).alias("row"), F.lit(False).alias("is_parent")),
+        F.struct(F.col("parent_id").alias("node_id"), F.lit(None).cast(tree.select(row.alias("r")).schema["r"].dataType).alias("row"), F.lit(True).alias("is_parent")),
+    )
+    nodes = tree.select(F.inline(marks)).where("node_id is not null").groupBy("node_id").agg(F.max("row").alias("row"), F.max("is_parent").alias("is_parent"))
+    leaves = nodes.where("not is_parent and row is not null").select("node_id", "row.*")
     order = Window.partitionBy("project_id", "category").orderBy("section", "path", "line_no", "name", "node_id")
     return leaves.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select(
         "project_id", "category", "rank", "type", "name"

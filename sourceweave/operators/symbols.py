@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sourceweave.functions import grammar as G
-from sourceweave.functions.lines import extract, first_of, let, lines_of, non_empty, segments, strip
+from sourceweave.functions.lines import contains_any, extract, first_of, let, lines_of, non_empty, segments, strip
 from sourceweave.sources.files import directory, language_of, skip_filter
 
 _ENTRY = "struct<first:int,level:int,kind:string,name:string,sets:boolean,opened:boolean,decos:int,pk:string,pn:string>"
@@ -90,42 +90,45 @@ _BRACE_STEP = (
 )
 
 
-def _kind_and_name(line: Column, language: Column) -> tuple[Column, Column]:
-    kind, name = F.lit(""), F.lit("")
+def _declaration(line: Column, language: Column) -> Column:
+    """First declaration on a line as ``struct<kind,name>``; null when there is none."""
+    out = F.lit(None)
     for lang, rules in G.DECLARATIONS.items():
-        k, n = F.lit(""), F.lit("")
-        for rule_kind, pattern in reversed(rules):
-            found = F.regexp_extract(line, pattern, 1)
-            hit = (found != "") & ~found.isin(G.KEYWORDS)
-            k, n = F.when(hit, rule_kind).otherwise(k), F.when(hit, found).otherwise(n)
-        kind, name = F.when(language == lang, k).otherwise(kind), F.when(language == lang, n).otherwise(name)
-    return kind, name
+        tried = F.array(*[F.struct(F.lit(kind).alias("kind"), F.regexp_extract(line, p, 1).alias("name")) for kind, p in rules])
+        found = first_of(F.filter(tried, lambda c: (c["name"] != "") & ~c["name"].isin(G.KEYWORDS)))
+        out = F.when((language == lang) & contains_any(line, G.GUARDS[lang]), found).otherwise(out)
+    return out
 
 
 def _line_info(lines: Column, language: Column) -> Column:
-    """Facts per code line the fold needs."""
+    """Facts per code line the fold needs; blank lines are left out first."""
+    numbered = F.transform(lines, lambda x, i: F.struct((i + 1).alias("no"), x.alias("text")))
+    script = language.isin("javascript", "typescript")
 
-    def info(x: Column, i: Column) -> Column:
-        kind, name = _kind_and_name(x, language)
+    def info(row: Column) -> Column:
+        x = row["text"]
         n_open = F.length(x) - F.length(F.replace(x, F.lit("{"), F.lit("")))
         n_close = F.length(x) - F.length(F.replace(x, F.lit("}"), F.lit("")))
-        script = language.isin("javascript", "typescript")
-        single = ((n_open > 0) & (n_open <= n_close)) | ((n_open == 0) & ((kind == "arrow") | x.rlike(r";\s*$")))
-        return F.struct(
-            (i + 1).alias("no"),
-            (F.length(x) - F.length(F.regexp_replace(x, r"^\s+", ""))).alias("level"),
-            x.rlike(r"^\s*[)\]}]").alias("cont"),
-            kind.alias("kind"),
-            name.alias("name"),
-            # in scripts only function declarations name the caller
-            F.when(script, kind == "function").otherwise(kind.isin("function", "method")).alias("sets"),
-            (n_open - n_close).alias("delta"),
-            single.alias("single"),
-            x.rlike(r"^\s*@").alias("deco"),
-            (strip(x) == "").alias("blank"),
-        )
 
-    return F.filter(F.transform(lines, info), lambda s: ~s["blank"])
+        def facts(v: Column) -> Column:
+            kind = F.coalesce(v["d"]["kind"], F.lit(""))
+            single = ((v["open"] > 0) & (v["open"] <= v["close"])) | ((v["open"] == 0) & ((kind == "arrow") | x.rlike(r";\s*$")))
+            return F.struct(
+                row["no"].alias("no"),
+                (F.length(x) - F.length(F.ltrim(x, F.lit(" \t\r\f\u000b")))).alias("level"),
+                x.rlike(r"^\s*[)\]}]").alias("cont"),
+                kind.alias("kind"),
+                F.coalesce(v["d"]["name"], F.lit("")).alias("name"),
+                # in scripts only function declarations name the caller
+                F.when(script, kind == "function").otherwise(kind.isin("function", "method")).alias("sets"),
+                (v["open"] - v["close"]).alias("delta"),
+                single.alias("single"),
+                F.ltrim(x, F.lit(" \t\r\f\u000b")).startswith("@").alias("deco"),
+            )
+
+        return let(F.struct(_declaration(x, language).alias("d"), n_open.alias("open"), n_close.alias("close")), facts)
+
+    return F.transform(F.filter(numbered, lambda r: r["text"].rlike(r"\S")), info)
 
 
 def scoped_files(files: DataFrame) -> DataFrame:

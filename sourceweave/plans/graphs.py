@@ -11,6 +11,7 @@ from sourceweave.plans.inventory import LANG, MANIFEST_KIND, keep_sql
 from sourceweave.plans.minesql import strip
 from sourceweave.plans.registry import plan
 from sourceweave.plans.sqltext import CORPUS, in_list, q
+from sourceweave.session import cut_lineage
 from sourceweave.sources.corpus import corpus
 from sourceweave.sources.files import language_of
 
@@ -35,8 +36,9 @@ def _nodes(spark, sf):
 
 def _graph(spark, sf):
     files = corpus(spark, sf)
-    nodes = gr.call_nodes(sy.extract_functions(files))
-    return nodes, gr.call_edges(nodes, sy.extract_calls(files))
+    # nodes and calls are used several times, so both are written once
+    nodes = cut_lineage(gr.call_nodes(sy.extract_functions(files)))
+    return nodes, gr.call_edges(nodes, cut_lineage(sy.extract_calls(files)))
 
 
 @plan("call_nodes", f"with {CALL_SQL} select * from nodes")
@@ -135,7 +137,7 @@ def _source_files(spark, sf):
 
 def _deps(spark, sf, boundary: bool = False):
     files = _source_files(spark, sf)
-    return files, gr.dependency_edges(files, sy.extract_imports(files), boundary)
+    return files, gr.dependency_edges(files, cut_lineage(sy.extract_imports(files)), boundary)
 
 
 @plan("module_names", f"with {CORPUS} select project_id, path, {MODULE} as module from corpus")

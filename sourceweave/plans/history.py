@@ -10,12 +10,12 @@ from sourceweave.plans.registry import plan
 from sourceweave.plans.sqltext import q
 from sourceweave.sources.tables import messages, table
 
-TS = "to_timestamp(1704067200 + conv_id * 3600 + turn * 60)::timestamp"
+TS = "timestamp '2024-01-01 00:00:00' + to_seconds(conv_id * 3600 + turn * 60)"
 MSG = f"msg as (select conv_id as session_id, {TS} as ts, turn, role, text as content from conversations)"
 # Sessions are stored for two of three conversations; every fourth has a title.
 SESSIONS = (
     "sessions as (select conv_id as session_id, concat('p', cast(conv_id % 7 as string)) as project_id, 'project' as chat_mode, case when conv_id % 4 = 0 then concat('T', cast(conv_id as string)) else '' end as title, "
-    "max(to_timestamp(1704067200 + conv_id * 1800)::timestamp) as updated_at from conversations where conv_id % 3 <> 0 group by 1, 2, 3, 4)"
+    "max(timestamp '2024-01-01 00:00:00' + to_seconds(conv_id * 1800)) as updated_at from conversations where conv_id % 3 <> 0 group by 1, 2, 3, 4)"
 )
 
 
@@ -26,7 +26,7 @@ def _sessions(spark, sf):
         F.concat(F.lit("p"), (F.col("conv_id") % 7).cast("string")).alias("project_id"),
         F.lit("project").alias("chat_mode"),
         F.when(F.col("conv_id") % 4 == 0, F.concat(F.lit("T"), F.col("conv_id").cast("string"))).otherwise("").alias("title"),
-        F.timestamp_seconds(F.lit(1704067200) + F.col("conv_id") * 1800).alias("updated_at"),
+        F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, conv_id * 30, 0)").alias("updated_at"),
     )
 
 

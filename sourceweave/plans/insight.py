@@ -10,6 +10,7 @@ from sourceweave.plans.inventory import keep_sql
 from sourceweave.plans.registry import plan
 from sourceweave.plans.sqltext import CORPUS, SUFFIX, in_list
 from sourceweave.sources import files as fs
+from sourceweave.session import cut_lineage
 from sourceweave.sources.corpus import corpus
 
 FE, BE = in_list(fs.FRONTEND_EXTENSIONS), in_list(fs.BACKEND_EXTENSIONS)
@@ -22,8 +23,10 @@ BACK_CTES = f"{BACK}, {BOTH}, {ms.endpoints('be')}, {ms.deduped()}, {ms.models('
 BACK_ALL = f"with {KEPT}, {BACK_CTES}"
 
 
-def _mined(spark, sf):
-    return ins.feature_mine(corpus(spark, sf))
+def _mined(spark, sf, *staged: str):
+    """Mined tables; the ``staged`` ones are read several times and are written once."""
+    mined = ins.feature_mine(corpus(spark, sf))
+    return {k: cut_lineage(df) if k in staged else df for k, df in mined.items()}
 
 
 @plan(
@@ -92,8 +95,7 @@ TREE = (
 
 
 def _tree(spark, sf):
-    files = corpus(spark, sf)
-    return ins.feature_tree(ins.feature_mine(files), files.select("project_id").distinct())
+    return ins.feature_tree(_mined(spark, sf, "ui_actions", "models"), corpus(spark, sf).select("project_id").distinct())
 
 
 @plan("feature_tree", f"{TREE} select * from tree")
@@ -152,7 +154,7 @@ TOP = (
     f"{FRONT_ALL}, {FE_UNION}, l as (select project_id, 'types' as list, type as name from ui union all select project_id, 'files', path from u), {TOP}",
 )
 def frontend_top(spark, sf):
-    return ins.frontend_top(_mined(spark, sf))
+    return ins.frontend_top(_mined(spark, sf, "ui_actions"))
 
 
 @plan(
@@ -186,7 +188,7 @@ def _first5(src: str, col: str, order: str) -> str:
     f"{_highlight(('route_count >= 3', 'many_routes'), ('st >= 4', 'much_state'), ('api_call_count >= 4', 'many_api_calls'))} from s",
 )
 def frontend_file_insights(spark, sf):
-    return ins.frontend_file_insights(_mined(spark, sf))
+    return ins.frontend_file_insights(_mined(spark, sf, "routes"))
 
 
 BE_UNION = (
@@ -215,7 +217,7 @@ def backend_insights(spark, sf):
     f"union all select project_id, 'files', path from u), {TOP}",
 )
 def backend_top(spark, sf):
-    return ins.backend_top(_mined(spark, sf))
+    return ins.backend_top(_mined(spark, sf, "endpoints", "features"))
 
 
 @plan(
@@ -226,4 +228,4 @@ def backend_top(spark, sf):
     f"{_highlight(('api_count >= 6', 'many_apis'), ('model_count >= 3', 'many_models'), ('system_feature_count >= 5', 'many_features'), ('auth_api_count > 0 and auth_api_count < api_count * 0.3', 'low_auth'))} from s",
 )
 def backend_file_insights(spark, sf):
-    return ins.backend_file_insights(_mined(spark, sf))
+    return ins.backend_file_insights(_mined(spark, sf, "endpoints"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from sourceweave.operators import snapshots as sn
 from sourceweave.plans.registry import plan
 from sourceweave.plans.sqltext import CORPUS, DOCS, LINES, SUFFIX, in_list, parts_overlap
+from sourceweave.session import scratch_folder
 from sourceweave.sources import files as fs
 from sourceweave.sources.corpus import corpus
 from sourceweave.sources.tables import doc_files, table
@@ -378,3 +379,29 @@ PROGRESS_SQL = (
 @plan("latest_progress", PROGRESS_SQL)
 def latest_progress(spark, sf):
     return sn.latest_progress(progress_events(table(spark, sf, "events")))
+
+
+@plan(
+    "scan_files",
+    f"with {CORPUS} select project_id, cast(sum(length(content) + 1) as bigint) as chars, cast(sum({NEWLINES} + 1) as bigint) as lines from corpus group by 1",
+)
+def scan_files(spark, sf):
+    """The corpus written as a folder of text files per project, then scanned as raw files."""
+    root = f"{scratch_folder(spark)}/tree"
+    corpus(spark, sf).select("project_id", "content").write.partitionBy("project_id").text(root)
+    scanned = fs.scan_files(spark, root, "*.txt", project_depth=1)
+    project = F.regexp_extract("project_id", "^project_id=(.*)$", 1)
+    newlines = fs.line_count(F.col("content"), "newline") - 1
+    return scanned.groupBy(project.alias("project_id")).agg(
+        F.sum(F.length("content")).alias("chars"), F.sum(newlines).alias("lines")
+    )
+
+
+@plan("sink_tables", f"with {DOCS} select project_id, path, sha256(content) as sha256 from docs where {keep_sql('index')}")
+def sink_tables(spark, sf):
+    """Hashes written as a project-partitioned table, one project rewritten, read back."""
+    target = f"{scratch_folder(spark)}/hashes"
+    hashes = sn.content_hashes(doc_files(spark, sf))
+    fs.write_table(hashes, target)
+    fs.write_table(hashes.where("project_id = 'src1'"), target)
+    return spark.read.parquet(target).select("project_id", "path", "sha256")

@@ -2,27 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from sourceweave.plans.inventory import PROGRESS_SQL, progress_events
 from sourceweave.plans.registry import plan
 from sourceweave.plans.retrieval import PLAIN, chunk_sql
+from sourceweave.session import scratch_folder
 from sourceweave.streaming import jobs
 
 
-def _scratch(spark) -> str:
-    """A fresh folder below the checkpoint folder the cluster names."""
-    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a shared folder for streaming queries")
-        base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return f"{base}/stream-{uuid.uuid4().hex}"
-
-
 def _stream(spark, sf: str, name: str):
     """One given table as a file stream."""
     schema = spark.read.parquet(f"{sf}/{name}.parquet").schema
@@ -31,7 +19,7 @@ def _stream(spark, sf: str, name: str):
 
 def _result(df, spark, mode: str):
     """Run a stateful stream over everything available and return its last result."""
-    folder = _scratch(spark)
+    folder = scratch_folder(spark)
 
     def keep(batch, batch_id):
         batch.write.mode("overwrite").parquet(f"{folder}/out/batch={batch_id}")
@@ -50,12 +38,12 @@ def stream_progress(spark, sf):
 
 @plan(
     "stream_sessions",
-    "select conv_id as session_id, count(*) as message_count, arg_min(text, turn) as first_content, arg_max(text, turn) as last_content, max(to_timestamp(1704067200 + conv_id * 3600 + turn * 60)::timestamp) as updated_at from conversations group by 1",
+    "select conv_id as session_id, count(*) as message_count, arg_min(text, turn) as first_content, arg_max(text, turn) as last_content, max(timestamp '2024-01-01 00:00:00' + to_seconds(conv_id * 3600 + turn * 60)) as updated_at from conversations group by 1",
 )
 def stream_sessions(spark, sf):
     c = _stream(spark, sf, "conversations").select(
         F.col("conv_id").alias("session_id"),
-        F.timestamp_seconds(F.lit(1704067200) + F.col("conv_id") * 3600 + F.col("turn") * 60).alias("ts"),
+        F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, conv_id, turn, 0)").alias("ts"),
         "turn",
         F.col("text").alias("content"),
     )
@@ -67,7 +55,7 @@ def stream_index(spark, sf):
     docs = _stream(spark, sf, "documents")
     path = F.concat("source", F.lit("/"), "lang", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".py"))
     files = docs.select(F.col("source").alias("project_id"), path.alias("path"), F.col("text").alias("content"), F.col("doc_id").alias("version"))
-    folder = _scratch(spark)
+    folder = scratch_folder(spark)
     jobs.index_stream(files, f"{folder}/index", f"{folder}/state").awaitTermination()
     out = jobs.current_index(spark, f"{folder}/index")
     return out.select("project_id", "path", "chunk_id", "start_line", "end_line", F.md5("content").alias("content_md5"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,15 +35,26 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     ``spark.checkpoint.dir``; only a local session without that setting gets a
     fresh scratch folder of its own.
     """
-    sc = df.sparkSession.sparkContext
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder of the session, set up if it is not yet."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
             if not sc.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a shared folder for iterative operators")
+                raise ValueError("set spark.checkpoint.dir to a shared folder")
             folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         sc.setCheckpointDir(folder)
-    return df.checkpoint()
+    return sc.getCheckpointDir()
+
+
+def scratch_folder(spark: SparkSession) -> str:
+    """A new folder for written intermediate tables, below the shared checkpoint folder."""
+    return f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}"
 
 
 def small_enough(df: DataFrame, max_rows: int) -> bool:

@@ -33,7 +33,7 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``messages(session_id, ts, role, content)`` from the conversations."""
     return table(spark, sf_dir, "conversations").select(
         F.col("conv_id").alias("session_id"),
-        F.timestamp_seconds(F.lit(1704067200) + F.col("conv_id") * 3600 + F.col("turn") * 60).alias("ts"),
+        F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, conv_id, turn, 0)").alias("ts"),
         "turn",
         "role",
         F.col("text").alias("content"),
