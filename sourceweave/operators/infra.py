@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sourceweave.functions import rules as R
-from sourceweave.functions.lines import contains_any, extract, first_extract, lines_of
+from sourceweave.functions.lines import contains_any, extract, first_extract, let, lines_of
 
 
 def feature_framework(content: Column) -> Column:
@@ -65,13 +65,16 @@ def detect_features(files: DataFrame) -> DataFrame:
     rows = src.select("project_id", "path", "framework", "kinds", "lines", F.posexplode_outer("lines").alias("pos", "line")).select(
         "project_id", "path", "framework", "kinds", "lines", "pos", "line", F.lower("line").alias("low")
     )
-    hits = F.array_compact(
-        F.array(
-            *[
-                F.when(F.array_contains("kinds", kind) & contains_any(F.col("low"), words), _first_hit(F.col("line"), kind))
-                for kind, words in NEEDLES.items()
-            ]
-        )
+    hits = let(
+        F.struct("line", "low"),
+        lambda v: F.array_compact(
+            F.array(
+                *[
+                    F.when(F.array_contains("kinds", kind) & contains_any(v["low"], words), _first_hit(v["line"], kind))
+                    for kind, words in NEEDLES.items()
+                ]
+            )
+        ),
     )
     rows = rows.select(
         "project_id", "path", "framework", "lines", (F.col("pos") + 1).alias("line_no"), "line", F.explode_outer(hits).alias("h")

@@ -10,6 +10,7 @@ checking engine, and the corpus grows with the tables.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sourceweave.session import spread
 
@@ -472,6 +473,9 @@ _TABLES = {
 }
 
 
+_COLUMNS = ["s_suppkey", "s_nationkey", "n_nationkey", "n_name", "n_regionkey", "p_partkey", "p_name"]
+
+
 def _file_exprs(table: str) -> tuple[str, list[tuple[str, str]]]:
     """SQL of the project id and of (path, content) for each file of one table."""
     project, names, files = _TABLES[table]
@@ -495,12 +499,21 @@ def corpus_sql() -> str:
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``files(project_id, path, content)``; one scan per table, one row per file."""
-    out = None
-    for table, key in (("supplier", "s_suppkey"), ("part", "p_partkey"), ("nation", "n_nationkey")):
-        project, files = _file_exprs(table)
-        rows = ", ".join(f"named_struct('path', {p}, 'content', {c})" for p, c in files)
-        df = spread(spark.read.parquet(f"{sf_dir}/{table}.parquet"), key)
-        df = df.selectExpr(f"{project} as project_id", f"inline(array({rows}))")
-        out = df if out is None else out.unionByName(df)
-    return out
+    """``files(project_id, path, content)``; one row per file.
+
+    Only the key rows of the three tables are united (and spread over the
+    cores); the texts are written afterwards in one narrow pass.
+    """
+    keys = None
+    for name in _TABLES:
+        columns = [c for c in _COLUMNS if c.startswith(name[0] + "_")]
+        rows = spark.read.parquet(f"{sf_dir}/{name}.parquet").select(F.lit(name).alias("origin"), *columns)
+        keys = rows if keys is None else keys.unionByName(rows, allowMissingColumns=True)
+    project, files = "case origin", "case origin"
+    for name in _TABLES:
+        project_sql, exprs = _file_exprs(name)
+        structs = ", ".join(f"named_struct('path', {p}, 'content', {c})" for p, c in exprs)
+        project += f" when '{name}' then {project_sql}"
+        files += f" when '{name}' then array({structs})"
+    rows = spread(keys, *[c for c in _COLUMNS if c.endswith("key")])
+    return rows.selectExpr(f"{project} end as project_id", f"inline_outer({files} end)")
