@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sourceweave.functions.lines import non_empty
+from sourceweave.session import broadcast_if_small
 
 # --- fixed values -------------------------------------------------------------------
 PROJECT_STATUSES = ["indexing", "ready", "error", "failed"]
@@ -29,7 +30,7 @@ def point_lookup(table: DataFrame, key: str, value) -> DataFrame:
 
 def cascade_delete(projects: DataFrame, children: dict[str, DataFrame], gone: DataFrame) -> dict[str, DataFrame]:
     """Projects and every child table without the deleted projects."""
-    ids = gone.select("project_id").distinct()
+    ids = broadcast_if_small(gone.select("project_id").distinct())
     tables = {"projects": projects, **children}
     return {name: df.join(ids, "project_id", "left_anti") for name, df in tables.items()}
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from sourceweave.functions.lines import non_empty, strip
 from sourceweave.operators.symbols import extract_imports, structure_summary
-from sourceweave.session import cut_lineage
+from sourceweave.session import broadcast_if_small, cut_lineage
 from sourceweave.sources.files import file_name, manifest_scan, skip_filter
 
 # --- fixed values --------------------------------------------------------------------
@@ -83,7 +83,7 @@ def neighbours(edges: DataFrame, ids: DataFrame, direction: str = "callees") ->
     """Distinct callees (or callers) of the given node ids."""
     here, there = ("src", "dst") if direction == "callees" else ("dst", "src")
     rows = edges.select("project_id", F.col(here).alias("id"), F.col(there).alias("other"))
-    return rows.join(ids.select("project_id", "id").distinct(), ["project_id", "id"], "left_semi").distinct()
+    return rows.join(broadcast_if_small(ids.select("project_id", "id").distinct()), ["project_id", "id"], "left_semi").distinct()
 
 
 def call_chain(edges: DataFrame, seeds: DataFrame, depth: int = 5) -> DataFrame:

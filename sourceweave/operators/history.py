@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sourceweave.functions.lines import non_empty
+from sourceweave.session import broadcast_if_small
 
 # --- fixed values -------------------------------------------------------------------
 TITLE_LENGTH, PREVIEW_LENGTH = 50, 30
@@ -97,7 +98,7 @@ def upsert_sessions(sessions: DataFrame, messages: DataFrame) -> DataFrame:
 
 def delete_sessions(table: DataFrame, ids: DataFrame) -> DataFrame:
     """Rows of a session or message table that survive deleting the given sessions."""
-    return table.join(ids.select("session_id").distinct(), "session_id", "left_anti")
+    return table.join(broadcast_if_small(ids.select("session_id").distinct()), "session_id", "left_anti")
 
 
 def export_history(messages: DataFrame, page_size: int = 1000) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from sourceweave.functions import vectors as V
 from sourceweave.functions.lines import let, lines_of
-from sourceweave.session import small_enough
+from sourceweave.session import broadcast_if_small, cut_lineage, small_enough
 from sourceweave.sources.files import INDEXED_EXTENSIONS, skip_filter, suffix
 
 # --- fixed values ------------------------------------------------------------------
@@ -161,8 +161,12 @@ def retrieve(vectors: DataFrame, questions: DataFrame, k: int = 5, threshold: fl
 
 
 def with_payload(hits: DataFrame, vectors: DataFrame, *columns: str) -> DataFrame:
-    """Attach payload columns of the hit vectors (hits are few, so they go to the vectors)."""
-    return hits.join(vectors.select("id", *columns), "id")
+    """Attach payload columns of the hit vectors.
+
+    The hits are written once and counted: a short list goes to the vectors,
+    so the payload of the whole store is not shuffled for a few rows.
+    """
+    return vectors.select("id", *columns).join(broadcast_if_small(cut_lineage(hits)), "id")
 
 
 def hybrid_rerank(hits: DataFrame, keywords: list[str], k: int) -> DataFrame:
@@ -197,14 +201,14 @@ def vector_get(vectors: DataFrame, ids: DataFrame | None = None, **equals) -> Da
     out = vectors
     for name, value in equals.items():
         out = out.where(F.col(name) == value)
-    return out if ids is None else out.join(ids.select("id").distinct(), "id", "left_semi")
+    return out if ids is None else out.join(broadcast_if_small(ids.select("id").distinct()), "id", "left_semi")
 
 
 def vector_delete(vectors: DataFrame, ids: DataFrame | None = None, **equals) -> DataFrame:
     """Vectors left after deleting ids and/or every row with the given metadata."""
     out = vectors
     if ids is not None:
-        out = out.join(ids.select("id").distinct(), "id", "left_anti")
+        out = out.join(broadcast_if_small(ids.select("id").distinct()), "id", "left_anti")
     for name, value in equals.items():
         out = out.where(~F.col(name).eqNullSafe(F.lit(value)))
     return out

@@ -8,8 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Broadcast limit for helper tables whose size is measured first (bytes).
-BROADCAST_BYTES = 64 * 1024 * 1024
+#: Most rows of a narrow helper table (ids, scores) that may be broadcast.
+BROADCAST_ROWS = 500_000
 
 
 def get_session(app: str = "sourceweave", master: str | None = None, **conf: str) -> SparkSession:
@@ -62,6 +62,15 @@ def small_enough(df: DataFrame, max_rows: int) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
 
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Mark a narrow table for broadcast when its counted size allows it.
+
+    Used where the other side is huge and must not be shuffled for a short
+    list. A longer list comes back unmarked and is joined by shuffle.
+    """
+    return F.broadcast(df) if small_enough(df, max_rows) else df
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Repartition only an input that has fewer splits than the session has cores.
 

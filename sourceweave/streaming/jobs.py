@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from sourceweave.operators.retrieval import chunk_lines
-from sourceweave.operators.snapshots import content_hashes, percentage
+from sourceweave.operators.snapshots import percentage
+from sourceweave.session import broadcast_if_small, cut_lineage
 
 
 def progress_stream(events: DataFrame) -> DataFrame:
@@ -38,9 +39,10 @@ def index_stream(files: DataFrame, table: str, checkpoint: str, **trigger) -> St
 
     ``files(project_id, path, content, version)`` arrive as a stream. Each
     micro-batch keeps the newest version per file, compares its hash with the
-    index written by earlier batches, and writes the chunks of changed files
-    under ``batch=<id>``. Overwriting that one folder makes a repeated batch
-    harmless; ``current_index`` reads the newest rows.
+    hashes written by earlier batches, and writes the chunks and the hashes of
+    changed files under ``batch=<id>``. Overwriting those two folders makes a
+    repeated batch harmless; ``current_index`` reads the newest rows. Only the
+    narrow hash table is read back, and only for the files of the batch.
     """
     spark = files.sparkSession
 
@@ -49,14 +51,16 @@ def index_stream(files: DataFrame, table: str, checkpoint: str, **trigger) -> St
             batch.groupBy("project_id", "path")
             .agg(F.max_by("content", "version").alias("content"), F.max("version").alias("version"))
         )
-        hashes = content_hashes(newest, profile=None)
-        fresh = newest.join(hashes, ["project_id", "path"])
+        fresh = newest.withColumn("sha256", F.sha2(F.col("content").cast("binary"), 256))
         known = _known(spark, table, batch_id)
         if known is not None:
-            old = known.withColumnRenamed("sha256", "old_hash")
+            touched = broadcast_if_small(fresh.select("project_id", "path"))
+            known = known.join(touched, ["project_id", "path"], "left_semi")
+            old = known.groupBy("project_id", "path").agg(F.max_by("sha256", "batch").alias("old_hash"))
             fresh = fresh.join(old, ["project_id", "path"], "left").where(~F.col("sha256").eqNullSafe(F.col("old_hash"))).drop("old_hash")
-        chunks = chunk_lines(fresh, 1000, 50, "version", "sha256")
-        chunks.write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
+        fresh = cut_lineage(fresh)
+        chunk_lines(fresh, 1000, 50, "version").write.mode("overwrite").parquet(f"{table}/chunks/batch={batch_id}")
+        fresh.select("project_id", "path", "sha256").write.mode("overwrite").parquet(f"{table}/hashes/batch={batch_id}")
 
     return files.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
@@ -67,16 +71,13 @@ def _exists(spark, path: str) -> bool:
 
 
 def _known(spark, table: str, before: int) -> DataFrame | None:
-    """Newest hash per file over the batches before ``before``."""
-    done = [b for b in range(before) if _exists(spark, f"{table}/batch={b}")]
-    if not done:
+    """Hashes written by the batches before ``before``."""
+    if before == 0 or not _exists(spark, f"{table}/hashes"):
         return None
-    rows = spark.read.option("basePath", table).parquet(*[f"{table}/batch={b}" for b in done])
-    return rows.groupBy("project_id", "path").agg(F.max_by("sha256", F.struct("batch", "version")).alias("sha256"))
+    return spark.read.parquet(f"{table}/hashes").where(F.col("batch") < before)
 
 
 def current_index(spark, table: str) -> DataFrame:
     """Chunks of the newest indexed version of every file."""
-    rows = spark.read.parquet(table)
-    last = rows.groupBy("project_id", "path").agg(F.max("batch").alias("batch"))
-    return rows.join(last, ["project_id", "path", "batch"], "left_semi")
+    last = spark.read.parquet(f"{table}/hashes").groupBy("project_id", "path").agg(F.max("batch").alias("batch"))
+    return spark.read.parquet(f"{table}/chunks").join(last, ["project_id", "path", "batch"], "left_semi")
