@@ -119,7 +119,7 @@ def extract_endpoints(files: DataFrame) -> DataFrame:
     ).where("framework <> 'unknown'")
     found = F.lit(None)
     for fw, rule in reversed(R.ENDPOINT_RULES.items()):
-        found = F.when(F.col("framework") == fw, rule_matches(F.col("line"), [rule])).otherwise(found)
+        found = F.when(F.col("framework") == fw, rule_matches("line", [rule])).otherwise(found)
     rows = src.select("project_id", "path", "framework", "prefix", "lines", F.posexplode_outer("lines").alias("pos", "line"))
     hits = rows.select(
         "project_id", "path", "framework", "prefix", "lines", (F.col("pos") + 1).alias("line_no"), "line", F.explode_outer(found).alias("m")

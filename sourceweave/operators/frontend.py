@@ -52,8 +52,8 @@ def extract_routes(files: DataFrame) -> DataFrame:
         .select("project_id", "path", "framework", F.posexplode_outer(lines_of(F.col("content"))).alias("pos", "line"))
         .withColumn(
             "found",
-            F.when(F.col("framework") == "react", rule_matches(F.col("line"), R.ROUTE_RULES["react"])).otherwise(
-                rule_matches(F.col("line"), R.ROUTE_RULES["vue"])
+            F.when(F.col("framework") == "react", rule_matches("line", R.ROUTE_RULES["react"])).otherwise(
+                rule_matches("line", R.ROUTE_RULES["vue"])
             ),
         )
         .select("project_id", "path", "framework", (F.col("pos") + 1).alias("line_no"), F.explode_outer("found").alias("m"))
@@ -122,7 +122,7 @@ def route_tree(routes: DataFrame) -> DataFrame:
 def action_name(handler: Column) -> Column:
     """Display name of a handler: first known verb inside it, else the bare handler."""
     low = F.lower(handler)
-    table = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(v).alias("v")) for k, v in R.UI_NAMES.items()])
+    table = F.expr("array(" + ", ".join(f"struct('{k}' as k, '{v}' as v)" for k, v in R.UI_NAMES.items()) + ")")
     known = first_of(F.filter(table, lambda e: F.contains(low, e["k"])))["v"]
 
     def without(*words: str) -> Column:
@@ -143,7 +143,7 @@ def extract_ui_actions(files: DataFrame) -> DataFrame:
     """Clicks, submits, fetches, navigations and state hooks, one row per rule match."""
     rows = files.select("project_id", "path", F.posexplode_outer(lines_of(F.col("content"))).alias("pos", "line"))
     rows = rows.select(
-        "project_id", "path", (F.col("pos") + 1).alias("line_no"), F.explode_outer(rule_matches(F.col("line"), R.UI_RULES)).alias("m")
+        "project_id", "path", (F.col("pos") + 1).alias("line_no"), F.explode_outer(rule_matches("line", R.UI_RULES)).alias("m")
     ).where("m.rule is not null")
     a, b, kind = F.col("m.a"), F.col("m.b"), F.col("m.kind")
     target = F.when(kind == "state", F.coalesce(non_empty(a), b)).otherwise(a)
@@ -221,7 +221,7 @@ def extract_api_calls(files: DataFrame, dedupe: bool = True) -> DataFrame:
         "project_id", "path", "base_url", "lines", "s", F.posexplode(F.slice(lines, F.col("s.first"), F.col("s.length"))).alias("pos", "line")
     )
     found = F.transform(
-        rule_matches(F.col("line"), R.API_CALL_RULES),
+        rule_matches("line", R.API_CALL_RULES),
         lambda m: F.struct(m["rule"].alias("rule"), m["kind"].alias("kind"), normalize_api_path(m["a"]).alias("api_path"), m["b"].alias("verb")),
     )
     hits = rows.select("project_id", "path", "base_url", "lines", "s", "pos", "line", found.alias("found")).where(F.size("found") > 0)

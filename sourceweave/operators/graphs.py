@@ -115,10 +115,12 @@ def call_chain(edges: DataFrame, seeds: DataFrame, depth: int = 5) -> DataFrame:
 
 def call_graph_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Nodes, edges, entry points and leaves per project in one aggregation."""
-    ends = (
-        nodes.select("project_id", "id", F.lit(1).alias("node"), F.lit(0).alias("called"), F.lit(0).alias("calls"))
-        .unionByName(edges.select("project_id", F.col("dst").alias("id"), F.lit(0).alias("node"), F.lit(1).alias("called"), F.lit(0).alias("calls")))
-        .unionByName(edges.select("project_id", F.col("src").alias("id"), F.lit(0).alias("node"), F.lit(0).alias("called"), F.lit(1).alias("calls")))
+    both = F.array(
+        F.struct(F.col("dst").alias("id"), F.lit(0).alias("node"), F.lit(1).alias("called"), F.lit(0).alias("calls")),
+        F.struct(F.col("src").alias("id"), F.lit(0).alias("node"), F.lit(0).alias("called"), F.lit(1).alias("calls")),
+    )
+    ends = nodes.select("project_id", "id", F.lit(1).alias("node"), F.lit(0).alias("called"), F.lit(0).alias("calls")).unionByName(
+        edges.select("project_id", F.inline(both))
     )
     per_id = ends.groupBy("project_id", "id").agg(F.max("node").alias("node"), F.sum("called").alias("called"), F.sum("calls").alias("calls"))
     return per_id.groupBy("project_id").agg(

@@ -8,32 +8,31 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sourceweave.functions import rules as R
-from sourceweave.functions.lines import contains_any, extract, first_extract, let, lines_of
-
-
-def feature_framework(content: Column) -> Column:
-    """First framework whose patterns occur anywhere in the file."""
-    out = F.lit("unknown")
-    for name, patterns in reversed(R.FRAMEWORK_PATTERNS.items()):
-        hit = F.lit(False)
-        for p in patterns:
-            hit = hit | content.rlike("(?i)" + p)
-        out = F.when(hit, name).otherwise(out)
-    return out
-
-
-def _first_hit(line: Column, kind: str) -> Column:
-    """Position and text of the first pattern of a feature type on a line; null when none matches."""
-    out = F.lit(None)
-    for p in reversed(R.FEATURE_PATTERNS[kind]):
-        ci = "(?i)" + p
-        hit = F.struct(
-            F.lit(kind).alias("type"),
-            F.regexp_instr(line, F.lit(ci)).alias("at"),
-            F.regexp_extract(line, ci, 0).alias("text"),
+from sourceweave.functions.lines import extract, first_extract, lines_of, sql_text
+
+
+def feature_framework() -> Column:
+    """First framework whose patterns occur anywhere in the column ``content``."""
+    tests = [
+        "when " + " or ".join(f"content rlike {sql_text('(?i)' + p)}" for p in patterns) + f" then '{name}'"
+        for name, patterns in R.FRAMEWORK_PATTERNS.items()
+    ]
+    return F.expr(f"case {' '.join(tests)} else 'unknown' end")
+
+
+def _first_hit(kind: str) -> str:
+    """SQL of position and text of the first pattern of a feature type on ``v.line``; null when none matches."""
+    cases = []
+    for p in R.FEATURE_PATTERNS[kind]:
+        ci = sql_text("(?i)" + p)
+        cases.append(
+            f"when v.line rlike {ci} then named_struct('type', '{kind}', 'at', regexp_instr(v.line, {ci}), 'text', regexp_extract(v.line, {ci}, 0))"
         )
-        out = F.when(line.rlike(ci), hit).otherwise(out)
-    return out
+    return f"case {' '.join(cases)} end"
+
+
+def _any_of(column: str, words: list[str]) -> str:
+    return "(" + " or ".join(f"contains({column}, {sql_text(w)})" for w in words) + ")"
 
 
 def _needles(patterns: list[str]) -> list[str]:
@@ -56,26 +55,15 @@ def detect_features(files: DataFrame) -> DataFrame:
     split. Name and settings are read from the text around the hit, which may
     reach over neighbouring lines, through the line array of the row.
     """
-    low = F.lower("content")
-    every = [w for words in NEEDLES.values() for w in words]
-    kinds = F.array_compact(F.array(*[F.when(contains_any(low, words), kind) for kind, words in NEEDLES.items()]))
-    src = files.where(contains_any(low, every)).select(
-        "project_id", "path", feature_framework(F.col("content")).alias("framework"), kinds.alias("kinds"), lines_of(F.col("content")).alias("lines")
-    )
-    rows = src.select("project_id", "path", "framework", "kinds", "lines", F.posexplode_outer("lines").alias("pos", "line")).select(
-        "project_id", "path", "framework", "kinds", "lines", "pos", "line", F.lower("line").alias("low")
-    )
-    hits = let(
-        F.struct("line", "low"),
-        lambda v: F.array_compact(
-            F.array(
-                *[
-                    F.when(F.array_contains("kinds", kind) & contains_any(v["low"], words), _first_hit(v["line"], kind))
-                    for kind, words in NEEDLES.items()
-                ]
-            )
-        ),
+    src = files.select("project_id", "path", "content", F.lower("content").alias("low"))
+    kinds = ", ".join(f"case when {_any_of('low', words)} then '{kind}' end" for kind, words in NEEDLES.items())
+    src = src.select("project_id", "path", "content", F.expr(f"array_compact(array({kinds}))").alias("kinds")).where(F.size("kinds") > 0)
+    src = src.select("project_id", "path", feature_framework().alias("framework"), "kinds", lines_of(F.col("content")).alias("lines"))
+    rows = src.select("project_id", "path", "framework", "kinds", "lines", F.posexplode_outer("lines").alias("pos", "line"))
+    tests = ", ".join(
+        f"case when array_contains(kinds, '{kind}') and {_any_of('v.low', words)} then {_first_hit(kind)} end" for kind, words in NEEDLES.items()
     )
+    hits = F.expr(f"transform(array(named_struct('line', line, 'low', lower(line))), v -> array_compact(array({tests})))[0]")
     rows = rows.select(
         "project_id", "path", "framework", "lines", (F.col("pos") + 1).alias("line_no"), "line", F.explode_outer(hits).alias("h")
     ).where("h.at is not null")

@@ -208,6 +208,7 @@ def merge_versions(spark, sf):
 
 def _externals(spark, sf):
     files, edges = _deps(spark, sf)
+    edges = cut_lineage(edges)
     return files, edges, gr.external_modules(edges, gr.manifest_dependencies(corpus(spark, sf)), files)
 
 
@@ -222,7 +223,8 @@ def external_modules(spark, sf):
     "(select count(*) from edges e where e.project_id = p.project_id and not is_external) as internal_edges, (select count(*) from edges e where e.project_id = p.project_id and is_external) as external_edges from (select distinct project_id from corpus) p",
 )
 def dependency_stats(spark, sf):
-    return gr.dependency_stats(*_externals(spark, sf))
+    files, edges, externals = _externals(spark, sf)
+    return gr.dependency_stats(files, edges, externals)
 
 
 def _degree(end: str) -> str:

@@ -189,7 +189,7 @@ def detect_features(spark, sf):
 
 @plan("feature_framework", f"with {CORPUS} select project_id, path, {ms.FRAMEWORK} as framework from corpus")
 def feature_framework(spark, sf):
-    return corpus(spark, sf).select("project_id", "path", infra.feature_framework(F.col("content")).alias("framework"))
+    return corpus(spark, sf).select("project_id", "path", infra.feature_framework().alias("framework"))
 
 
 @plan(
