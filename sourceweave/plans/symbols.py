@@ -79,7 +79,21 @@ def extract_classes(spark, sf):
     return sy.extract_classes(corpus(spark, sf)).withColumn("body_md5", F.md5("body")).drop("body")
 
 
-@plan("extract_attributes")
+PY_FIELD = r"^\s*([\w.]+)\s*(?::[^=]+)?=\s*[^=]"
+TS_FIELD = r"^\s*(?:(?:public|private|protected|readonly|static)\s+)*(\w+)\??\s*:\s*[^({]+;?$"
+FIELD = f"case when language = 'python' then regexp_extract(line, {q(PY_FIELD)}, 1) else regexp_extract(line, {q(TS_FIELD)}, 1) end"
+FIELD_VALUE = r"case when language = 'python' then regexp_extract(line, '^[^=]*=\s*(.*)$', 1) else regexp_extract(line, ':\s*([^;=]+)', 1) end"
+
+
+@plan(
+    "extract_attributes",
+    f"with {CORPUS}, {ss.spans('corpus')}, fa as (select project_id, path, string_split(content, chr(10)) as ls from sf), "
+    "c as (select s.project_id, s.path, s.language, s.name, s.first, ls[s.first + 1:s.last] as body from spans s join fa on fa.project_id = s.project_id and fa.path = s.path "
+    "where kind = 'class' and s.language in ('python', 'typescript')), "
+    f"m as (select *, coalesce(regexp_extract(list_filter(body, lambda t: {strip('t')} <> '')[1], '^([ \\t]*)', 1), '') as margin from c), e as (select *, unnest(body) as line from m) "
+    f"select project_id, path, name as class_name, first as start_line, {FIELD} as name, {strip(FIELD_VALUE)} as value from e "
+    f"where starts_with(line, margin) and not regexp_matches(substr(line, length(margin) + 1), '^\\s') and {FIELD} <> ''",
+)
 def extract_attributes(spark, sf):
     return sy.extract_attributes(sy.extract_classes(corpus(spark, sf)))
 
