@@ -134,7 +134,7 @@ def repo_directories(spark, sf):
 
 @plan(
     "count_files_lines",
-    f"with {DOCS} select project_id, count(*) as file_count, sum({ITER_LINES}) as line_count from docs where "
+    f"with {DOCS} select project_id, count(*) as file_count, cast(sum({ITER_LINES}) as bigint) as line_count from docs where "
     f"{keep_sql('count')} and {SUFFIX} in ({in_list(fs.COUNTED_EXTENSIONS)}) group by 1",
 )
 def count_files_lines(spark, sf):
@@ -143,7 +143,7 @@ def count_files_lines(spark, sf):
 
 @plan(
     "snapshot_stats",
-    f"with {DOCS} select project_id, count(*) as file_count, sum({NEWLINES} + 1) as line_count from docs where "
+    f"with {DOCS} select project_id, count(*) as file_count, cast(sum({NEWLINES} + 1) as bigint) as line_count from docs where "
     f"{keep_sql('features')} group by 1",
 )
 def snapshot_stats(spark, sf):
@@ -157,7 +157,7 @@ TREE_OK = f"{keep_sql('tree')} and not {HIDDEN} and {SUFFIX} in ({in_list(fs.TRE
     "directory_rollup",
     f"with {CORPUS}, t as (select *, {PARTS} as parts from corpus where {TREE_OK}), "
     f"e as (select project_id, unnest(range(0, least(len(parts), 4))) as d, parts, {ITER_LINES} as n from t) "
-    "select project_id, array_to_string(parts[1:d], '/') as dir, count(*) as files, sum(n) as lines from e group by 1, 2",
+    "select project_id, array_to_string(parts[1:d], '/') as dir, count(*) as files, cast(sum(n) as bigint) as lines from e group by 1, 2",
 )
 def directory_rollup(spark, sf):
     return fs.directory_rollup(corpus(spark, sf))
