@@ -101,7 +101,7 @@ def scan_files(spark: SparkSession, root: str, glob: str = "*", project_depth: i
         .where(F.col("length") <= MAX_FILE_BYTES)
     )
     base = root.rstrip("/").split(":")[-1].lstrip("/")
-    rel = F.split(F.regexp_replace(F.regexp_replace("path", r"^[a-z0-9]+:/*", ""), f"^{base}/", ""), "/")
+    rel = F.split(F.regexp_replace(F.regexp_replace("path", r"^[a-z0-9]+:/*", ""), rf"^\Q{base}\E/", ""), "/")
     n = F.size(rel)
     return raw.select(
         F.array_join(F.slice(rel, 1, project_depth), "/").alias("project_id"),
