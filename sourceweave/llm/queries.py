@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sourceweave.llm import chat, ring, tokencount, urlrules
+from sourceweave.llm import chat, decontam, langid, packing, ring, tokencount, urlrules
 from sourceweave.llm.common import table
 
 
@@ -30,14 +31,38 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     added = spark.createDataFrame([(-7, 0, "user", chat.PLANTED), (-7, 1, "assistant", chat.PLANTED)], turns.schema)
     return chat.read_back(chat.format_turns(turns.unionByName(added)))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.fit(langid.training_rows(documents))
+    held_out = F.coalesce(F.expr("crc32(cast(doc_id as string)) % 5 = 0"), F.lit(False))
+    found = langid.identify(documents.withColumn("held_out", held_out), model, keep=["doc_id", "held_out"])
+    return found.select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_ring_shards, op3_url_rules, op5_token_counts, op9_chat_format)
+    f.__name__: f for f in (
+        op2_ring_shards,
+        op3_url_rules,
+        op5_token_counts,
+        op7_decontamination,
+        op8_best_fit_packing,
+        op9_chat_format,
+        op10_language_id,
+    )
 }
 
 #: Checking SQL where SQL can express the whole result.
