@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sourceweave.llm import chat, decontam, langid, packing, ring, tokencount, urlrules
+from sourceweave.llm import chat, decontam, jaccard, langid, packing, ring, tokencount, urlrules
 from sourceweave.llm.common import table
 
 
@@ -31,6 +31,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -58,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op2_ring_shards,
         op3_url_rules,
         op5_token_counts,
+        op6_jaccard_join,
         op7_decontamination,
         op8_best_fit_packing,
         op9_chat_format,
@@ -66,4 +71,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: Checking SQL where SQL can express the whole result.
-ORACLES: dict[str, str] = {"op3_url_rules": urlrules.ORACLE, "op9_chat_format": chat.ORACLE}
+ORACLES: dict[str, str] = {"op3_url_rules": urlrules.ORACLE, "op6_jaccard_join": jaccard.ORACLE, "op9_chat_format": chat.ORACLE}
