@@ -77,7 +77,6 @@ CITATION_BARE = r"(?:^|\s)([^\s:]+\.py):(\d+)(?::(\d+))?(?:\s|$)"
 CODE_BLOCK = r"(?s)```(\w+)?\n(.*?)```"
 SOURCES_TITLE = "\n\n**Sources:**\n"
 
-README_LIMIT, CODE_LIMIT, CODE_RESULTS = 8000, 2000, 5
 TRUNCATED = "\n... (内容过长，已截断)"
 NEEDS_BY_MODE = {
     "full_context": ["readme", "summary", "code", "structure", "tech_stack"],

@@ -63,12 +63,14 @@ def project_header(projects: DataFrame) -> DataFrame:
     return projects.select("project_id", text.alias("header"))
 
 
-def _cut(text: Column, limit: int) -> Column:
+def _cut(text: Column, limit: int | None) -> Column:
+    if limit is None:
+        return text
     return F.when(F.length(text) > limit, F.concat(F.substring(text, 1, limit), F.lit(P.TRUNCATED))).otherwise(text)
 
 
-def full_header(projects: DataFrame) -> DataFrame:
-    """Rich header with tech stack (``array<string>``), summary and README."""
+def full_header(projects: DataFrame, readme_limit: int | None = None) -> DataFrame:
+    """Rich header with tech stack (``array<string>``), summary and README, whole or cut at ``readme_limit``."""
     rule = "=" * 40
     summary, readme = non_empty(F.col("summary")), non_empty(F.col("readme"))
     text = F.concat_ws(
@@ -82,16 +84,23 @@ def full_header(projects: DataFrame) -> DataFrame:
         F.when(F.size("tech_stack") > 0, F.concat(F.lit("技术栈: "), F.array_join("tech_stack", ", "))),
         F.lit(rule),
         F.concat(F.lit("\n=== 项目摘要 ===\n"), summary, F.lit("\n" + rule)),
-        F.concat(F.lit("\n=== README ===\n"), _cut(readme, P.README_LIMIT), F.lit("\n" + rule)),
+        F.concat(F.lit("\n=== README ===\n"), _cut(readme, readme_limit), F.lit("\n" + rule)),
     )
     return projects.select("*", text.alias("header"))
 
 
-def smart_context(projects: DataFrame, mode: str = "default") -> DataFrame:
+def smart_context(
+    projects: DataFrame,
+    mode: str = "default",
+    readme_limit: int | None = None,
+    code_limit: int | None = None,
+    code_results: int | None = None,
+) -> DataFrame:
     """Sections the mode needs, after the rich header.
 
     ``projects`` adds to the header columns ``structure`` (text) and ``code``
-    (``array<struct<file,content>>`` in rank order, of which five are used).
+    (``array<struct<file,content>>`` in rank order). READMEs, code and the number
+    of code results are cut only where a limit is given.
     """
     needs = P.NEEDS_BY_MODE.get(mode, P.NEEDS_BY_MODE["default"])
 
@@ -100,23 +109,23 @@ def smart_context(projects: DataFrame, mode: str = "default") -> DataFrame:
 
     code = F.array_join(
         F.transform(
-            F.slice("code", 1, P.CODE_RESULTS),
+            F.col("code") if code_results is None else F.slice("code", 1, code_results),
             lambda c, i: F.concat(
-                F.lit("["), (i + 1).cast("string"), F.lit("] "), c["file"], F.lit("\n```\n"), F.substring(c["content"], 1, P.CODE_LIMIT), F.lit("\n```\n")
+                F.lit("["), (i + 1).cast("string"), F.lit("] "), c["file"], F.lit("\n```\n"), c["content"] if code_limit is None else F.substring(c["content"], 1, code_limit), F.lit("\n```\n")
             ),
         ),
         "\n",
     )
     parts = F.concat_ws(
         "\n",
-        section("readme", _cut(non_empty(F.col("readme")), P.README_LIMIT)),
+        section("readme", _cut(non_empty(F.col("readme")), readme_limit)),
         section("summary", non_empty(F.col("summary"))),
         section("structure", non_empty(F.col("structure"))),
         section("tech_stack", F.when(F.size("tech_stack") > 0, F.array_join("tech_stack", ", "))),
         section("code", F.when(F.size("code") > 0, code)),
     )
     text = F.when(parts == "", F.col("header")).otherwise(F.concat("header", F.lit("\n\n"), parts))
-    return full_header(projects).select("project_id", text.alias("context"))
+    return full_header(projects, readme_limit).select("project_id", text.alias("context"))
 
 
 def prompt_rows(packed: DataFrame, chat_mode: str = "project") -> DataFrame:

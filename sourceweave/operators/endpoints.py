@@ -198,8 +198,8 @@ def endpoints_by_module(endpoints: DataFrame) -> DataFrame:
     )
 
 
-def api_candidate_files(files: DataFrame, max_files: int = 50, max_chars: int = 100_000) -> DataFrame:
-    """API-like files by folder and name, the first ``max_files`` per project, oversized ones left out."""
+def api_candidate_files(files: DataFrame, max_files: int | None = None, max_chars: int | None = None) -> DataFrame:
+    """API-like files by folder and name; where asked the first ``max_files`` per project, larger ones left out."""
     path = F.col("path")
     exts = "|".join(R.API_CANDIDATE_EXTENSIONS)
     words = "|".join(R.API_CANDIDATE_WORDS)
@@ -207,5 +207,6 @@ def api_candidate_files(files: DataFrame, max_files: int = 50, max_chars: int =
     named = path.rlike(rf"(^|/)[^/]*({words})[^/]*\.({exts})$")
     placed = path.rlike(rf"^({dirs})/") | ~path.contains("/")
     rank = F.row_number().over(Window.partitionBy("project_id").orderBy("path"))
-    picked = files.where(named & placed).withColumn("rank", rank).where(F.col("rank") <= max_files)
-    return picked.where(F.length("content") <= max_chars)
+    picked = files.where(named & placed).withColumn("rank", rank)
+    picked = picked if max_files is None else picked.where(F.col("rank") <= max_files)
+    return picked if max_chars is None else picked.where(F.length("content") <= max_chars)

@@ -7,12 +7,14 @@ per round and stop when a round adds nothing.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sourceweave.functions.lines import non_empty, strip
 from sourceweave.operators.symbols import extract_imports, structure_summary
-from sourceweave.session import broadcast_if_small, cut_lineage
+from sourceweave.session import cut_lineage
 from sourceweave.sources.files import file_name, manifest_scan, skip_filter
 
 # --- fixed values --------------------------------------------------------------------
@@ -83,11 +85,11 @@ def neighbours(edges: DataFrame, ids: DataFrame, direction: str = "callees") ->
     """Distinct callees (or callers) of the given node ids."""
     here, there = ("src", "dst") if direction == "callees" else ("dst", "src")
     rows = edges.select("project_id", F.col(here).alias("id"), F.col(there).alias("other"))
-    return rows.join(broadcast_if_small(ids.select("project_id", "id").distinct()), ["project_id", "id"], "left_semi").distinct()
+    return rows.join(ids.select("project_id", "id").distinct(), ["project_id", "id"], "left_semi").distinct()
 
 
-def call_chain(edges: DataFrame, seeds: DataFrame, depth: int = 5) -> DataFrame:
-    """Callers and callees of each seed up to ``depth`` hops with their smallest hop (0 = direct).
+def call_chain(edges: DataFrame, seeds: DataFrame, depth: int | None = None) -> DataFrame:
+    """Callers and callees of each seed with their smallest hop (0 = direct), all or up to ``depth`` hops.
 
     The frontier holds only nodes not seen before, so the rows joined per round
     shrink as the neighbourhood is exhausted.
@@ -101,7 +103,7 @@ def call_chain(edges: DataFrame, seeds: DataFrame, depth: int = 5) -> DataFrame:
     keys = ["project_id", "seed", "direction"]
     frontier = start.withColumn("at", F.col("seed"))
     seen = None
-    for hop in range(depth):
+    for hop in count() if depth is None else range(depth):
         step = frontier.join(both, ["project_id", "direction", "at"]).select(*keys, F.col("next").alias("at")).distinct()
         if seen is not None:
             step = step.join(seen.select(*keys, "at"), [*keys, "at"], "left_anti")
@@ -363,11 +365,44 @@ def _cyclic_core(pairs: DataFrame) -> DataFrame:
         current = cut_lineage(current.join(out, ["project_id", "dst"], "left_semi").join(into, ["project_id", "src"], "left_semi"))
 
 
-def circular_dependencies(pairs: DataFrame, max_length: int = 4) -> DataFrame:
+def witness_cycles(pairs: DataFrame) -> DataFrame:
+    """``(project_id, component, cycle, length)``: a shortest cycle through each strong component's smallest module.
+
+    Components of any size and cycles of any length are covered. From the owner
+    a frontier walks the component's edges, keeping for each module the first
+    path that meets it, until it comes back.
+    """
+    of = cut_lineage(strong_components(pairs))
+    a = of.select("project_id", F.col("module").alias("src"), "component")
+    b = of.select("project_id", F.col("module").alias("dst"), F.col("component").alias("other"))
+    inside = pairs.join(a, ["project_id", "src"]).join(b, ["project_id", "dst"]).where("component = other")
+    inside = cut_lineage(inside.select("project_id", "component", "src", "dst"))
+    frontier = of.where("module = component").select("project_id", "component", F.col("module").alias("at"), F.array("module").alias("path"))
+    seen, found = None, None
+    while True:
+        step = frontier.join(inside.withColumnRenamed("src", "at"), ["project_id", "component", "at"])
+        step = step.groupBy("project_id", "component", F.col("dst").alias("at")).agg(F.min("path").alias("path"))
+        step = step.select("project_id", "component", "at", F.array_append("path", F.col("at")).alias("path"))
+        if seen is not None:
+            step = step.join(seen, ["project_id", "component", "at"], "left_anti")
+        step = cut_lineage(step)
+        if step.isEmpty():
+            break
+        closed = step.where("at = component")
+        found = closed if found is None else found.unionByName(closed)
+        keys = step.select("project_id", "component", "at")
+        seen = keys if seen is None else seen.unionByName(keys)
+        # components whose cycle is closed are done
+        frontier = step.join(closed.select("project_id", "component"), ["project_id", "component"], "left_anti")
+    rows = of.limit(0).select("project_id", "component", F.array("module").alias("path")) if found is None else found
+    return rows.select("project_id", "component", F.array_join("path", " -> ").alias("cycle"), (F.size("path") - 1).alias("length"))
+
+
+def circular_dependencies(pairs: DataFrame, max_length: int) -> DataFrame:
     """Every elementary cycle of at most ``max_length`` modules, rotated to start at its smallest module.
 
     Paths only grow through modules greater than their start, so each cycle is
-    found once. ``strong_components`` covers cycles of any length.
+    found once. ``strong_components`` and ``witness_cycles`` cover all lengths.
     """
     core = _cyclic_core(pairs)
     paths = core.where("src < dst").select("project_id", F.col("src").alias("start"), F.array("src", "dst").alias("path"), F.col("dst").alias("at"))

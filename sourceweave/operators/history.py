@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sourceweave.functions.lines import non_empty
-from sourceweave.session import broadcast_if_small
 
 # --- fixed values -------------------------------------------------------------------
 TITLE_LENGTH, PREVIEW_LENGTH = 50, 30
@@ -32,11 +31,19 @@ def recent_history(messages: DataFrame, limit: int = RING_SIZE) -> DataFrame:
     return messages.withColumn("from_end", F.row_number().over(order)).where(F.col("from_end") <= limit)
 
 
-def llm_context(messages: DataFrame, limit: int = RING_SIZE) -> DataFrame:
-    """Role and content pairs of the first ``limit`` messages of each session, in order."""
-    rows = history(messages, limit)
-    pairs = F.array_sort(F.collect_list(F.struct("position", "role", "content")))
-    return rows.groupBy("session_id").agg(F.transform(pairs, lambda p: F.struct(p["role"].alias("role"), p["content"].alias("content"))).alias("context"))
+def llm_context(messages: DataFrame, limit: int | None = None, end: str = "last") -> DataFrame:
+    """Role and content of each session's messages in order: ``(session_id, position, role, content)``.
+
+    All messages by default; with ``limit`` those at the ``first`` or ``last``
+    end. One row per message, so a long session is no value of unbounded size.
+    """
+    if end not in ("first", "last"):
+        raise ValueError("end is 'first' or 'last'")
+    rows = messages
+    if limit is not None:
+        rows = history(messages, limit) if end == "first" else recent_history(messages, limit)
+    order = Window.partitionBy("session_id").orderBy("ts", "turn")
+    return rows.select("session_id", F.row_number().over(order).alias("position"), "role", "content")
 
 
 def _cut(text: Column, n: int) -> Column:
@@ -58,14 +65,18 @@ def set_missing_titles(sessions: DataFrame, titles: DataFrame) -> DataFrame:
     return sessions.join(new, "session_id", "left").select(*rest, F.coalesce(non_empty(F.col("title")), F.col("new_title")).alias("title"))
 
 
-def session_list(sessions: DataFrame, messages: DataFrame, project_id: str | None = None, offset: int = 0, limit: int = 50) -> DataFrame:
-    """One page of sessions, newest update first, with message count and display title.
+def session_list(sessions: DataFrame, messages: DataFrame, project_id: str | None = None, offset: int = 0, limit: int | None = None) -> DataFrame:
+    """Sessions, newest update first, with message count and display title; ``offset`` and ``limit`` name a page.
 
-    Counts and last messages come from one map-side combined aggregation.
+    Only the messages of the page's sessions are aggregated, combined map-side.
     """
     wanted = sessions if project_id is None else sessions.where(F.col("project_id") == project_id)
-    page = wanted.orderBy(F.desc("updated_at"), "session_id").offset(offset).limit(limit)
-    info = messages.groupBy("session_id").agg(
+    page, own = wanted, messages
+    if offset or limit is not None:
+        page = wanted.orderBy(F.desc("updated_at"), "session_id").offset(offset)
+        page = page if limit is None else page.limit(limit)
+        own = messages.join(page.select("session_id"), "session_id", "left_semi")
+    info = own.groupBy("session_id").agg(
         F.count("*").alias("message_count"), F.max_by("content", F.struct("ts", "turn")).alias("last_content")
     )
     preview = F.concat(F.substring("last_content", 1, PREVIEW_LENGTH), F.lit("..."))
@@ -98,7 +109,7 @@ def upsert_sessions(sessions: DataFrame, messages: DataFrame) -> DataFrame:
 
 def delete_sessions(table: DataFrame, ids: DataFrame) -> DataFrame:
     """Rows of a session or message table that survive deleting the given sessions."""
-    return table.join(broadcast_if_small(ids.select("session_id").distinct()), "session_id", "left_anti")
+    return table.join(ids.select("session_id").distinct(), "session_id", "left_anti")
 
 
 def export_history(messages: DataFrame, page_size: int = 1000) -> DataFrame:

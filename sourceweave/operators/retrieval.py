@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from itertools import islice
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from sourceweave.functions import vectors as V
 from sourceweave.functions.lines import let, lines_of
-from sourceweave.session import broadcast_if_small, cut_lineage, small_enough
+from sourceweave.session import cut_lineage
 from sourceweave.sources.files import INDEXED_EXTENSIONS, skip_filter, suffix
 
 # --- fixed values ------------------------------------------------------------------
@@ -22,9 +23,8 @@ SEMANTIC_WEIGHT, KEYWORD_BONUS = 0.7, 0.3
 #: Every character the white-space tokeniser splits on.
 WHITE_SPACE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 
-#: Largest query set that is sent to every task; more queries go block by block.
-MAX_BROADCAST_QUERIES = 10_000
-GRID_VECTORS, GRID_QUERIES = 100_000, 5_000
+#: Queries that are sent to the tasks at once.
+QUERY_BLOCK = 5_000
 
 
 def count_tokens(text: Column) -> Column:
@@ -98,54 +98,37 @@ def index_stats(indexed: DataFrame) -> DataFrame:
     )
 
 
-def topk_search(vectors: DataFrame, queries: DataFrame, k: int, max_broadcast: int = MAX_BROADCAST_QUERIES) -> DataFrame:
+def topk_search(vectors: DataFrame, queries: DataFrame, k: int, block: int = QUERY_BLOCK) -> DataFrame:
     """Exact top-``k`` vectors per query by cosine: ``(query_id, id, score, rank)``.
 
-    ``vectors(id, embedding)`` never move: each task scores its rows against
-    all queries and keeps its own ``k`` best per query, so only
-    ``tasks * queries * k`` rows are shuffled. The query set is collected only
-    when it is small; a larger one is matched block by block instead.
+    ``vectors(id, embedding)`` never move: each task scores its rows against a
+    block of queries and keeps its own ``k`` best per query, so only
+    ``tasks * queries * k`` rows are shuffled. Queries stream through the driver
+    in blocks of ``block``, one pass over the vectors for each, whatever their
+    number.
     """
     vecs, qs = vectors.select("id", "embedding"), queries.select("query_id", F.col("embedding").alias("q"))
     id_type, q_type = vecs.schema["id"].dataType, qs.schema["query_id"].dataType
     out = T.StructType([T.StructField("query_id", q_type), T.StructField("id", id_type), T.StructField("score", T.DoubleType())])
-    if small_enough(qs, max_broadcast):
-        rows = qs.collect()
-        if not rows:
-            return vecs.sparkSession.createDataFrame([], out.add("rank", T.IntegerType()))
-        sent = vecs.sparkSession.sparkContext.broadcast(
-            (np.array([r["query_id"] for r in rows], dtype=object), np.array([r["q"] for r in rows], dtype=np.float64))
+    schema = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in out.fields])
+    spark, found, rows = vecs.sparkSession, None, qs.toLocalIterator()
+    while part := list(islice(rows, block)):
+        sent = spark.sparkContext.broadcast(
+            (np.array([r["query_id"] for r in part], dtype=object), np.array([r["q"] for r in part], dtype=np.float64))
         )
-        schema = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in out.fields])
 
-        def score(batches):
+        def score(batches, sent=sent):
             ids, matrix = sent.value
             yield from V.topk_batches(batches, ids, matrix, k, schema)
 
-        found = vecs.mapInArrow(score, out)
-    else:
-        found = _topk_grid(vecs, qs, k, out)
+        one = vecs.mapInArrow(score, out)
+        found = one if found is None else found.unionAll(one)
+    if found is None:
+        return spark.createDataFrame([], out.add("rank", T.IntegerType()))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _topk_grid(vecs: DataFrame, qs: DataFrame, k: int, out: T.StructType) -> DataFrame:
-    """Top-``k`` candidates from a grid of vector blocks and query blocks of bounded size."""
-    nv = vecs.count() // GRID_VECTORS + 1
-    nq = qs.count() // GRID_QUERIES + 1
-    v = vecs.withColumn("vb", F.pmod(F.xxhash64("id"), F.lit(nv))).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
-    q = qs.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(nq))).withColumn("vb", F.explode(F.sequence(F.lit(0), F.lit(nv - 1))))
-
-    def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame(columns=out.names)
-        pos, ids, scores = V.score_block(left["id"].to_numpy(), np.stack(left["embedding"]).astype(float), np.stack(right["q"]).astype(float), k)
-        return pd.DataFrame({"query_id": right["query_id"].to_numpy()[pos], "id": ids, "score": scores})
-
-    keys = [F.col("vb").cast("bigint"), F.col("qb").cast("bigint")]
-    return v.groupBy(*keys).cogroup(q.groupBy(*keys)).applyInPandas(score, out)
-
-
 def retrieve(vectors: DataFrame, questions: DataFrame, k: int = 5, threshold: float | None = None, **equals) -> DataFrame:
     """Best ``k`` chunks per ``questions(query_id, text)``; the threshold applies after the top-k.
 
@@ -163,10 +146,9 @@ def retrieve(vectors: DataFrame, questions: DataFrame, k: int = 5, threshold: fl
 def with_payload(hits: DataFrame, vectors: DataFrame, *columns: str) -> DataFrame:
     """Attach payload columns of the hit vectors.
 
-    The hits are written once and counted: a short list goes to the vectors,
-    so the payload of the whole store is not shuffled for a few rows.
+    The hits are written once, so the join is planned with their real size.
     """
-    return vectors.select("id", *columns).join(broadcast_if_small(cut_lineage(hits)), "id")
+    return vectors.select("id", *columns).join(cut_lineage(hits), "id")
 
 
 def hybrid_rerank(hits: DataFrame, keywords: list[str], k: int) -> DataFrame:
@@ -185,30 +167,37 @@ def hybrid_retrieve(vectors: DataFrame, questions: DataFrame, keywords: list[str
     return hybrid_rerank(hits, keywords, k)
 
 
-def multi_query_retrieve(vectors: DataFrame, questions: DataFrame, k: int = 5) -> DataFrame:
-    """``questions(query_id, keywords)``: top-k of the first 3 keywords, distinct in order, at most ``2k``."""
-    words = questions.select("query_id", F.posexplode(F.slice("keywords", 1, 3)).alias("ordinal", "text"))
+def multi_query_retrieve(
+    vectors: DataFrame, questions: DataFrame, k: int = 5, max_keywords: int | None = None, max_results: int | None = None
+) -> DataFrame:
+    """``questions(query_id, keywords)``: top-k of every keyword, distinct, in keyword order.
+
+    Where asked only the first keywords are searched and the first results kept.
+    """
+    asked = F.col("keywords") if max_keywords is None else F.slice("keywords", 1, max_keywords)
+    words = questions.select("query_id", F.posexplode(asked).alias("ordinal", "text"))
     key = F.concat_ws("\u0001", F.col("query_id").cast("string"), F.col("ordinal").cast("string"))
     hits = retrieve(vectors, words.select(key.alias("query_id"), "text"), k)
     parts = F.split("query_id", "\u0001")
     rows = hits.select(parts[0].alias("query_id"), parts[1].cast("int").alias("ordinal"), "id", "score", "rank")
     first = rows.groupBy("query_id", "id").agg(F.min(F.struct("ordinal", "rank", "score")).alias("f"))
     order = Window.partitionBy("query_id").orderBy("f.ordinal", "f.rank", "id")
-    return first.select("query_id", "id", F.col("f.score").alias("score"), F.row_number().over(order).alias("rank")).where(F.col("rank") <= 2 * k)
+    ranked = first.select("query_id", "id", F.col("f.score").alias("score"), F.row_number().over(order).alias("rank"))
+    return ranked if max_results is None else ranked.where(F.col("rank") <= max_results)
 
 
 def vector_get(vectors: DataFrame, ids: DataFrame | None = None, **equals) -> DataFrame:
     out = vectors
     for name, value in equals.items():
         out = out.where(F.col(name) == value)
-    return out if ids is None else out.join(broadcast_if_small(ids.select("id").distinct()), "id", "left_semi")
+    return out if ids is None else out.join(ids.select("id").distinct(), "id", "left_semi")
 
 
 def vector_delete(vectors: DataFrame, ids: DataFrame | None = None, **equals) -> DataFrame:
     """Vectors left after deleting ids and/or every row with the given metadata."""
     out = vectors
     if ids is not None:
-        out = out.join(broadcast_if_small(ids.select("id").distinct()), "id", "left_anti")
+        out = out.join(ids.select("id").distinct(), "id", "left_anti")
     for name, value in equals.items():
         out = out.where(~F.col(name).eqNullSafe(F.lit(value)))
     return out

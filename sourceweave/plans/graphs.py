@@ -13,12 +13,12 @@ from sourceweave.plans.registry import plan
 from sourceweave.plans.sqltext import CORPUS, in_list, q
 from sourceweave.session import cut_lineage
 from sourceweave.sources.corpus import corpus
-from sourceweave.sources.files import language_of
+from sourceweave.sources.files import skip_filter
 
 # --- call graph ------------------------------------------------------------------------
 
 CALL_SQL = (
-    f"{CORPUS}, {ss.functions('corpus')}, {ss.calls('corpus', False)}, "
+    f"{CORPUS}, kept as materialized (select * from corpus where {keep_sql('structure')}), {ss.functions('kept')}, {ss.calls('kept', False)}, "
     "nf as (select *, case when class_name <> '' then concat(class_name, '.', name) else name end as full_name from functions), "
     "nr as (select *, row_number() over (partition by project_id, path, full_name order by start_line desc) as k from nf), "
     "nodes as materialized (select project_id, concat(path, ':', full_name) as id, name, full_name, path, start_line as line, case when class_name <> '' then 'method' else 'function' end as type, class_name from nr where k = 1), "
@@ -30,12 +30,16 @@ CALL_SQL = (
 )
 
 
+def _kept(spark, sf):
+    return skip_filter(corpus(spark, sf), "structure")
+
+
 def _nodes(spark, sf):
-    return gr.call_nodes(sy.extract_functions(corpus(spark, sf)))
+    return gr.call_nodes(sy.extract_functions(_kept(spark, sf)))
 
 
 def _graph(spark, sf):
-    files = corpus(spark, sf)
+    files = _kept(spark, sf)
     # nodes and calls are used several times, so both are written once
     nodes = cut_lineage(gr.call_nodes(sy.extract_functions(files)))
     return nodes, gr.call_edges(nodes, cut_lineage(sy.extract_calls(files)))
@@ -83,7 +87,7 @@ def callers(spark, sf):
 )
 def call_chain(spark, sf):
     nodes, edges = _graph(spark, sf)
-    return gr.call_chain(edges, nodes.where("name like 'main%' or name like 'load%'"))
+    return gr.call_chain(edges, nodes.where("name like 'main%' or name like 'load%'"), 5)
 
 
 @plan(
@@ -121,7 +125,7 @@ def _norm(x: str) -> str:
     return f"(case when regexp_matches({bare}, '^@[^/]*/[^/]') or regexp_matches({bare}, '^@[^/]*/') then regexp_extract({bare}, '^(@[^/]*/[^/]*)', 1) else split_part({bare}, '/', 1) end)"
 
 
-SRC = f"src_files as materialized (select project_id, path, content from corpus where ({LANG}) is not null), mods as materialized (select project_id, {MODULE} as module, path from src_files)"
+SRC = f"src_files as materialized (select project_id, path, content from corpus where {keep_sql('structure')}), mods as materialized (select project_id, {MODULE} as module, path from src_files)"
 INTERNAL = "exists (select 1 from mods m where m.project_id = {0}.project_id and (m.module = {0}.{1} or starts_with(m.module, {0}.{1}) or starts_with({0}.{1}, m.module)))"
 INTERNAL_DOT = "exists (select 1 from mods m where m.project_id = {0}.project_id and (m.module = {0}.{1} or starts_with(m.module, {0}.{1} || '.') or starts_with({0}.{1}, m.module || '.')))"
 EDGE_SQL = (
@@ -132,7 +136,7 @@ EDGE_SQL = (
 
 
 def _source_files(spark, sf):
-    return corpus(spark, sf).where(language_of(F.col("path")).isNotNull())
+    return _kept(spark, sf)
 
 
 def _deps(spark, sf, boundary: bool = False):
@@ -287,7 +291,7 @@ def _pairs(spark, sf):
     "select project_id, array_to_string(path, ' -> ') as cycle, n - 1 as length from p where closed",
 )
 def circular_dependencies(spark, sf):
-    return gr.circular_dependencies(_pairs(spark, sf))
+    return gr.circular_dependencies(_pairs(spark, sf), 4)
 
 
 @plan("strong_components", f"with recursive {EDGE_SQL}, {PAIRS}, {REACH}, {SCC} select * from scc")
@@ -295,6 +299,18 @@ def strong_components(spark, sf):
     return gr.strong_components(_pairs(spark, sf))
 
 
+@plan(
+    "witness_cycles",
+    f"with recursive {EDGE_SQL}, {PAIRS}, {REACH}, {SCC}, inside as materialized (select p.project_id, a.component, p.src, p.dst from pairs p join scc a on a.project_id = p.project_id and a.module = p.src "
+    "join scc b on b.project_id = p.project_id and b.module = p.dst where a.component = b.component), sizes as (select project_id, component, count(*) as n from scc group by 1, 2), "
+    "walk as (select project_id, component, dst as at_id, 1 as hop from inside where src = component union select w.project_id, w.component, i.dst, w.hop + 1 from walk w "
+    "join inside i on i.project_id = w.project_id and i.component = w.component and i.src = w.at_id join sizes z on z.project_id = w.project_id and z.component = w.component where w.at_id <> w.component and w.hop < z.n) "
+    "select project_id, component, min(hop) as length from walk where at_id = component group by 1, 2",
+)
+def witness_cycles(spark, sf):
+    return gr.witness_cycles(_pairs(spark, sf)).select("project_id", "component", "length")
+
+
 @plan(
     "dependency_depth",
     f"with recursive {EDGE_SQL}, {PAIRS}, {REACH}, {SCC}, dag as materialized (select distinct p.project_id, coalesce(a.component, p.src) as s, coalesce(b.component, p.dst) as d from pairs p left join scc a on a.project_id = p.project_id and a.module = p.src "

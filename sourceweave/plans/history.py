@@ -53,11 +53,19 @@ def recent_history(spark, sf):
 
 @plan(
     "llm_context",
-    f"with {MSG}, r as (select *, row_number() over (partition by session_id order by ts, turn) as k from msg) select session_id, string_agg(concat(role, ': ', content), chr(10) order by k) as context from r where k <= 5 group by 1",
+    f"with {MSG}, r as (select *, row_number() over (partition by session_id order by ts, turn) as position from msg) select session_id, position, role, content from r",
 )
 def llm_context(spark, sf):
-    ctx = hi.llm_context(messages(spark, sf), 5)
-    return ctx.select("session_id", F.array_join(F.transform("context", lambda p: F.concat_ws(": ", p["role"], p["content"])), "\n").alias("context"))
+    return hi.llm_context(messages(spark, sf))
+
+
+@plan(
+    "llm_context_last",
+    f"with {MSG}, r as (select *, row_number() over (partition by session_id order by ts, turn) as k, count(*) over (partition by session_id) as n from msg) "
+    "select session_id, k - greatest(n - 5, 0) as position, role, content from r where k > n - 5",
+)
+def llm_context_last(spark, sf):
+    return hi.llm_context(messages(spark, sf), 5)
 
 
 @plan(
@@ -89,7 +97,7 @@ LAST = "l as (select session_id, count(*) as n, arg_max(content, ts) as c from m
     "from (select * from sessions order by updated_at desc, session_id limit 50 offset 5) s left join l on l.session_id = s.session_id",
 )
 def session_list(spark, sf):
-    return hi.session_list(_sessions(spark, sf), messages(spark, sf), offset=5)
+    return hi.session_list(_sessions(spark, sf), messages(spark, sf), offset=5, limit=50)
 
 
 @plan("session_counts", f"with {MSG} select session_id, count(*) as message_count from msg group by 1")

@@ -29,7 +29,6 @@ def keep_sql(profile: str) -> str:
         tests.append(f"not {HIDDEN}")
     if profile == "structure":
         tests += [f"lower({SUFFIX}) not in ({in_list(fs.BINARY_EXTENSIONS)})", f"({LANG}) is not null"]
-        tests.append("strlen(content) <= 10485760")
     if profile == "features":
         tests += [f"not ends_with(path, '{s}')" for s in fs.GENERATED_SUFFIXES]
     return " and ".join(tests)
@@ -156,7 +155,7 @@ TREE_OK = f"{keep_sql('tree')} and not {HIDDEN} and {SUFFIX} in ({in_list(fs.TRE
 @plan(
     "directory_rollup",
     f"with {CORPUS}, t as (select *, {PARTS} as parts from corpus where {TREE_OK}), "
-    f"e as (select project_id, unnest(range(0, least(len(parts), 4))) as d, parts, {ITER_LINES} as n from t) "
+    f"e as (select project_id, unnest(range(0, len(parts))) as d, parts, {ITER_LINES} as n from t) "
     "select project_id, array_to_string(parts[1:d], '/') as dir, count(*) as files, cast(sum(n) as bigint) as lines from e group by 1, 2",
 )
 def directory_rollup(spark, sf):
@@ -166,36 +165,32 @@ def directory_rollup(spark, sf):
 @plan(
     "file_tree_listing",
     f"with {CORPUS}, t as (select project_id, {PARTS} as parts from corpus where {TREE_OK}), "
-    "e as (select project_id, parts, unnest(range(1, least(len(parts), 4) + 1)) as d from t), "
+    "e as (select project_id, parts, unnest(range(1, len(parts) + 1)) as d from t), "
     "k as (select distinct project_id, array_to_string(parts[1:d], '/') as entry, d as depth, d < len(parts) as is_dir, "
     "array_to_string(list_transform(range(1, d + 1), lambda j: concat(case when j < len(parts) then '0' else '1' end, lower(parts[j]))), chr(1)) as sk from e), "
     "r as (select *, row_number() over (partition by project_id order by sk, entry) as rank from k) "
-    "select project_id, rank, entry, depth, is_dir from r where rank <= 200",
+    "select project_id, rank, entry, depth, is_dir from r",
 )
 def file_tree_listing(spark, sf):
     return fs.file_tree_listing(corpus(spark, sf))
 
 
+README_NAME = (
+    "case doc_id % 7 when 0 then 'README.md' when 1 then 'README.rst' when 2 then 'README' when 3 then 'readme.md' when 4 then 'README.txt' "
+    "else concat('docs/', cast(doc_id % 7 as string), '/README.md') end"
+)
+
+
 @plan(
     "readme_pick",
-    "with f as (select source as project_id, case doc_id % 7 when 0 then 'README.md' when 1 then 'README.rst' when 2 then 'README' "
-    "when 3 then 'readme.md' else 'docs/README.md' end as path, doc_id, text as content from documents where doc_id % 7 <> 5), "
-    "u as (select project_id, concat(project_id, '/', cast(doc_id % 40 as string)) as pid, path, content, doc_id from f), "
-    "g as (select pid as project_id, path, max(content) as content from u group by 1, 2), "
+    f"with f as (select concat(source, '/', cast(doc_id // 7 as string)) as project_id, {README_NAME} as path, text as readme from documents), "
     "r as (select *, row_number() over (partition by project_id order by list_position(['README.md', 'README.rst', 'README.txt', 'README', 'readme.md'], path)) as k "
-    "from g where path not like 'docs/%') select project_id, path, case when length(content) > 50000 then "
-    "concat(left(content, 50000), chr(10), '... (truncated)') else content end as readme from r where k = 1",
+    "from f where path not like 'docs/%') select project_id, path, readme from r where k = 1",
 )
 def readme_pick(spark, sf):
-    m = F.col("doc_id") % 7
-    name = (
-        F.when(m == 0, "README.md").when(m == 1, "README.rst").when(m == 2, "README").when(m == 3, "readme.md")
-        .otherwise("docs/README.md")
-    )
-    docs = table(spark, sf, "documents").where(m != 5)
-    pid = F.concat_ws("/", "source", (F.col("doc_id") % 40).cast("string"))
-    files = docs.groupBy(pid.alias("project_id"), name.alias("path")).agg(F.max("text").alias("content"))
-    return fs.readme_pick(files)
+    pid = F.expr("concat(source, '/', cast(doc_id div 7 as string))")
+    docs = table(spark, sf, "documents")
+    return fs.readme_pick(docs.select(pid.alias("project_id"), F.expr(README_NAME).alias("path"), F.col("text").alias("content")))
 
 
 # --- hashes and snapshots: the stored snapshot is an earlier state of the same files

@@ -128,7 +128,7 @@ MOVED = "regexp_replace(path, '^(backend/api|server|frontend/src)/(sup|app|route
 @plan(
     "api_candidate_files",
     f"with {CORPUS}, m as (select project_id, {MOVED} as path, content from corpus), c as (select *, row_number() over (partition by project_id order by path) as rank "
-    f"from m where {NAMED} and {PLACED}) select project_id, path, rank from c where rank <= 50 and length(content) <= 100000",
+    f"from m where {NAMED} and {PLACED}) select project_id, path, rank from c",
 )
 def api_candidate_files(spark, sf):
     moved = F.regexp_replace("path", "^(backend/api|server|frontend/src)/(sup|app|router)", "api/api_$2")

@@ -13,7 +13,6 @@ from sourceweave.plans.inventory import keep_sql
 from sourceweave.plans.minesql import strip
 from sourceweave.plans.registry import plan
 from sourceweave.plans.sqltext import CORPUS, DOCS, SUFFIX, in_list, q
-from sourceweave.session import spread
 from sourceweave.sources import files as fs
 from sourceweave.sources.corpus import corpus
 from sourceweave.sources.tables import doc_files, table, vectors
@@ -23,7 +22,7 @@ PLAIN = "plain as (select source as project_id, concat(source, '/', lang, '/', c
 
 
 def plain_files(spark, sf):
-    docs = spread(table(spark, sf, "documents").select("doc_id", "source", "lang", "text"), "doc_id")
+    docs = table(spark, sf, "documents").select("doc_id", "source", "lang", "text")
     path = F.concat("source", F.lit("/"), "lang", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".py"))
     return docs.select(F.col("source").alias("project_id"), path.alias("path"), F.col("text").alias("content"))
 
@@ -134,7 +133,7 @@ def chunk_lines_small(spark, sf):
     "md5(string_agg(g, '|' order by i)) as grams_md5 from g group by 1",
 )
 def char_ngrams(spark, sf):
-    docs = spread(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+    docs = table(spark, sf, "documents").select("doc_id", "text")
     g = docs.select("doc_id", V.char_ngrams(F.col("text")).alias("g"))
     return g.select(
         "doc_id", F.size("g").alias("grams"), F.size(F.array_distinct("g")).alias("distinct_grams"), F.md5(F.array_join("g", "|")).alias("grams_md5")
@@ -150,7 +149,7 @@ DOC_TEXT = "dt as (select doc_id as id, text as content from documents)"
     "select f.id as doc_id, md5(string_agg(cast(coalesce(w, 0) as string), ',' order by f.idx)) as sums_md5 from f left join dv on dv.id = f.id and dv.idx = f.idx group by 1",
 )
 def hash_sums(spark, sf):
-    docs = spread(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+    docs = table(spark, sf, "documents").select("doc_id", "text")
     return docs.select("doc_id", F.md5(F.array_join(V.hash_sums(F.col("text")), ",")).alias("sums_md5"))
 
 
@@ -159,7 +158,7 @@ def hash_sums(spark, sf):
     f"with {DOC_TEXT}, {embed_sql('dt', 'dv')} select id as doc_id, count(*) as non_zero, round(sum(abs(v)), 5) as l1, round(sum(v * v), 5) as l2 from dv_v group by 1",
 )
 def hash_embed(spark, sf):
-    docs = spread(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+    docs = table(spark, sf, "documents").select("doc_id", "text")
     e = docs.select("doc_id", V.hash_embed(F.col("text")).alias("e"))
     total = lambda f: F.round(F.aggregate("e", F.lit(0.0), lambda s, x: s + f(x.cast("double"))), 5)
     return e.select(
@@ -229,9 +228,9 @@ def topk_search_filtered(spark, sf):
 
 @plan("topk_search_blocks", _dense_topk(10))
 def topk_search_blocks(spark, sf):
-    """The block-by-block way, forced: the same result as ``topk_search``."""
+    """In many blocks of queries: the same result as ``topk_search``."""
     v = vectors(spark, sf)
-    hits = rt.topk_search(v, v.select(F.col("id").alias("query_id"), "embedding"), 10, max_broadcast=0)
+    hits = rt.topk_search(v, v.select(F.col("id").alias("query_id"), "embedding"), 10, block=97)
     return hits.withColumn("score", F.round("score", 6))
 
 
@@ -241,8 +240,8 @@ def retrieve(spark, sf):
 
 
 CODE = (
-    f"{CORPUS}, code as materialized (select concat(project_id, ':', path) as id, content from corpus where path like 'cmd/%' or path like 'java/src/%'), "
-    "probe as materialized (select concat(project_id, ':', path) as id, content from corpus where path like 'server/item%')"
+    f"{CORPUS}, code as materialized (select concat(project_id, ':', path) as id, content from corpus), "
+    "probe as materialized (select concat(project_id, ':', path) as id, content from corpus where path like 'server/item%' or path like 'java/src/%')"
 )
 
 
@@ -252,8 +251,8 @@ CODE = (
 )
 def retrieve_by_code(spark, sf):
     files = corpus(spark, sf).withColumn("id", F.concat_ws(":", "project_id", "path"))
-    code = files.where("path like 'cmd/%' or path like 'java/src/%'").select("id", V.hash_embed(F.col("content")).alias("embedding"))
-    probe = files.where("path like 'server/item%'").select(F.col("id").alias("query_id"), F.col("content").alias("text"))
+    code = files.select("id", V.hash_embed(F.col("content")).alias("embedding"))
+    probe = files.where("path like 'server/item%' or path like 'java/src/%'").select(F.col("id").alias("query_id"), F.col("content").alias("text"))
     return rt.retrieve(code, probe, 5).withColumn("score", F.round("score", 6))
 
 
@@ -273,14 +272,14 @@ def hybrid_retrieve(spark, sf):
 
 @plan(
     "multi_query_retrieve",
-    f"with {STORE}, kw as (select item_id, string_split(text, ' ')[1:3] as ws from benchmark), ke as (select item_id, unnest(ws) as content, generate_subscripts(ws, 1) - 1 as o from kw), "
+    f"with {STORE}, kw as (select item_id, list_filter(string_split(text, ' '), lambda w: length(w) > 11) as ws from benchmark), ke as (select item_id, unnest(ws) as content, generate_subscripts(ws, 1) - 1 as o from kw), "
     f"kq as materialized (select concat(cast(item_id as string), ':', cast(o as string)) as id, item_id, o, content from ke), {embed_sql('kq', 'kv')}, {topk_sql('sv_v', 'kv_v', 'store', 'kq', 4)}, "
     "m as (select cast(k.item_id as string) as query_id, h.id, k.o, h.rank, h.score from hits h join kq k on k.id = h.query_id), "
     "f as (select *, row_number() over (partition by query_id, id order by o, rank) as n from m), "
-    "g as (select query_id, id, score, row_number() over (partition by query_id order by o, rank, id) as rank from f where n = 1) select query_id, id, round(score, 6) as score, rank from g where rank <= 8",
+    "g as (select query_id, id, score, row_number() over (partition by query_id order by o, rank, id) as rank from f where n = 1) select query_id, id, round(score, 6) as score, rank from g",
 )
 def multi_query_retrieve(spark, sf):
-    asked = questions(spark, sf).select("query_id", F.split("text", " ").alias("keywords"))
+    asked = questions(spark, sf).select("query_id", F.filter(F.split("text", " "), lambda w: F.length(w) > 11).alias("keywords"))
     return rt.multi_query_retrieve(store(spark, sf), asked, 4).withColumn("score", F.round("score", 6))
 
 
@@ -414,13 +413,12 @@ def _rich(spark, sf):
     return rows.withColumn("tech_stack", stack).withColumn("code", code)
 
 
-CUT = f"case when length(readme) > 8000 then concat(left(readme, 8000), {q(P.TRUNCATED)}) else readme end"
 RULE = "=" * 40
 STACK = "case when doc_id % 5 = 0 then '' else concat('Go, ', source_type) end"
 HEADER = (
     f"concat_ws(chr(10), '=== 项目信息 ===', concat('项目名称: ', name), concat('来源类型: ', source_type), case when branch <> '' then concat('分支: ', branch) end, concat('文件数: ', cast(file_count as string)), "
     f"concat('代码行数: ', cast(line_count as string)), case when {STACK} <> '' then concat('技术栈: ', {STACK}) end, '{RULE}', case when summary <> '' then concat(chr(10), '=== 项目摘要 ===', chr(10), summary, chr(10), '{RULE}') end, "
-    f"case when readme <> '' then concat(chr(10), '=== README ===', chr(10), {CUT}, chr(10), '{RULE}') end)"
+    f"case when readme <> '' then concat(chr(10), '=== README ===', chr(10), readme, chr(10), '{RULE}') end)"
 )
 
 
@@ -431,9 +429,9 @@ def full_header(spark, sf):
 
 def _smart_sql(mode: str) -> str:
     needs, t = P.NEEDS_BY_MODE[mode], P.SECTION_TITLES
-    code = ", chr(10), ".join(f"concat('[{i + 1}] f{i}.py', chr(10), '```', chr(10), left(code_text, 2000), chr(10), '```', chr(10))" for i in range(5))
+    code = ", chr(10), ".join(f"concat('[{i + 1}] f{i}.py', chr(10), '```', chr(10), code_text, chr(10), '```', chr(10))" for i in range(6))
     bodies = {
-        "readme": f"case when readme <> '' then {CUT} end",
+        "readme": "nullif(readme, '')",
         "summary": "nullif(summary, '')",
         "structure": "nullif(structure, '')",
         "tech_stack": f"nullif({STACK}, '')",

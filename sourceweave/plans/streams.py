@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sourceweave.plans.inventory import PROGRESS_SQL, progress_events
 from sourceweave.plans.registry import plan
-from sourceweave.plans.retrieval import PLAIN, chunk_sql
+from sourceweave.plans.retrieval import chunk_sql
 from sourceweave.session import scratch_folder
 from sourceweave.streaming import jobs
 
@@ -17,23 +17,23 @@ def _stream(spark, sf: str, name: str):
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
 
 
-def _result(df, spark, mode: str):
-    """Run a stateful stream over everything available and return its last result."""
+def _result(df, spark, key: str):
+    """Run a stateful stream in update mode over everything available; a row per key, from its last update."""
     folder = scratch_folder(spark)
 
     def keep(batch, batch_id):
         batch.write.mode("overwrite").parquet(f"{folder}/out/batch={batch_id}")
 
-    query = df.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    query = df.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     query.awaitTermination()
     rows = spark.read.parquet(f"{folder}/out")
-    last = rows.agg(F.max("batch").alias("batch"))
-    return rows.join(F.broadcast(last), "batch").drop("batch")
+    last = rows.groupBy(key).agg(F.max_by(F.struct(*df.columns), "batch").alias("row"))
+    return last.select("row.*")
 
 
 @plan("stream_progress", PROGRESS_SQL)
 def stream_progress(spark, sf):
-    return _result(jobs.progress_stream(progress_events(_stream(spark, sf, "events"))), spark, "complete")
+    return _result(jobs.progress_stream(progress_events(_stream(spark, sf, "events"))), spark, "project_id")
 
 
 @plan(
@@ -47,15 +47,35 @@ def stream_sessions(spark, sf):
         "turn",
         F.col("text").alias("content"),
     )
-    return _result(jobs.session_stream(c), spark, "complete")
+    return _result(jobs.session_stream(c), spark, "session_id")
 
 
-@plan("stream_index", f"with {PLAIN}, {chunk_sql('plain')} select project_id, path, chunk_id, start_line, end_line, md5(content) as content_md5 from chunks")
+# Three runs over one index: all documents; late older versions with newer ones; deletions.
+RUNS = [
+    "select doc_id, source, lang, text, 10 as version from {0}",
+    "select doc_id, source, lang, concat(text, 'late') as text, 5 as version from {0} where doc_id % 3 = 0 union all "
+    "select doc_id, source, lang, concat(text, 'x') as text, 20 as version from {0} where doc_id % 4 = 1 union all "
+    "select doc_id, source, lang, text, 25 as version from {0} where doc_id % 4 = 2",
+    "select doc_id, source, lang, cast(null as string) as text, 30 as version from {0} where doc_id % 5 = 2 union all "
+    "select doc_id, source, lang, cast(null as string) as text, 7 as version from {0} where doc_id % 5 = 3",
+]
+LEFT = (
+    "plain as materialized (select source as project_id, concat(source, '/', lang, '/', cast(doc_id as string), '.py') as path, "
+    "case when doc_id % 4 = 1 then concat(text, 'x') else text end as content from documents where doc_id % 5 <> 2)"
+)
+
+
+@plan("stream_index", f"with {LEFT}, {chunk_sql('plain')} select project_id, path, chunk_id, start_line, end_line, md5(content) as content_md5 from chunks")
 def stream_index(spark, sf):
-    docs = _stream(spark, sf, "documents")
-    path = F.concat("source", F.lit("/"), "lang", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".py"))
-    files = docs.select(F.col("source").alias("project_id"), path.alias("path"), F.col("text").alias("content"), F.col("doc_id").alias("version"))
     folder = scratch_folder(spark)
-    jobs.index_stream(files, f"{folder}/index", f"{folder}/state").awaitTermination()
-    out = jobs.current_index(spark, f"{folder}/index")
+    spark.read.parquet(f"{sf}/documents.parquet").createOrReplaceTempView("index_documents")
+    for i, run in enumerate(RUNS):
+        rows = spark.sql(run.format("index_documents"))
+        rows.write.parquet(f"{folder}/in{i}")
+        docs = spark.readStream.schema(rows.schema).parquet(f"{folder}/in{i}")
+        path = F.concat("source", F.lit("/"), "lang", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".py"))
+        files = docs.select(F.col("source").alias("project_id"), path.alias("path"), F.col("text").alias("content"), F.col("version").cast("bigint"))
+        jobs.index_stream(files, f"{folder}/index", f"{folder}/state{i}").awaitTermination()
+    jobs.compact_index(spark, f"{folder}/index", f"{folder}/compact")
+    out = jobs.current_index(spark, f"{folder}/compact")
     return out.select("project_id", "path", "chunk_id", "start_line", "end_line", F.md5("content").alias("content_md5"))

@@ -1,4 +1,4 @@
-"""Session defaults, lineage cutting and size-checked broadcasting."""
+"""Session defaults, lineage cutting and scratch tables."""
 
 from __future__ import annotations
 
@@ -8,9 +8,6 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Most rows of a narrow helper table (ids, scores) that may be broadcast.
-BROADCAST_ROWS = 500_000
-
 
 def get_session(app: str = "sourceweave", master: str | None = None, **conf: str) -> SparkSession:
     """A session with adaptive execution and UTC; cluster settings win over defaults."""
@@ -22,6 +19,7 @@ def get_session(app: str = "sourceweave", master: str | None = None, **conf: str
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     for key, value in {**defaults, **conf}.items():
         builder = builder.config(key, value)
@@ -32,8 +30,8 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable ``checkpoint()`` into the folder the cluster names.
 
     Iterative operators call this once per round. The folder comes from
-    ``spark.checkpoint.dir``; only a local session without that setting gets a
-    fresh scratch folder of its own.
+    ``spark.checkpoint.dir``; only a local session without that setting, as in
+    tests, gets a fresh scratch folder of its own.
     """
     shared_folder(df.sparkSession)
     return df.checkpoint()
@@ -57,28 +55,6 @@ def scratch_folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}"
 
 
-def small_enough(df: DataFrame, max_rows: int) -> bool:
-    """True when ``df`` holds at most ``max_rows`` rows (reads no more than that)."""
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark a narrow table for broadcast when its counted size allows it.
-
-    Used where the other side is huge and must not be shuffled for a short
-    list. A longer list comes back unmarked and is joined by shuffle.
-    """
-    return F.broadcast(df) if small_enough(df, max_rows) else df
-
-
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Repartition only an input that has fewer splits than the session has cores.
-
-    A tiny file is one split and would run the whole narrow pipeline in one
-    task. Inputs with enough splits pass through untouched, so nothing is
-    shuffled at scale.
-    """
-    want = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= want:
-        return df
-    return df.repartition(want, *[F.col(k) for k in keys])
+def dealt(keys: DataFrame, *columns: str) -> DataFrame:
+    """Narrow key rows dealt to all cores before wide values are computed from them."""
+    return keys.repartition(keys.sparkSession.sparkContext.defaultParallelism, *[F.col(c) for c in columns])

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sourceweave.session import spread
+from sourceweave.session import dealt
 
 
 def _sql_text(template: str) -> str:
@@ -515,5 +515,5 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
         structs = ", ".join(f"named_struct('path', {p}, 'content', {c})" for p, c in exprs)
         project += f" when '{name}' then {project_sql}"
         files += f" when '{name}' then array({structs})"
-    rows = spread(keys, *[c for c in _COLUMNS if c.endswith("key")])
+    rows = dealt(keys, *[c for c in _COLUMNS if c.endswith("key")])
     return rows.selectExpr(f"{project} end as project_id", f"inline_outer({files} end)")

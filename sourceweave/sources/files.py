@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-MAX_FILE_BYTES = 10 * 1024 * 1024
-
 # --- fixed values: the rules the results depend on --------------------------
 
 SKIP_DIRS = {
@@ -90,16 +88,9 @@ def scan_files(spark: SparkSession, root: str, glob: str = "*", project_depth: i
     """Read a directory tree of text files; undecodable bytes are replaced.
 
     ``root`` may be any file system Spark reads. The first ``project_depth``
-    path levels below it name the project. The size filter is pushed into the
-    source, so oversized files are never read.
+    path levels below it name the project. Files of any size are read.
     """
-    raw = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", glob)
-        .load(root)
-        .where(F.col("length") <= MAX_FILE_BYTES)
-    )
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
     base = root.rstrip("/").split(":")[-1].lstrip("/")
     rel = F.split(F.regexp_replace(F.regexp_replace("path", r"^[a-z0-9]+:/*", ""), rf"^\Q{base}\E/", ""), "/")
     n = F.size(rel)
@@ -110,13 +101,13 @@ def scan_files(spark: SparkSession, root: str, glob: str = "*", project_depth: i
     )
 
 
-def skip_filter(files: DataFrame, profile: str) -> DataFrame:
+def skip_filter(files: DataFrame, profile: str, max_bytes: int | None = None) -> DataFrame:
     """Drop files the given analysis ignores.
 
     ``structure`` and ``index`` also drop hidden names, ``structure`` further
-    drops binary, unsupported and oversized files, ``features`` drops generated
-    suffixes. All tests look at the path first, so content is only touched for
-    the size rule.
+    drops binary and unsupported files, ``features`` drops generated suffixes.
+    All tests look at the path; content is only touched for ``max_bytes``, which
+    drops larger files where it is given.
     """
     path = F.col("path")
     parts = F.split(path, "/")
@@ -127,7 +118,8 @@ def skip_filter(files: DataFrame, profile: str) -> DataFrame:
     if profile == "structure":
         keep &= ~F.lower(suffix(path)).isin(BINARY_EXTENSIONS)
         keep &= language_of(path).isNotNull()
-        keep &= F.octet_length("content") <= MAX_FILE_BYTES
+    if max_bytes is not None:
+        keep &= F.octet_length("content") <= max_bytes
     if profile == "features":
         for end in GENERATED_SUFFIXES:
             keep &= ~path.endswith(end)
@@ -147,6 +139,7 @@ def flatten_single_root(files: DataFrame) -> DataFrame:
         F.max(root.isNull()).alias("has_top_file"),
     )
     single = roots.where("root_lo = root_hi and not has_top_file").select("project_id", "root_lo")
+    # One row per project: adaptive execution sends it to the files where it is small.
     return files.join(single, "project_id", "left").select(
         "project_id",
         F.when(F.col("root_lo").isNotNull(), F.regexp_replace("path", r"^[^/]*/", ""))
@@ -174,13 +167,13 @@ def safe_name(name: Column) -> Column:
     return F.when(clean == "", "project").otherwise(clean)
 
 
-def assign_directories(projects: DataFrame, salt_bits: int = 6) -> DataFrame:
+def assign_directories(projects: DataFrame, parts: int = 64) -> DataFrame:
     """``projects(id, url)`` -> source type, repository name and a unique folder.
 
-    A repeated folder name gets ``_1``, ``_2`` … in id order. One name may be
-    very common, so the running number is built from per-range counts: rows
-    are ranked inside ``(name, id range)`` and shifted by the counts of the
-    ranges before it.
+    The first project of a name, by id, gets the name itself; the others get
+    ``_1``, ``_2`` …, leaving out numbers whose folder is another project's plain
+    name. A hot name is ranked in ``parts`` ranges of about equal size, cut at
+    quantiles of its ids, and shifted by the counts of the ranges before.
     """
     named = projects.select(
         "id",
@@ -188,24 +181,33 @@ def assign_directories(projects: DataFrame, salt_bits: int = 6) -> DataFrame:
         source_type(F.col("url")).alias("source_type"),
         safe_name(repo_name(F.col("url"))).alias("base"),
     )
-    lo_hi = named.groupBy("base").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
-    cells = named.join(lo_hi, "base").withColumn(
-        "cell", F.floor((F.col("id") - F.col("lo")) * F.lit(1 << salt_bits) / (F.col("hi") - F.col("lo") + 1))
-    )
-    before = F.sum("n").over(
-        Window.partitionBy("base").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    steps = F.array(*[F.lit(i / parts) for i in range(1, parts)])
+    cuts = named.groupBy("base").agg(F.percentile_approx("id", steps, 1000).alias("cuts"))
+    cells = named.join(cuts, "base").withColumn("cell", F.size(F.filter("cuts", lambda c: c < F.col("id")))).drop("cuts")
+    before = F.sum("n").over(Window.partitionBy("base").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1))
+    counts = cells.groupBy("base", "cell").agg(F.count("*").alias("n"))
+    offsets = counts.select("base", "cell", F.coalesce(before, F.lit(0)).alias("shift"))
+    rank = F.row_number().over(Window.partitionBy("base", "cell").orderBy("id")) - 1
+    ranked = cells.withColumn("rank", rank).join(offsets, ["base", "cell"]).withColumn("number", F.col("rank") + F.col("shift"))
+    # A plain name like foo_2 takes that number from the projects named foo.
+    plain = counts.select("base").distinct().withColumn("tail", F.regexp_extract("base", r"^(?s)(.*)_([1-9]\d{0,17})$", 2))
+    plain = plain.where("tail <> ''").select(
+        F.expr("substring(base, 1, length(base) - length(tail) - 1)").alias("base"), F.col("tail").cast("long").alias("number")
     )
-    offsets = (
-        cells.groupBy("base", "cell").agg(F.count("*").alias("n")).select("base", "cell", F.coalesce(before, F.lit(0)).alias("shift"))
+    sizes = counts.groupBy("base").agg(F.sum("n").alias("total"))
+    # Of t taken numbers in order, the k-th moves every number from taken - k on.
+    taken = plain.join(sizes.where("total > 1"), "base").groupBy("base").agg(F.array_sort(F.collect_set("number")).alias("taken"))
+    free = ranked.join(taken, "base", "left").withColumn(
+        "number",
+        F.when(F.col("number") == 0, F.lit(0)).otherwise(
+            F.aggregate(F.coalesce("taken", F.array().cast("array<bigint>")), F.col("number").cast("long"), lambda n, t: n + (t <= n).cast("long"))
+        ),
     )
-    rank = F.row_number().over(Window.partitionBy("base", "cell").orderBy("id")) - 1
-    out = cells.withColumn("rank", rank).join(offsets, ["base", "cell"])
-    number = F.col("rank") + F.col("shift")
-    return out.select(
+    return free.select(
         "id",
         "source_type",
         F.col("base").alias("name"),
-        F.when(number == 0, F.col("base")).otherwise(F.concat_ws("_", "base", number.cast("string"))).alias("folder"),
+        F.when(F.col("number") == 0, F.col("base")).otherwise(F.concat_ws("_", "base", F.col("number").cast("string"))).alias("folder"),
     )
 
 
@@ -267,27 +269,28 @@ def count_files_lines(files: DataFrame) -> DataFrame:
     )
 
 
-def directory_rollup(files: DataFrame, max_depth: int = 3) -> DataFrame:
-    """Files and lines below every folder up to ``max_depth`` levels."""
+def directory_rollup(files: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """Files and lines below every folder, where asked up to ``max_depth`` levels."""
     kept = skip_filter(files, "tree").where(
         ~F.col("path").rlike(r"(^|/)\.") & suffix(F.col("path")).isin(TREE_EXTENSIONS)
     )
     parts = F.split(directory(F.col("path")), "/")
-    depth = F.least(F.when(F.col("path").contains("/"), F.size(parts)).otherwise(0), F.lit(max_depth))
+    depth = F.when(F.col("path").contains("/"), F.size(parts)).otherwise(0)
+    depth = depth if max_depth is None else F.least(depth, F.lit(max_depth))
     levels = F.transform(F.sequence(F.lit(0), depth), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
     rows = kept.select("project_id", F.explode_outer(levels).alias("dir"), line_count(F.col("content")).alias("n"))
     return rows.groupBy("project_id", "dir").agg(F.count("*").alias("files"), F.sum("n").alias("lines"))
 
 
-def file_tree_listing(files: DataFrame, max_depth: int = 3, limit: int = 200) -> DataFrame:
-    """Directory listing in reading order: folders first, then names; first ``limit`` entries."""
+def file_tree_listing(files: DataFrame, max_depth: int | None = None, limit: int | None = None) -> DataFrame:
+    """Directory listing in reading order: folders first, then names; where asked to a depth or the first entries."""
     kept = skip_filter(files, "tree").where(
         ~F.col("path").rlike(r"(^|/)\.") & suffix(F.col("path")).isin(TREE_EXTENSIONS)
     )
     parts = F.split("path", "/")
     n = F.size(parts)
     entries = F.transform(
-        F.sequence(F.lit(1), F.least(n, F.lit(max_depth + 1))),
+        F.sequence(F.lit(1), n if max_depth is None else F.least(n, F.lit(max_depth + 1))),
         lambda i: F.struct(
             F.array_join(F.slice(parts, 1, i), "/").alias("entry"),
             i.alias("depth"),
@@ -301,15 +304,13 @@ def file_tree_listing(files: DataFrame, max_depth: int = 3, limit: int = 200) ->
     )
     rows = kept.select("project_id", F.explode_outer(entries).alias("e")).select("project_id", "e.*").distinct()
     order = Window.partitionBy("project_id").orderBy("sort_key", "entry")
-    return (
-        rows.withColumn("rank", F.row_number().over(order))
-        .where(F.col("rank") <= limit)
-        .select("project_id", "rank", "entry", "depth", "is_dir")
-    )
+    ranked = rows.withColumn("rank", F.row_number().over(order))
+    ranked = ranked if limit is None else ranked.where(F.col("rank") <= limit)
+    return ranked.select("project_id", "rank", "entry", "depth", "is_dir")
 
 
-def readme_pick(files: DataFrame, limit: int = 50_000) -> DataFrame:
-    """First existing README of each project, cut at ``limit`` characters."""
+def readme_pick(files: DataFrame, limit: int | None = None) -> DataFrame:
+    """First existing README of each project, where asked cut at ``limit`` characters."""
     ordinal = F.array_position(F.array(*[F.lit(n) for n in README_NAMES]), F.col("path"))
     picked = (
         files.withColumn("ordinal", ordinal)
@@ -317,7 +318,7 @@ def readme_pick(files: DataFrame, limit: int = 50_000) -> DataFrame:
         .groupBy("project_id")
         .agg(F.min_by("path", "ordinal").alias("path"), F.min_by("content", "ordinal").alias("content"))
     )
-    cut = F.concat(F.substring("content", 1, limit), F.lit("\n... (truncated)"))
-    return picked.select(
-        "project_id", "path", F.when(F.length("content") > limit, cut).otherwise(F.col("content")).alias("readme")
-    )
+    text = F.col("content")
+    if limit is not None:
+        text = F.when(F.length(text) > limit, F.concat(F.substring(text, 1, limit), F.lit("\n... (truncated)"))).otherwise(text)
+    return picked.select("project_id", "path", text.alias("readme"))

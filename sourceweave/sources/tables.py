@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sourceweave.session import spread
-
 # One document becomes one file. The extension and the folder vary with the
 # document id so that every path rule of the scan operators is exercised.
 DOC_PATH_SQL = (
@@ -25,7 +23,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def doc_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``files(project_id, path, content)`` with one file per document."""
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text"), "doc_id")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
     return docs.selectExpr("source as project_id", f"{DOC_PATH_SQL} as path", "text as content")
 
 
@@ -42,5 +40,4 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``vectors(id, embedding, label)``."""
-    df = table(spark, sf_dir, "embeddings")
-    return spread(df, "vec_id").select(F.col("vec_id").alias("id"), "embedding", "label")
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from sourceweave.operators.retrieval import chunk_lines
 from sourceweave.operators.snapshots import percentage
-from sourceweave.session import broadcast_if_small, cut_lineage
+from sourceweave.session import cut_lineage
 
 
 def progress_stream(events: DataFrame) -> DataFrame:
@@ -34,50 +35,62 @@ def session_stream(messages: DataFrame) -> DataFrame:
     )
 
 
+HASHES = "project_id string, path string, version bigint, sha256 string, chunks_in string, batch string"
+
+
 def index_stream(files: DataFrame, table: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Append the chunks of new and changed files to an index table.
-
-    ``files(project_id, path, content, version)`` arrive as a stream. Each
-    micro-batch keeps the newest version per file, compares its hash with the
-    hashes written by earlier batches, and writes the chunks and the hashes of
-    changed files under ``batch=<id>``. Overwriting those two folders makes a
-    repeated batch harmless; ``current_index`` reads the newest rows. Only the
-    narrow hash table is read back, and only for the files of the batch.
+    """Keep an index table of the newest version of every file.
+
+    ``files(project_id, path, content, version)`` arrive as a stream; null
+    content says that the file is gone. Each micro-batch takes the newest version
+    of a file and drops it where the table knows that version or a newer one, so
+    late rows change nothing. Changed files write their chunks, all others only a
+    row of the narrow hash table, which points to the batch that holds the
+    chunks. A batch writes below a key of its own, made of the query's id and the
+    batch number: a repeated batch overwrites itself, and a query that starts
+    anew after losing its checkpoint never overwrites another's batches.
     """
-    spark = files.sparkSession
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        newest = (
-            batch.groupBy("project_id", "path")
-            .agg(F.max_by("content", "version").alias("content"), F.max("version").alias("version"))
-        )
+        spark = batch.sparkSession
+        key = f"{spark.sparkContext.getLocalProperty('sql.streaming.queryId')}-{batch_id:010d}"
+        newest = batch.groupBy("project_id", "path").agg(F.max_by("content", "version").alias("content"), F.max("version").alias("version"))
         fresh = newest.withColumn("sha256", F.sha2(F.col("content").cast("binary"), 256))
-        known = _known(spark, table, batch_id)
-        if known is not None:
-            touched = broadcast_if_small(fresh.select("project_id", "path"))
-            known = known.join(touched, ["project_id", "path"], "left_semi")
-            old = known.groupBy("project_id", "path").agg(F.max_by("sha256", "batch").alias("old_hash"))
-            fresh = fresh.join(old, ["project_id", "path"], "left").where(~F.col("sha256").eqNullSafe(F.col("old_hash"))).drop("old_hash")
-        fresh = cut_lineage(fresh)
-        chunk_lines(fresh, 1000, 50, "version").write.mode("overwrite").parquet(f"{table}/chunks/batch={batch_id}")
-        fresh.select("project_id", "path", "sha256").write.mode("overwrite").parquet(f"{table}/hashes/batch={batch_id}")
+        old = _latest(_hashes(spark, table).where(F.col("batch") != key))
+        old = old.select("project_id", "path", F.col("version").alias("v"), F.col("sha256").alias("old_hash"), F.col("chunks_in").alias("old_chunks"))
+        fresh = fresh.join(old, ["project_id", "path"], "left").where("v is null or version > v")
+        same = F.col("sha256").eqNullSafe(F.col("old_hash")) & F.col("v").isNotNull()
+        fresh = cut_lineage(fresh.withColumn("chunks_in", F.when(same, F.col("old_chunks")).otherwise(F.lit(key))))
+        changed = fresh.where((F.col("chunks_in") == key) & F.col("content").isNotNull())
+        chunk_lines(changed, 1000, 50, "version").write.mode("overwrite").parquet(f"{table}/chunks/batch={key}")
+        fresh.select("project_id", "path", "version", "sha256", "chunks_in").write.mode("overwrite").parquet(f"{table}/hashes/batch={key}")
 
     return files.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
-def _exists(spark, path: str) -> bool:
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)
+def _hashes(spark, table: str) -> DataFrame:
+    """The hash table, empty before the first batch."""
+    try:
+        return spark.read.schema(HASHES).parquet(f"{table}/hashes")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], HASHES)
 
 
-def _known(spark, table: str, before: int) -> DataFrame | None:
-    """Hashes written by the batches before ``before``."""
-    if before == 0 or not _exists(spark, f"{table}/hashes"):
-        return None
-    return spark.read.parquet(f"{table}/hashes").where(F.col("batch") < before)
+def _latest(hashes: DataFrame) -> DataFrame:
+    newest = hashes.groupBy("project_id", "path").agg(F.max_by(F.struct("sha256", "chunks_in"), "version").alias("x"), F.max("version").alias("version"))
+    return newest.select("project_id", "path", "version", "x.sha256", "x.chunks_in")
 
 
 def current_index(spark, table: str) -> DataFrame:
-    """Chunks of the newest indexed version of every file."""
-    last = spark.read.parquet(f"{table}/hashes").groupBy("project_id", "path").agg(F.max("batch").alias("batch"))
-    return spark.read.parquet(f"{table}/chunks").join(last, ["project_id", "path", "batch"], "left_semi")
+    """Chunks of the newest version of every file that is not gone."""
+    live = _latest(_hashes(spark, table)).where("sha256 is not null")
+    return spark.read.parquet(f"{table}/chunks").join(live.select("project_id", "path", F.col("chunks_in").alias("batch")), ["project_id", "path", "batch"], "left_semi")
+
+
+def compact_index(spark, table: str, target: str) -> None:
+    """Write the current state of ``table`` as a new table of one batch; gone files keep their row."""
+    hashes = _latest(_hashes(spark, table)).withColumn("chunks_in", F.lit("compacted"))
+    current_index(spark, table).drop("batch").write.parquet(f"{target}/chunks/batch=compacted")
+    hashes.write.parquet(f"{target}/hashes/batch=compacted")

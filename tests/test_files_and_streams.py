@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from sourceweave.operators import frontend as fe
 from sourceweave.operators import history as hi
 from sourceweave.operators import snapshots as sn
-from sourceweave.session import spread
 from sourceweave.sources import files as fs
 from sourceweave.streaming import jobs
 
@@ -67,9 +66,31 @@ def test_history_limits(spark):
     assert hi.delete_sessions(m, gone).count() == 0
 
 
-def test_spread_leaves_large_inputs_alone(spark):
-    wide = spark.range(0, 1000, 1, 64)
-    assert spread(wide, "id") is wide
+def test_context_holds_every_message(spark):
+    rows = [("s", i, "user", f"m{i}") for i in range(150)]
+    m = spark.createDataFrame(rows, "session_id string, turn long, role string, content string").withColumn("ts", F.timestamp_seconds("turn"))
+
+    def read(df):
+        return [r["content"] for r in df.orderBy("position").collect()]
+
+    assert read(hi.llm_context(m)) == [f"m{i}" for i in range(150)]
+    assert read(hi.llm_context(m, 100)) == [f"m{i}" for i in range(50, 150)]
+    assert read(hi.llm_context(m, 3, "first")) == ["m0", "m1", "m2"]
+
+
+def test_large_files_are_scanned(spark, tmp_path):
+    (tmp_path / "p").mkdir()
+    (tmp_path / "p" / "big.py").write_text("x = 1\n" * 2_000_000)
+    files = fs.scan_files(spark, f"file://{tmp_path}")
+    assert files.selectExpr("length(content)").collect()[0][0] == 12_000_000
+    assert fs.skip_filter(files, "structure").count() == 1 and fs.skip_filter(files, "structure", 10 << 20).count() == 0
+
+
+def test_folders_are_unique(spark):
+    names = ["foo", "foo", "foo_1", "foo", "foo_3", "bar_1", "bar", "bar", "foo_1", "x"]
+    rows = [(i, f"https://github.com/o/{n}.git") for i, n in enumerate(names)]
+    got = fs.assign_directories(spark.createDataFrame(rows, "id long, url string"), parts=3).orderBy("id").collect()
+    assert [r["folder"] for r in got] == ["foo", "foo_2", "foo_1", "foo_4", "foo_3", "bar_1", "bar", "bar_2", "foo_1_1", "x"]
 
 
 def test_api_call_rules(spark):
@@ -87,13 +108,21 @@ def test_incremental_index_equals_batch(spark):
     def arrive(name, rows):
         spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{folder}/in/{name}")
 
-    def run():
+    def run(state="state"):
         files = spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(f"{folder}/in")
-        jobs.index_stream(files, f"{folder}/index", f"{folder}/state").awaitTermination()
-        now = jobs.current_index(spark, f"{folder}/index")
-        return {(r["path"], r["content"], r["batch"]) for r in now.select("path", "content", "batch").collect()}
+        jobs.index_stream(files, f"{folder}/index", f"{folder}/{state}").awaitTermination()
+        now = jobs.current_index(spark, f"{folder}/index").select("path", "content", "batch").collect()
+        return {r["path"]: r["content"] for r in now}, {r["path"]: r["batch"] for r in now}
 
     arrive("v1", [("p", "a.py", "one", 1), ("p", "b.py", "two", 1)])
-    assert run() == {("a.py", "one", 0), ("b.py", "two", 0)}
-    arrive("v2", [("p", "a.py", "one", 2), ("p", "b.py", "changed", 2), ("p", "c.py", "new", 2)])
-    assert run() == {("a.py", "one", 0), ("b.py", "changed", 1), ("c.py", "new", 1)}
+    first = run()
+    assert first[0] == {"a.py": "one", "b.py": "two"}
+    arrive("v5", [("p", "a.py", "one", 5), ("p", "b.py", "changed", 5), ("p", "c.py", "new", 2)])
+    second = run()
+    assert second[0] == {"a.py": "one", "b.py": "changed", "c.py": "new"}
+    assert second[1]["a.py"] == first[1]["a.py"] != second[1]["c.py"]  # same content: not written again
+    arrive("v3", [("p", "a.py", "late", 3), ("p", "b.py", "late", 3), ("p", "c.py", None, 4)])
+    assert run()[0] == {"a.py": "one", "b.py": "changed"}
+    assert run("lost")[0] == {"a.py": "one", "b.py": "changed"}  # everything again after a lost checkpoint
+    jobs.compact_index(spark, f"{folder}/index", f"{folder}/compact")
+    assert {r["path"]: r["content"] for r in jobs.current_index(spark, f"{folder}/compact").collect()} == {"a.py": "one", "b.py": "changed"}

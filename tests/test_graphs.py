@@ -36,7 +36,7 @@ def test_cycles_and_components(spark):
             for path in itertools.permutations(nodes, k):
                 if path[0] == min(path) and all((path[i], path[(i + 1) % k]) in es for i in range(k)):
                     want.add(" -> ".join([*path, path[0]]))
-        assert {r["cycle"] for r in gr.circular_dependencies(frame(spark, edges)).collect()} == want
+        assert {r["cycle"] for r in gr.circular_dependencies(frame(spark, edges), 4).collect()} == want
         reach = {v: reachable(edges, v) for v in nodes}
         comp = {v: min(w for w in nodes if w in reach[v] and v in reach[w]) for v in nodes if v in reach[v]}
         assert {r["module"]: r["component"] for r in gr.strong_components(frame(spark, edges)).collect()} == comp
@@ -51,7 +51,17 @@ def test_depth_on_chain_with_cycle(spark):
 
 def test_acyclic_graph_has_no_components(spark):
     assert gr.strong_components(frame(spark, [("a", "b"), ("b", "c")])).count() == 0
-    assert gr.circular_dependencies(frame(spark, [("a", "b"), ("b", "c")])).count() == 0
+    assert gr.circular_dependencies(frame(spark, [("a", "b"), ("b", "c")]), 9).count() == 0
+    assert gr.witness_cycles(frame(spark, [("a", "b"), ("b", "c")])).count() == 0
+
+
+def test_cycle_of_any_length_has_a_witness(spark):
+    ring = [(f"m{i}", f"m{(i + 1) % 6}") for i in range(6)]
+    edges = [*ring, ("m2", "x"), ("x", "m4"), ("a", "b"), ("b", "a"), ("b", "c"), ("c", "a"), ("m1", "a")]
+    got = {r["component"]: (r["cycle"], r["length"]) for r in gr.witness_cycles(frame(spark, edges)).collect()}
+    assert got["a"] == ("a -> b -> a", 2)
+    path, length = got["m0"][0].split(" -> "), got["m0"][1]
+    assert length == 6 and path[0] == path[-1] == "m0" and set(zip(path, path[1:], strict=False)) <= set(edges)
 
 
 def test_call_chain_hops(spark):

@@ -68,8 +68,8 @@ def test_hash_embed_matches_definition(spark):
         assert abs(norm) < 1e-6 or abs(norm - 1) < 1e-5
 
 
-@pytest.mark.parametrize("max_broadcast", [0, 1000])
-def test_topk_is_exact_with_many_copies(spark, max_broadcast):
+@pytest.mark.parametrize("block", [3, 1000])
+def test_topk_is_exact_with_many_copies(spark, block):
     rng = np.random.default_rng(1)
     base = rng.normal(size=(60, 8))
     base[:25] = base[0]  # a hot group of identical vectors
@@ -77,7 +77,7 @@ def test_topk_is_exact_with_many_copies(spark, max_broadcast):
     vecs = spark.createDataFrame(rows, "id long, embedding array<float>").repartition(5)
     qs = vecs.select(F.col("id").alias("query_id"), "embedding")
     got = {}
-    for r in rt.topk_search(vecs, qs, 7, max_broadcast).orderBy("query_id", "rank").collect():
+    for r in rt.topk_search(vecs, qs, 7, block).orderBy("query_id", "rank").collect():
         got.setdefault(r["query_id"], []).append(r["id"])
     m = np.array([v for _, v in rows])
     n = np.linalg.norm(m, axis=1)
