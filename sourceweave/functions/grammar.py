@@ -28,13 +28,15 @@ DECLARATIONS = {
         ("class", r"^\s*(?:(?:public|private|protected|static|final|abstract)\s+)*(?:class|interface|enum)\s+(\w+)"),
         (
             "method",
-            r"^\s*(?:(?:public|private|protected|static|final|synchronized|abstract)\s+)+(?:[\w<>\[\],.?]+\s+)?(\w+)\s*\([^()]*\)\s*(?:throws\s+[\w.,\s]+)?[{;]",
+            r"^\s*(?:(?:public|private|protected|static|final|synchronized|abstract|default|native)\s+)+(?:<[^()]*>\s*)?(?:[\w<>\[\],.?]+\s+)?(\w+)\s*\([^()]*\)\s*(?:throws\s+[\w.,\s]+)?[{;]",
         ),
+        # without a modifier a type must come first and a body must follow
+        ("method", r"^\s*(?:<[^()]*>\s*)?[\w<>\[\],.?]+\s+(\w+)\s*\([^()]*\)\s*(?:throws\s+[\w.,\s]+)?\{"),
     ],
     "go": [
-        ("function", r"^func\s+(\w+)\s*\("),
-        ("method", r"^func\s+\(\s*\w+\s+\*?\w+\s*\)\s*(\w+)\s*\("),
-        ("class", r"^type\s+(\w+)\s+(?:struct|interface)\b"),
+        ("function", r"^func\s+(\w+)\s*(?:\[[^()]*\])?\s*\("),
+        ("method", r"^func\s+\(\s*\w+\s+\*?\w+(?:\[[^()]*\])?\s*\)\s*(\w+)\s*\("),
+        ("class", r"^type\s+(\w+)\s*(?:\[[^()]*\])?\s+(?:struct|interface)\b"),
     ],
 }
 #: A line without any of these words cannot hold a declaration of the language.

@@ -143,7 +143,9 @@ SQLALCHEMY_DEFAULT = r"default\s*=\s*([^,\)]+)"
 SQLALCHEMY_FK = r"""ForeignKey\(["']([^"']+)["']"""
 PRISMA_MODEL = r"model\s+(\w+)\s*\{([^}]+)\}"
 PRISMA_FIELD = r"^(\w+)\s+(\w+)"
-TYPEORM_ENTITY = r"""@Entity\(["']?([^"'\)]*)["']?\)\s*(?:export\s+)?class\s+(\w+)"""
+TYPEORM_ENTITY = r"""^\s*@Entity\(["']?([^"'\)]*)["']?\)\s*(?:@\w+\([^)]*\)\s*)*(?:export\s+)?(?:abstract\s+)?class\s+(\w+)"""
+#: From an entity's decorator to the closing brace of its class.
+TYPEORM_BODY = r"(?s)^(.*?)(?:\n\}|\z)"
 TYPEORM_COLUMN = r"@Column\(([^)]*)\)\s*(?:\w+\s*:\s*)?(\w+)(?:\s*:\s*)?(\w+)?"
 TYPEORM_PRIMARY = r"@PrimaryGeneratedColumn\(([^)]*)\)\s*(?:\w+\s*:\s*)?(\w+)"
 DJANGO_CLASS = r"class\s+(\w+)\(.*(?:models\.Model|Model)\):"

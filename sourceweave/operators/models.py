@@ -159,7 +159,8 @@ def extract_models(files: DataFrame, dialect: str | None = None) -> DataFrame:
             (F.col("pos") + 1).alias("line_no"),
             "line",
             "head",
-            F.when(d.isin("sqlalchemy", "django", "typeorm"), F.concat_ws("\n", line, _class_body(rest)))
+            F.when(d.isin("sqlalchemy", "django"), F.concat_ws("\n", line, _class_body(rest)))
+            .when(d == "typeorm", F.regexp_extract(here, R.TYPEORM_BODY, 1))
             .when(d == "prisma", F.regexp_extract(here, R.PRISMA_MODEL, 2))
             .alias("body"),
             F.when(d == "typeorm", F.regexp_extract(here, R.TYPEORM_ENTITY, 2))

@@ -163,7 +163,7 @@ def block_spans(files: DataFrame) -> DataFrame:
 
 
 def _go_receiver(head: Column) -> Column:
-    return extract(head, r"^func\s+\(\s*\w+\s+\*?(\w+)\s*\)")
+    return extract(head, r"^func\s+\(\s*\w+\s+\*?(\w+)(?:\[[^()]*\])?\s*\)")
 
 
 def extract_functions(files: DataFrame) -> DataFrame:

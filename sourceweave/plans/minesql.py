@@ -262,7 +262,7 @@ def models(src: str, dialect: str | None = None) -> str:
         "mpos as (select *, list_position(list_transform(ind, lambda t: coalesce(t < level, false)), true) as p from mcut), "
         "mh as materialized (select project_id, path, line_no, dialect, line, case dialect when 'typeorm' then regexp_extract(here, "
         f"{q(R.TYPEORM_ENTITY)}, 2) else head end as name, case dialect when 'typeorm' then regexp_extract(here, {q(R.TYPEORM_ENTITY)}, 1) end as entity_table, "
-        f"case when dialect = 'prisma' then regexp_extract(here, {q(R.PRISMA_MODEL)}, 2) when dialect = 'mongoose' then "
+        f"case when dialect = 'prisma' then regexp_extract(here, {q(R.PRISMA_MODEL)}, 2) when dialect = 'typeorm' then regexp_extract(here, {q(R.TYPEORM_BODY)}, 1) when dialect = 'mongoose' then "
         f"regexp_extract(content, {q(schema_head)} || head || {q(schema_tail)}, 1) "
         "else array_to_string(list_concat([line], case when p is null or p = 0 then ls[line_no + 1:] else ls[line_no + 1:line_no + p - 1] end), chr(10)) end as body from mpos), "
         f"fields as materialized ({sqla} union all {dj} union all {pr} union all {ty} union all {mg}), "

@@ -72,7 +72,7 @@ def functions(src: str, with_spans: bool = True) -> str:
         f"nullif(regexp_extract(body, {q(docs + quote)}, 2), '')"
         for quote in (r'"""((?s:.*?))"""', r"'''((?s:.*?))'''", r'"([^"\n]*)"', r"'([^'\n]*)'")
     ) + ", '')"
-    recv = rf"nullif(regexp_extract({head}, '^func\s+\(\s*\w+\s+\*?(\w+)\s*\)', 1), '')"
+    recv = rf"nullif(regexp_extract({head}, '^func\s+\(\s*\w+\s+\*?(\w+)(?:\[[^()]*\])?\s*\)', 1), '')"
     return (
         f"{first}fa as materialized (select project_id, path, string_split(content, chr(10)) as ls from sf), "
         # decorator lines directly above a declaration: runs of @ code lines

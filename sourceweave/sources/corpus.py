@@ -252,6 +252,7 @@ export interface Shape<<k>> {
 }
 
 @Entity("item_<<k>>")
+@Index(["title"])
 export class Item<<k>> extends BaseItem {
   @PrimaryGeneratedColumn() id: number;
   @Column({ nullable: true }) title: string;
@@ -262,6 +263,11 @@ export class Item<<k>> extends BaseItem {
   }
 }
 
+@Entity("piece_<<k>>")
+export class Piece<<k>> {
+  @PrimaryGeneratedColumn() id: number;
+}
+
 function scale<<k>>(a: number, b: number): number {
   return a * b;
 }
@@ -316,6 +322,14 @@ public class Ctl<<k>> extends BaseCtl implements Api {
     private void check(Row row) {
         LoggerFactory.getLogger(Ctl<<k>>.class).info("x");
     }
+
+    Row load(int page) {
+        return repo.load(page);
+    }
+
+    public <T> T first(List<T> rows) {
+        return rows.get(0);
+    }
 }
 '''
 
@@ -337,6 +351,18 @@ func (s *Server<<k>>) Start(addr string, n int) error {
 func Run<<k>>() {
 	fmt.Println("run")
 }
+
+type Pair<<k>>[K comparable, V any] struct {
+	Key K
+}
+
+func (p *Pair<<k>>[K, V]) First(n int) K {
+	return p.Key
+}
+
+func Map<<k>>[T any](items []T) int {
+	return len(items)
+}
 '''
 
 _PAGE_NEXT = '''
