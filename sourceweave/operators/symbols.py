@@ -370,9 +370,8 @@ def _call_text(line: Column, language: Column) -> Column:
     text = F.when(language == "python", F.regexp_replace(text, r"#.*$", "")).otherwise(F.regexp_replace(text, r"//.*$|^\s*\*.*$", ""))
     text = F.regexp_replace(text, r"\b(?:def|class|function|func)\s+\w+|\bnew\s+[\w.]+\s*\(", " ")
     text = F.when(language == "go", F.regexp_replace(text, r"^func\s+\([^)]*\)\s*\w+", " ")).otherwise(text)
-    for lang in ("javascript", "java"):
-        langs = ["javascript", "typescript"] if lang == "javascript" else ["java"]
-        method = G.DECLARATIONS[lang][-1][1]
+    scripts = ["javascript", "typescript"]
+    for langs, method in ((scripts, G.DECLARATIONS["javascript"][-1][1]), *((["java"], p) for _, p in G.DECLARATIONS["java"][:0:-1])):
         is_decl = F.regexp_extract(text, method, 1)
         text = F.when(
             language.isin(langs) & (is_decl != "") & ~is_decl.isin(G.KEYWORDS), F.regexp_replace(text, r"^[^(]*\(", "(")

@@ -95,7 +95,7 @@ def calls(src: str, with_spans: bool = True) -> str:
     t = rf"case when language = 'python' then regexp_replace({t}, '#.*$', '') else regexp_replace({t}, '//.*$|^\s*\*.*$', '', 'g') end"
     t = rf"regexp_replace({t}, '\b(?:def|class|function|func)\s+\w+|\bnew\s+[\w.]+\s*\(', ' ', 'g')"
     go = r"case when language = 'go' then regexp_replace(t1, '^func\s+\([^)]*\)\s*\w+', ' ') else t1 end"
-    js, java = G.DECLARATIONS["javascript"][-1][1], G.DECLARATIONS["java"][-1][1]
+    js, java, plain = G.DECLARATIONS["javascript"][-1][1], G.DECLARATIONS["java"][-1][1], G.DECLARATIONS["java"][-2][1]
 
     def cut(col: str, langs: str, p: str) -> str:
         ex = f"regexp_extract({col}, {q(p)}, 1)"
@@ -103,7 +103,8 @@ def calls(src: str, with_spans: bool = True) -> str:
 
     return (
         f"{first}ct as (select project_id, path, language, line_no, {t} as t1 from sk), ct2 as (select *, {go} as t2 from ct), "
-        f"ct3 as (select *, {cut('t2', in_list(['javascript', 'typescript']), js)} as t3 from ct2), ct4 as (select *, {cut('t3', in_list(['java']), java)} as t4 from ct3), "
+        f"ct3 as (select *, {cut('t2', in_list(['javascript', 'typescript']), js)} as t3 from ct2), ct35 as (select *, {cut('t3', in_list(['java']), java)} as t35 from ct3), "
+        f"ct4 as (select *, {cut('t35', in_list(['java']), plain)} as t4 from ct35), "
         f"cc as (select project_id, path, language, line_no, list_filter(regexp_extract_all(t4, {q(G.CALL)}, 1), lambda c: c not in ({KW})) as cs from ct4), "
         "ce as (select project_id, path, language, line_no, unnest(cs) as callee, generate_subscripts(cs, 1) - 1 as ordinal from cc), "
         "own as (select e.project_id, e.path, e.line_no, arg_max(s.name, s.first) as caller from (select distinct project_id, path, line_no from ce) e join spans s on s.project_id = e.project_id "

@@ -135,6 +135,8 @@ def test_scripts(spark):
 def test_java_without_modifiers_and_generics(spark):
     f = {(r["name"], r["class_name"], r["return_type"]) for r in sy.extract_functions(files_of(spark, Yard_java=JAVA)).collect()}
     assert f == {("open", "Yard", "Bay"), ("sorted", "Yard", "List<T>")}
+    calls = {(r["caller"], r["callee"]) for r in sy.extract_calls(files_of(spark, Yard_java=JAVA)).collect()}
+    assert calls == {("open", "bays.get"), ("sorted", "copy"), ("sorted", "done")}
 
 
 def test_go_generics(spark):
