@@ -38,8 +38,8 @@ WORDS, PERCENT = 5, 75
 WHOLE = 64
 #: Overlaps of candidate pairs are counted in 2 ** FRAGMENT_BITS fragments.
 FRAGMENT_BITS = 2
-_FLUSH = 1 << 20
-_CACHE = 1_000_000
+_FLUSH = 1 << 19
+_CACHE = 300_000
 _MULT, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -181,6 +181,9 @@ def _screen(documents: DataFrame, kind: str) -> DataFrame:
     return dealt.mapInArrow(count, _SCREENED.format(kind))
 
 
+_SETS = "sig long, n long, grams array<long>"
+
+
 def _sets(documents: DataFrame, wanted: DataFrame) -> DataFrame:
     """``sig, n, grams`` of the ``wanted(sig, doc_id)`` classes, read again from their first documents."""
 
@@ -190,15 +193,20 @@ def _sets(documents: DataFrame, wanted: DataFrame) -> DataFrame:
             rows = []
             for sig, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 grams = shingles(t.as_py(), words)
-                if signature(grams) == sig:  # rows that share an id may differ
-                    rows.append((sig, len(grams), grams.astype(np.int64)))
+                own = signature(grams)
+                if sig is None or own == sig:  # rows that share an id may differ
+                    rows.append((own, len(grams), grams.astype(np.int64)))
             if rows:
                 sigs, ns, grams = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(sigs, pa.int64()), pa.array(ns, pa.int64()), pa.array(grams, pa.list_(pa.int64()))], ["sig", "n", "grams"])
 
-    w = wanted.select("sig", F.col("doc_id").alias("_id"))
-    found = documents.join(w, F.col("doc_id").eqNullSafe(F.col("_id"))).select("sig", "text")
-    return found.mapInArrow(read, "sig long, n long, grams array<long>").dropDuplicates(["sig"])
+    # The same plan at every size: ids that fit a broadcast today may not fit one tomorrow.
+    w = wanted.filter("doc_id is not null").hint("merge")
+    found = documents.join(w, "doc_id").select("sig", "text").mapInArrow(read, _SETS)
+    # Classes of rows without an id are found by their set alone.
+    unnamed = documents.filter("doc_id is null").select(F.lit(None).cast("long").alias("sig"), "text").mapInArrow(read, _SETS)
+    unnamed = unnamed.join(wanted.filter("doc_id is null").select("sig"), "sig", "left_semi")
+    return found.unionAll(unnamed).dropDuplicates(["sig"])
 
 
 def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
