@@ -10,28 +10,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sourceweave.llm import decontam, jaccard, langid, packing
-from sourceweave.llm.common import table, written
+from sourceweave.llm.common import bound_batches, table, written
 from sourceweave.llm.queries import tokenizer_path
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the classifier rejects."""
+    bound_batches(spark)
     found = langid.identify(docs, langid.fit(langid.training_rows(docs)))
     return found.filter(~F.col("rejected")).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the smallest id of every group of linked documents."""
+    bound_batches(spark)
     return jaccard.keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that hold a benchmark item."""
+    bound_batches(spark)
     return decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs the rest into sequences of at most 4096 tokens."""
+    bound_batches(spark)
     return packing.pack(docs, tokenizer_path("word_bpe_49k.json"))
 
 

@@ -114,7 +114,7 @@ def _screen(documents: DataFrame, kind: str) -> DataFrame:
                     yield packed(held)
                     held, size = [], 0
             sigs, ns, evens = (pa.array(c, pa.int64()) for c in zip(*rows, strict=True)) if rows else [pa.array([], pa.int64())] * 3
-            where = pa.array([r[0] % fragments for r in rows], pa.int32())
+            where = pa.array([i % fragments for i in range(len(rows))], pa.int32())  # evenly, whatever copies there are
             yield pa.RecordBatch.from_arrays([where, pa.nulls(len(rows), pa.binary()), b.column(0), sigs, ns, evens], names)
         if held:
             yield packed(held)
@@ -137,7 +137,7 @@ def _screen(documents: DataFrame, kind: str) -> DataFrame:
         )
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sigs, ns, grams = [], [], []
+        heads_, grams = [], []
         out = ["doc_id", "sig", "n", "even", "shared"]
         for b in batches:
             is_doc = b.column("data").is_null()
@@ -147,24 +147,26 @@ def _screen(documents: DataFrame, kind: str) -> DataFrame:
             for d in b.column("data").drop_null():
                 raw = d.as_py()
                 k = int(np.frombuffer(raw, np.int64, 1)[0])
-                heads = np.frombuffer(raw, np.int64, 3 * k, 8).reshape(3, k)
-                sigs.append(np.repeat(heads[0], heads[2]))
-                ns.append(np.repeat(heads[1], heads[2]))
+                heads_.append(np.frombuffer(raw, np.int64, 3 * k, 8).reshape(3, k))
                 grams.append(np.frombuffer(raw, np.uint32, offset=8 + 24 * k))
             kinds[:] = [b.schema.field("doc_id").type]
-        if not sigs:
+        if not grams:
             return
-        sig, n, gram = np.concatenate(sigs), np.concatenate(ns), np.concatenate(grams)
-        known, first, of = np.unique(sig, return_index=True, return_inverse=True)
-        size = n[first]
-        pairs = np.unique(gram.astype(np.uint64) << np.uint64(32) | of.astype(np.uint64))
-        gram = pairs >> np.uint64(32)
-        of = (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        heads = np.concatenate(heads_, axis=1)
+        known, first, of = np.unique(heads[0], return_index=True, return_inverse=True)
+        size = heads[1][first]
+        pairs = np.concatenate(grams).astype(np.uint64) << np.uint64(32)
+        grams.clear()
+        pairs |= np.repeat(of.astype(np.uint64), heads[2])
+        pairs = np.unique(pairs)
+        gram = (pairs >> np.uint64(32)).astype(np.uint32)
+        of = (pairs & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        del pairs
         same = gram[1:] == gram[:-1]
         shared = np.zeros(len(gram), bool)
         shared[1:] |= same
         shared[:-1] |= same
-        counted = shared & ((size[of] < WHOLE) | (gram & np.uint64(1) == 0))
+        counted = shared & ((size[of] < WHOLE) | (gram & np.uint32(1) == 0))
         counts = np.bincount(of[counted], minlength=len(known))
         keep = np.flatnonzero(counts)
         for k in range(0, len(keep), 65_536):
@@ -245,7 +247,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     at = cut_lineage(edges.filter("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     mark = None
-    while True:
+    while not at.isEmpty():
         back = at.unionAll(at.select(F.col("v").alias("u"), F.col("u").alias("v")))
         at = cut_lineage(stars(stars(back, True), False))
         now = at.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()

@@ -181,7 +181,8 @@ def identify(df: DataFrame, model: Model, text: str = "text", keep: list[str] |
     given = df.sparkSession.sparkContext.broadcast(model)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for whole, at in ((w, i) for w in batches for i in range(0, w.num_rows, 512)):
+            b = whole.slice(at, 512)
             found = given.value.predict(b.column("_text").to_pylist())
             columns = [b.column(c).cast(schema.field(c).type) for c in names]
             columns += [pa.array(c, schema.field(n).type) for (n, _), c in zip(added, zip(*found, strict=True), strict=True)] if found else []

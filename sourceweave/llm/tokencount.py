@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 #: Documents that the frequent pre-tokens are counted in, and the entries of the table.
 SAMPLE_DOCS, ENTRIES = 1000, 65_536
 #: Entries of a worker's cache before it starts again from the table; longer pre-tokens are not kept.
-CACHE, LONGEST = 1_000_000, 48
+CACHE, LONGEST = 300_000, 48
 _RUNS = re.compile(r" *[^ ]+| +\Z")
 
 

@@ -47,7 +47,7 @@ def corpus(seed, n, spread):
     return out
 
 
-@pytest.mark.parametrize(("seed", "spread"), [(1, 3), (2, 12), (3, 1), (4, 40)])
+@pytest.mark.parametrize(("seed", "spread"), [(2, 12), (3, 1)])
 def test_against_brute_force(spark, seed, spread):
     """From one large group of near copies to many small ones."""
     rows = corpus(seed, 150, spread)

@@ -7,6 +7,7 @@ import pytest
 
 import corpus_pipeline
 from __spark_entry__ import oracle_sql, queries
+from sourceweave.llm.common import written
 from sourceweave.llm.decontam import budget, myers, normalised
 from sourceweave.llm.queries import ORACLES, QUERIES
 from tools.check import TABLES, rows_of
@@ -36,7 +37,7 @@ def test_pipeline_stage_by_stage(spark, sf, con):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     kept = [docs]
     for _, stage in corpus_pipeline.STAGES[:3]:
-        kept.append(stage(spark, kept[-1], sf))
+        kept.append(written(stage(spark, kept[-1], sf)))
         assert kept[-1].columns == docs.columns
     ids = [[r.doc_id for r in k.select("doc_id").collect()] for k in kept]
     assert ids[1] == ids[0]  # every text of these is in one of the languages
@@ -47,5 +48,11 @@ def test_pipeline_stage_by_stage(spark, sf, con):
     held = {i for i in ids[2] if any(x in normalised(texts[i]) for x in items)}
     near = {i for i in ids[2] if len(texts[i]) < 3000 and any(myers(x, normalised(texts[i]))[0] <= budget(x) for x in items)}
     assert set(ids[2]) - set(ids[3]) >= held and near <= set(ids[2]) - set(ids[3])
-    packed = corpus_pipeline.run(spark, sf).collect()
+    packed = corpus_pipeline.STAGES[3][1](spark, kept[3], sf).collect()
     assert {r.doc_id for r in packed} == set(ids[3])
+
+
+def test_run_applies_the_stages(spark, sf, monkeypatch):
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [corpus_pipeline.STAGES[i] for i in (0, 2)])
+    kept = corpus_pipeline.run(spark, sf)
+    assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars"] and 0 < kept.count() < 200
