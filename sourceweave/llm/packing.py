@@ -34,11 +34,16 @@ _SWEPT = "what int, row long, sequence_id long, room long, size long, part int,
 _PLACED, _DOCUMENT, _GAP, _USED = range(4)
 
 
+def _latin(word: str) -> bool:
+    """Only Latin letters that normalising leaves letters, lower-cased one by one."""
+    return word.isalpha() and max(word) < "\u0180" and "\u0130" not in word
+
+
 class Ids(dict):
     """The ids of a word as little-endian 32-bit numbers.
 
     The vocabulary's pre-tokenizer drops white space and never joins letters with
-    other characters, so words and their final marks can be encoded apart.
+    other characters, so Latin words and their final marks can be encoded apart.
     """
 
     def __init__(self, path: str):
@@ -51,7 +56,7 @@ class Ids(dict):
 
     def __missing__(self, word: str) -> bytes:
         base = word.rstrip(".,")
-        if base != word and base.isalpha():
+        if base != word and _latin(base):
             found = self[base] + self[word[len(base) :]]
         elif word.isalpha() and word.isascii() and not word.islower():
             found = self[word.lower()]
@@ -183,18 +188,17 @@ def best_fit(items: DataFrame, limit: int) -> DataFrame:
         used = swept.filter(F.col("what") == _USED).select("sequence_id", "room")
         across = sum(p[2] - p[1] for p in pairs)
         if pairs:
-            # At most two pieces for each range.
+            # At most two pieces for each range; a range's documents are served in the order of their ranks.
             pieces = F.broadcast(spark.createDataFrame(pairs, "part int, first long, last long, gap_part int, shift long"))
-            lost = lost.join(pieces, (lost["part"] == pieces["part"]) & F.expr("rank >= first and rank < last"), "left").select(
-                "row", "size", F.col("gap_part").alias("part"), (F.col("rank") + F.col("shift")).alias("rank")
-            )
-            joined = written(lost.join(spare, ["part", "rank"], "full"))
-            taken = joined.filter(F.col("row").isNotNull() & F.col("sequence_id").isNotNull())
-            placed.append(taken.select("row", "sequence_id", (limit - F.col("room")).alias("offset")))
-            lost = joined.filter(F.col("sequence_id").isNull())
-            spare = joined.filter(F.col("sequence_id").isNotNull()).select(
-                "sequence_id", (F.col("room") - F.coalesce("size", F.lit(0))).alias("room")
-            )
+            served = {p[0]: p[2] for p in pairs}
+            until = F.element_at(F.lit([served.get(i, 0) for i in range(max(served) + 1)]), F.least(F.col("part"), F.lit(max(served))) + 1)
+            until = F.when(F.col("part") <= max(served), until).otherwise(0)
+            crossing = lost.filter(F.col("rank") < until).alias("d").join(pieces.alias("p"), F.expr("d.part = p.part and d.rank >= p.first and d.rank < p.last"))
+            crossing = crossing.select("row", "size", F.col("gap_part").alias("part"), (F.col("rank") + F.col("shift")).alias("rank"))
+            lost = lost.filter(F.col("rank") >= until)
+            joined = written(spare.join(crossing, ["part", "rank"], "left"))
+            placed.append(joined.filter(F.col("row").isNotNull()).select("row", "sequence_id", (limit - F.col("room")).alias("offset")))
+            spare = joined.select("sequence_id", (F.col("room") - F.coalesce("size", F.lit(0))).alias("room"))
         documents, gaps = lost.select("row", "size"), spare.select("sequence_id", "room").unionAll(used).filter("room > 0")
         without = sum(n for (_, what), (n, _) in found.items() if what == _DOCUMENT)
         tokens = sum(s for (_, what), (_, s) in found.items() if what == _DOCUMENT)
