@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from sourceweave.llm.common import batches_of, parallelism, written
 
 #: Words that a worker keeps the ids of, and the longest word it keeps.
-CACHE, LONGEST = 800_000, 40
+CACHE, LONGEST = 500_000, 40
 #: A round that places a smaller part of its documents opens new sequences.
 FEW = 0.1
 #: Rows of a range in a round's sort.
@@ -34,6 +34,13 @@ _SWEPT = "what int, row long, sequence_id long, room long, size long, part int,
 _PLACED, _DOCUMENT, _GAP, _USED = range(4)
 
 
+def _byte_signs() -> dict[int, int]:
+    """The byte-level alphabet: printable Latin-1 stands for itself, other bytes for signs from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: 256 + i for i, b in enumerate(rest)}
+
+
 def _latin(word: str) -> bool:
     """Only Latin letters that normalising leaves letters, lower-cased one by one."""
     return word.isalpha() and max(word) < "\u0180" and "\u0130" not in word
@@ -43,23 +50,29 @@ class Ids(dict):
     """The ids of a word as little-endian 32-bit numbers.
 
     The vocabulary's pre-tokenizer drops white space and never joins letters with
-    other characters, so Latin words and their final marks can be encoded apart.
+    other characters, so Latin words and their final marks can be encoded apart. A
+    Latin word is one pre-token that normalising only lower-cases, so it
+    goes to the library's model without the steps before it.
     """
 
+    signs = _byte_signs()
+
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         super().__init__()
-        self.encode = Tokenizer.from_file(path).encode
+        library = Tokenizer.from_file(path)
+        self.encode, self.model = library.encode, library.model
         self[""] = b""
 
     def __missing__(self, word: str) -> bytes:
         base = word.rstrip(".,")
         if base != word and _latin(base):
             found = self[base] + self[word[len(base) :]]
-        elif word.isalpha() and word.isascii() and not word.islower():
-            found = self[word.lower()]
+        elif len(word) <= LONGEST and _latin(word):
+            signs = word.lower().encode().decode("latin-1").translate(self.signs)
+            found = np.array([x.id for x in self.model.tokenize(signs)], "<u4").tobytes()
         else:
             found = np.array(self.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
         if len(word) <= LONGEST:
