@@ -252,9 +252,9 @@ def decided(wrapper: Node) -> dict:
     total = walk(wrapper, "")
     if not mains and total:
         mains = [max((p for p, n in sums.items() if n >= MOST * total), key=lambda p: (p.count("/"), p), default="/")]
-    fixed = []
-    if wrapper.pages >= TEMPLATE_PAGES and any(n.text is None for at, x in slots.items() for n in x if any(at.startswith(f"{m}/") for m in mains)):
-        fixed = [at for at, x in slots.items() if all(n.text is not None and n.pages >= TEMPLATE_PAGES for n in x)]
+    # Inside the article a text stays even if all pages have it: the pages may be copies.
+    outside = {at: x for at, x in slots.items() if not any(at.startswith(f"{m}/") for m in mains)}
+    fixed = [at for at, x in outside.items() if all(n.text is not None and n.pages >= TEMPLATE_PAGES for n in x)]
     return {"main": mains, "fixed": sorted(fixed)}
 
 
