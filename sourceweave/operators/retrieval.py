@@ -172,14 +172,14 @@ def multi_query_retrieve(
 ) -> DataFrame:
     """``questions(query_id, keywords)``: top-k of every keyword, distinct, in keyword order.
 
-    Where asked only the first keywords are searched and the first results kept.
+    A keyword is searched once, however many questions have it. Where asked only
+    the first keywords are searched and the first results kept.
     """
     asked = F.col("keywords") if max_keywords is None else F.slice("keywords", 1, max_keywords)
-    words = questions.select("query_id", F.posexplode(asked).alias("ordinal", "text"))
-    key = F.concat_ws("\u0001", F.col("query_id").cast("string"), F.col("ordinal").cast("string"))
-    hits = retrieve(vectors, words.select(key.alias("query_id"), "text"), k)
-    parts = F.split("query_id", "\u0001")
-    rows = hits.select(parts[0].alias("query_id"), parts[1].cast("int").alias("ordinal"), "id", "score", "rank")
+    words = questions.select(F.col("query_id").cast("string").alias("query_id"), F.posexplode(asked).alias("ordinal", "text"))
+    once = words.select(F.col("text").alias("query_id"), "text").distinct()
+    hits = retrieve(vectors, once, k).withColumnRenamed("query_id", "text")
+    rows = words.join(hits, "text").select("query_id", "ordinal", "id", "score", "rank")
     first = rows.groupBy("query_id", "id").agg(F.min(F.struct("ordinal", "rank", "score")).alias("f"))
     order = Window.partitionBy("query_id").orderBy("f.ordinal", "f.rank", "id")
     ranked = first.select("query_id", "id", F.col("f.score").alias("score"), F.row_number().over(order).alias("rank"))

@@ -256,6 +256,14 @@ def retrieve_by_code(spark, sf):
     return rt.retrieve(code, probe, 5).withColumn("score", F.round("score", 6))
 
 
+@plan("retrieve_by_code_all")
+def retrieve_by_code_all(spark, sf):
+    """Every file asks; ``retrieve_by_code`` asks with two path groups only."""
+    files = corpus(spark, sf).select(F.concat_ws(":", "project_id", "path").alias("id"), "content")
+    code = files.select("id", V.hash_embed(F.col("content")).alias("embedding"))
+    return rt.retrieve(code, files.select(F.col("id").alias("query_id"), F.col("content").alias("text")), 5).withColumn("score", F.round("score", 6))
+
+
 WORDS = ["license", "The"]
 HAS_WORD = " or ".join(f"contains(lower(s.content), '{w.lower()}')" for w in WORDS)
 
@@ -283,6 +291,14 @@ def multi_query_retrieve(spark, sf):
     return rt.multi_query_retrieve(store(spark, sf), asked, 4).withColumn("score", F.round("score", 6))
 
 
+@plan("multi_query_retrieve_all")
+def multi_query_retrieve_all(spark, sf):
+    """Every distinct word is a keyword; ``multi_query_retrieve`` asks with those of more than 11 characters only."""
+    words = F.array_distinct(F.split("text", " "))
+    asked = questions(spark, sf).select("query_id", F.filter(words, lambda w: w != "").alias("keywords"))
+    return rt.multi_query_retrieve(store(spark, sf), asked, 4).withColumn("score", F.round("score", 6))
+
+
 @plan(
     "vector_get",
     "select vec_id as id, label from embeddings where label = 2 and vec_id in (select doc_id from labels where quality = 1)",

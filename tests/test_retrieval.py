@@ -13,6 +13,8 @@ from sourceweave.functions import prompts as P
 from sourceweave.functions import vectors as V
 from sourceweave.operators import context as cx
 from sourceweave.operators import retrieval as rt
+from sourceweave.plans import PLANS
+from sourceweave.plans import retrieval as plans
 
 
 def greedy(text, limit, cap=50):
@@ -143,3 +145,40 @@ def test_code_blocks_and_json(spark):
     replies = ['```json\n{"a": 1}\n```', 'Sure: {"b": {"c": 2}} done', "no json", "{bad"]
     df = spark.createDataFrame([(r,) for r in replies], "t string").select(cx.json_from_text(F.col("t")).alias("j"))
     assert [r["j"] for r in df.collect()] == ['{"a": 1}', '{"b": {"c": 2}}', None, None]
+
+
+def brute_topk(store, word, k):
+    """``id, score`` of the ``k`` best by definition; ``store`` has ids and unit vectors."""
+    score = {i: round(float(np.dot(v, embed(word)) / (np.linalg.norm(v) * np.linalg.norm(embed(word)) + 1e-8)), 6) for i, v in store.items()}
+    return sorted(score.items(), key=lambda x: (-x[1], x[0]))[:k]
+
+
+def test_all_keywords_ask(spark, tmp_path):
+    """Short and repeated words too, by brute force."""
+    docs = [(i, t, "en", "s", len(t)) for i, t in enumerate(["a cat sat here", "dogs run far away", "the cat ran", "unrelated words stand about", "sat on a mat"])]
+    asked = [(7, "cat sat cat"), (8, "a dog  ran"), (9, "")]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(asked, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    store = {r["id"]: embed(r["content"]) for r in plans.store(spark, str(tmp_path)).collect()}
+    want = {}
+    for q, text in asked:
+        for word in dict.fromkeys(text.split()):
+            for i, score in brute_topk(store, word, 4):
+                want.setdefault(str(q), {}).setdefault(i, score)
+    got = {}
+    for r in PLANS["multi_query_retrieve_all"].run(spark, str(tmp_path)).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], {})[r["id"]] = r["score"]
+    assert got.keys() == want.keys() == {"7", "8"}
+    for q, hits in want.items():
+        assert got[q].keys() == hits.keys() and all(abs(got[q][i] - s) < 1e-5 for i, s in hits.items())
+
+
+def test_all_files_ask(spark, sf):
+    files = {f"{r['project_id']}:{r['path']}": r["content"] for r in plans.corpus(spark, sf).collect()}
+    store = {i: embed(t) for i, t in files.items()}
+    got = {}
+    for r in PLANS["retrieve_by_code_all"].run(spark, sf).collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = r["score"]
+    assert got.keys() == files.keys()
+    for i in sorted(files)[::97]:
+        assert np.allclose([got[i][r + 1] for r in range(5)], [s for _, s in brute_topk(store, files[i], 5)], atol=1e-5)
