@@ -5,7 +5,9 @@ token stream; equal neighbours fold into a repeated group. The streams of a host
 are then aligned one after the other: a text that differs becomes a slot, tags
 that only some pages have become optional groups, runs of the same tags become
 repeated groups. The result is a regular expression without unions, the host's
-wrapper. It says where the article is and which texts are part of the template.
+wrapper. It says which texts are part of the template. A page's article is what
+its ``article`` or ``main`` elements hold; where no tag names it, the smallest
+element that holds all of the page's texts that are no template and no links.
 """
 
 from __future__ import annotations
@@ -24,10 +26,8 @@ from pyspark.sql import functions as F
 from sourceweave.llm.common import batches_of, written
 from sourceweave.llm.urlrules import with_host_path
 
-#: Pages of a host before a text that they all share counts as part of the template.
+#: Different pages of a host before a text that they all share counts as part of the template.
 TEMPLATE_PAGES = 5
-#: Part of a host's running text that the article's element holds where no tag names it.
-MOST = 0.6
 #: Streams a task holds before it hands them on.
 HELD = 20_000
 
@@ -44,6 +44,9 @@ _BLOCK = frozenset(
 )
 #: An element of the first kind is closed when one of the second begins.
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
+#: Elements whose parts may be template; those of lists, tables and paragraphs belong together.
+_FRAMES = frozenset(["", "html", "body", "div", "section", "center"])
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _SCOPE = frozenset("ul ol dl table article section main body html".split())
 _OUT_TAGS = frozenset("nav footer aside form menu dialog button head".split())
 _OUT_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu".split())
@@ -55,7 +58,7 @@ _OUT_WORDS = frozenset(
 
 
 class Node:
-    __slots__ = ("chars", "key", "kids", "link", "main", "optional", "out", "pages", "repeated", "tag", "text")
+    __slots__ = ("chars", "fixed", "key", "kids", "link", "main", "optional", "out", "pages", "repeated", "seen", "tag", "text", "weight")
 
     def __init__(self, tag: str, key: str, out: bool = False, main: bool = False):
         self.tag, self.key, self.out, self.main = tag, key, out, main
@@ -63,6 +66,8 @@ class Node:
         self.text: str | int | None = None  # of a "#" node: raw text, or what all pages have, or None for a slot
         self.optional = self.repeated = False
         self.pages, self.chars, self.link = 1, 0, 0
+        self.seen: list[int] = []  # of a "#" node of a pattern: contents of pages that have it, TEMPLATE_PAGES at most
+        self.weight, self.fixed = 0, False  # of a page: running text that is no template; a text of the template
 
 
 def _element(tag: str, attributes: str, in_main: bool) -> Node:
@@ -166,16 +171,33 @@ def clean(raw: str) -> str:
     return " ".join(html.unescape(raw).split())
 
 
-def folded(node: Node) -> tuple[str, Node]:
+def crc(raw: str, before: int = 0) -> int:
+    return zlib.crc32(raw.encode("utf-8", "surrogatepass"), before)
+
+
+def content(node: Node, before: int = 0) -> int:
+    """Tells pages with different texts apart; what is never part of an article doesn't count."""
+    if node.out:
+        return before
+    if node.tag == "#":
+        return crc(f"{clean(node.text)}\n", before)
+    for kid in node.kids:
+        before = content(kid, before)
+    return before
+
+
+def folded(node: Node, page: int | None = None) -> tuple[str, Node]:
     """The element's stream and pattern, with equal neighbours as one repeated group."""
+    if page is None:
+        page = content(node)
     if node.tag == "#":
         out = Node("#", "#")
-        out.text, out.chars, out.link = zlib.crc32(node.text.encode("utf-8", "surrogatepass")), node.chars, node.link
+        out.text, out.chars, out.link, out.seen = crc(node.text), node.chars, node.link, [page]
         return "#", out
     out = Node(node.tag, node.key, node.out, node.main)
     streams: list[str] = []
     for kid in node.kids:
-        stream, pattern = folded(kid)
+        stream, pattern = folded(kid, page)
         if streams and streams[-1] == stream:
             pattern.repeated = True
             out.kids[-1] = merged(out.kids[-1], pattern, same_page=True)
@@ -193,6 +215,7 @@ def merged(a: Node, b: Node, same_page: bool = False) -> Node:
     out.optional, out.repeated = a.optional or b.optional, a.repeated or b.repeated
     if a.tag == "#":
         out.text = a.text if a.text == b.text else None
+        out.seen = a.seen if a.seen == b.seen else sorted({*a.seen, *b.seen})[:TEMPLATE_PAGES]
         return out
     left, right = [k.key for k in a.kids], [k.key for k in b.kids]
     if left == right:
@@ -219,73 +242,104 @@ def expression(node: Node) -> str:
 
 
 def dumped(node: Node) -> list:
-    return [node.tag, node.key, node.out, node.main, node.text, node.optional, node.repeated, node.pages, node.chars, node.link, [dumped(k) for k in node.kids]]
+    return [node.tag, node.key, node.out, node.main, node.text, node.optional, node.repeated, node.pages, node.chars, node.link, node.seen, [dumped(k) for k in node.kids]]
 
 
 def loaded(x: list) -> Node:
     out = Node(*x[:4])
-    out.text, out.optional, out.repeated, out.pages, out.chars, out.link = x[4:10]
-    out.kids = [loaded(k) for k in x[10]]
+    out.text, out.optional, out.repeated, out.pages, out.chars, out.link, out.seen = x[4:11]
+    out.kids = [loaded(k) for k in x[11]]
     return out
 
 
 def decided(wrapper: Node) -> dict:
-    """``main``: paths of the elements that hold the article; ``fixed``: paths of texts of the template."""
-    mains: list[str] = []
-    slots: dict[str, list[Node]] = {}
-    sums: dict[str, int] = {}
+    """``fixed``: path and checksum of the texts that enough different pages share."""
+    fixed: set[str] = set()
 
-    def walk(node: Node, path: str) -> int:
+    def walk(node: Node, path: str) -> None:
         if node.out:
-            return 0
+            return
         at = f"{path}/{node.key}"
-        if node.tag == "#":
-            slots.setdefault(at, []).append(node)
-            return max(0, node.chars - 2 * node.link) if node.text is None or wrapper.pages < TEMPLATE_PAGES else 0
-        if node.main and not any(at.startswith(f"{m}/") for m in mains):
-            mains.append(at)
-        total = sum(walk(k, at) for k in node.kids)
-        if any(k.tag != "#" for k in node.kids):  # not a paragraph
-            sums[at] = sums.get(at, 0) + total
-        return total
-
-    total = walk(wrapper, "")
-    if not mains and total:
-        mains = [max((p for p, n in sums.items() if n >= MOST * total), key=lambda p: (p.count("/"), p), default="/")]
-    # Inside the article a text stays even if all pages have it: the pages may be copies.
-    outside = {at: x for at, x in slots.items() if not any(at.startswith(f"{m}/") for m in mains)}
-    fixed = [at for at, x in outside.items() if all(n.text is not None and n.pages >= TEMPLATE_PAGES for n in x)]
-    return {"main": mains, "fixed": sorted(fixed)}
+        if node.text is not None and len(node.seen) >= TEMPLATE_PAGES:
+            fixed.add(f"{at} {node.text}")
+        for kid in node.kids:
+            walk(kid, at)
+
+    walk(wrapper, "")
+    return {"fixed": sorted(fixed)}
+
+
+def weighed(node: Node, fixed: frozenset[str], links: bool, path: str = "") -> int:
+    """Sets the weight of every element: its running text outside the template, and of its links if ``links``."""
+    at = f"{path}/{node.key}"
+    if node.out:
+        node.weight = 0
+    elif node.tag != "#":
+        node.weight = sum([weighed(k, fixed, links, at) for k in node.kids])
+    else:
+        node.fixed = bool(fixed) and f"{at} {crc(node.text)}" in fixed
+        node.weight = 0 if node.fixed else node.chars if links else max(0, node.chars - 2 * node.link)
+    return node.weight
+
+
+def texts(node: Node) -> list[str]:
+    """The element's blocks, template or not."""
+    if node.out:
+        return []
+    if node.tag == "#":
+        return [text] if (text := clean(node.text)) else []
+    return [t for k in node.kids for t in texts(k)]
 
 
-def extract(page: str | None, decision: dict | None = None) -> str:
-    """The article's blocks, joined by an empty line; without a fitting decision the page decides for itself."""
-    if not page:
-        return ""
-    root = parse(page)
+def named(node: Node) -> list[Node]:
+    """The outermost elements that a tag, role or property names as the article."""
+    if node.out:
+        return []
+    return [node] if node.main else [m for k in node.kids for m in named(k)]
 
-    def blocks(mains: set, fixed: set) -> list[str]:
-        out: list[str] = []
 
-        def walk(node: Node, path: str, inside: bool) -> None:
-            if node.out:
-                return
-            at = f"{path}/{node.key}"
-            if node.tag == "#":
-                if inside and at not in fixed and (text := clean(node.text)):
-                    out.append(text)
-                return
-            inside = inside or at in mains
-            for kid in node.kids:
-                walk(kid, at, inside)
+def framed(root: Node, fixed: frozenset[str]) -> list[str]:
+    """Blocks of the smallest element that holds all of a page's texts that are no template and no links.
+
+    Before the first and behind the last part with such text, parts of template or
+    of lists of links are left out, but no headings; between them only larger parts
+    of template are.
+    """
+    if not weighed(root, fixed, False):
+        weighed(root, fixed, True)
+
+    def template(node: Node) -> bool:
+        return node.out or (node.fixed if node.tag == "#" else all(template(k) for k in node.kids))
 
-        walk(root, "", False)
+    def within(node: Node) -> list[str]:
+        if node.tag not in _FRAMES:
+            return texts(node)
+        held = [i for i, k in enumerate(node.kids) if k.weight]
+        out: list[str] = []
+        for i, kid in enumerate(node.kids):
+            leaf = all(k.tag == "#" for k in kid.kids)
+            between = i < held[-1] and (i > held[0] or kid.tag in _HEADINGS)
+            if kid.weight:
+                out += within(kid)
+            elif leaf and between or (leaf or between) and not template(kid):
+                out += texts(kid)
         return out
 
-    found = blocks(set(decision["main"]), set(decision["fixed"])) if decision else []
-    if not found:
-        found = blocks(set(decided(folded(root)[1])["main"]), set())
-    return "\n\n".join(found)
+    at = root
+    while only := [k for k in at.kids if k.weight == at.weight and k.weight and k.tag != "#"]:
+        at = only[0]
+    return within(at) if root.weight else []
+
+
+def extract(page: str | None, decision: dict | None = None) -> str:
+    """The article's blocks, joined by an empty line; a page of nothing but template decides for itself."""
+    if not page:
+        return ""
+    root = parse(page)
+    found = [t for m in named(root) for t in texts(m)]
+    if not found and decision and decision["fixed"]:
+        found = framed(root, frozenset(decision["fixed"]))
+    return "\n\n".join(found or framed(root, frozenset()))
 
 
 def infer_wrappers(pages: DataFrame, page: str = "html", host: str = "host") -> DataFrame:

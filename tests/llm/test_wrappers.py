@@ -51,3 +51,38 @@ def test_edges(spark):
     got = main_text(pages).collect()
     assert len(got) == 7 and sum(r.text == TEXT for r in got) == 5 and {r.n_chars for r in got if r.page_id in (3, 4)} == {0}
     assert main_text(pages.limit(0)).collect() == []
+
+
+SHAPES = [
+    "<ul><li>{0}</li><li>{0}</li></ul>",
+    "<blockquote><p>{0}</p><p>{0}</p></blockquote>",
+    "<table><tr><td>{0}</td><td>{0}</td></tr></table>",
+    "<section><p>{0}</p></section><section><h2>more</h2><p>{0}</p></section>",
+]
+
+
+def test_most_of_the_text_in_one_part_keeps_the_others(spark):
+    """A list, quote, table or section that holds most of an article without an article tag."""
+    bodies, want = [], []
+    for i in range(40):
+        long = f"{i} long part of the page " * 8
+        bodies.append(f"<body><div class=top><a href=/>Home</a></div><div class=post><h1>T{i}</h1><p>intro {i}</p>{SHAPES[i % 4].format(long)}<p>end {i}</p></div><div class=foot><p>All rights reserved</p></div></body>")
+        want.append([f"T{i}", f"intro {i}", long.strip(), *(["more"] if i % 4 == 3 else []), long.strip(), f"end {i}"])
+    for r in main_text(pages_of(spark, bodies)).collect():
+        assert r.text.split("\n\n") == want[r.page_id]
+    for body, parts in zip(bodies[:4], want, strict=False):
+        assert extract(f"<body>{body[body.index('<div class=post>'):body.index('<div class=foot>')]}</body>").split("\n\n") == parts
+
+
+def test_each_page_decides_where_a_host_mixes_templates(spark):
+    few = [f"<body><div class=a><p>short {i}</p></div><div class=b><p>{'other text ' * 9}{i}</p></div></body>" for i in range(3)]
+    many = [f"<body><div class=a><p>{'long text ' * 50}{i}</p></div></body>" for i in range(30)]
+    got = {r.page_id: r.text for r in main_text(pages_of(spark, few + many)).collect()}
+    assert all(got[i] == f"short {i}\n\n{'other text ' * 9}{i}" for i in range(3))
+
+
+def test_a_part_of_one_copied_page_is_no_template(spark):
+    copied = "<body><div class=post><p>Own</p><table><tr><td>Only here</td></tr></table></div></body>"
+    others = [f"<body><div class=post><p>Text {i}</p></div></body>" for i in range(9)]
+    got = {r.page_id: r.text for r in main_text(pages_of(spark, [copied] * 9 + others)).collect()}
+    assert got[0] == "Own\n\nOnly here" and got[9] == "Text 0"
