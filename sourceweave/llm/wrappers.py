@@ -58,7 +58,7 @@ _OUT_WORDS = frozenset(
 
 
 class Node:
-    __slots__ = ("chars", "fixed", "key", "kids", "link", "main", "optional", "out", "pages", "repeated", "seen", "tag", "text", "weight")
+    __slots__ = ("chars", "fixed", "key", "kids", "link", "main", "optional", "out", "pages", "repeated", "seen", "soft", "tag", "text", "weight")
 
     def __init__(self, tag: str, key: str, out: bool = False, main: bool = False):
         self.tag, self.key, self.out, self.main = tag, key, out, main
@@ -67,12 +67,13 @@ class Node:
         self.optional = self.repeated = False
         self.pages, self.chars, self.link = 1, 0, 0
         self.seen: list[int] = []  # of a "#" node of a pattern: contents of pages that have it, TEMPLATE_PAGES at most
+        self.soft = False  # a word of its class or id tells that it is no article
         self.weight, self.fixed = 0, False  # of a page: running text that is no template; a text of the template
 
 
 def _element(tag: str, attributes: str, in_main: bool) -> Node:
     """An element with the part of its attributes that tells its role."""
-    words, key, out = [], tag, tag in _OUT_TAGS or (tag == "header" and not in_main)
+    words, key, soft, out = [], tag, False, tag in _OUT_TAGS or (tag == "header" and not in_main)
     main = tag in ("article", "main")
     if attributes:
         for name, a, b, c, hidden in _ATTRIBUTE.findall(attributes):
@@ -87,8 +88,10 @@ def _element(tag: str, attributes: str, in_main: bool) -> Node:
                 out = True
         if words:
             key = f"{tag}.{'.'.join(sorted(set(words)))}"
-            out = out or not _OUT_WORDS.isdisjoint(words) or ("header" in words and not in_main)
-    return Node(tag, key, out, main and not out)
+            soft = not _OUT_WORDS.isdisjoint(words) or ("header" in words and not in_main)
+    node = Node(tag, key, out, main and not out)
+    node.soft = soft and not node.main and tag not in ("html", "body")
+    return node
 
 
 def parse(page: str) -> Node:
@@ -171,6 +174,25 @@ def clean(raw: str) -> str:
     return " ".join(html.unescape(raw).split())
 
 
+def settled(root: Node, fixed: frozenset[str] = frozenset()) -> Node:
+    """Discards the elements that a word of their class or id tells to be no article.
+
+    Not those around an element that is named as the article, nor those with more
+    than half of the page's running text that is no template.
+    """
+    total = weighed(root, fixed, False) or weighed(root, fixed, True)
+
+    def walk(node: Node) -> bool:
+        if node.out:
+            return False
+        holds = any([walk(k) for k in node.kids]) or node.main
+        node.out = node.soft and not holds and 2 * node.weight <= total
+        return holds
+
+    walk(root)
+    return root
+
+
 def crc(raw: str, before: int = 0) -> int:
     return zlib.crc32(raw.encode("utf-8", "surrogatepass"), before)
 
@@ -189,7 +211,7 @@ def content(node: Node, before: int = 0) -> int:
 def folded(node: Node, page: int | None = None) -> tuple[str, Node]:
     """The element's stream and pattern, with equal neighbours as one repeated group."""
     if page is None:
-        page = content(node)
+        page = content(settled(node))
     if node.tag == "#":
         out = Node("#", "#")
         out.text, out.chars, out.link, out.seen = crc(node.text), node.chars, node.link, [page]
@@ -209,7 +231,7 @@ def folded(node: Node, page: int | None = None) -> tuple[str, Node]:
 
 def merged(a: Node, b: Node, same_page: bool = False) -> Node:
     """The pattern of what either pattern describes."""
-    out = Node(a.tag, a.key, a.out, a.main)
+    out = Node(a.tag, a.key, a.out and b.out, a.main)
     out.pages = max(a.pages, b.pages) if same_page else a.pages + b.pages
     out.chars, out.link = a.chars + b.chars, a.link + b.link
     out.optional, out.repeated = a.optional or b.optional, a.repeated or b.repeated
@@ -335,11 +357,13 @@ def extract(page: str | None, decision: dict | None = None) -> str:
     """The article's blocks, joined by an empty line; a page of nothing but template decides for itself."""
     if not page:
         return ""
-    root = parse(page)
-    found = [t for m in named(root) for t in texts(m)]
-    if not found and decision and decision["fixed"]:
-        found = framed(root, frozenset(decision["fixed"]))
-    return "\n\n".join(found or framed(root, frozenset()))
+
+    def found(fixed: frozenset[str]) -> list[str]:
+        root = settled(parse(page), fixed)
+        return [t for m in named(root) for t in texts(m)] or framed(root, fixed)
+
+    fixed = frozenset(decision["fixed"]) if decision else frozenset()
+    return "\n\n".join(found(fixed) or (found(frozenset()) if fixed else []))
 
 
 def infer_wrappers(pages: DataFrame, page: str = "html", host: str = "host") -> DataFrame:

@@ -86,3 +86,27 @@ def test_a_part_of_one_copied_page_is_no_template(spark):
     others = [f"<body><div class=post><p>Text {i}</p></div></body>" for i in range(9)]
     got = {r.page_id: r.text for r in main_text(pages_of(spark, [copied] * 9 + others)).collect()}
     assert got[0] == "Own\n\nOnly here" and got[9] == "Text 0"
+
+
+WORDY = [
+    '<body class="single has-sidebar"><div><p>{0}</p></div></body>',
+    '<html class="no-js cookies"><body><div class=x><p>{0}</p></div></body></html>',
+    '<body><article class="post comments-open"><p>{0}</p></article></body>',
+    '<body><main class="with-sidebar"><p>{0}</p></main></body>',
+    '<body><div id="page-widget"><article><p>{0}</p></article></div><p>Other text that is longer than the short article is</p></body>',
+    '<body><div id="social-history"><p>{0}</p></div><div class="newsletter"><p>Get it</p></div></body>',
+    '<body><div class="menu-wrap"><div class="banner-box"><p>{0}</p><div class="share"><p>Share</p></div></div></div></body>',
+]
+
+
+def test_class_words_never_discard_the_article(spark):
+    for shape in WORDY:
+        assert extract(shape.format("The article of the page")) == "The article of the page"
+        got = main_text(pages_of(spark, [shape.format(f"The article of page {i}") for i in range(8)])).collect()
+        assert {r.text for r in got} == {f"The article of page {i}" for i in range(8)}
+
+
+def test_a_long_notice_that_all_pages_share_is_discarded(spark):
+    """It holds most of a page's text, but is template."""
+    bodies = [f"<body><div class=cookie-box><p>{'We use cookies. ' * 30}</p></div><div class=x><p>Text {i}</p><p>End {i}</p></div></body>" for i in range(8)]
+    assert {r.page_id: r.text for r in main_text(pages_of(spark, bodies)).collect()} == {i: f"Text {i}\n\nEnd {i}" for i in range(8)}
