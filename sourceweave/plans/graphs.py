@@ -90,6 +90,13 @@ def call_chain(spark, sf):
     return gr.call_chain(edges, nodes.where("name like 'main%' or name like 'load%'"), 5)
 
 
+@plan("call_chain_all")
+def call_chain_all(spark, sf):
+    """To the fixed point; ``call_chain`` stops at depth 5."""
+    nodes, edges = _graph(spark, sf)
+    return gr.call_chain(edges, nodes.where("name like 'main%' or name like 'load%'"))
+
+
 @plan(
     "call_graph_stats",
     f"with {CALL_SQL} select n.project_id, count(*) as total_nodes, (select count(*) from edges e where e.project_id = n.project_id) as total_edges, "

@@ -19,8 +19,8 @@ SESSIONS = (
 )
 
 
-def _sessions(spark, sf):
-    c = table(spark, sf, "conversations").where("conv_id % 3 <> 0").select("conv_id").distinct()
+def _sessions(spark, sf, stored="conv_id % 3 <> 0"):
+    c = table(spark, sf, "conversations").where(stored).select("conv_id").distinct()
     return c.select(
         F.col("conv_id").alias("session_id"),
         F.concat(F.lit("p"), (F.col("conv_id") % 7).cast("string")).alias("project_id"),
@@ -100,6 +100,30 @@ def session_list(spark, sf):
     return hi.session_list(_sessions(spark, sf), messages(spark, sf), offset=5, limit=50)
 
 
+# Every conversation has a session here; every fourth has a title.
+ALL_SESSIONS = SESSIONS.replace(" where conv_id % 3 <> 0", "")
+
+
+@plan(
+    "set_missing_titles_all",
+    f"with {MSG}, {ALL_SESSIONS}, r as (select *, row_number() over (partition by session_id order by ts, turn) as k from msg where role = 'user') select s.session_id, s.project_id, "
+    "coalesce(nullif(s.title, ''), left(content, 50) || case when length(content) > 50 then '...' else '' end) as title from sessions s left join r on r.session_id = s.session_id and k = 1",
+)
+def set_missing_titles_all(spark, sf):
+    out = hi.set_missing_titles(_sessions(spark, sf, "true"), hi.session_titles(messages(spark, sf)))
+    return out.select("session_id", "project_id", "title")
+
+
+@plan(
+    "session_list_all",
+    f"with {MSG}, {ALL_SESSIONS}, {LAST} select s.session_id, project_id, chat_mode, updated_at, coalesce(nullif(title, ''), case when c <> '' then concat(left(c, 30), '...') end, {q(hi.DEFAULT_TITLE)}) as title, coalesce(n, 0) as message_count "
+    "from sessions s left join l on l.session_id = s.session_id",
+)
+def session_list_all(spark, sf):
+    """Without pages; ``session_list`` is one page of two of three conversations."""
+    return hi.session_list(_sessions(spark, sf, "true"), messages(spark, sf))
+
+
 @plan("session_counts", f"with {MSG} select session_id, count(*) as message_count from msg group by 1")
 def session_counts(spark, sf):
     return hi.session_counts(messages(spark, sf))

@@ -11,7 +11,7 @@ from sourceweave.operators import retrieval as rt
 from sourceweave.operators import snapshots as sn
 from sourceweave.plans.inventory import keep_sql
 from sourceweave.plans.minesql import strip
-from sourceweave.plans.registry import plan
+from sourceweave.plans.registry import PLANS, plan
 from sourceweave.plans.sqltext import CORPUS, DOCS, SUFFIX, in_list, q
 from sourceweave.sources import files as fs
 from sourceweave.sources.corpus import corpus
@@ -506,9 +506,13 @@ HITS = (
 )
 
 
-def _hits(spark, sf):
+# All turns of the conversation, for every answer.
+ALL_HITS = HITS.replace(" and b.turn < 6 and a.turn > 0", "")
+
+
+def _hits(spark, sf, hits=HITS):
     table(spark, sf, "conversations").createOrReplaceTempView("answer_turns")
-    return spark.sql(HITS.format("answer_turns")).withColumn("score", F.col("score").cast("double"))
+    return spark.sql(hits.format("answer_turns")).withColumn("score", F.col("score").cast("double"))
 
 
 @plan(
@@ -552,6 +556,25 @@ def smart_confidence(spark, sf):
     return cx.smart_confidence(_answers(spark, sf), _hits(spark, sf)).withColumn("confidence", F.round("confidence", 6))
 
 
+def _over_all_hits(name: str) -> str:
+    return PLANS[name].sql.replace(HITS.format("conversations"), ALL_HITS.format("conversations"))
+
+
+@plan("add_sources_all", _over_all_hits("add_sources"))
+def add_sources_all(spark, sf):
+    return cx.add_sources(_answers(spark, sf), _hits(spark, sf, ALL_HITS))
+
+
+@plan("answer_confidence_all", _over_all_hits("answer_confidence"))
+def answer_confidence_all(spark, sf):
+    return cx.answer_confidence(_answers(spark, sf), _hits(spark, sf, ALL_HITS)).withColumn("confidence", F.round("confidence", 6))
+
+
+@plan("smart_confidence_all", _over_all_hits("smart_confidence"))
+def smart_confidence_all(spark, sf):
+    return cx.smart_confidence(_answers(spark, sf), _hits(spark, sf, ALL_HITS)).withColumn("confidence", F.round("confidence", 6))
+
+
 REPLY = (
     "case event_id % 5 when 0 then concat('```json', chr(10), props, chr(10), '```') when 1 then concat('Here: ', props, ' ok') when 2 then props when 3 then concat('```', chr(10), '{bad') else concat('no ', event_type) end"
 )
