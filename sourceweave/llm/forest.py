@@ -67,6 +67,13 @@ class Forest:
         keys = self.keys(sample) if len(sample) else np.zeros((TREES, 0), np.int64)
         cut = [keys.shape[1] * b // blocks for b in range(1, blocks)]
         self.fences = np.sort(keys, axis=1)[:, cut]
+        self.pieces = np.ones((TREES, self.fences.shape[1] + 1), np.int64)
+
+    def cut(self, counts: dict[tuple[int, int], int], most: int) -> None:
+        """Cuts the blocks of over twice ``most`` vectors, whose keys may all be equal, into pieces by id."""
+        for (tree, block), n in counts.items():
+            if n > 2 * most:
+                self.pieces[tree, block] = -(-n // most)
 
     def lifted(self, x: np.ndarray, query: bool = False) -> np.ndarray:
         """One more component gives all vectors the same norm; queries get none."""
@@ -90,13 +97,13 @@ class Forest:
         return np.clip(np.floor(math.log(each) / np.log(same_bit)), 0, BITS).astype(np.int64)
 
 
-_POSTED = "tree int, block int, kind int, id long, key long, low long, high long, x binary"
+_POSTED = "tree int, block int, piece int, kind int, id long, key long, low long, high long, x binary"
 _NAMES = [c.split()[0] for c in _POSTED.split(", ")]
 
 
-def _posts(tree, block, kind, ids, key, low, high, xs) -> pa.RecordBatch:
-    kinds = [pa.int32()] * 3 + [pa.int64()] * 4
-    columns = [pa.array(np.asarray(c), t) for c, t in zip((tree, block, kind, ids, key, low, high), kinds, strict=True)]
+def _posts(tree, block, piece, kind, ids, key, low, high, xs) -> pa.RecordBatch:
+    kinds = [pa.int32()] * 4 + [pa.int64()] * 4
+    columns = [pa.array(np.asarray(c), t) for c, t in zip((tree, block, piece, kind, ids, key, low, high), kinds, strict=True)]
     return pa.RecordBatch.from_arrays([*columns, pa.array(xs, pa.binary())], _NAMES)
 
 
@@ -105,16 +112,38 @@ def _matrix(column, kind: str) -> np.ndarray:
     return np.frombuffer(b"".join(raw), kind).reshape(len(raw), -1).astype(np.float64) if raw else np.zeros((0, 0))
 
 
+def _mixed(ids: np.ndarray) -> np.ndarray:
+    """Well spread non-negative numbers of the ids."""
+    x = ids.astype(np.uint64)
+    for _ in range(2):
+        x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    return (x >> np.uint64(33)).astype(np.int64)
+
+
+def _block_sizes(given):
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f: Forest = given.value
+        sizes = np.zeros(f.pieces.shape, np.int64)
+        for b in batches:
+            keys = f.keys(_matrix(b.column("x"), f.kind)) if b.num_rows else np.zeros((TREES, 0), np.int64)
+            for t in range(TREES):
+                sizes[t] += np.bincount(np.searchsorted(f.fences[t], keys[t], "right"), minlength=sizes.shape[1])
+        tree, block = np.nonzero(sizes)
+        yield pa.RecordBatch.from_arrays([pa.array(tree, pa.int32()), pa.array(block, pa.int32()), pa.array(sizes[tree, block])], ["tree", "block", "n"])
+
+    return count
+
+
 def _index_rows(given):
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f: Forest = given.value
         for b in batches:
             xs, ids = b.column("x").to_pylist(), b.column("id").to_numpy()
             keys = f.keys(_matrix(b.column("x"), f.kind))
-            zero = np.zeros(len(ids), np.int64)
+            zero, mixed = np.zeros(len(ids), np.int64), _mixed(ids)
             for t in range(TREES):
                 block = np.searchsorted(f.fences[t], keys[t], "right")
-                yield _posts(zero + t, block, zero, ids, keys[t], zero, zero, xs)
+                yield _posts(zero + t, block, mixed % f.pieces[t][block], zero, ids, keys[t], zero, zero, xs)
 
     return place
 
@@ -143,26 +172,30 @@ def _query_rows(given, deep: bool):
                 n = to - first + 1
                 take = np.repeat(np.arange(len(ids)), n)
                 block = np.concatenate([np.arange(a, z + 1) for a, z in zip(first, to, strict=True)]) if len(ids) else take
+                # A query goes to every piece of its blocks.
+                each = f.pieces[t][block]
+                piece = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+                take, block = np.repeat(take, each), np.repeat(block, each)
                 for k in range(0, len(take), 8192):
                     i = take[k : k + 8192]
-                    yield _posts(np.full(len(i), t), block[k : k + 8192], np.ones(len(i)), ids[i], key[i], low[i], high[i], [xs[j] for j in i])
+                    yield _posts(np.full(len(i), t), block[k : k + 8192], piece[k : k + 8192], np.ones(len(i)), ids[i], key[i], low[i], high[i], [xs[j] for j in i])
 
     return place
 
 
 def _search(k: int, deep: bool, kind_: str):
-    """Rows come by tree and block, vectors before queries: a block is held, queries stream past it."""
+    """Rows come by tree, block and piece, vectors before queries: a piece is held, queries stream past it."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, parts, block = None, [], None
         for b in batches:
-            tree, num, kind = (b.column(c).to_numpy() for c in ("tree", "block", "kind"))
-            changed = np.flatnonzero((np.diff(tree) != 0) | (np.diff(num) != 0) | (np.diff(kind) != 0)) + 1
+            tree, num, piece, kind = (b.column(c).to_numpy() for c in ("tree", "block", "piece", "kind"))
+            changed = np.flatnonzero((np.diff(tree) != 0) | (np.diff(num) != 0) | (np.diff(piece) != 0) | (np.diff(kind) != 0)) + 1
             for a, z in zip([0, *changed], [*changed, len(tree)], strict=True):
                 if a == z:
                     continue
-                if (tree[a], num[a]) != at:
-                    at, parts, block = (tree[a], num[a]), [], None
+                if (tree[a], num[a], piece[a]) != at:
+                    at, parts, block = (tree[a], num[a], piece[a]), [], None
                 part = b.slice(a, z - a)
                 if kind[a] == 0:
                     parts.append(part)
@@ -227,13 +260,16 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec
 
     longest = index.select("x").mapInArrow(norms, "n double").agg(F.max("n")).first()[0]
     blocks = -(-size // BLOCK)
-    given = spark.sparkContext.broadcast(Forest(points, min(blocks, len(points)), longest, kind))
+    forest = Forest(points, min(blocks, len(points)), longest, kind)
+    sizes = index.select("x").mapInArrow(_block_sizes(spark.sparkContext.broadcast(forest)), "tree int, block int, n long")
+    forest.cut({(r[0], r[1]): r[2] for r in sizes.groupBy("tree", "block").agg(F.sum("n")).collect()}, BLOCK)
+    given = spark.sparkContext.broadcast(forest)
     posted = index.mapInArrow(_index_rows(given), _POSTED)
-    parts = max(parallelism(spark), min(TREES * blocks, 8 * parallelism(spark)))
+    parts = max(parallelism(spark), min(int(forest.pieces.sum()), 8 * parallelism(spark)))
 
     def scored(asking: DataFrame, deep: bool) -> DataFrame:
         both = posted.unionAll(asking.mapInArrow(_query_rows(given, deep), _POSTED))
-        both = both.repartition(parts, "tree", "block").sortWithinPartitions("tree", "block", "kind")
+        both = both.repartition(parts, "tree", "block", "piece").sortWithinPartitions("tree", "block", "piece", "kind")
         found = both.mapInArrow(_search(k + 1, deep, kind), "query_id long, id long, score double")
         return found.groupBy("query_id", "id").agg(F.max("score").alias("score"))
 

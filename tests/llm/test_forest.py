@@ -1,4 +1,7 @@
+from collections import Counter
+
 import numpy as np
+import pyarrow as pa
 
 from sourceweave.llm import forest
 from sourceweave.llm.forest import nearest
@@ -45,3 +48,40 @@ def test_copies_ties_and_odd_rows(spark):
     few = nearest(vectors.filter("vec_id < 3"), vectors.filter("vec_id = 1"), 5).collect()
     assert [(r.rank, r.vec_id) for r in few] == [(1, 0), (2, 2)]
     assert nearest(vectors.limit(0), vectors.limit(0)).collect() == []
+
+
+def near_copies(n):
+    """Half of the vectors are nearly the same and share their whole strings."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(n, 8))
+    x[: n // 2] = x[0] + 1e-9 * rng.normal(size=(n // 2, 8))
+    return x
+
+
+def test_near_copies_are_cut_into_pieces():
+    x = near_copies(2000)
+    f = forest.Forest(x[::4], 20, float(np.linalg.norm(x, axis=1).max()), "<f8")
+    given = type("Given", (), {"value": f})
+    batch = pa.RecordBatch.from_arrays([pa.array(range(2000), pa.int64()), pa.array([v.tobytes() for v in x], pa.binary())], ["id", "x"])
+    found = next(forest._block_sizes(given)(iter([batch])))
+    f.cut({(t, b): n for t, b, n in zip(*[c.to_pylist() for c in found.columns], strict=True)}, 100)
+    groups, ids = Counter(), {}
+    for part in forest._index_rows(given)(iter([batch])):
+        for t, b, p, i in zip(*[part.column(c).to_pylist() for c in ("tree", "block", "piece", "id")], strict=True):
+            groups[t, b, p] += 1
+            ids.setdefault(t, set()).add(i)
+    assert max(groups.values()) <= 200 and all(len(v) == 2000 for v in ids.values())
+
+
+def test_pieces_lose_no_neighbour(spark, monkeypatch):
+    monkeypatch.setattr(forest, "BLOCK", 20)
+    x = near_copies(400)
+    frame = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in forest.nearest(frame, frame.filter("vec_id % 10 = 0"), 5).collect():
+        got.setdefault(r.query_id, {})[r.rank] = r.score
+    hit = 0
+    for q in range(0, 400, 10):
+        want = np.sort(np.delete(x @ x[q], q))[::-1][:5]
+        hit += sum(abs(got[q][i + 1] - s) < 1e-6 for i, s in enumerate(want))
+    assert hit >= 0.97 * 200  # TARGET
