@@ -21,9 +21,3 @@ def spark():
 @pytest.fixture(scope="session")
 def sf():
     return SF
-
-
-def files_of(spark, **contents):
-    """``files`` frame of one project; keys use ``__`` for ``/`` and end in ``_ext``."""
-    rows = [("p", path.replace("__", "/")[::-1].replace("_", ".", 1)[::-1], text) for path, text in contents.items()]
-    return spark.createDataFrame(rows, "project_id string, path string, content string")

@@ -3,7 +3,7 @@
 import os
 import tempfile
 
-from conftest import files_of
+from samples import files_of
 from pyspark.sql import functions as F
 
 from sourceweave.operators import frontend as fe

@@ -1,6 +1,6 @@
 """Symbol extraction on small sources."""
 
-from conftest import files_of
+from samples import files_of
 
 from sourceweave.operators import models as mo
 from sourceweave.operators import symbols as sy
