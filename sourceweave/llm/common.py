@@ -60,3 +60,27 @@ def batches_of(rows: Iterator[tuple], schema: pa.Schema, size: int = 4096) -> It
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     columns = list(zip(*rows, strict=True))
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+_ARROW = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary(), "array<string>": pa.list_(pa.string()), "array<long>": pa.list_(pa.int64())}
+
+
+class Rows:
+    """Tuples gathered into Arrow batches of bounded bytes; columns as in ``"name type, ..."``."""
+
+    def __init__(self, ddl: str):
+        self.schema = pa.schema([(name, _ARROW[kind]) for name, kind in (c.split() for c in ddl.split(", "))])
+        self.rows: list[tuple] = []
+        self.size = 0
+
+    def add(self, row: tuple, size: int = 0) -> bool:
+        """Keep one row; true once a batch is due."""
+        self.rows.append(row)
+        self.size += size + 64
+        return self.size >= BATCH_BYTES
+
+    def batch(self) -> pa.RecordBatch:
+        columns = zip(*self.rows, strict=True) if self.rows else [[]] * len(self.schema)
+        arrays = [pa.array(c, f.type) for c, f in zip(columns, self.schema, strict=True)]
+        self.rows, self.size = [], 0
+        return pa.RecordBatch.from_arrays(arrays, schema=self.schema)

@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sourceweave.llm import chat, decontam, forest, jaccard, langid, packing, ring, tokencount, urlrules, wrappers
+from sourceweave.llm import (
+    chat, collocations, decontam, divergence, exacthash, forest, jaccard, langid, packing, ring, tokencount, urlrules, wrappers,
+)
 from sourceweave.llm.common import table
 
 
@@ -66,6 +68,18 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score", "rejected")
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exacthash.exact_groups(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_wrapper_text,
@@ -78,8 +92,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_best_fit_packing,
         op9_chat_format,
         op10_language_id,
+        op11_source_divergence,
+        op12_collocations,
+        op13_exact_dedup,
     )
 }
 
 #: Checking SQL where SQL can express the whole result.
-ORACLES: dict[str, str] = {"op3_url_rules": urlrules.ORACLE, "op6_jaccard_join": jaccard.ORACLE, "op9_chat_format": chat.ORACLE}
+ORACLES: dict[str, str] = {
+    "op3_url_rules": urlrules.ORACLE,
+    "op6_jaccard_join": jaccard.ORACLE,
+    "op9_chat_format": chat.ORACLE,
+    "op11_source_divergence": divergence.ORACLE,
+    "op12_collocations": collocations.ORACLE,
+    "op13_exact_dedup": exacthash.ORACLE,
+}
