@@ -1,20 +1,21 @@
 """Functions, classes, imports, variables and calls of source files.
 
-Symbols are found by declaration patterns and block extents by one ordered
-fold over the lines of a file, inside the row that holds the file: indentation
-closes Python blocks, brace depth closes the others. Nothing is shuffled.
-
-Limits: this is a line-based reading, not a syntax tree. Code-like text inside
-multi-line strings and comments can match, and braces inside string literals
-count for the depth.
+Text is first masked by its tokens (``functions.lexer``), so strings and comments
+never count as code, and brackets without statements are joined over lines. Symbols
+are found by declaration patterns on these logical lines and block extents by one
+ordered fold, inside the row that holds the file: indentation closes Python blocks,
+brace depth closes the others. Nothing is shuffled.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sourceweave.functions import grammar as G
+from sourceweave.functions.lexer import JOIN, code_lines, items_of, java, masked, nested
 from sourceweave.functions.lines import contains_any, extract, first_of, let, lines_of, non_empty, segments, strip
 from sourceweave.sources.files import directory, language_of, skip_filter
 
@@ -53,7 +54,7 @@ def _next_state(stack: str, done: str, at: str, depth: str) -> str:
     return (
         f"element_at(transform(array(named_struct('stack', {stack}, 'done', {done})), v -> named_struct('stack', v.stack, 'done', v.done, "
         f"'marks', case when {cur} <> s.cur then concat(s.marks, array(named_struct('at', {at}, 'name', coalesce({owner}.name, '')))) else s.marks end, "
-        f"'cur', {cur}, 'depth', {depth}, 'last', l.no, 'decos', case when l.deco then s.decos + 1 else 0 end)), 1)"
+        f"'cur', {cur}, 'depth', {depth}, 'last', l.no, 'decos', case when l.deco or (l.inside and s.decos > 0) then s.decos + 1 else 0 end)), 1)"
     )
 
 
@@ -100,9 +101,9 @@ def _declaration(line: Column, language: Column) -> Column:
     return out
 
 
-def _line_info(lines: Column, language: Column) -> Column:
+def _line_info(code: Column, language: Column) -> Column:
     """Facts per code line the fold needs; blank lines are left out first."""
-    numbered = F.transform(lines, lambda x, i: F.struct((i + 1).alias("no"), x.alias("text")))
+    numbered = F.transform(code, lambda x, i: F.struct((i + 1).alias("no"), x["text"].alias("text"), x["whole"].alias("whole"), x["inside"].alias("inside")))
     script = language.isin("javascript", "typescript")
 
     def info(row: Column) -> Column:
@@ -112,35 +113,38 @@ def _line_info(lines: Column, language: Column) -> Column:
 
         def facts(v: Column) -> Column:
             kind = F.coalesce(v["d"]["kind"], F.lit(""))
-            single = ((v["open"] > 0) & (v["open"] <= v["close"])) | ((v["open"] == 0) & ((kind == "arrow") | x.rlike(r";\s*$")))
+            single = ((v["open"] > 0) & (v["open"] <= v["close"])) | ((v["open"] == 0) & ((kind == "arrow") | row["whole"].rlike(r";\s*$")))
             return F.struct(
                 row["no"].alias("no"),
                 (F.length(x) - F.length(F.ltrim(x, F.lit(" \t\r\f\u000b")))).alias("level"),
-                x.rlike(r"^\s*[)\]}]").alias("cont"),
+                (row["inside"] | x.rlike("^\\s*[)\\]}\u0001]")).alias("cont"),
                 kind.alias("kind"),
                 F.coalesce(v["d"]["name"], F.lit("")).alias("name"),
                 # in scripts only function declarations name the caller
                 F.when(script, kind == "function").otherwise(kind.isin("function", "method")).alias("sets"),
                 (v["open"] - v["close"]).alias("delta"),
                 single.alias("single"),
-                F.ltrim(x, F.lit(" \t\r\f\u000b")).startswith("@").alias("deco"),
+                row["whole"].rlike(java(G.DECORATOR)).alias("deco"),
+                row["inside"].alias("inside"),
             )
 
-        return let(F.struct(_declaration(x, language).alias("d"), n_open.alias("open"), n_close.alias("close")), facts)
+        return let(F.struct(_declaration(row["whole"], language).alias("d"), n_open.alias("open"), n_close.alias("close")), facts)
 
     return F.transform(F.filter(numbered, lambda r: r["text"].rlike(r"\S")), info)
 
 
 def scoped_files(files: DataFrame) -> DataFrame:
-    """Files with ``lines``, block ``spans`` and the ``owners`` ranges.
+    """Files with ``lines``, masked ``code``, block ``spans`` and the ``owners`` ranges.
 
     ``spans`` is ``array<struct<first,last,kind,name,decos,pk,pn>>`` (``pk``/``pn``
     name the enclosing block); ``owners`` cuts the file into disjoint line
-    ranges with the same enclosing function.
+    ranges with the same enclosing function. ``masked`` is the text without strings
+    and comments, ``code`` its lines.
     """
     src = files.withColumn("language", language_of(F.col("path"))).where("language is not null")
-    src = src.select("project_id", "path", "language", "content", lines_of(F.col("content")).alias("lines"))
-    src = src.withColumn("info", _line_info(F.col("lines"), F.col("language")))
+    src = src.select("project_id", "path", "language", "content", lines_of(F.col("content")).alias("lines"), masked().alias("masked"))
+    src = src.withColumn("code", code_lines("masked"))
+    src = src.withColumn("info", _line_info(F.col("code"), F.col("language")))
     fold = (
         f"case when language = 'python' then aggregate(info, {_START}, (s, l) -> {_INDENT_STEP}) "
         f"else aggregate(info, {_START}, (s, l) -> {_BRACE_STEP}) end"
@@ -149,10 +153,26 @@ def scoped_files(files: DataFrame) -> DataFrame:
         "spans", F.expr("concat(f.done, " + _closed("f.stack", "f.last") + ")")
     )
     return out.select(
-        "project_id", "path", "language", "content", "lines", "spans", segments(F.col("f.marks"), F.size("lines"), "").alias("owners")
+        "project_id", "path", "language", "content", "lines", "masked", "code", "spans", segments(F.col("f.marks"), F.size("lines"), "").alias("owners")
     )
 
 
+def _decorators(first: Column, count: Column) -> Column:
+    """Texts of the decorator lines right above a block; one that runs over lines stays one."""
+    both = F.arrays_zip(F.slice("lines", first - count, count).alias("line"), F.slice("code", first - count, count).alias("code"))
+    text = F.array_join(F.transform(both, lambda b: F.concat(F.when(b["code"]["inside"], JOIN).otherwise("\n"), b["line"])), "")
+    parts = F.filter(F.split(text, "\n"), lambda d: d != "")
+    return F.transform(parts, lambda d: F.regexp_replace(strip(F.replace(d, F.lit(JOIN), F.lit("\n"))), "^@", ""))
+
+
+def _text_of(lines: str, first: Column, last: Column) -> Column:
+    return F.array_join(F.slice(lines, first, last - first + 1), "\n")
+
+
+def _code_of(first: Column, last: Column) -> Column:
+    return F.array_join(F.transform(F.slice("code", first, last - first + 1), lambda c: c["text"]), "\n")
+
+
 def block_spans(files: DataFrame) -> DataFrame:
     """Start and end line of every function, method and class."""
     rows = scoped_files(files).select("project_id", "path", "language", F.inline_outer("spans")).where("first is not null")
@@ -166,6 +186,12 @@ def _go_receiver(head: Column) -> Column:
     return extract(head, r"^func\s+\(\s*\w+\s+\*?(\w+)(?:\[[^()]*\])?\s*\)")
 
 
+def _docstring(body: Column, code: Column, head: str) -> Column:
+    """The string that a Python block begins with; comments before it are blank in ``code``."""
+    rest = F.substr(body, F.length(F.regexp_extract(code, head, 0)) + 1)
+    return F.coalesce(*[extract(rest, "^[rRuU]?" + quote) for quote in G.DOCSTRINGS], F.lit(""))
+
+
 def extract_functions(files: DataFrame) -> DataFrame:
     """Functions and methods with extent, signature, docstring and decorators.
 
@@ -173,19 +199,23 @@ def extract_functions(files: DataFrame) -> DataFrame:
     included); other languages: every declaration. ``class_name`` is empty for
     plain functions.
     """
-    rows = scoped_files(files).select("project_id", "path", "language", "lines", F.explode_outer("spans").alias("s"))
+    rows = scoped_files(files).select("project_id", "path", "language", "lines", "code", F.explode_outer("spans").alias("s"))
     s = F.col("s")
     python = F.col("language") == "python"
     rows = rows.where((s["kind"] != "class") & (~python | (s["pk"].isin("", "class"))))
-    body = F.array_join(F.slice("lines", s["first"], s["last"] - s["first"] + 1), "\n")
-    rows = rows.select("project_id", "path", "language", "s", body.alias("body"), F.slice("lines", s["first"] - s["decos"], s["decos"]).alias("deco"))
-    name, b = s["name"], F.col("body")
-    head = F.regexp_extract(b, r"^[^\n]*", 0)
+    rows = rows.select(
+        "project_id", "path", "language", "s", _text_of("lines", s["first"], s["last"]).alias("body"), _code_of(s["first"], s["last"]).alias("code"),
+        _decorators(s["first"], s["decos"]).alias("decorators"),
+    )
+    name, b, code = s["name"], F.col("body"), F.col("code")
+    head = F.regexp_extract(code, r"^[^\n]*", 0)
     # the first bracket after the name is the parameter list (Go methods carry a receiver before it)
-    sig = F.regexp_replace(b, r"^func\s+\([^)]*\)\s*", "func ")
-    after = F.regexp_extract(sig, r"^[^(]*" + G.PARAMS + r"([^\n]*)", 2)
+    before = F.length(F.regexp_extract(code, G.SIGNATURE, 1))
+    inner = F.regexp_extract(code, G.SIGNATURE, 2)
+    after = F.regexp_extract(code, G.SIGNATURE, 3)
     bare_arrow = extract(head, r"=\s*(?:async\s*)?(\w+)\s*=>")
-    params = F.coalesce(bare_arrow, F.regexp_extract(sig, r"^[^(]*" + G.PARAMS, 1))
+    params = F.coalesce(bare_arrow, F.substr(b, before + 1, F.length(inner)))
+    param_code = F.coalesce(bare_arrow, inner)
     lang = F.col("language")
     returns = (
         F.when(lang == "python", F.regexp_extract(after, r"^\s*->\s*([^:]+)", 1))
@@ -194,9 +224,7 @@ def extract_functions(files: DataFrame) -> DataFrame:
         .when(lang == "go", F.regexp_extract(after, r"^\s*([^{]*)", 1))
         .otherwise("")
     )
-    docs = r"^\s*(?:async\s+)?def\s+\w+\s*" + G.PARAMS + r"[^:\n]*:\s*"
-    quotes = [r'"""([\s\S]*?)"""', r"'''([\s\S]*?)'''", r'"([^"\n]*)"', r"'([^'\n]*)'"]
-    doc = F.coalesce(*[extract(b, docs + quote, 2) for quote in quotes], F.lit(""))
+    doc = _docstring(b, code, G.PY_HEAD)
     return rows.select(
         "project_id",
         "path",
@@ -207,10 +235,11 @@ def extract_functions(files: DataFrame) -> DataFrame:
         .alias("class_name"),
         s["first"].alias("start_line"),
         s["last"].alias("end_line"),
-        strip(params).alias("params"),
+        params.alias("params"),
+        param_code.alias("param_code"),
         strip(returns).alias("return_type"),
         F.when(lang == "python", doc).otherwise("").alias("docstring"),
-        F.transform("deco", lambda d: F.regexp_replace(strip(d), "^@", "")).alias("decorators"),
+        "decorators",
         head.rlike(r"\basync\b").alias("is_async"),
         F.when(lang == "go", _go_receiver(head).isNotNull()).otherwise(s["pk"] == "class").alias("is_method"),
         "body",
@@ -219,7 +248,7 @@ def extract_functions(files: DataFrame) -> DataFrame:
 
 def extract_parameters(functions: DataFrame) -> DataFrame:
     """One row per parameter: name, type and default."""
-    pieces = F.filter(F.transform(F.regexp_extract_all("params", F.lit(G.PARAM), 1), lambda p: strip(p)), lambda p: p.rlike(r"\w"))
+    pieces = F.expr(f"filter({items_of('param_code', 'params', G.ANGLED)}, p -> p rlike '\\\\w')")
     rows = functions.select(
         "project_id", "path", "language", F.col("name").alias("function"), "class_name", "start_line", F.posexplode_outer(pieces).alias("pos", "p")
     ).where("pos is not null")
@@ -246,28 +275,31 @@ def extract_parameters(functions: DataFrame) -> DataFrame:
 
 
 def extract_classes(files: DataFrame) -> DataFrame:
-    """Classes, interfaces and structs with bases and method count."""
-    rows = scoped_files(files).select("project_id", "path", "language", "lines", "spans", F.explode_outer("spans").alias("s"))
+    """Classes, interfaces and structs with bases, decorators and method count."""
+    rows = scoped_files(files).select("project_id", "path", "language", "lines", "code", "spans", F.explode_outer("spans").alias("s"))
     s = F.col("s")
     rows = rows.where(s["kind"] == "class").select(
         "project_id",
         "path",
         "language",
         "s",
-        F.get("lines", s["first"] - 1).alias("head"),
-        F.array_join(F.slice("lines", s["first"], s["last"] - s["first"] + 1), "\n").alias("body"),
+        F.get("code", s["first"] - 1)["whole"].alias("head"),
+        _text_of("lines", s["first"], s["last"]).alias("body"),
+        _code_of(s["first"], s["last"]).alias("code"),
+        _decorators(s["first"], s["decos"]).alias("decorators"),
         F.size(
             F.filter("spans", lambda m: (m["kind"] != "class") & (m["pk"] == "class") & (m["pn"] == s["name"]) & m["first"].between(s["first"], s["last"]))
         ).alias("method_count"),
     )
-    head, lang = F.col("head"), F.col("language")
-    python_bases = F.regexp_extract(head, r"class\s+\w+\s*\(([^)]*)\)", 1)
-    other_bases = F.concat_ws(
-        ",", non_empty(F.regexp_extract(head, r"extends\s+([\w.]+)", 1)), non_empty(F.regexp_extract(head, r"implements\s+([\w.,\s]+?)\s*\{", 1))
-    )
-    bases = F.when(lang == "python", python_bases).otherwise(other_bases)
-    clean = F.filter(F.transform(F.split(bases, ","), lambda x: strip(x)), lambda x: (x != "") & ~x.contains("="))
-    doc = F.coalesce(extract(F.col("body"), r'^\s*class\s[^\n]*:\s*"""([\s\S]*?)"""'), F.lit(""))
+    lang = F.col("language")
+    # the type parameters of the class itself may hold the word extends
+    head = F.regexp_replace("head", G.OWN_TYPES, "$1")
+    python_bases = F.regexp_extract(head, G.PY_BASES, 1)
+    other_bases = F.concat_ws(",", *[non_empty(F.regexp_extract(head, p, 1)) for p in G.BASES])
+    rows = rows.withColumn("bases", F.when(lang == "python", python_bases).otherwise(other_bases))
+    types = F.expr(items_of("bases", "bases", "language <> 'python'"))
+    clean = F.filter(F.transform(types, lambda x: F.regexp_replace(x, r"\s+", " ")), lambda x: ~x.contains("="))
+    doc = _docstring(F.col("body"), F.col("code"), G.PY_CLASS_HEAD)
     return rows.select(
         "project_id",
         "path",
@@ -277,66 +309,72 @@ def extract_classes(files: DataFrame) -> DataFrame:
         s["last"].alias("end_line"),
         F.array_join(clean, ",").alias("base_classes"),
         F.when(lang == "python", doc).otherwise("").alias("docstring"),
+        "decorators",
         "method_count",
         "body",
+        "code",
     )
 
 
 def extract_attributes(classes: DataFrame) -> DataFrame:
-    """``name = value`` statements directly inside a Python class body and field declarations of scripts."""
-    body = F.split("body", "\n", -1)
-    rows = classes.where(F.col("language").isin("python", "typescript")).select(
-        "project_id", "path", "language", F.col("name").alias("class_name"), "start_line", F.explode(F.slice(body, 2, F.size(body))).alias("line"),
-        F.regexp_extract("body", r"^[^\n]*\n(?:\s*\n)*([ \t]+)", 1).alias("margin"),
+    """Members directly inside a class body: Python assignments, script and Java fields, fields of Go structs.
+
+    ``value`` is the assigned value in Python and the declared type elsewhere; an
+    embedded Go type is a field of its own name.
+    """
+    body, code = F.split("body", "\n", -1), F.split("code", "\n", -1)
+    rows = classes.where(F.col("language").isin("python", "typescript", "java") | ((F.col("language") == "go") & F.col("code").rlike(r"^[^\n{]*\bstruct\b")))
+    both = F.arrays_zip(F.slice(body, 2, F.size(body)).alias("line"), F.slice(code, 2, F.size(code)).alias("code"))
+    rows = rows.select(
+        "project_id", "path", "language", F.col("name").alias("class_name"), "start_line", F.posexplode(both).alias("pos", "l"),
+        F.regexp_extract("code", r"^[^\n]*\n(?:\s*\n)*([ \t]+)", 1).alias("margin"),
+    ).select("project_id", "path", "language", "class_name", "start_line", "pos", "l.line", F.col("l.code").alias("code"), "margin")
+    line, code, lang = F.col("line"), F.col("code"), F.col("language")
+    inner = code.startswith(F.col("margin")) & ~F.substr(code, F.length("margin") + 1).rlike(r"^\s")
+    # a declaration may name several fields at once
+    names = F.lit("")
+    kind = F.lit("")
+    for one, pattern in G.FIELDS.items():
+        names = F.when(lang == one, F.regexp_extract(code, pattern, 1)).otherwise(names)
+    for one, pattern in G.FIELD_VALUES.items():
+        kind = F.when(lang == one, F.regexp_extract(code, pattern, 1)).otherwise(kind)
+    kind = F.when(lang == "python", F.substr(line, F.length(F.regexp_extract(code, G.UP_TO_VALUE, 0)) + 1, F.length(kind))).otherwise(kind)
+    rows = rows.where(inner).withColumn("names", names).withColumn("value", strip(kind)).where("names <> ''")
+    found = F.transform(F.expr(items_of("names", "names")), lambda x: F.regexp_extract(x, r"(\w[\w.]*)", 1))
+    found = F.when(lang.isin("java", "go"), found).otherwise(F.array("names"))
+    rows = rows.withColumn("found", found).select("*", F.explode_outer("found").alias("name"))
+    return rows.where("name <> ''").select(
+        "project_id", "path", "class_name", "start_line",
+        F.when(lang == "go", F.regexp_extract("name", r"(\w+)$", 1)).otherwise(F.col("name")).alias("name"), "value",
     )
-    line = F.col("line")
-    python = F.col("language") == "python"
-    inner = line.startswith(F.col("margin")) & ~F.substr(line, F.length("margin") + 1).rlike(r"^\s")
-    field = F.when(python, r"^\s*([\w.]+)\s*(?::[^=]+)?=\s*[^=]").otherwise(r"^\s*(?:(?:public|private|protected|readonly|static)\s+)*(\w+)\??\s*:\s*[^({]+;?$")
-    found = first_of(F.regexp_extract_all(line, field, F.lit(1)))
-    value = F.when(python, F.regexp_extract(line, r"^[^=]*=\s*(.*)$", 1)).otherwise(F.regexp_extract(line, r":\s*([^;=]+)", 1))
-    return rows.where(inner & found.isNotNull()).select(
-        "project_id", "path", "class_name", "start_line", found.alias("name"), strip(value).alias("value")
-    )
+
+
+def _found_imports() -> Column:
+    """Imports of a file in the order of their places: ``array<struct<module, names, is_from_import>>``."""
+    lang = F.col("language")
+
+    def groups(text: str, pattern: str, *numbers: int) -> list[Column]:
+        return [F.regexp_extract_all(text, F.lit(pattern), n) for n in numbers]
+
+    def row(module: Column, names: Column, is_from: Column) -> Column:
+        return F.struct(module.alias("module"), names.alias("names"), is_from.alias("is_from_import"))
+
+    whole, plain, origin, taken = groups("masked", G.PY_IMPORT, 1, 2, 3, 4)
+    python = F.transform(whole, lambda w, i: row(F.concat(F.get(plain, i), F.get(origin, i)), F.concat(w, F.get(taken, i)), F.get(origin, i) != ""))
+    names, module = groups("content", G.SCRIPT_IMPORT, 1, 2)
+    script = F.transform(module, lambda m, i: row(m, F.get(names, i), F.lit(True)))
+    (statement,) = groups("masked", G.JAVA_IMPORT, 1)
+    java_imports = F.transform(statement, lambda m: row(m, F.lit(""), F.lit(False)))
+    block, single = groups("content", G.GO_IMPORT, 1, 2)
+    modules = F.flatten(F.transform(block, lambda t, i: F.when(F.get(single, i) != "", F.array(F.get(single, i))).otherwise(F.regexp_extract_all(t, F.lit('"([^"]+)"'), 1))))
+    go = F.transform(modules, lambda m: row(m, F.lit(""), F.lit(False)))
+    return F.when(lang == "python", python).when(lang.isin("javascript", "typescript"), script).when(lang == "java", java_imports).otherwise(go)
 
 
 def extract_imports(files: DataFrame) -> DataFrame:
     """Import statements: module, imported names (``x as y`` keeps the alias), form."""
-    src = files.select("project_id", "path", language_of(F.col("path")).alias("language"), "content").where("language is not null")
-    c, lang = F.col("content"), F.col("language")
-
-    def both(pattern: str, module: int, names: int, is_from: bool) -> Column:
-        names_all = F.regexp_extract_all(c, F.lit(pattern), names)
-        return F.transform(
-            F.regexp_extract_all(c, F.lit(pattern), module),
-            lambda m, i: F.struct(m.alias("module"), F.get(names_all, i).alias("names"), F.lit(is_from).alias("is_from_import")),
-        )
-
-    def one(pattern: str, is_from: bool) -> Column:
-        return F.transform(
-            F.regexp_extract_all(c, F.lit(pattern), 1),
-            lambda m: F.struct(m.alias("module"), F.lit("").alias("names"), F.lit(is_from).alias("is_from_import")),
-        )
-
-    python = F.concat(
-        both(r"(?m)^import[ \t]+(([^,\n#]+)[^\n#]*)", 2, 1, False),
-        both(r"(?m)^from[ \t]+(\S+)[ \t]+import[ \t]+(\([^)]*\)|[^\n#]+)", 1, 2, True),
-    )
-    script = F.concat(
-        both(r"""(?m)^\s*import\s+([^;"']*?)\s*from\s*["']([^"']+)["']""", 2, 1, True),
-        one(r"""(?m)^\s*import\s*["']([^"']+)["']""", True),
-    )
-    java = one(r"(?m)^\s*(import\s+[^;]+;)", False)
-    go_block = F.flatten(
-        F.transform(F.regexp_extract_all(c, F.lit(r"(?m)^import\s*\(([^)]*)\)"), 1), lambda b: F.regexp_extract_all(b, F.lit('"([^"]+)"'), 1))
-    )
-    go = F.concat(
-        one(r'(?m)^import\s+(?:[\w.]+\s+)?"([^"]+)"', False),
-        F.transform(go_block, lambda m: F.struct(m.alias("module"), F.lit("").alias("names"), F.lit(False).alias("is_from_import"))),
-    )
-    found = F.when(lang == "python", python).when(lang.isin("javascript", "typescript"), script).when(lang == "java", java).otherwise(go)
-    rows = src.select("project_id", "path", "language", F.posexplode_outer(found).alias("pos", "m")).where("pos is not null")
-    piece = F.when(lang == "python", r"([\w.*]+(?:\s+as\s+\w+)?)").otherwise(r"(\*\s+as\s+\w+|[\w$]+(?:\s+as\s+\w+)?)")
+    rows = file_facts(files).select("project_id", "path", "language", F.posexplode_outer("imports").alias("pos", "m")).where("pos is not null")
+    piece = F.when(F.col("language") == "python", r"([\w.*]+(?:\s+as\s+\w+)?)").otherwise(r"(\*\s+as\s+\w+|[\w$]+(?:\s+as\s+\w+)?)")
     names = F.transform(F.regexp_extract_all(F.col("m.names"), piece, F.lit(1)), lambda n: F.regexp_replace(n, r"\s+", " "))
     return rows.select(
         "project_id", "path", "language", (F.col("pos") + 1).alias("ordinal"), strip(F.col("m.module")).alias("module"), names.alias("names"),
@@ -344,88 +382,122 @@ def extract_imports(files: DataFrame) -> DataFrame:
     )
 
 
-def extract_variables(files: DataFrame) -> DataFrame:
-    """Module-level assignments (Python) and bindings that are not functions (JS/TS)."""
-    src = files.select("project_id", "path", language_of(F.col("path")).alias("language"), lines_of(F.col("content")).alias("lines"))
-    rows = src.where(F.col("language").isin("python", "javascript", "typescript")).select(
-        "project_id", "path", "language", F.posexplode_outer("lines").alias("pos", "line")
+def _found_variables() -> Column:
+    """Assigned names of a file: ``array<struct<line_no, name, type, value>>``."""
+    lang = F.col("language")
+    both = F.transform(
+        F.arrays_zip(F.col("lines").alias("line"), F.col("code").alias("code")),
+        lambda b, i: F.struct((i + 1).alias("no"), b["line"].alias("line"), b["code"]["text"].alias("code")),
     )
-    line, lang = F.col("line"), F.col("language")
+
+    def rows(pattern: str, other: str | None = None) -> Column:
+        hit = F.filter(both, lambda b: b["code"].rlike(pattern) & (~b["code"].rlike(other) if other else F.lit(True)))
+
+        def row(b: Column) -> Column:
+            at = F.length(F.regexp_extract(b["code"], pattern, 1)) + 1
+            value = F.substr(b["line"], at, F.length(F.regexp_extract(b["code"], pattern, 4)))
+            name, kind = (F.regexp_extract(b["code"], pattern, g) for g in (2, 3))
+            return F.struct(b["no"].alias("line_no"), name.alias("name"), strip(kind).alias("type"), strip(value).alias("value"))
+
+        return F.transform(hit, row)
+
     arrow = G.DECLARATIONS["javascript"][2][1]
-    py = r"^([A-Za-z_]\w*)\s*(?::\s*([^=]+?))?\s*=\s*([^=].*)$"
-    js = r"^\s*(?:export\s+)?(?:const|let|var)\s+(\w+|\[[^\]]*\]|\{[^}]*\})\s*(?::\s*([^=]+?))?\s*=\s*(.+?);?\s*$"
-    ok = F.when(lang == "python", line.rlike(py)).otherwise(line.rlike(js) & ~line.rlike(arrow))
+    return F.when(lang == "python", rows(G.PY_VARIABLE)).when(lang.isin("javascript", "typescript"), rows(G.SCRIPT_VARIABLE, arrow))
 
-    def group(g: int) -> Column:
-        return F.when(lang == "python", F.regexp_extract(line, py, g)).otherwise(F.regexp_extract(line, js, g))
 
-    return rows.where(ok).select(
-        "project_id", "path", "language", (F.col("pos") + 1).alias("line_no"), group(1).alias("name"), strip(group(2)).alias("type"), strip(group(3)).alias("value")
+def extract_variables(files: DataFrame) -> DataFrame:
+    """Module-level assignments (Python) and bindings that are not functions (JS/TS)."""
+    rows = file_facts(files).select("project_id", "path", "language", F.explode_outer("variables").alias("v")).where("v is not null")
+    return rows.select("project_id", "path", "language", "v.line_no", "v.name", "v.type", "v.value")
+
+
+def _with_calls(src: DataFrame) -> DataFrame:
+    """Adds ``calls``, an array of ``struct<line_no, caller, callee, arguments>`` in the order of their places."""
+    pattern = F.lit(java(G.CALL + rf"(?=({nested(4)}))"))
+    src = src.withColumn(
+        "heads",
+        F.transform(F.filter("spans", lambda s: s["kind"].isin("function", "method")), lambda s: F.struct(s["first"].alias("first"), s["name"].alias("name"))),
+    ).withColumn(
+        "found",
+        F.arrays_zip(
+            F.split("masked", java(G.CALL), -1).alias("before"), F.regexp_extract_all("masked", pattern, 0).alias("text"),
+            F.regexp_extract_all("masked", pattern, 1).alias("callee"), F.regexp_extract_all("masked", pattern, 2).alias("inner"),
+        ),
+    )
+    known = (
+        f"c.callee in ({', '.join(repr(k) for k in G.KEYWORDS)}) or c.before rlike {G.sql(G.NOT_CALLED)} "
+        f"or (s.last = 'func' and c.before rlike {G.sql(G.RECEIVER)}) "
+        # Go types hold signatures, not calls
+        "or (language = 'go' and exists(spans, x -> x.kind = 'class' and x.first < line and line < x.last))"
+    )
+    # the first call on a line that has the name of a function that starts there is its head
+    declared = "line <> s.head and exists(heads, h -> h.first = line and h.name = c.callee)"
+    step = (
+        r"element_at(transform(array(s.line + length(c.before) - length(replace(c.before, '\n', ''))), line -> "
+        f"element_at(transform(array(named_struct('known', {known}, 'declared', {declared})), f -> named_struct("
+        "'at', s.at + length(c.before) + length(c.text), "
+        r"'line', line + length(c.text) - length(replace(c.text, '\n', '')), 'last', c.callee, 'head', case when not f.known and f.declared then line else s.head end, "
+        "'out', case when f.known or f.declared then s.out else concat(s.out, array(named_struct('line_no', line, 'callee', c.callee, "
+        "'at', s.at + length(c.before) + length(c.text), 'inner', c.inner))) end)), 1)), 1)"
     )
+    start = "named_struct('at', 1, 'line', 1, 'last', '', 'head', 0, 'out', cast(array() as array<struct<line_no:int,callee:string,at:int,inner:string>>))"
+    src = src.withColumn("placed", F.expr(f"aggregate(filter(found, c -> c.callee is not null), {start}, (s, c) -> {step}, s -> s.out)"))
+    owner = "coalesce(element_at(filter(owners, o -> o.first <= c.line_no and c.line_no < o.first + o.length), -1).name, '')"
+    args = items_of("c.inner", "substr(content, c.at, length(c.inner))")
+    calls = F.expr(f"transform(placed, c -> named_struct('line_no', c.line_no, 'caller', {owner}, 'callee', c.callee, 'arguments', {args}))")
+    return src.withColumn("calls", calls).drop("heads", "found", "placed")
+
+
+def file_facts(files: DataFrame) -> DataFrame:
+    """One row a file with all that is read from it, as arrays; what a query does not ask for is not computed.
+
+    ``spans``, ``owners`` (see :func:`scoped_files`), ``imports``, ``variables``, ``calls``
+    and ``error``, null where the brackets of the code close each other.
+    """
+    src = _with_calls(scoped_files(files))
+    unclosed = [F.length(F.regexp_replace("masked", rf"[^{re.escape(a)}]", "")) != F.length(F.regexp_replace("masked", rf"[^{re.escape(b)}]", "")) for a, b in ("()", "[]", "{}")]
+    error = F.when(unclosed[0] | unclosed[1] | unclosed[2], F.lit("unbalanced brackets"))
+    return src.withColumns({"imports": _found_imports(), "variables": _found_variables(), "error": error})
 
 
-def _call_text(line: Column, language: Column) -> Column:
-    """A line without string literals, comments, declaration heads and object construction."""
-    text = F.regexp_replace(line, r"""\"[^\"]*\"|'[^']*'""", '""')
-    text = F.when(language == "python", F.regexp_replace(text, r"#.*$", "")).otherwise(F.regexp_replace(text, r"//.*$|^\s*\*.*$", ""))
-    text = F.regexp_replace(text, r"\b(?:def|class|function|func)\s+\w+|\bnew\s+[\w.]+\s*\(", " ")
-    text = F.when(language == "go", F.regexp_replace(text, r"^func\s+\([^)]*\)\s*\w+", " ")).otherwise(text)
-    scripts = ["javascript", "typescript"]
-    for langs, method in ((scripts, G.DECLARATIONS["javascript"][-1][1]), *((["java"], p) for _, p in G.DECLARATIONS["java"][:0:-1])):
-        is_decl = F.regexp_extract(text, method, 1)
-        text = F.when(
-            language.isin(langs) & (is_decl != "") & ~is_decl.isin(G.KEYWORDS), F.regexp_replace(text, r"^[^(]*\(", "(")
-        ).otherwise(text)
-    return text
+def parse_errors(files: DataFrame) -> DataFrame:
+    """Files whose code does not close its brackets; their other facts are kept all the same."""
+    return file_facts(files).where("error is not null").select("project_id", "path", "language", "error")
 
 
 def extract_calls(files: DataFrame) -> DataFrame:
-    """Call sites with the name of the enclosing function (empty at module level).
+    """Call sites with the name of the enclosing function (empty at module level) and the argument texts.
 
-    The owner ranges are disjoint, so each line of a file is read once.
+    One scan of the masked text finds callee, line and, by a look-ahead that consumes
+    nothing, the arguments of every call, nested ones included. Declarations, object
+    construction and key words are no calls.
     """
-    rows = scoped_files(files).select("project_id", "path", "language", "lines", F.explode_outer("owners").alias("o"))
-    rows = rows.select("project_id", "path", "language", "o", F.posexplode(F.slice("lines", F.col("o.first"), F.col("o.length"))).alias("pos", "line"))
-    text = _call_text(F.col("line"), F.col("language"))
-    callees = F.filter(F.regexp_extract_all(text, F.lit(G.CALL), 1), lambda c: ~c.isin(G.KEYWORDS))
-    return rows.select(
-        "project_id", "path", "language", (F.col("o.first") + F.col("pos")).alias("line_no"), F.col("o.name").alias("caller"), F.posexplode_outer(callees).alias("ordinal", "callee")
-    ).where("ordinal is not null")
+    rows = file_facts(files).select("project_id", "path", "language", F.posexplode_outer("calls").alias("pos", "c")).where("pos is not null")
+    return rows.select("project_id", "path", "language", "c.line_no", "c.caller", F.col("pos").alias("ordinal"), "c.callee", "c.arguments")
 
 
 # --- roll-ups --------------------------------------------------------------------
 
 
 def structure_summary(files: DataFrame) -> DataFrame:
-    """Files, functions, classes, imports and calls of each project.
+    """Files, functions, classes, imports, variables, calls and files with errors of each project.
 
-    Every file row carries its own counts (array sizes), so one small
-    aggregation over the files is all that is shuffled.
+    Every file row carries its own counts (array sizes), so the corpus is read once
+    and one small aggregation over the files is all that is shuffled.
     """
-    kept = skip_filter(files, "structure")
-    spans = scoped_files(kept).select("project_id", "path", "language", "lines", "spans", "owners")
     kinds = F.col("spans")
-    functions = F.size(
-        F.filter(kinds, lambda s: (s["kind"] != "class") & ((F.col("language") != "python") | s["pk"].isin("", "class")))
-    )
-    classes = F.size(F.filter(kinds, lambda s: s["kind"] == "class"))
-    per_file = spans.select("project_id", functions.alias("functions"), classes.alias("classes"))
-    zero = F.lit(0).cast("bigint")
-    out = per_file.groupBy("project_id").agg(
-        F.count("*").alias("files"), F.sum("functions").alias("functions"), F.sum("classes").alias("classes"), F.max(zero).alias("imports"), F.max(zero).alias("calls")
-    )
-    for name, rows in (("imports", extract_imports(kept)), ("calls", extract_calls(kept))):
-        one = rows.groupBy("project_id").agg(F.count("*").alias("n"))
-        out = out.unionByName(
-            one.select("project_id", *[(F.col("n") if c == name else zero).alias(c) for c in ("files", "functions", "classes", "imports", "calls")])
-        )
-    return out.groupBy("project_id").agg(
-        F.sum("files").alias("total_files"),
-        F.sum("functions").alias("total_functions"),
-        F.sum("classes").alias("total_classes"),
-        F.sum("imports").alias("total_imports"),
-        F.sum("calls").alias("total_calls"),
-    )
+    python = F.col("language") == "python"
+    sizes = {
+        "files": F.lit(1),
+        "functions": F.size(F.filter(kinds, lambda s: (s["kind"] != "class") & (~python | s["pk"].isin("", "class")))),
+        "classes": F.size(F.filter(kinds, lambda s: s["kind"] == "class")),
+        "imports": F.size("imports"),
+        "variables": F.coalesce(F.when(F.col("variables").isNotNull(), F.size("variables")), F.lit(0)),
+        "calls": F.size("calls"),
+        "errors": F.col("error").isNotNull().cast("int"),
+    }
+    per_file = file_facts(skip_filter(files, "structure")).select("project_id", *[c.alias(name) for name, c in sizes.items()])
+    return per_file.groupBy("project_id").agg(*[F.sum(name).alias(f"total_{name}") for name in sizes])
 
 
 def by_language_directory(files: DataFrame) -> DataFrame:

@@ -42,7 +42,7 @@ def _graph(spark, sf):
     files = _kept(spark, sf)
     # nodes and calls are used several times, so both are written once
     nodes = cut_lineage(gr.call_nodes(sy.extract_functions(files)))
-    return nodes, gr.call_edges(nodes, cut_lineage(sy.extract_calls(files)))
+    return nodes, gr.call_edges(nodes, cut_lineage(sy.extract_calls(files).drop("arguments")))
 
 
 @plan("call_nodes", f"with {CALL_SQL} select * from nodes")
@@ -335,10 +335,11 @@ def dependency_depth(spark, sf):
 
 @plan(
     "structure_summary",
-    f"with {CORPUS}, src_files as materialized (select project_id, path, content from corpus where {keep_sql('structure')}), {ss.spans('src_files')}, {ss.calls('src_files', False)}, {ss.imports('src_files', False)} "
+    f"with {CORPUS}, src_files as materialized (select project_id, path, content from corpus where {keep_sql('structure')}), {ss.spans('src_files')}, {ss.calls('src_files', False)}, {ss.imports('src_files', False)}, {ss.variables()}, errors as (select project_id, {ss.ERROR} as error from sm) "
     "select p.project_id, count(*) as total_files, (select count(*) from spans s where s.project_id = p.project_id and s.kind <> 'class' and (s.language <> 'python' or s.pk in ('', 'class'))) as total_functions, "
     "(select count(*) from spans s where s.project_id = p.project_id and s.kind = 'class') as total_classes, (select count(*) from imports i where i.project_id = p.project_id) as total_imports, "
-    "(select count(*) from calls c where c.project_id = p.project_id) as total_calls from src_files p group by 1",
+    "(select count(*) from calls c where c.project_id = p.project_id) as total_calls, (select count(*) from variables v where v.project_id = p.project_id) as total_variables, "
+    "(select count(error) from errors e where e.project_id = p.project_id) as total_errors from src_files p group by 1",
 )
 def structure_summary(spark, sf):
     return sy.structure_summary(corpus(spark, sf))

@@ -402,6 +402,136 @@ async def main_<<k>>():
     await push(fmt_<<k>>(2), "<<p_name>>")
 '''
 
+# Texts that only a reader of tokens gets right: code in strings and comments, heads over lines.
+_TRAP_PY = '''
+"""Reads of supplier <<k>>.
+
+class of things
+def nothing(x):
+import nowhere
+x = 1
+"""
+import io
+from typing import Dict
+import re as patterns
+
+
+@cached(
+    size=<<k % 9>>,
+    note=") def no():",
+)
+class Reader<<k>>(Base[Dict, int], Mixin, metaclass=Meta):
+    # class Hidden: pass
+    """Reads (one) supplier."""
+
+    marks = "a { b"  # def z(
+    sizes: Dict[str, int] = {}
+
+    def fetch(self, a="x,)y", b: Dict[str, int] = {}, *rest) -> Dict[str, int]:
+        # first a comment, then the text
+        """Fetch: one (or more)."""
+        text = """
+def inner(q):
+    return lost(q)
+"""
+        return send<<k>>(a, pack("p(q", [1, <<k>>]), key=lambda t: t)  # lost(1)
+
+    def last(
+        self,
+        more: Dict[str, int],
+    ):
+        return self.fetch(
+            more,
+            [x for x in range(<<k>>)],
+        )
+
+
+def send<<k>>(*parts): return parts
+'''
+
+_TRAP_TS = '''
+/* class Hidden { */
+export class Store<<k>><T extends Row> extends Base<T, string> implements Keeps<T>, Sized {
+  private rows: T[];
+  label?: string;
+  // load(x) {
+  get(id: string,
+      mark = "}"): Promise<Map<string, number> > {
+    const open = "{ no block";
+    const rule = this.find(/[{(]/g, `x{ mark`);
+    return this.load(id, { a: 1, b: [2, <<k>>] });
+  }
+  load(a: Map<string, number>, b = { c: 1 }): void {
+    check(a, (x) => x > <<k>>);
+  }
+}
+'''
+
+_TRAP_JAVA = '''
+package com.example.trap<<k>>;
+
+import java.util.Map;
+
+@Service
+public class Trap<<k>>
+        extends Base<String, Row>
+        implements Api<Row>, Closeable {
+    private final Map<String, Integer> counts = new HashMap<>();
+    int first, second = <<k>>;
+    @Inject Repo repo;
+
+    public Map<String, List<Row> > multi(
+            Map<String, Integer> sizes,
+            int n) throws IOException {
+        String brace = "}"; // }
+        char mark = '{';
+        return repo.load("a, b", pick(n, <<k>>));
+    }
+
+    void after() { multi(null, 1); }
+}
+'''
+
+_TRAP_GO = '''
+package trap<<k>>
+
+import (
+	"fmt"
+	store "example.com/store"
+)
+
+/* func hidden() { */
+type Doer<<k>> interface {
+	Do(a int, sizes map[string]int) error
+}
+
+type Trap<<k>> struct {
+	Name, Alias string `json:"name"`
+	Sizes map[string]int // {
+	*Base
+	store.Conn
+}
+
+func (t *Trap<<k>>) Do(
+	a int,
+	sizes map[string]int,
+) error {
+	fmt.Println("{", `raw {`, sizes["a"])
+	return t.run(a, <<k>>)
+}
+'''
+
+_TRAP_JS = '''
+import "./side_<<k>>";
+import first, { second as other } from "./both_<<k>>";
+// an open bracket in a comment ( or in a string is none
+const mark<<k>> = "(";
+let total = sum(1, 2); // of all
+function broken<<k>>(a {
+  return a;
+}
+'''
+
 _PACKAGE_JSON = '''
 {
   "name": "web-<<n>>",
@@ -472,6 +602,11 @@ _SUPPLIER_FILES = [
     ("java/src/Ctl<<k>>.java", _SPRING),
     ("cmd/svc_<<k>>.go", _GO),
     ("frontend/node_modules/lib<<k>>/index.js", _EXPRESS),
+    ("tools/reader_<<k>>.py", _TRAP_PY),
+    ("tools/store_<<k>>.ts", _TRAP_TS),
+    ("tools/Trap<<k>>.java", _TRAP_JAVA),
+    ("tools/trap_<<k>>.go", _TRAP_GO),
+    ("tools/broken_<<k>>.js", _TRAP_JS),
 ]
 _NATION_FILES = [
     ("package.json", _PACKAGE_JSON),
