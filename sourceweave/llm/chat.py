@@ -58,6 +58,11 @@ def _escaped(text: str, level: int) -> str:
     return re.sub(r"### |</turn>" if level == 1 else r"\\|### |</turn>", lambda m: "\\" + m[0], text)
 
 
+def unescaped(text: str) -> str:
+    """A stretch of formatted text, as under a loss mask, without its escapes."""
+    return re.sub(r"\\(\\|### |</turn>)", r"\1", text)
+
+
 def render_turn(role: str, text: str) -> tuple[str, int, int, int]:
     """The rendered turn, the span of its text in it, and the escape level it took."""
     label = LABELS.get(role) or "role=" + re.sub(r"([\\:])", r"\\\1", role)
@@ -101,6 +106,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
 
     ``conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars,
     escaped_turns``. Turns go by number, null first, ties by their rendered text.
+    Turns are parsed from the formatted text, the loss is cut out by the mask alone.
     The digests run over a conversation in order, so its turns meet in one task,
     which streams them: memory holds one batch whatever a conversation's length.
     """
@@ -118,12 +124,14 @@ def read_back(formatted: DataFrame) -> DataFrame:
                         if open_:
                             yield closed(at, open_)
                         at, open_ = conv, [0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0]
-                    role, text, first, last, _ = parse_turn(segment)
-                    open_[0] += 1
-                    open_[1].update(f"{role}\n{text}\n".encode())
-                    if end > start or (role == "assistant" and (first, last) == (start, end)):
-                        open_[2] += len(text)
-                        open_[3].update(text.encode())
+                    done = 0
+                    while done < len(segment):  # turns are what the grammar finds, not what the rows say
+                        role, text, _, _, done = parse_turn(segment, done)
+                        open_[0] += 1
+                        open_[1].update(f"{role}\n{text}\n".encode())
+                    learnt = unescaped(segment[start:end])
+                    open_[2] += len(learnt)
+                    open_[3].update(learnt.encode())
                     open_[4] += len(segment)
                     open_[5] += level > 0
             if open_:

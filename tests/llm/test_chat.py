@@ -2,8 +2,9 @@ import hashlib
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from sourceweave.llm.chat import PLANTED, GrammarError, format_turns, parse_turn, read_back, render_turn
+from sourceweave.llm.chat import PLANTED, GrammarError, format_turns, parse_turn, read_back, render_turn, unescaped
 
 PIECES = ["\\", "\\\\", "### ", "### User: ", "</turn>", "</turn>\n", "\n", "a", "é", " ", "role=", ":", "Assistant"]
 
@@ -17,6 +18,7 @@ def test_round_trip_of_any_text():
         got = parse_turn("x" + out + "### User: next</turn>\n", 1)
         assert got[:2] == (role, text) and got[4] == len(out) + 1 and (got[2], got[3]) == (start + 1, end + 1)
         assert level or out[start:end] == text
+        assert unescaped(out[start:end]) == text
 
 
 def test_planted_text():
@@ -36,3 +38,14 @@ def test_conversations(spark):
     assert got[3].turns_sha256 == hashlib.sha256(f"user\nz\nassistant\n{PLANTED}\n".encode()).hexdigest() and got[3].loss_chars == len(PLANTED)
     assert got[4].n_turns == 2 and got[4].loss_sha256 == hashlib.sha256(b"samesame").hexdigest()
     assert read_back(format_turns(turns.limit(0))).collect() == []
+
+
+def test_the_mask_decides_the_loss(spark):
+    rows = [(1, 0, "user", "ask"), (1, 1, "assistant", PLANTED), (1, 2, "assistant", "x" * 200_000)]
+    formatted = format_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    (whole,) = read_back(formatted).collect()
+    (less,) = read_back(formatted.selectExpr("conv_id", "turn", "segment", "loss_start", "greatest(loss_start, loss_end - 3) as loss_end", "level")).collect()
+    assert whole.loss_sha256 == hashlib.sha256((PLANTED + "x" * 200_000).encode()).hexdigest()
+    assert less.loss_chars == whole.loss_chars - 6 and less.loss_sha256 != whole.loss_sha256 and less.turns_sha256 == whole.turns_sha256
+    (joined,) = read_back(formatted.groupBy("conv_id").agg(F.expr("array_join(transform(array_sort(collect_list(struct(turn, segment))), x -> x.segment), '') as segment")).selectExpr("conv_id", "0L as turn", "segment", "0L as loss_start", "0L as loss_end", "0 as level")).collect()
+    assert (joined.n_turns, joined.turns_sha256, joined.loss_chars) == (3, whole.turns_sha256, 0)
