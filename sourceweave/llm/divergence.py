@@ -1,12 +1,13 @@
 """How far the sources of a language differ in their words, by single-pass in-memory indexing.
 
 1. *Blocks.* A task counts terms by language and source in memory. When the block is
-   full, it leaves as a run that is sorted by language and term, cut by the hash shard
-   of its terms into short stretches. A common word costs a run one posting a source.
-2. *Merge.* A shard's stretches come in the order of their first terms; a heap holds
-   those that are open, at most one a run, and yields all postings of a term together:
-   its document frequency decides whether the language keeps it. The frequencies are
-   written to the shared folder.
+   full, it leaves as a run that is sorted by hash shard, language and term and cut into
+   short stretches. A common word costs a run one posting a source.
+2. *Merge.* A shard's stretches come in the order of their first terms. Those that are
+   open, at most one a run, lie on a heap by their last term: what ends below the next
+   stretch's first term leaves whole, what reaches beyond it is cut there, so all
+   postings of a term meet. Its document frequency decides whether the language keeps
+   it; the frequencies are written to the shared folder.
 3. *Pairs.* Two sources start from the value that all kept terms would have if neither
    used them. What a term adds that only one of them uses depends on its count alone,
    so it comes from the source's histogram of counts; only terms that both use are
@@ -22,20 +23,21 @@ from __future__ import annotations
 
 import heapq
 import zlib
-from collections import Counter
+from bisect import bisect_left
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sourceweave.llm.common import Rows, bound_batches, parallelism, written
+from sourceweave.llm.common import bound_batches, parallelism, written
 
 #: Documents of a language that a kept term needs, and terms listed for a source.
 MIN_DOCS, TOP = 10, 10
-#: Estimated bytes of a block in memory, and postings of a stretch.
-BLOCK, STRETCH = 48 << 20, 512
+#: Estimated bytes of a block in memory, postings of a stretch, and open postings before a merge.
+BLOCK, STRETCH, OPEN = 48 << 20, 512, 200_000
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Bytes outside terms become spaces, A-Z lower case; bytes of non-ASCII characters stay.
@@ -49,88 +51,119 @@ def terms_of(text: bytes) -> list[bytes]:
     return text.translate(_FOLD).split()
 
 
+class _Numbers(dict):
+    """Things numbered as they come."""
+
+    def __missing__(self, key) -> int:
+        self[key] = number = len(self)
+        return number
+
+
+def _sums(index: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
+    out = np.zeros(size, np.int64)
+    np.add.at(out, index, values)
+    return out
+
+
+def _lists(values: pa.Array, ends: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), values)
+
+
+def _run(numbers: _Numbers, groups: _Numbers, texts: list[np.ndarray], owner: list[int], shards: int) -> pa.RecordBatch:
+    """The stretches of a full block in the order of shard, language and term."""
+    wide = np.int64(max(len(numbers), 1))
+    doc = np.repeat(np.arange(len(texts), dtype=np.int64), [len(t) for t in texts])
+    seen, tf = np.unique(doc * wide + np.concatenate(texts), return_counts=True)
+    postings, at = np.unique(np.array(owner, np.int64)[seen // wide] * wide + seen % wide, return_inverse=True)
+    group, term = postings // wide, postings % wide
+    n, docs = _sums(at, tf, len(postings)), np.bincount(at, minlength=len(postings))
+    words = list(numbers)
+    place = np.empty(len(words), np.int64)
+    place[sorted(range(len(words)), key=words.__getitem__)] = np.arange(len(words))
+    shard = np.array([zlib.crc32(w) % shards for w in words], np.int64)[term]
+    langs, lang_of, sources = sorted({g[0] for g in groups}), [g[0] for g in groups], [g[1] for g in groups]
+    lang = np.array([langs.index(x) for x in lang_of], np.int64)[group]
+    order = np.lexsort((group, place[term], lang, shard))
+    shard, lang, term, group = shard[order], lang[order], term[order], group[order]
+    new = np.flatnonzero(np.diff(shard * np.int64(len(langs)) + lang, prepend=-1))
+    cuts = np.unique(np.concatenate([np.arange(0, len(order), STRETCH), new]))
+    ends = np.append(cuts, len(order))
+    terms = pa.array(words, pa.string()).take(pa.array(term))
+    columns = [
+        pa.array(shard[cuts].astype(np.int32)), pa.array(langs, pa.string()).take(pa.array(lang[cuts])), terms.take(pa.array(cuts)), _lists(terms, ends),
+        _lists(pa.array(sources, pa.string()).take(pa.array(group)), ends), _lists(pa.array(n[order]), ends), _lists(pa.array(docs[order].astype(np.int64)), ends),
+    ]
+    return pa.RecordBatch.from_arrays(columns, names=["shard", "lang", "first", "terms", "sources", "counts", "docs"])
+
+
 def _runs(shards: int, block: int):
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple, dict[bytes, list[int]]] = {}
-        size, out = 0, Rows(_RUN)
-
-        def spill():
-            run = sorted(
-                (lang, zlib.crc32(term, zlib.crc32(lang)) % shards, term, source, *counts)
-                for (lang, source), terms in held.items() for term, counts in terms.items()
-            )
-            held.clear()
-            start = 0
-            while start < len(run):
-                lang, shard = run[start][:2]
-                end = start
-                while end < len(run) and end - start < STRETCH and run[end][:2] == (lang, shard):
-                    end += 1
-                lists = list(zip(*run[start:end], strict=True))
-                if out.add((shard, lang, run[start][2], *(list(x) for x in lists[2:])), 60 * (end - start)):
-                    yield out.batch()
-                start = end
-
+        numbers, groups, texts, owner, size = _Numbers(), _Numbers(), [], [], 0
         for batch in batches:
             for text, lang, source in zip(*(batch.column(i).cast(pa.binary()).to_pylist() for i in range(3)), strict=True):
-                group = held.setdefault((lang, source), {})
-                for term, n in Counter(terms_of(text)).items():
-                    posting = group.get(term)
-                    if posting is None:
-                        group[term] = [n, 1]
-                        size += len(term) + 200
-                    else:
-                        posting[0] += n
-                        posting[1] += 1
+                terms = terms_of(text)
+                known = len(numbers)
+                texts.append(np.fromiter(map(numbers.__getitem__, terms), np.int32, len(terms)))
+                owner.append(groups[lang, source])
+                size += 8 * len(terms) + 200 * (len(numbers) - known) + 200
                 if size >= block:
-                    yield from spill()
-                    size = 0
-        yield from spill()
-        yield out.batch()
+                    run = _run(numbers, groups, texts, owner, shards)
+                    yield from (run.slice(i, 500) for i in range(0, run.num_rows, 500))
+                    numbers, groups, texts, owner, size = _Numbers(), _Numbers(), [], [], 0
+        if texts:
+            run = _run(numbers, groups, texts, owner, shards)
+            yield from (run.slice(i, 500) for i in range(0, run.num_rows, 500))
 
     return index
 
 
-def _merge(min_docs: int):
+def _kept(lang: str, stretches: list[tuple], min_docs: int) -> pa.RecordBatch:
+    """Frequencies of terms all of whose postings are in ``stretches``."""
+    terms, sources, counts, docs = (pa.concat_arrays(list(c)) for c in zip(*stretches, strict=True))
+    coded, named = terms.dictionary_encode(), sources.dictionary_encode()
+    term, source = coded.indices.to_numpy().astype(np.int64), named.indices.to_numpy().astype(np.int64)
+    n, size = counts.to_numpy(), len(coded.dictionary)
+    total = _sums(term, n, size)
+    at = np.flatnonzero((_sums(term, docs.to_numpy(), size) >= min_docs)[term])
+    wide = np.int64(len(named.dictionary))
+    keys, where = np.unique(term[at] * wide + source[at], return_inverse=True)
+    term = keys // wide
+    columns = [
+        pa.array([lang] * len(keys), pa.string()), coded.dictionary.take(pa.array(term)), named.dictionary.take(pa.array(keys % wide)),
+        pa.array(_sums(where, n[at], len(keys))), pa.array(total[term]), pa.array((np.diff(term, prepend=-1) > 0).astype(np.int64)),
+    ]
+    return pa.RecordBatch.from_arrays(columns, names=["lang", "term", "source", "n", "total", "head"])
+
+
+def _merge(min_docs: int, full: int = OPEN):
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, heap, now, docs, counts = Rows(_FREQ), [], None, 0, {}
-
-        def close():
-            if docs >= min_docs:
-                total = sum(counts.values())
-                for k, (source, n) in enumerate(counts.items()):
-                    if out.add((*now, source, n, total, int(not k)), 40):
-                        yield out.batch()
-
-        def drain(below: tuple | None):
-            """Postings of the open stretches in term order, up to the next stretch's first term."""
-            nonlocal now, docs, counts
-            while heap and (below is None or heap[0][:2] < below):
-                lang, term, order, i, stretch = heap[0]
-                if now != (lang, term):
-                    yield from close()
-                    now, docs, counts = (lang, term), 0, {}
-                source = stretch[1][i]
-                counts[source] = counts.get(source, 0) + stretch[2][i]
-                docs += stretch[3][i]
-                if i + 1 < len(stretch[0]):
-                    heapq.heapreplace(heap, (lang, stretch[0][i + 1], order, i + 1, stretch))
-                else:
-                    heapq.heappop(heap)
-
-        shard_now, order = None, 0
+        heap, now, order, size = [], None, 0, 0
+
+        def drain(below: str | None):
+            """Merge what is open up to the next stretch's first term; stretches that reach beyond it are cut there."""
+            nonlocal size
+            done, beyond = [], []
+            while heap and (below is None or heap[0][0] < below):
+                done.append(heapq.heappop(heap)[2])
+            for last, number, stretch in heap:
+                cut = bisect_left(range(len(stretch[0])), below, key=lambda i, terms=stretch[0]: terms[i].as_py())
+                done.append(tuple(x.slice(0, cut) for x in stretch))
+                beyond.append((last, number, tuple(x.slice(cut) for x in stretch)))
+            heap[:] = beyond  # in the order of the heap still
+            size = sum(len(x[2][0]) for x in heap)
+            if done:
+                yield _kept(now[1], done, min_docs)
+
         for batch in batches:
-            columns = [batch.column(i) for i in range(3)]
-            heads = zip(columns[0].to_pylist(), columns[1].cast(pa.binary()).to_pylist(), columns[2].cast(pa.binary()).to_pylist(), strict=True)
+            heads = zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)
             for row, (shard, lang, first) in enumerate(heads):
-                yield from drain((lang, first) if shard == shard_now else None)
-                shard_now, order = shard, order + 1
-                lists = [batch.column(i)[row].values for i in range(3, 7)]
-                stretch = [x.cast(pa.binary()).to_pylist() if pa.types.is_string(x.type) else x.to_pylist() for x in lists]
-                heapq.heappush(heap, (lang, first, order, 0, stretch))
+                if (shard, lang) != now or size >= full:
+                    yield from drain(first if (shard, lang) == now else None)
+                now, order = (shard, lang), order + 1
+                stretch = tuple(batch.column(i)[row].values for i in range(3, 7))
+                heapq.heappush(heap, (stretch[0][-1].as_py(), order, stretch))
+                size += len(stretch[0])
         yield from drain(None)
-        yield from close()
-        yield out.batch()
 
     return merge
 
