@@ -37,9 +37,9 @@ from sourceweave.llm.common import Rows, bound_batches, parallelism, written
 
 MIN_COUNT, DEPTH, TOP = 30, 4, 2000
 #: Tokens of a block, and estimated bytes of all open blocks of a task.
-BLOCK, HELD = 1 << 20, 48 << 20
-#: Suffixes that a group has room for.
-BUDGET = 200_000
+BLOCK, HELD = 1 << 19, 32 << 20
+#: Suffixes that a group has room for, and the least that it is given where there are few.
+BUDGET, LEAST = 50_000, 500
 #: Bits of a bitmap (4 MB); the table grows no bitmap, it only makes it prune less.
 SLOTS = 1 << 25
 #: A part of a phrase is common from this share of all words; of each length there are at most as many.
@@ -279,14 +279,16 @@ def phrase_counts(blocks: DataFrame, min_count: int = MIN_COUNT, budget: int = B
     words = blocks.mapInArrow(_word_counts, "lang string, phrase string, hash long, n long").groupBy("lang", "phrase")
     words = written(words.agg(F.first("hash").alias("hash"), F.sum("n").alias("n")).where(F.col("n") >= min_count))
     slots = words.select(F.expr(f"cast(hash % {SLOTS} as int)").alias("slot"), "n")
+    parts = parallelism(spark)
+    # no prefix may hold more than a group's share of a small input either
+    budget = min(budget, max((words.agg(F.sum("n")).first()[0] or 0) // (8 * parts), LEAST))
     frequent, heavy = _bitmap(slots), _bitmap(slots.where(F.col("n") > budget))
     shared = spark.sparkContext.broadcast(frequent)
     pairs = blocks.mapInArrow(_pair_counts(shared), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n"))
     pairs = written(pairs.where(F.col("n") >= min_count))
     total = pairs.agg(F.sum("n")).first()[0] or 0
     maps = spark.sparkContext.broadcast((frequent, heavy, _bitmap(pairs), _bitmap(pairs.where(F.col("n") > budget))))
-    parts = parallelism(spark)
-    groups = min(max(4 * parts, 2 * total // budget), (1 << 31) - 1)
+    groups = min(max(8 * parts, 2 * total // budget), (1 << 31) - 1)
     leaves = blocks.mapInArrow(_leaves(maps, groups), _LEAF).repartition(parts, "grp").sortWithinPartitions("grp")
     nodes = leaves.mapInArrow(_subtrees(min_count), "lang string, phrase string, len int, n long")
     phrases = nodes.groupBy("lang", "phrase", "len").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count)
