@@ -13,6 +13,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+
+from sourceweave.llm.common import trimmed
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -162,7 +164,7 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id",
                         ["doc_id", "item_id", "start", "length", "distance"],
                     )
 
-        found = narrow.mapInArrow(match, schema)
+        found = narrow.mapInArrow(trimmed(match), schema)
         out = found if out is None else out.unionAll(found)
     return out if out is not None else documents.sparkSession.createDataFrame([], schema)
 
@@ -181,5 +183,5 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, text: str = "text"
                 kept = b.filter(pa.array([not matcher.find(t.as_py(), any_=True) for t in b.column(at)], pa.bool_()))
                 yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(kept.columns, arrow, strict=True)], schema=arrow)
 
-        documents = documents.mapInArrow(clean, schema)
+        documents = documents.mapInArrow(trimmed(clean), schema)
     return documents

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sourceweave.llm.common import parallelism, written
+from sourceweave.llm.common import parallelism, trimmed, written
 from sourceweave.session import cut_lineage
 
 #: Words of an n-gram, and the least overlap in hundredths of the union.
@@ -179,8 +179,8 @@ def _screen(documents: DataFrame, kind: str) -> DataFrame:
 
     empty_kind = [to_arrow_type(documents.schema["doc_id"].dataType)]
     kinds = list(empty_kind)
-    dealt = documents.mapInArrow(cut, _SCREEN.format(kind)).repartitionById(fragments, F.col("fragment"))
-    return dealt.mapInArrow(count, _SCREENED.format(kind))
+    dealt = documents.mapInArrow(trimmed(cut), _SCREEN.format(kind)).repartitionById(fragments, F.col("fragment"))
+    return dealt.mapInArrow(trimmed(count), _SCREENED.format(kind))
 
 
 _SETS = "sig long, n long, grams array<long>"
@@ -204,9 +204,9 @@ def _sets(documents: DataFrame, wanted: DataFrame) -> DataFrame:
 
     # The same plan at every size: ids that fit a broadcast today may not fit one tomorrow.
     w = wanted.filter("doc_id is not null").hint("merge")
-    found = documents.join(w, "doc_id").select("sig", "text").mapInArrow(read, _SETS)
+    found = documents.join(w, "doc_id").select("sig", "text").mapInArrow(trimmed(read), _SETS)
     # Classes of rows without an id are found by their set alone.
-    unnamed = documents.filter("doc_id is null").select(F.lit(None).cast("long").alias("sig"), "text").mapInArrow(read, _SETS)
+    unnamed = documents.filter("doc_id is null").select(F.lit(None).cast("long").alias("sig"), "text").mapInArrow(trimmed(read), _SETS)
     unnamed = unnamed.join(wanted.filter("doc_id is null").select("sig"), "sig", "left_semi")
     return found.unionAll(unnamed).dropDuplicates(["sig"])
 
@@ -339,7 +339,7 @@ def _links(sets: DataFrame) -> DataFrame:
     labelled = written(labelled)
     open_ = labelled.groupBy("gram").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi").select("gram")
     rest = labelled.join(open_, "gram", "left_semi").repartition("gram").sortWithinPartitions("gram")
-    second = rest.mapInArrow(_apart, "a long, b long").distinct()
+    second = rest.mapInArrow(trimmed(_apart), "a long, b long").distinct()
     later = _overlaps(written(second), sets).filter(_LINKED).select("a", "b")
     return linked.unionAll(later)
 

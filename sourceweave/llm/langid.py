@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from sourceweave.llm.common import written
+from sourceweave.llm.common import trimmed, written
 
 #: Labelled documents of a language that a model is fitted on: a bounded hash sample.
 SAMPLE = 400
@@ -131,7 +131,7 @@ def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str
                 ["lang", "counts", "length_class"],
             )
 
-    counted = written(sample.mapInArrow(count, "lang string, counts binary, length_class int"))
+    counted = written(sample.mapInArrow(trimmed(count), "lang string, counts binary, length_class int"))
 
     def seen_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros(DIMS), 0
@@ -142,7 +142,7 @@ def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str
         if n:
             yield pa.RecordBatch.from_pydict({"seen": [total.tobytes()], "n": pa.array([n], pa.int64())})
 
-    parts = counted.select("counts").mapInArrow(seen_in, "seen binary, n long").collect()
+    parts = counted.select("counts").mapInArrow(trimmed(seen_in), "seen binary, n long").collect()
     total, n = sum(np.frombuffer(p[0]) for p in parts), sum(p[1] for p in parts)
     idf = np.log((1 + n) / (1 + total)).astype(np.float32) + np.float32(1)
 
@@ -190,4 +190,4 @@ def identify(df: DataFrame, model: Model, text: str = "text", keep: list[str] |
                 yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     quoted = [F.col(f"`{c}`") for c in names]
-    return df.select(*quoted, F.col(text).alias("_text")).mapInArrow(predict, out)
+    return df.select(*quoted, F.col(text).alias("_text")).mapInArrow(trimmed(predict), out)

@@ -22,10 +22,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sourceweave.llm.common import batches_of, parallelism, written
+from sourceweave.llm.common import batches_of, parallelism, trimmed, written
 
 #: Words that a worker keeps the ids of, and the longest word it keeps.
-CACHE, LONGEST = 500_000, 40
+CACHE, LONGEST = 250_000, 40
 #: A round that places a smaller part of its documents opens new sequences.
 FEW = 0.1
 #: Rows of a range in a round's sort.
@@ -77,11 +77,15 @@ class Ids(dict):
             found = np.array(self.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
         if len(word) <= LONGEST:
             if len(self) >= CACHE:
-                self.clear()
-                self[""] = b""
+                self.forget()
             self[word] = found
         return found
 
+    def forget(self) -> None:
+        """Start the words anew; the tokenizer stays with the worker, they do not."""
+        self.clear()
+        self[""] = b""
+
     def of_text(self, text: str) -> bytes:
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
@@ -112,9 +116,10 @@ def tokenised_pieces(documents: DataFrame, path: str, limit: int, key: str = "do
             kinds = [pa.int64(), b.schema.field(0).type, pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             arrays = [pa.array(c, k) for c, k in zip(held, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays(arrays, ["row", "doc_id", "piece", "start", "length", "ids_crc32"])
+        ids.forget()
 
     narrow = documents.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
-    return narrow.mapInArrow(cut, f"row long, doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+    return narrow.mapInArrow(trimmed(cut), f"row long, doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,7 +194,7 @@ def best_fit(items: DataFrame, limit: int) -> DataFrame:
             gaps.select(F.col("room").alias("size"), F.lit(0).alias("kind"), F.col("sequence_id").alias("row"))
         )
         order = [F.desc("size"), F.col("kind"), F.col("row")]
-        swept = written(both.repartitionByRange(ranges, *order).sortWithinPartitions(*order).mapInArrow(_sweep, _SWEPT))
+        swept = written(both.repartitionByRange(ranges, *order).sortWithinPartitions(*order).mapInArrow(trimmed(_sweep), _SWEPT))
         found = {
             (r[0], r[1]): (r[2], r[3] or 0) for r in swept.groupBy("part", "what").agg(F.count(F.lit(1)), F.sum("size")).collect()
         }
