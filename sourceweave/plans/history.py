@@ -12,14 +12,15 @@ from sourceweave.sources.tables import messages, table
 
 TS = "timestamp '2024-01-01 00:00:00' + to_seconds(conv_id * 3600 + turn * 60)"
 MSG = f"msg as (select conv_id as session_id, {TS} as ts, turn, role, text as content from conversations)"
-# Sessions are stored for two of three conversations; every fourth has a title.
+# Every conversation has a stored session, every fourth a title; upserts find two of three stored.
 SESSIONS = (
     "sessions as (select conv_id as session_id, concat('p', cast(conv_id % 7 as string)) as project_id, 'project' as chat_mode, case when conv_id % 4 = 0 then concat('T', cast(conv_id as string)) else '' end as title, "
-    "max(timestamp '2024-01-01 00:00:00' + to_seconds(conv_id * 1800)) as updated_at from conversations where conv_id % 3 <> 0 group by 1, 2, 3, 4)"
+    "max(timestamp '2024-01-01 00:00:00' + to_seconds(conv_id * 1800)) as updated_at from conversations group by 1, 2, 3, 4)"
 )
+STORED = SESSIONS.replace(" from conversations group", " from conversations where conv_id % 3 <> 0 group")
 
 
-def _sessions(spark, sf, stored="conv_id % 3 <> 0"):
+def _sessions(spark, sf, stored="true"):
     c = table(spark, sf, "conversations").where(stored).select("conv_id").distinct()
     return c.select(
         F.col("conv_id").alias("session_id"),
@@ -91,37 +92,24 @@ def set_missing_titles(spark, sf):
 LAST = "l as (select session_id, count(*) as n, arg_max(content, ts) as c from msg group by 1)"
 
 
-@plan(
-    "session_list",
-    f"with {MSG}, {SESSIONS}, {LAST} select s.session_id, project_id, chat_mode, updated_at, coalesce(nullif(title, ''), case when c <> '' then concat(left(c, 30), '...') end, {q(hi.DEFAULT_TITLE)}) as title, coalesce(n, 0) as message_count "
-    "from (select * from sessions order by updated_at desc, session_id limit 50 offset 5) s left join l on l.session_id = s.session_id",
+LISTED = (
+    f"select s.session_id, project_id, chat_mode, updated_at, coalesce(nullif(title, ''), case when c <> '' then concat(left(c, 30), '...') end, {q(hi.DEFAULT_TITLE)}) as title, coalesce(n, 0) as message_count "
+    "from {sessions} s left join l on l.session_id = s.session_id"
 )
-def session_list(spark, sf):
-    return hi.session_list(_sessions(spark, sf), messages(spark, sf), offset=5, limit=50)
-
-
-# Every conversation has a session here; every fourth has a title.
-ALL_SESSIONS = SESSIONS.replace(" where conv_id % 3 <> 0", "")
 
 
-@plan(
-    "set_missing_titles_all",
-    f"with {MSG}, {ALL_SESSIONS}, r as (select *, row_number() over (partition by session_id order by ts, turn) as k from msg where role = 'user') select s.session_id, s.project_id, "
-    "coalesce(nullif(s.title, ''), left(content, 50) || case when length(content) > 50 then '...' else '' end) as title from sessions s left join r on r.session_id = s.session_id and k = 1",
-)
-def set_missing_titles_all(spark, sf):
-    out = hi.set_missing_titles(_sessions(spark, sf, "true"), hi.session_titles(messages(spark, sf)))
-    return out.select("session_id", "project_id", "title")
+@plan("session_list", f"with {MSG}, {SESSIONS}, {LAST} {LISTED.format(sessions='sessions')}")
+def session_list(spark, sf):
+    return hi.session_list(_sessions(spark, sf), messages(spark, sf))
 
 
 @plan(
-    "session_list_all",
-    f"with {MSG}, {ALL_SESSIONS}, {LAST} select s.session_id, project_id, chat_mode, updated_at, coalesce(nullif(title, ''), case when c <> '' then concat(left(c, 30), '...') end, {q(hi.DEFAULT_TITLE)}) as title, coalesce(n, 0) as message_count "
-    "from sessions s left join l on l.session_id = s.session_id",
+    "session_list_page",
+    f"with {MSG}, {SESSIONS}, {LAST} {LISTED.format(sessions='(select * from sessions order by updated_at desc, session_id limit 50 offset 5)')}",
 )
-def session_list_all(spark, sf):
-    """Without pages; ``session_list`` is one page of two of three conversations."""
-    return hi.session_list(_sessions(spark, sf, "true"), messages(spark, sf))
+def session_list_page(spark, sf):
+    """One page, the way a client asks for it."""
+    return hi.session_list(_sessions(spark, sf), messages(spark, sf), offset=5, limit=50)
 
 
 @plan("session_counts", f"with {MSG} select session_id, count(*) as message_count from msg group by 1")
@@ -131,14 +119,14 @@ def session_counts(spark, sf):
 
 @plan(
     "upsert_sessions",
-    f"with {MSG}, {SESSIONS}, m as (select *, case when turn % 3 = 0 then null else concat('q', cast(turn as string)) end as project_id, case when turn % 2 = 0 then 'freeform' else 'smart' end as chat_mode from msg), "
+    f"with {MSG}, {STORED}, m as (select *, case when turn % 3 = 0 then null else concat('q', cast(turn as string)) end as project_id, case when turn % 2 = 0 then 'freeform' else 'smart' end as chat_mode from msg), "
     "n as (select session_id, arg_max(project_id, ts) filter (project_id is not null) as np, arg_max(chat_mode, ts) as nm, max(ts) as last_ts from m group by 1) "
     "select coalesce(s.session_id, n.session_id) as session_id, coalesce(np, project_id) as project_id, coalesce(nm, chat_mode) as chat_mode, greatest(updated_at, last_ts) as updated_at from sessions s full join n on n.session_id = s.session_id",
 )
 def upsert_sessions(spark, sf):
     m = messages(spark, sf).withColumn("project_id", F.when(F.col("turn") % 3 != 0, F.concat(F.lit("q"), F.col("turn").cast("string"))))
     m = m.withColumn("chat_mode", F.when(F.col("turn") % 2 == 0, "freeform").otherwise("smart"))
-    return hi.upsert_sessions(_sessions(spark, sf), m)
+    return hi.upsert_sessions(_sessions(spark, sf, "conv_id % 3 <> 0"), m)
 
 
 @plan("delete_sessions", f"with {MSG} select session_id, turn, role from msg where session_id not in (select doc_id from labels where quality = 0)")

@@ -11,7 +11,7 @@ from sourceweave.operators import retrieval as rt
 from sourceweave.operators import snapshots as sn
 from sourceweave.plans.inventory import keep_sql
 from sourceweave.plans.minesql import strip
-from sourceweave.plans.registry import PLANS, plan
+from sourceweave.plans.registry import plan
 from sourceweave.plans.sqltext import CORPUS, DOCS, SUFFIX, in_list, q
 from sourceweave.sources import files as fs
 from sourceweave.sources.corpus import corpus
@@ -239,26 +239,9 @@ def retrieve(spark, sf):
     return rt.retrieve(store(spark, sf), questions(spark, sf), 5, 0.5).withColumn("score", F.round("score", 6))
 
 
-CODE = (
-    f"{CORPUS}, code as materialized (select concat(project_id, ':', path) as id, content from corpus), "
-    "probe as materialized (select concat(project_id, ':', path) as id, content from corpus where path like 'server/item%' or path like 'java/src/%')"
-)
-
-
-@plan(
-    "retrieve_by_code",
-    f"with {CODE}, {embed_sql('code', 'cv')}, {embed_sql('probe', 'pv')}, {topk_sql('cv_v', 'pv_v', 'code', 'probe', 5)} select query_id, id, round(score, 6) as score, rank from hits",
-)
+@plan("retrieve_by_code")
 def retrieve_by_code(spark, sf):
-    files = corpus(spark, sf).withColumn("id", F.concat_ws(":", "project_id", "path"))
-    code = files.select("id", V.hash_embed(F.col("content")).alias("embedding"))
-    probe = files.where("path like 'server/item%' or path like 'java/src/%'").select(F.col("id").alias("query_id"), F.col("content").alias("text"))
-    return rt.retrieve(code, probe, 5).withColumn("score", F.round("score", 6))
-
-
-@plan("retrieve_by_code_all")
-def retrieve_by_code_all(spark, sf):
-    """Every file asks; ``retrieve_by_code`` asks with two path groups only."""
+    """Every file asks for the five nearest; tested by brute force, since SQL over all pairs is too slow."""
     files = corpus(spark, sf).select(F.concat_ws(":", "project_id", "path").alias("id"), "content")
     code = files.select("id", V.hash_embed(F.col("content")).alias("embedding"))
     return rt.retrieve(code, files.select(F.col("id").alias("query_id"), F.col("content").alias("text")), 5).withColumn("score", F.round("score", 6))
@@ -278,22 +261,9 @@ def hybrid_retrieve(spark, sf):
     return hits.select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
-@plan(
-    "multi_query_retrieve",
-    f"with {STORE}, kw as (select item_id, list_filter(string_split(text, ' '), lambda w: length(w) > 11) as ws from benchmark), ke as (select item_id, unnest(ws) as content, generate_subscripts(ws, 1) - 1 as o from kw), "
-    f"kq as materialized (select concat(cast(item_id as string), ':', cast(o as string)) as id, item_id, o, content from ke), {embed_sql('kq', 'kv')}, {topk_sql('sv_v', 'kv_v', 'store', 'kq', 4)}, "
-    "m as (select cast(k.item_id as string) as query_id, h.id, k.o, h.rank, h.score from hits h join kq k on k.id = h.query_id), "
-    "f as (select *, row_number() over (partition by query_id, id order by o, rank) as n from m), "
-    "g as (select query_id, id, score, row_number() over (partition by query_id order by o, rank, id) as rank from f where n = 1) select query_id, id, round(score, 6) as score, rank from g",
-)
+@plan("multi_query_retrieve")
 def multi_query_retrieve(spark, sf):
-    asked = questions(spark, sf).select("query_id", F.filter(F.split("text", " "), lambda w: F.length(w) > 11).alias("keywords"))
-    return rt.multi_query_retrieve(store(spark, sf), asked, 4).withColumn("score", F.round("score", 6))
-
-
-@plan("multi_query_retrieve_all")
-def multi_query_retrieve_all(spark, sf):
-    """Every distinct word is a keyword; ``multi_query_retrieve`` asks with those of more than 11 characters only."""
+    """Every distinct word of a question is a keyword; tested by brute force, since SQL over all pairs is too slow."""
     words = F.array_distinct(F.split("text", " "))
     asked = questions(spark, sf).select("query_id", F.filter(words, lambda w: w != "").alias("keywords"))
     return rt.multi_query_retrieve(store(spark, sf), asked, 4).withColumn("score", F.round("score", 6))
@@ -499,20 +469,16 @@ def extract_citations(spark, sf):
     return cx.extract_citations(_answers(spark, sf))
 
 
-# Hits of an answer: the turns of the same conversation, three at most.
+# Hits of an answer: all turns of the same conversation.
 HITS = (
     "select concat(cast(a.conv_id as string), '-', cast(a.turn as string)) as answer_id, b.turn + 1 as rank, concat('f', cast(b.turn as string), '.py') as file, b.turn + 1 as line, case when b.turn = 1 then 9 else null end as end_line, "
-    "(a.turn * 7 + b.turn * 3) % 10 / 10.0 as score from {0} a join {0} b on a.conv_id = b.conv_id and b.turn < 6 and a.turn > 0"
+    "(a.turn * 7 + b.turn * 3) % 10 / 10.0 as score from {0} a join {0} b on a.conv_id = b.conv_id"
 )
 
 
-# All turns of the conversation, for every answer.
-ALL_HITS = HITS.replace(" and b.turn < 6 and a.turn > 0", "")
-
-
-def _hits(spark, sf, hits=HITS):
+def _hits(spark, sf):
     table(spark, sf, "conversations").createOrReplaceTempView("answer_turns")
-    return spark.sql(hits.format("answer_turns")).withColumn("score", F.col("score").cast("double"))
+    return spark.sql(HITS.format("answer_turns")).withColumn("score", F.col("score").cast("double"))
 
 
 @plan(
@@ -556,25 +522,6 @@ def smart_confidence(spark, sf):
     return cx.smart_confidence(_answers(spark, sf), _hits(spark, sf)).withColumn("confidence", F.round("confidence", 6))
 
 
-def _over_all_hits(name: str) -> str:
-    return PLANS[name].sql.replace(HITS.format("conversations"), ALL_HITS.format("conversations"))
-
-
-@plan("add_sources_all", _over_all_hits("add_sources"))
-def add_sources_all(spark, sf):
-    return cx.add_sources(_answers(spark, sf), _hits(spark, sf, ALL_HITS))
-
-
-@plan("answer_confidence_all", _over_all_hits("answer_confidence"))
-def answer_confidence_all(spark, sf):
-    return cx.answer_confidence(_answers(spark, sf), _hits(spark, sf, ALL_HITS)).withColumn("confidence", F.round("confidence", 6))
-
-
-@plan("smart_confidence_all", _over_all_hits("smart_confidence"))
-def smart_confidence_all(spark, sf):
-    return cx.smart_confidence(_answers(spark, sf), _hits(spark, sf, ALL_HITS)).withColumn("confidence", F.round("confidence", 6))
-
-
 REPLY = (
     "case event_id % 5 when 0 then concat('```json', chr(10), props, chr(10), '```') when 1 then concat('Here: ', props, ' ok') when 2 then props when 3 then concat('```', chr(10), '{bad') else concat('no ', event_type) end"
 )

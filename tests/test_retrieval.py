@@ -166,7 +166,7 @@ def test_all_keywords_ask(spark, tmp_path):
             for i, score in brute_topk(store, word, 4):
                 want.setdefault(str(q), {}).setdefault(i, score)
     got = {}
-    for r in PLANS["multi_query_retrieve_all"].run(spark, str(tmp_path)).orderBy("query_id", "rank").collect():
+    for r in PLANS["multi_query_retrieve"].run(spark, str(tmp_path)).orderBy("query_id", "rank").collect():
         got.setdefault(r["query_id"], {})[r["id"]] = r["score"]
     assert got.keys() == want.keys() == {"7", "8"}
     for q, hits in want.items():
@@ -177,7 +177,7 @@ def test_all_files_ask(spark, sf):
     files = {f"{r['project_id']}:{r['path']}": r["content"] for r in plans.corpus(spark, sf).collect()}
     store = {i: embed(t) for i, t in files.items()}
     got = {}
-    for r in PLANS["retrieve_by_code_all"].run(spark, sf).collect():
+    for r in PLANS["retrieve_by_code"].run(spark, sf).collect():
         got.setdefault(r["query_id"], {})[r["rank"]] = r["score"]
     assert got.keys() == files.keys()
     for i in sorted(files)[::97]:

@@ -1,4 +1,4 @@
-"""Queries that stand beside a part of them: nothing of their tables is left out."""
+"""Nothing of their tables is left out of these queries."""
 
 import duckdb
 import pytest
@@ -9,7 +9,7 @@ from sourceweave.plans import graphs as plans
 from sourceweave.sources.tables import table
 from tools.check import TABLES, rows_of
 
-WHOLE = ["set_missing_titles_all", "session_list_all", "add_sources_all", "answer_confidence_all", "smart_confidence_all"]
+WHOLE = ["set_missing_titles", "session_list", "add_sources", "answer_confidence", "smart_confidence"]
 
 
 @pytest.mark.parametrize("name", WHOLE)
@@ -26,7 +26,7 @@ def test_every_conversation_and_turn_is_there(spark, sf):
     turns = {(r["conv_id"], r["turn"]) for r in table(spark, sf, "conversations").collect()}
     for name in WHOLE[:2]:
         assert {r["session_id"] for r in PLANS[name].run(spark, sf).collect()} == {c for c, _ in turns}
-    text = {r["answer_id"]: r["text"] for r in PLANS["add_sources_all"].run(spark, sf).collect()}
+    text = {r["answer_id"]: r["text"] for r in PLANS["add_sources"].run(spark, sf).collect()}
     for c, t in turns:
         assert all(f"- [f{other}.py:{other + 1}" in text[f"{c}-{t}"] for d, other in turns if d == c)
 
@@ -44,5 +44,5 @@ def test_call_chain_reaches_the_fixed_point(spark, sf):
             while front := {x for at in front for x in after.get((n["project_id"], direction, at), ())} - {k[3] for k in want if k[:3] == (n["project_id"], n["id"], direction)}:
                 want.update({(n["project_id"], n["id"], direction, x): hop for x in front})
                 hop += 1
-    got = {(r["project_id"], r["seed"], r["direction"], r["id"]): r["hop"] for r in PLANS["call_chain_all"].run(spark, sf).collect()}
+    got = {(r["project_id"], r["seed"], r["direction"], r["id"]): r["hop"] for r in PLANS["call_chain"].run(spark, sf).collect()}
     assert got == want and want
