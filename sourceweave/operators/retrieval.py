@@ -98,6 +98,14 @@ def index_stats(indexed: DataFrame) -> DataFrame:
     )
 
 
+def store_stats(indexed: DataFrame, messages: DataFrame) -> DataFrame:
+    """One row: documents in the store and sessions with messages."""
+    documents = indexed.agg(F.count("*").alias("total_documents"))
+    sessions = messages.agg(F.countDistinct("session_id").alias("active_sessions"))
+    both = documents.unionByName(sessions, allowMissingColumns=True)
+    return both.agg(F.max("total_documents").alias("total_documents"), F.max("active_sessions").alias("active_sessions"))
+
+
 def topk_search(vectors: DataFrame, queries: DataFrame, k: int, block: int = QUERY_BLOCK) -> DataFrame:
     """Exact top-``k`` vectors per query by cosine: ``(query_id, id, score, rank)``.
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from sourceweave.sources.files import line_count, skip_filter
 
@@ -60,6 +62,72 @@ def latest_wins(current: DataFrame, updates: DataFrame, keys: list[str], order:
     return both.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("row")).select(*keys, "row.*")
 
 
+#: Buckets of a metadata table; an upsert rewrites those that it touches.
+BUCKETS = 64
+
+
+def _bucket() -> Column:
+    return F.pmod(F.xxhash64("project_id"), F.lit(BUCKETS)).cast("int")
+
+
+def _committed(spark: SparkSession, folder: str) -> dict[int, int]:
+    """Committed version of every bucket, at most ``BUCKETS`` rows; none where nothing was committed yet."""
+    try:
+        committed = spark.read.schema("bucket int, version int").parquet(f"{folder}/manifest")
+    except AnalysisException:
+        return {}
+    return {r["bucket"]: r["version"] for r in committed.groupBy("bucket").agg(F.max("version").alias("version")).collect()}
+
+
+def _buckets(spark: SparkSession, folder: str, versions: dict[int, int], like: StructType) -> DataFrame:
+    paths = [f"{folder}/data/version={v}/bucket={b}" for b, v in sorted(versions.items())]
+    return spark.read.schema(like).parquet(*paths) if paths else spark.createDataFrame([], like)
+
+
+_METADATA = "project_id string, path string, sha256 string, metadata string, processed_at long"
+
+
+def upsert_metadata(folder: str, updates: DataFrame) -> None:
+    """Set hash and metadata of files in the table below ``folder``.
+
+    ``updates(project_id, path, sha256, metadata, processed_at)``: the latest row of a
+    file gives its hash, the latest row with metadata gives that, so a row without any
+    leaves the stored one. Buckets of the touched projects are written as a new version
+    next to the old ones; the manifest, written last, makes them visible, so a job that
+    dies before leaves the table as it was. One writer at a time.
+    """
+    spark = updates.sparkSession
+    schema = StructType.fromDDL(_METADATA)
+    rows = updates.selectExpr("project_id", "path", "sha256", "metadata", "cast(processed_at as long) as processed_at").withColumn("bucket", _bucket())
+    touched = {r["bucket"] for r in rows.select("bucket").distinct().collect()}
+    if not touched:
+        return
+    versions = _committed(spark, folder)
+    version = max(versions.values(), default=0) + 1
+    current = _buckets(spark, folder, {b: v for b, v in versions.items() if b in touched}, schema).withColumn("bucket", _bucket())
+    merged = current.unionByName(rows).groupBy("bucket", "project_id", "path").agg(
+        F.max_by("sha256", "processed_at").alias("sha256"),
+        F.expr("max_by(metadata, processed_at) filter (where metadata is not null)").alias("metadata"),
+        F.max("processed_at").alias("processed_at"),
+    )
+    merged.write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/data/version={version}")  # of a job that died, if any
+    spark.createDataFrame([(b, version) for b in touched], "bucket int, version int").coalesce(1).write.mode("append").parquet(f"{folder}/manifest")
+
+
+def stored_metadata(spark: SparkSession, folder: str) -> DataFrame:
+    """The committed state of a metadata table."""
+    return _buckets(spark, folder, _committed(spark, folder), StructType.fromDDL(_METADATA))
+
+
+def lookup_metadata(probe: DataFrame, folder: str) -> DataFrame:
+    """Metadata of the probed files, null where none is stored; only their projects' buckets are read."""
+    spark = probe.sparkSession
+    asked = {r["bucket"] for r in probe.select(_bucket().alias("bucket")).distinct().collect()}
+    versions = {b: v for b, v in _committed(spark, folder).items() if b in asked}
+    known = _buckets(spark, folder, versions, StructType.fromDDL(_METADATA)).select("project_id", "path", "metadata")
+    return probe.select("project_id", "path").join(known, ["project_id", "path"], "left")
+
+
 def index_stats(tracked: DataFrame) -> DataFrame:
     return tracked.groupBy("project_id").agg(
         F.count("*").alias("tracked_files"), F.max("scanned_at").alias("last_scan")

@@ -274,6 +274,48 @@ def index_stats(spark, sf):
     return sn.index_stats(mark_processed(spark, sf))
 
 
+# Three upserts: all files, Python files of some projects, and hashes without metadata.
+METADATA = (
+    "u as (select project_id, path, sha256(content) as sha256, 'first' as metadata, 1 as processed_at from docs union all "
+    "select project_id, path, sha256(concat(content, 'x')), concat('py ', path), 2 from docs where path like '%.py' and project_id like 'src1%' union all "
+    "select project_id, path, sha256(concat(content, 'y')), null, 3 from docs where project_id = 'src3')"
+)
+
+
+def _metadata_table(spark, sf):
+    files = doc_files(spark, sf)
+    folder = scratch_folder(spark)
+    for at, (where, tail, note) in enumerate(
+        [("true", "", "'first'"), ("path like '%.py' and project_id like 'src1%'", "x", "concat('py ', path)"), ("project_id = 'src3'", "y", "cast(null as string)")], 1
+    ):
+        rows = files.where(where).select(
+            "project_id", "path", F.sha2(F.concat("content", F.lit(tail)), 256).alias("sha256"), F.expr(note).alias("metadata"), F.lit(at).alias("processed_at")
+        )
+        sn.upsert_metadata(folder, rows)
+    return folder
+
+
+@plan(
+    "upsert_metadata",
+    f"with {DOCS}, {METADATA} select project_id, path, arg_max(sha256, processed_at) as sha256, arg_max(metadata, processed_at) filter (metadata is not null) as metadata, "
+    "max(processed_at)::bigint as processed_at from u group by 1, 2",
+)
+def upsert_metadata(spark, sf):
+    return sn.stored_metadata(spark, _metadata_table(spark, sf))
+
+
+@plan(
+    "lookup_metadata",
+    f"with {DOCS}, {METADATA}, m as (select project_id, path, arg_max(metadata, processed_at) filter (metadata is not null) as metadata from u group by 1, 2), "
+    "p as (select project_id, path from docs where project_id like 'src1%' union all select distinct project_id, 'unknown.py' from docs) "
+    "select p.project_id, p.path, metadata from p left join m on m.project_id = p.project_id and m.path = p.path",
+)
+def lookup_metadata(spark, sf):
+    files = doc_files(spark, sf).select("project_id", "path")
+    unknown = files.select("project_id", F.lit("unknown.py").alias("path")).distinct()
+    return sn.lookup_metadata(files.where("project_id like 'src1%'").unionByName(unknown), _metadata_table(spark, sf))
+
+
 # Orders act as the version rows of their customer.
 VERSIONS = (
     "select concat('c', cast(o_custkey as string)) as project_id, o_orderkey as version_id, o_orderdate as created_at, "

@@ -15,7 +15,7 @@ from sourceweave.plans.registry import plan
 from sourceweave.plans.sqltext import CORPUS, DOCS, SUFFIX, in_list, q
 from sourceweave.sources import files as fs
 from sourceweave.sources.corpus import corpus
-from sourceweave.sources.tables import doc_files, table, vectors
+from sourceweave.sources.tables import doc_files, messages, table, vectors
 
 WS = rt.WHITE_SPACE
 PLAIN = "plain as (select source as project_id, concat(source, '/', lang, '/', cast(doc_id as string), '.py') as path, text as content from documents)"
@@ -191,6 +191,11 @@ def vector_index_stats(spark, sf):
     return rt.index_stats(rt.index_chunks(doc_files(spark, sf)))
 
 
+@plan("store_stats", f"with {INDEXED} select count(*) as total_documents, (select count(distinct conv_id) from conversations) as active_sessions from ix")
+def store_stats(spark, sf):
+    return rt.store_stats(rt.index_chunks(doc_files(spark, sf)), messages(spark, sf))
+
+
 COS = "list_dot_product(a.embedding::double[], b.embedding::double[]) / (sqrt(list_dot_product(a.embedding::double[], a.embedding::double[])) * sqrt(list_dot_product(b.embedding::double[], b.embedding::double[])) + 1e-8)"
 
 
