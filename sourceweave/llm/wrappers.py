@@ -5,9 +5,11 @@ token stream; equal neighbours fold into a repeated group. The streams of a host
 are then aligned one after the other: a text that differs becomes a slot, tags
 that only some pages have become optional groups, runs of the same tags become
 repeated groups. The result is a regular expression without unions, the host's
-wrapper. It says which texts are part of the template. A page's article is what
-its ``article`` or ``main`` elements hold; where no tag names it, the smallest
-element that holds all of the page's texts that are no template and no links.
+wrapper. It says which texts are part of the template: those at one place of the
+wrapper that enough pages with different articles share, inside the article too.
+A page's article is what its ``article`` or ``main`` elements hold besides; where no
+tag names it, the smallest element that holds all of the page's texts that are no
+template and no links.
 """
 
 from __future__ import annotations
@@ -32,18 +34,18 @@ TEMPLATE_PAGES = 5
 HELD = 20_000
 
 _TOKEN = re.compile(
-    r"<(?:!--.*?(?:-->|\Z)|!\[CDATA\[.*?(?:\]\]>|\Z)|/([a-zA-Z][^\s>/]*)[^>]*>?|([a-zA-Z][^\s>/]*)((?:[^>\"']+|\"[^\"]*\"|'[^']*')*)>?|[!?/][^>]*>?)", re.S
+    r"<(?:!--.*?(?:-->|\Z)|!\[CDATA\[.*?(?:\]\]>|\Z)|/([a-zA-Z][^\s>/]*)[^>]*>?|([a-zA-Z][^\s>/]*)((?:[^>\"']+|\"[^\"]*\"|'[^']*')*(?:[\"'][^>]*)?)>?|[!?/][^>]*>?)", re.S
 )
-_ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|\b(hidden)\b")
+_ATTRIBUTE = re.compile(r"([^\s=>\"'/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _WORD = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]*")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style textarea title noscript template iframe svg math object select".split())
+_RAW = frozenset("script style textarea title noscript template iframe svg annotation annotation-xml object select".split())
 _BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 #: An element of the first kind is closed when one of the second begins.
-_CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
+_CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "button": {"button"}}
 #: Elements whose parts may be template; those of lists, tables and paragraphs belong together.
 _FRAMES = frozenset(["", "html", "body", "div", "section", "center"])
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -56,9 +58,20 @@ _OUT_WORDS = frozenset(
     "signup social sponsor sponsored subscribe subscription toolbar widget".split()
 )
 
+#: Words that discard an element whatever its length, as long as the page has other text.
+_SURE_WORDS = frozenset(
+    "ad ads advert adverts advertisement advertising breadcrumb breadcrumbs comment comments consent cookie cookies disqus gdpr newsletter pagination "
+    "promo recommended related sidebar sponsored subscribe".split()
+)
+#: Words that tell an ``article`` element to be none, and those that tell it to be one.
+_NO_ARTICLE = frozenset("ad ads advert advertisement comment comments promo recommended related sponsored teaser".split())
+_ARTICLE = frozenset("article content entry hentry post story".split())
+#: Class names such as ``has-sidebar`` or ``comments-open`` tell a state and no role.
+_STATES = frozenset("closed disabled enabled has hide is no off on open show with without".split())
+
 
 class Node:
-    __slots__ = ("chars", "fixed", "key", "kids", "link", "main", "optional", "out", "pages", "repeated", "seen", "soft", "tag", "text", "weight")
+    __slots__ = ("chars", "common", "fixed", "key", "kids", "link", "main", "optional", "out", "pages", "repeated", "seen", "soft", "sure", "tag", "text", "weight")
 
     def __init__(self, tag: str, key: str, out: bool = False, main: bool = False):
         self.tag, self.key, self.out, self.main = tag, key, out, main
@@ -67,30 +80,38 @@ class Node:
         self.optional = self.repeated = False
         self.pages, self.chars, self.link = 1, 0, 0
         self.seen: list[int] = []  # of a "#" node of a pattern: contents of pages that have it, TEMPLATE_PAGES at most
-        self.soft = False  # a word of its class or id tells that it is no article
+        self.common: list[int] = []  # of a "#" node of a pattern: the texts that all pages have here
+        self.soft = self.sure = False  # a word of its class or id tells that it is no article
         self.weight, self.fixed = 0, False  # of a page: running text that is no template; a text of the template
 
 
 def _element(tag: str, attributes: str, in_main: bool) -> Node:
     """An element with the part of its attributes that tells its role."""
-    words, key, soft, out = [], tag, False, tag in _OUT_TAGS or (tag == "header" and not in_main)
+    words, names, key, soft, out = [], [], tag, False, tag in _OUT_TAGS or (tag == "header" and not in_main)
     main = tag in ("article", "main")
     if attributes:
-        for name, a, b, c, hidden in _ATTRIBUTE.findall(attributes):
+        for name, a, b, c in _ATTRIBUTE.findall(attributes):
             name, value = name.lower(), a or b or c
             if name in ("class", "id"):
-                words += [w.lower() for w in _WORD.findall(value)]
+                names += [[w.lower() for w in _WORD.findall(part)] for part in value.split()]
             elif name == "role":
                 out, main = out or value in _OUT_ROLES, main or value in ("main", "article")
             elif name == "itemprop":
                 main = main or value == "articleBody"
-            elif hidden or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none", value)):
+            elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none", value)):
                 out = True
+        words = [w for part in names for w in part]
         if words:
             key = f"{tag}.{'.'.join(sorted(set(words)))}"
             soft = not _OUT_WORDS.isdisjoint(words) or ("header" in words and not in_main)
     node = Node(tag, key, out, main and not out)
-    node.soft = soft and not node.main and tag not in ("html", "body")
+    if tag not in ("html", "body", "main"):
+        roles = [part for part in names if _STATES.isdisjoint(part)]
+        if node.main:
+            plain = any(not _ARTICLE.isdisjoint(part) and _NO_ARTICLE.isdisjoint(part) for part in roles)
+            node.sure = any(len(part) == 1 and part[0] in _NO_ARTICLE or not plain and part and part[0] in _NO_ARTICLE for part in roles)
+        else:
+            node.soft, node.sure = soft, soft and any(not _SURE_WORDS.isdisjoint(part) for part in roles)
     return node
 
 
@@ -138,7 +159,7 @@ def parse(page: str) -> Node:
             tag = closing.lower()
             if tag == "a":
                 in_link = max(0, in_link - 1)
-            elif tag in _BLOCK:
+            elif tag in _BLOCK or tag == "button":
                 pop_to((tag,), () if tag in ("body", "html", "article", "main") else ("article", "main", "body"))
         elif opening:
             tag = opening.lower()
@@ -177,9 +198,35 @@ def clean(raw: str) -> str:
 def settled(root: Node, fixed: frozenset[str] = frozenset()) -> Node:
     """Discards the elements that a word of their class or id tells to be no article.
 
-    Not those around an element that is named as the article, nor those with more
-    than half of the page's running text that is no template.
+    Comments, sidebars, teasers and the like go however long they are, unless the
+    page would have no text without them. Of the others those stay that stand
+    around an element named as the article, or hold more than half of the page's
+    running text that is no template.
     """
+    gone: list[Node] = []
+
+    def discard(node: Node, sheltered: bool) -> bool:
+        """Whether an article that nothing marks as something else lies below."""
+        if node.out:
+            return False
+        if node.sure and (node.main or sheltered):
+            gone.append(node)
+            return False
+        holds = any([discard(k, sheltered) for k in node.kids])
+        if node.sure and not holds:
+            gone.append(node)
+        return holds or node.main
+
+    def free(node: Node) -> bool:
+        """Whether an article lies outside of all elements with such words."""
+        return not node.out and not node.sure and (node.main or any(free(k) for k in node.kids))
+
+    discard(root, free(root))
+    for node in gone:
+        node.out = True
+    if gone and not weighed(root, fixed, False):
+        for node in gone:
+            node.out = False
     total = weighed(root, fixed, False) or weighed(root, fixed, True)
 
     def walk(node: Node) -> bool:
@@ -211,10 +258,13 @@ def content(node: Node, before: int = 0) -> int:
 def folded(node: Node, page: int | None = None) -> tuple[str, Node]:
     """The element's stream and pattern, with equal neighbours as one repeated group."""
     if page is None:
-        page = content(settled(node))
+        page = 0
+        for part in named(settled(node)) or [node]:
+            page = content(part, page)
     if node.tag == "#":
         out = Node("#", "#")
         out.text, out.chars, out.link, out.seen = crc(node.text), node.chars, node.link, [page]
+        out.common = [out.text]
         return "#", out
     out = Node(node.tag, node.key, node.out, node.main)
     streams: list[str] = []
@@ -229,27 +279,32 @@ def folded(node: Node, page: int | None = None) -> tuple[str, Node]:
     return f"{node.key}({' '.join(streams)})", out
 
 
-def merged(a: Node, b: Node, same_page: bool = False) -> Node:
-    """The pattern of what either pattern describes."""
+def merged(a: Node, b: Node, same_page: bool = False, turn: bool = False) -> Node:
+    """The pattern of what either pattern describes; ``turn``: another turn of a group, that not all pages have."""
     out = Node(a.tag, a.key, a.out and b.out, a.main)
     out.pages = max(a.pages, b.pages) if same_page else a.pages + b.pages
     out.chars, out.link = a.chars + b.chars, a.link + b.link
     out.optional, out.repeated = a.optional or b.optional, a.repeated or b.repeated
     if a.tag == "#":
         out.text = a.text if a.text == b.text else None
+        if a.common != b.common:
+            both = {*a.common, *b.common} if same_page and not turn else {*a.common} & {*b.common}
+            out.common = sorted(both)
+        else:
+            out.common = a.common
         out.seen = a.seen if a.seen == b.seen else sorted({*a.seen, *b.seen})[:TEMPLATE_PAGES]
         return out
     left, right = [k.key for k in a.kids], [k.key for k in b.kids]
     if left == right:
-        out.kids = [merged(x, y, same_page) for x, y in zip(a.kids, b.kids, strict=True)]
+        out.kids = [merged(x, y, same_page, turn) for x, y in zip(a.kids, b.kids, strict=True)]
         return out
     for kind, i, j, k, l in SequenceMatcher(None, left, right, autojunk=False).get_opcodes():  # noqa: E741
         if kind == "equal":
-            out.kids += [merged(x, y, same_page) for x, y in zip(a.kids[i:j], b.kids[k:l], strict=True)]
+            out.kids += [merged(x, y, same_page, turn) for x, y in zip(a.kids[i:j], b.kids[k:l], strict=True)]
             continue
         for kid in [*a.kids[i:j], *b.kids[k:l]]:
             if out.kids and out.kids[-1].key == kid.key and kid.tag != "#":
-                out.kids[-1] = merged(out.kids[-1], kid, True)  # another turn of the group before it
+                out.kids[-1] = merged(out.kids[-1], kid, True, True)  # another turn of the group before it
                 out.kids[-1].repeated = True
             else:
                 kid.optional = True
@@ -264,26 +319,33 @@ def expression(node: Node) -> str:
 
 
 def dumped(node: Node) -> list:
-    return [node.tag, node.key, node.out, node.main, node.text, node.optional, node.repeated, node.pages, node.chars, node.link, node.seen, [dumped(k) for k in node.kids]]
+    return [node.tag, node.key, node.out, node.main, node.text, node.optional, node.repeated, node.pages, node.chars, node.link, node.seen, node.common, [dumped(k) for k in node.kids]]
 
 
 def loaded(x: list) -> Node:
     out = Node(*x[:4])
-    out.text, out.optional, out.repeated, out.pages, out.chars, out.link, out.seen = x[4:11]
-    out.kids = [loaded(k) for k in x[11]]
+    out.text, out.optional, out.repeated, out.pages, out.chars, out.link, out.seen, out.common = x[4:12]
+    out.kids = [loaded(k) for k in x[12]]
     return out
 
 
 def decided(wrapper: Node) -> dict:
-    """``fixed``: path and checksum of the texts that enough different pages share."""
+    """``fixed``: path and checksum of the texts that enough different pages share.
+
+    Inside an article they count only where other texts of the article differ.
+    """
+
+    def varies(node: Node) -> bool:
+        return not node.out and (node.text is None if node.tag == "#" else any(varies(k) for k in node.kids))
+
     fixed: set[str] = set()
 
     def walk(node: Node, path: str) -> None:
-        if node.out:
+        if node.out or node.main and not varies(node):
             return
         at = f"{path}/{node.key}"
-        if node.text is not None and len(node.seen) >= TEMPLATE_PAGES:
-            fixed.add(f"{at} {node.text}")
+        if len(node.seen) >= TEMPLATE_PAGES:
+            fixed.update(f"{at} {text}" for text in node.common)
         for kid in node.kids:
             walk(kid, at)
 
@@ -320,6 +382,33 @@ def named(node: Node) -> list[Node]:
     return [node] if node.main else [m for k in node.kids for m in named(k)]
 
 
+def own(node: Node) -> list[str]:
+    """The blocks of an article without its template.
+
+    Lists, tables and paragraphs stay or go whole; a heading that all pages share
+    stays where text of the page follows it.
+    """
+    if node.out or template(node):
+        return []
+    if node.tag not in _FRAMES and not node.main and node.tag != "header":
+        return texts(node)
+    out: list[str] = []
+    held: list[str] = []
+    for kid in node.kids:
+        if not template(kid):
+            out += held + own(kid)
+            held = []
+        elif kid.tag in _HEADINGS:
+            held += texts(kid)
+        elif not kid.out and kid.kids or kid.tag == "#":
+            held = []
+    return out
+
+
+def template(node: Node) -> bool:
+    return node.out or (node.fixed if node.tag == "#" else all(template(k) for k in node.kids))
+
+
 def framed(root: Node, fixed: frozenset[str]) -> list[str]:
     """Blocks of the smallest element that holds all of a page's texts that are no template and no links.
 
@@ -330,9 +419,6 @@ def framed(root: Node, fixed: frozenset[str]) -> list[str]:
     if not weighed(root, fixed, False):
         weighed(root, fixed, True)
 
-    def template(node: Node) -> bool:
-        return node.out or (node.fixed if node.tag == "#" else all(template(k) for k in node.kids))
-
     def within(node: Node) -> list[str]:
         if node.tag not in _FRAMES:
             return texts(node)
@@ -360,7 +446,7 @@ def extract(page: str | None, decision: dict | None = None) -> str:
 
     def found(fixed: frozenset[str]) -> list[str]:
         root = settled(parse(page), fixed)
-        return [t for m in named(root) for t in texts(m)] or framed(root, fixed)
+        return [t for m in named(root) for t in own(m)] or framed(root, fixed)
 
     fixed = frozenset(decision["fixed"]) if decision else frozenset()
     return "\n\n".join(found(fixed) or (found(frozenset()) if fixed else []))

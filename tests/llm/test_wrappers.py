@@ -38,11 +38,52 @@ def test_template_text_and_region_without_article_tags(spark):
 
 
 def test_copies_are_no_template(spark):
-    """A text that all pages of a host share stays where nothing tells it from the article."""
+    """A text that all copies of a page share stays; one that pages with different articles share is template."""
     same = [PAGE] * 9
     assert {r.text for r in main_text(pages_of(spark, same)).collect()} == {TEXT}
     common = [f"<article><h1>A{i}</h1><p>A line that all share</p><p>own {i}</p></article>" for i in range(9)]
-    assert all("A line that all share" in r.text for r in main_text(pages_of(spark, common)).collect())
+    assert {r.page_id: r.text for r in main_text(pages_of(spark, common)).collect()} == {i: f"A{i}\n\nown {i}" for i in range(9)}
+    assert {r.page_id: r.text for r in main_text(pages_of(spark, common[:4])).collect()} == {i: f"A{i}\n\nA line that all share\n\nown {i}" for i in range(4)}
+    outside = [f"<article><h1>A</h1><p>same</p></article><p>other {i}</p>" for i in range(9)]
+    assert {r.text for r in main_text(pages_of(spark, outside)).collect()} == {"A\n\nsame"}
+
+
+def test_the_wrapper_decides_inside_the_article(spark):
+    """Generated pages of known text: notices that a page alone doesn't give away, headings, lists and tables that stay."""
+    bodies, want = [], []
+    for i in range(12):
+        parts = [f"Paragraph {j} of {i}" for j in range(1 + i % 4)]
+        tip = "<div class=tip><h3>Tip</h3><p>Install our app</p></div>" if i % 3 else ""
+        bodies.append(
+            f"<body><article><h1>Title {i}</h1>{tip}<h2>Summary</h2><p>{'</p><p>'.join(parts)}</p><p>Follow us everywhere</p>"
+            f"<h2>Data</h2><table><tr><th>Size</th><td>{i} m</td></tr></table><h2>More</h2><div class=end><p>Printed on paper</p></div></article></body>"
+        )
+        want.append("\n\n".join([f"Title {i}", "Summary", *parts, "Data", "Size", f"{i} m"]))
+    got = {r.page_id: r.text for r in main_text(pages_of(spark, bodies)).collect()}
+    assert got == dict(enumerate(want))
+    assert all(extract(body) != text for body, text in zip(bodies, want, strict=True))
+
+
+PROBES = [
+    ("<article><h1>H</h1><button>Share</button><p>Para one.</p><p>Para two.</p></article>", "H\n\nPara one.\n\nPara two."),
+    ("<article><p data-hidden>kept</p><p class=x hidden>gone</p><p data-x='hidden'>too</p></article>", "kept\n\ntoo"),
+    ("<div class=post><p>The post</p></div><article class=comment><p>Me too and longer</p></article>", "The post"),
+    ("<article><p>The post</p></article><article class='comment even'><p>Me too</p></article>", "The post"),
+    ("<main><article><p>The post</p></article><article class=comment-body><p>Me too, said at length</p></article></main>", "The post"),
+    ("<main><p>The post</p><div class=related><article class=teaser><p>Read this</p></article></div></main>", "The post"),
+    ("<article><p>Short post</p><section id=comments><p>A comment that is longer than all of the post</p></section></article>", "Short post"),
+    ("<div class=x><p>Short post</p></div><div class=sidebar><p>A sidebar that is longer than all of the post</p></div>", "Short post"),
+    ("<article class='post comments-open has-ads'><p>The post</p></article><p>Other</p>", "The post"),
+    ("<article><p class=\"x>The post</p></article>", "The post"),
+    ("<article><p>The post</p><p>has <math><mi>a</mi><mo>+</mo><mn>1</mn><annotation>a+1</annotation></math> in it</p></article>", "The post\n\nhas a+1 in it"),
+    ("<div class=comments><p>Nothing but comments</p></div>", "Nothing but comments"),
+]
+
+
+def test_probes():
+    for page, text in PROBES:
+        assert extract(page) == text, page
+    assert extract("<article><p>a</p>" + "<p>word</p><button>b</button>" * 50_000 + "</article>").count("word") == 50_000
 
 
 def test_edges(spark):
