@@ -53,14 +53,40 @@ def test_against_brute_force(spark, sf, monkeypatch):
             found = table_distance(normalised(item), normalised(text), False)[0]
             if found <= budget(normalised(item)):
                 want[d, i] = found
+                if i == 0:
+                    want[d, 10] = found  # the same item under another id
     got = find_leaks(documents, benchmark).collect()
-    assert {(r.doc_id, r.item_id): r.distance for r in got} == want and len(want) > 10
+    assert {(d, i): min(r.distance for r in got if (r.doc_id, r.item_id) == (d, i)) for d, i in {(r.doc_id, r.item_id) for r in got}} == want and len(want) > 10
     texts = {d: normalised(t) for d, t in docs}
     for r in got:
         piece = texts[r.doc_id][r.start : r.start + r.length]
         assert myers(normalised(dict(items)[r.item_id]), piece)[0] == r.distance
-    assert sum(r.doc_id == 42 for r in got) == 2
+    assert sum(r.doc_id == 42 for r in got) == 4
     clean = decontaminate(documents, benchmark)
     assert clean.columns == documents.columns
     assert sorted(r.doc_id for r in clean.collect()) == sorted(d for d, _ in docs if d not in {k[0] for k in want})
     assert find_leaks(documents, benchmark.limit(0)).collect() == [] == find_leaks(documents.limit(0), benchmark).collect()
+
+
+def test_short_items_equal_items_and_all_occurrences(spark):
+    long = "which of the rivers of the green country runs under the old stone bridge"
+    items = [(1, "What is the capital of Peru?"), (2, long), (3, long.upper()), (3, long), (4, "lamp"), (5, ""), (6, None), (7, "c++")]
+    docs = [
+        (1, "He asked: what is the  capital\nof peru? WHAT IS THE CAPITAL OF PERU? Lima"),
+        (2, f"{long}. And again: {long.replace('green', 'grey')}; {long}"),
+        (3, "lamps and a headlamp"),
+        (4, "a lamp, a lamp"),
+        (5, "what is the capital of perus"),
+        (6, "in c++ and c++11"),
+        (7, "word " * 300_000 + long),
+    ]
+    documents = spark.createDataFrame(docs, "doc_id long, text string")
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    got = sorted((r.doc_id, r.item_id, r.start, r.distance) for r in find_leaks(documents, benchmark).collect())
+    second = len(long) + len(". And again: ")
+    third = second + len(long) - 1 + 2
+    assert got == sorted([
+        (1, 1, 10, 0), (1, 1, 39, 0), *[(2, i, at, d) for i in (2, 3) for at, d in ((0, 0), (second, 2), (third, 0))],
+        (4, 4, 2, 0), (4, 4, 10, 0), (6, 7, 3, 0), (6, 7, 11, 0), (7, 2, 1_500_000, 0), (7, 3, 1_500_000, 0),
+    ])
+    assert sorted(r.doc_id for r in decontaminate(documents, benchmark).collect()) == [3, 5]
