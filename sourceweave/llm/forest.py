@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sourceweave.llm.common import parallelism, written
+from sourceweave.llm.common import parallelism, smallest_hashes, written
 
 TREES, BITS, SEED = 24, 62, 11
 #: Neighbours on each side of a query's string that the descent looks at.
@@ -250,7 +250,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec
     size = index.count()
     if not size:
         return spark.createDataFrame([], out)
-    sample = index.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()
+    sample = smallest_hashes(index, size, SAMPLE, "id", "id").collect()
     points = np.stack([np.frombuffer(r[1], kind).astype(np.float64) for r in sample])
 
     def norms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

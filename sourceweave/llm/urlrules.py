@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from sourceweave.llm.common import parallelism
+from sourceweave.llm.common import parallelism, smallest_hashes
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: URLs sampled for each key range, for fences that deal the rows out evenly.
@@ -50,7 +50,7 @@ def rules_frame(spark: SparkSession, rules: list[tuple[str, str]] = RULES) -> Da
 
 def _fences(urls: DataFrame, ranges: int) -> list[tuple[str, int]]:
     """``ranges - 1`` keys that cut a hash sample of the URLs into equal parts."""
-    sample = urls.select("_key", "_salt").orderBy(F.xxhash64("_salt"), "_key").limit(SAMPLE * ranges).collect()
+    sample = smallest_hashes(urls.select("_key", "_salt"), urls.count(), SAMPLE * ranges, "_salt", "_key").collect()
     found = sorted((r[0], r[1]) for r in sample)
     return sorted({found[len(found) * k // ranges] for k in range(1, ranges)}) if found else []
 
