@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from hashlib import md5
+
 from pyspark.sql import functions as F
 
 from sourceweave.functions import prompts as P
@@ -9,10 +11,12 @@ from sourceweave.functions import vectors as V
 from sourceweave.operators import context as cx
 from sourceweave.operators import retrieval as rt
 from sourceweave.operators import snapshots as sn
+from sourceweave.operators import vectorstore as vs
 from sourceweave.plans.inventory import keep_sql
 from sourceweave.plans.minesql import strip
 from sourceweave.plans.registry import plan
 from sourceweave.plans.sqltext import CORPUS, DOCS, SUFFIX, in_list, q
+from sourceweave.session import shared_folder
 from sourceweave.sources import files as fs
 from sourceweave.sources.corpus import corpus
 from sourceweave.sources.tables import doc_files, messages, table, vectors
@@ -91,23 +95,32 @@ def search_sql(k: int) -> str:
 
 
 def store(spark, sf):
-    """Vector table of all documents."""
-    chunks = rt.chunk_lines(plain_files(spark, sf))
-    return chunks.select(
-        F.concat_ws(":", "project_id", "chunk_id").alias("id"),
-        "project_id",
-        F.col("path").alias("file_path"),
-        "start_line",
-        "end_line",
-        "content",
-        V.hash_embed(F.col("content")).alias("embedding"),
-    )
+    """The stored vectors of all documents: kept with the session's shared folder, brought up to date where the table has changed."""
+    source = f"{sf}/documents.parquet"
+    folder = f"{shared_folder(spark)}/vectors-{md5(source.encode()).hexdigest()}"
+    state = vs.table_state(spark, source)
+    stored = vs.read_store(spark, folder, state=state)
+    if stored is None:
+        vs.update_store(folder, plain_files(spark, sf), state)
+        stored = vs.read_store(spark, folder)
+    return stored
 
 
 def questions(spark, sf):
     return table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
+@plan(
+    "vector_store",
+    f"with {STORE}, l as (select id, round(sum(abs(v)), 5) as l1 from sv_v group by 1) "
+    "select store.id, project_id, file_path, start_line, end_line, md5(content) as content_md5, coalesce(l1, 0) as l1 from store left join l on l.id = store.id",
+)
+def vector_store(spark, sf):
+    """Every stored row."""
+    l1 = F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + F.abs(x.cast("double"))), 5)
+    return store(spark, sf).select("id", "project_id", "file_path", "start_line", "end_line", F.md5("content").alias("content_md5"), l1.alias("l1"))
+
+
 @plan("count_tokens", f"select doc_id, {tokens_sql('text')} as tokens from documents")
 def count_tokens(spark, sf):
     return table(spark, sf, "documents").select("doc_id", rt.count_tokens(F.col("text")).alias("tokens"))
