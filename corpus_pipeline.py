@@ -15,26 +15,37 @@ from sourceweave.llm.queries import tokenizer_path
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that the classifier rejects."""
+    """Drops the documents that the classifier rejects.
+
+    Null texts and texts without a letter have no language and go, however long they
+    are. Repeated rows are judged one by one; an empty table stays empty.
+    """
     bound_batches(spark)
     found = langid.identify(docs, langid.fit(langid.training_rows(docs)))
     return found.filter(~F.col("rejected")).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest id of every group of linked documents."""
+    """Keeps the smallest id of every group of linked documents.
+
+    Rows that agree in id and text are one document; rows without an id and texts
+    without words stay.
+    """
     bound_batches(spark)
     return jaccard.keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that hold a benchmark item."""
+    """Drops the documents that hold a benchmark item, with few edits or, if it is short, as whole words.
+
+    Null and empty texts stay, as do all rows where the benchmark is empty.
+    """
     bound_batches(spark)
     return decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the rest into sequences of at most 4096 tokens."""
+    """Packs the rest into sequences of at most 4096 tokens; a null text counts as empty."""
     bound_batches(spark)
     return packing.pack(docs, tokenizer_path("word_bpe_49k.json"))
 
