@@ -24,9 +24,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sourceweave.llm.common import parallelism, trimmed, written
@@ -344,17 +345,8 @@ def _links(sets: DataFrame) -> DataFrame:
     return linked.unionAll(later)
 
 
-def jaccard_components(documents: DataFrame) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` for each row of ``documents(doc_id, text)``.
-
-    Two texts link when their sets of 5-word n-grams overlap in at least 75
-    hundredths of their union. The component's id is the smallest document id
-    that links lead to. Null texts and texts without words have an empty set and
-    are linked with nothing. Texts of fewer than five words have one n-gram, all
-    their words, and link with equal ones. Repeated rows are copies of each other
-    and answered one by one; ids that are null name no component. Other columns
-    are not read. N-grams and sets are told apart by 64-bit hashes.
-    """
+def _labelled(documents: DataFrame) -> DataFrame:
+    """``doc_id, sig, n, root, component_id`` of each row; class and component are null for an empty set."""
     documents = documents.select("doc_id", "text")
     kind = dict(documents.dtypes)["doc_id"]
     screened = written(_screen(documents, kind))
@@ -367,27 +359,64 @@ def jaccard_components(documents: DataFrame) -> DataFrame:
     roots = components(_links(sets)).withColumnRenamed("node", "sig")
     labelled = classes.select("sig", "doc_id").join(roots, "sig", "left").withColumn("root", F.coalesce("root", "sig"))
     smallest = labelled.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = labelled.join(smallest, "root").select("sig", "component_id")
-    linked = rows.filter("n > 0").join(named, "sig").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    alone = rows.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return linked.unionAll(alone)
+    named = labelled.join(smallest, "root").select("sig", "root", "component_id")
+    linked = rows.filter("n > 0").join(named, "sig").select("doc_id", "sig", "n", "root", "component_id")
+    none = F.lit(None).cast("long")
+    return linked.unionAll(rows.filter("n = 0").select("doc_id", none.alias("sig"), "n", none.alias("root"), F.col("doc_id").alias("component_id")))
+
+
+def jaccard_components(documents: DataFrame) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` for each row of ``documents(doc_id, text)``.
+
+    Two texts link when their sets of 5-word n-grams overlap in at least 75
+    hundredths of their union. The component's id is the smallest document id
+    that links lead to. Null texts and texts without words have an empty set and
+    are linked with nothing. Texts of fewer than five words have one n-gram, all
+    their words, and link with equal ones. Repeated rows are copies of each other
+    and answered one by one; ids that are null name no component. Other columns
+    are not read. N-grams and sets are told apart by 64-bit hashes.
+    """
+    return _labelled(documents).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
+def _signed(rows: DataFrame) -> DataFrame:
+    """``row, sig``: the rows as they are, with the class of their text (null without words)."""
+
+    @F.pandas_udf("long")
+    def sig(texts: pd.Series) -> pd.Series:
+        words = _Words()
+        sets = (shingles(t, words) for t in texts)
+        return pd.Series([signature(s) if len(s) else None for s in sets], dtype="Int64")
+
+    return rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row"), sig("text").alias("sig"))
 
 
 def keep_one(documents: DataFrame) -> DataFrame:
-    """``documents`` without those whose component holds a smaller id.
+    """``documents`` with one row of each component: that with the smallest id.
 
-    Rows that agree in id and text are one document: of them one stays. Rows
-    without an id stay.
+    Decided row by row: of one id with several texts, only those go that are
+    linked with a smaller id, or with another text of the id that stays. A
+    component without ids keeps one of its rows. Texts without words stay; those
+    that agree in id and text are one document, but rows without an id and
+    without words all stay.
     """
-    found = written(jaccard_components(documents))
+    found = written(_labelled(documents))
     gone = written(found.filter("doc_id != component_id").select("doc_id").distinct())
-    kept = documents.join(gone, "doc_id", "left_anti")
-    twice = written(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("k")).filter("k > 1 and doc_id is not null").select("doc_id"))
-    if twice.isEmpty():
-        return kept
-    again = Window.partitionBy("doc_id", "text").orderBy(*[c for c, t in documents.dtypes if not t.startswith(("map", "array", "struct"))])
-    single = kept.join(twice, "doc_id", "left_semi").withColumn("_k", F.row_number().over(again)).filter("_k = 1").drop("_k")
-    return kept.join(twice, "doc_id", "left_anti").unionByName(single)
+    twice = written(found.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("doc_id"))
+    if twice.isEmpty() and found.filter("doc_id is null").isEmpty():
+        return documents.join(gone, "doc_id", "left_anti").select(documents.columns)
+    sure = documents.filter("doc_id is not null").join(twice, "doc_id", "left_anti").join(gone, "doc_id", "left_anti").select(documents.columns)
+    # An id that is null or repeated does not name a row; its rows are told apart by their sets.
+    unsure = documents.filter("doc_id is null").unionAll(documents.join(twice, "doc_id", "left_semi").select(documents.columns))
+    rows = _signed(unsure)
+    first = F.min_by("row", F.struct(*[F.col(f"row.`{c}`") for c, t in documents.dtypes if "map<" not in t and t != "variant"])).alias("row")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "sig")).alias("k")
+    keepers = found.filter("n > 0").groupBy("root").agg(least).select(F.col("k.doc_id").alias("keep_id"), F.col("k.sig").alias("sig"))
+    worded = rows.filter("sig is not null").groupBy(F.col("row.doc_id").alias("id"), "sig").agg(first)
+    worded = worded.join(keepers, "sig").filter("id <=> keep_id").select("row")
+    named = rows.filter("sig is null and row.doc_id is not null").groupBy(F.col("row.doc_id"), F.col("row.text")).agg(first).select("row")
+    unnamed = rows.filter("sig is null and row.doc_id is null").select("row")
+    return sure.unionAll(worded.unionAll(named).unionAll(unnamed).select("row.*"))
 
 
 ORACLE = r"""

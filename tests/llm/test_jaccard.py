@@ -66,6 +66,24 @@ def test_edges(spark, docs):
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(["1", "3", "4", "5", "6", "8", "9", "None"])
 
 
+def test_rows_are_kept_one_by_one(spark):
+    """An id with two texts, near copies under one id, and copies without an id."""
+    words = [f"w{i}" for i in range(80)]
+    text, near = " ".join(words), " ".join([*words[:-1], "x"])
+    other, unnamed = " ".join(reversed(words)), " ".join(words[::3])
+    rows = [(1, text, {"k": 1}), (2, near, None), (2, other, None), (3, unnamed.upper() + " y z", None), (3, unnamed.upper() + " y z", None)]
+    rows += [(None, unnamed, None), (None, unnamed + "  ", None), (None, near, None), (4, "a b c d e f", None), (4, "a b c d e f", None)]
+    rows += [(None, None, None), (None, None, None), (5, "", None), (5, "", None), (5, " ", None)]
+    rows += [(6, " ".join(f"v{i}" for i in range(90)), None), (6, " ".join(f"v{i}" for i in range(89)), None), (None, "n1 n2 n3 n4 n5", None), (None, "n1 n2 n3 n4 n5", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, sig map<string,int>")
+    got = keep_one(docs)
+    assert got.columns == docs.columns
+    kept = sorted((str(r.doc_id), str(r.text)[:5]) for r in got.collect())
+    assert kept == sorted(
+        [("1", "w0 w1"), ("2", "w79 w"), ("3", "W0 W3"), ("4", "a b c"), ("None", "None"), ("None", "None"), ("5", ""), ("5", " "), ("6", "v0 v1"), ("None", "n1 n2")]
+    )
+
+
 def test_components_of_a_path(spark):
     edges = spark.range(200).selectExpr("id as a", "id + 1 as b").unionAll(spark.createDataFrame([(900, 901), (950, 950)], "a long, b long"))
     roots = {r.node: r.root for r in components(edges).collect()}
