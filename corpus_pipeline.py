@@ -28,8 +28,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the smallest id of every group of linked documents.
 
-    Rows that agree in id and text are one document; rows without an id and texts
-    without words stay.
+    Rows are judged one by one: a repeated id loses only its linked texts, and a
+    group without ids keeps one row. Texts without words stay.
     """
     bound_batches(spark)
     return jaccard.keep_one(docs)
