@@ -24,11 +24,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from sourceweave.llm.common import parallelism, trimmed, written
 from sourceweave.session import cut_lineage
@@ -381,14 +382,18 @@ def jaccard_components(documents: DataFrame) -> DataFrame:
 
 def _signed(rows: DataFrame) -> DataFrame:
     """``row, sig``: the rows as they are, with the class of their text (null without words)."""
+    out = T.StructType([T.StructField("row", rows.schema), T.StructField("sig", T.LongType())])
+    schema = to_arrow_schema(out)
 
-    @F.pandas_udf("long")
-    def sig(texts: pd.Series) -> pd.Series:
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words()
-        sets = (shingles(t, words) for t in texts)
-        return pd.Series([signature(s) if len(s) else None for s in sets], dtype="Int64")
+        for b in batches:
+            sets = (shingles(t.as_py(), words) for t in b.column(1))
+            sigs = pa.array([signature(s) if len(s) else None for s in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(schema.field(0).type), sigs], schema=schema)
 
-    return rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row"), sig("text").alias("sig"))
+    packed = F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row")
+    return rows.select(packed, F.col("text").alias("_text")).mapInArrow(trimmed(sign), out)
 
 
 def keep_one(documents: DataFrame) -> DataFrame:

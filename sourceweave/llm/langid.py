@@ -13,7 +13,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -146,15 +145,16 @@ def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str
     total, n = sum(np.frombuffer(p[0]) for p in parts), sum(p[1] for p in parts)
     idf = np.log((1 + n) / (1 + total)).astype(np.float32) + np.float32(1)
 
-    def cluster(group: pd.DataFrame) -> pd.DataFrame:
-        x = _vectors(np.stack([np.frombuffer(c, np.float32) for c in group["counts"]]), idf)
+    def cluster(group: pa.Table) -> pa.Table:
+        x = _vectors(np.stack([np.frombuffer(c.as_py(), np.float32) for c in group["counts"]]), idf)
         centres = _clusters(x)
         lowest, classes = np.ones((2, 64)), group["length_class"].to_numpy()
         np.minimum.at(lowest[0], classes, (x @ centres.T).max(axis=1))
         lowest[1] = np.bincount(classes, minlength=64)
-        return pd.DataFrame({"lang": group["lang"].iloc[0], "centroid": [c.astype(np.float32).tobytes() for c in centres], "lowest": [lowest.tobytes()] * len(centres)})
+        columns = [[group["lang"][0].as_py()] * len(centres), [c.astype(np.float32).tobytes() for c in centres], [lowest.tobytes()] * len(centres)]
+        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.binary(), pa.binary()), strict=True)], ["lang", "centroid", "lowest"])
 
-    found = counted.groupBy("lang").applyInPandas(cluster, "lang string, centroid binary, lowest binary").collect()
+    found = counted.groupBy("lang").applyInArrow(cluster, "lang string, centroid binary, lowest binary").collect()
     found.sort(key=lambda r: (r[0], bytes(r[1])))
     by_language = np.stack([np.frombuffer(b).reshape(2, 64) for b in {r[0]: bytes(r[2]) for r in found}.values()])
     enough = by_language[:, 1].sum(axis=0).cumsum() >= ENOUGH
