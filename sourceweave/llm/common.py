@@ -8,6 +8,7 @@ import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,14 +60,36 @@ def utf8(text: Column) -> Column:
     return F.encode(F.coalesce(text, F.lit("")), "UTF-8")
 
 
+#: What this worker holds for the stage it works on.
+_held: dict = {}
+
+
+def kept(make: Callable, *args):
+    """``make(*args)``, made once for all tasks of a stage that a worker runs; for use below ``trimmed``."""
+    if (make, args) not in _held:
+        _held[make, args] = make(*args)
+    return _held[make, args]
+
+
+def _begin() -> None:
+    """Drop what is held for another stage."""
+    context = TaskContext.get()
+    stage = context and context.stageId()
+    if _held.get("stage") != stage:
+        _held.clear()
+        _held["stage"] = stage
+
+
 def trimmed(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
     """``work`` on Arrow batches that hands its memory back at the end of a task.
 
     A worker outlives its tasks and its heap does not shrink by itself, so what one stage
-    took at its peak would stay beside what the next one takes.
+    took at its peak would stay beside what the next one takes. What ``kept`` made for
+    one stage goes when a task of another begins.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _begin()
         try:
             yield from work(batches)
         finally:

@@ -14,7 +14,6 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sourceweave.llm.common import batches_of, parallelism, trimmed, written
+from sourceweave.llm.common import batches_of, kept, parallelism, trimmed, written
 
 #: Words that a worker keeps the ids of, and the longest word it keeps.
 CACHE, LONGEST = 250_000, 40
@@ -82,7 +81,7 @@ class Ids(dict):
         return found
 
     def forget(self) -> None:
-        """Start the words anew; the tokenizer stays with the worker, they do not."""
+        """Start the words anew; the tokenizer stays for the stage, they do not."""
         self.clear()
         self[""] = b""
 
@@ -90,11 +89,6 @@ class Ids(dict):
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
 
-@lru_cache(maxsize=2)
-def _ids(path: str) -> Ids:
-    return Ids(path)
-
-
 def tokenised_pieces(documents: DataFrame, path: str, limit: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``row, doc_id, piece, start, length, ids_crc32``: the ids of each text and a final 1, cut at ``limit``.
 
@@ -103,7 +97,7 @@ def tokenised_pieces(documents: DataFrame, path: str, limit: int, key: str = "do
     kind = dict(documents.dtypes)[key]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, row = _ids(path), TaskContext.get().partitionId() << 33
+        ids, row = kept(Ids, path), TaskContext.get().partitionId() << 33
         for b in batches:
             held: list[list] = [[] for _ in range(6)]
             for doc, t in zip(b.column(0), b.column(1), strict=True):
