@@ -36,18 +36,35 @@ def stream_progress(spark, sf):
     return _result(jobs.progress_stream(progress_events(_stream(spark, sf, "events"))), spark, "project_id")
 
 
-@plan(
-    "stream_sessions",
-    "select conv_id as session_id, count(*) as message_count, arg_min(text, turn) as first_content, arg_max(text, turn) as last_content, max(timestamp '2024-01-01 00:00:00' + to_seconds(conv_id * 3600 + turn * 60)) as updated_at from conversations group by 1",
-)
-def stream_sessions(spark, sf):
-    c = _stream(spark, sf, "conversations").select(
+SESSION_SQL = "select conv_id as session_id, count(*) as message_count, arg_min(text, turn) as first_content, arg_max(text, turn) as last_content, max(timestamp '2024-01-01 00:00:00' + to_seconds(conv_id * 3600 + turn * 60)) as updated_at from conversations group by 1"
+
+
+def _messages(conversations):
+    return conversations.select(
         F.col("conv_id").alias("session_id"),
         F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, conv_id, turn, 0)").alias("ts"),
         "turn",
         F.col("text").alias("content"),
     )
-    return _result(jobs.session_stream(c), spark, "session_id")
+
+
+@plan("stream_sessions", SESSION_SQL)
+def stream_sessions(spark, sf):
+    return _result(jobs.session_stream(_messages(_stream(spark, sf, "conversations"))), spark, "session_id")
+
+
+@plan("stream_session_table", SESSION_SQL)
+def stream_session_table(spark, sf):
+    """Odd turns in a first run, even ones late in a second, over one table that is compacted between."""
+    folder = scratch_folder(spark)
+    rows = spark.read.parquet(f"{sf}/conversations.parquet")
+    for i, table in ((1, "parts"), (0, "compact")):
+        rows.where(F.col("turn") % 2 == i).write.parquet(f"{folder}/in{i}")
+        arriving = spark.readStream.schema(rows.schema).parquet(f"{folder}/in{i}")
+        jobs.session_table_stream(_messages(arriving), f"{folder}/{table}", f"{folder}/state{i}").awaitTermination()
+        if i:
+            jobs.compact_sessions(spark, f"{folder}/parts", f"{folder}/compact")
+    return jobs.current_sessions(spark, f"{folder}/compact")
 
 
 # Three runs over one index: all documents; late older versions with newer ones; deletions.

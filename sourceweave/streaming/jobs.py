@@ -94,3 +94,46 @@ def compact_index(spark, table: str, target: str) -> None:
     hashes = _latest(_hashes(spark, table)).withColumn("chunks_in", F.lit("compacted"))
     current_index(spark, table).drop("batch").write.parquet(f"{target}/chunks/batch=compacted")
     hashes.write.parquet(f"{target}/hashes/batch=compacted")
+
+
+# --- summaries without streaming state ------------------------------------------------
+
+
+def session_table_stream(messages: DataFrame, table: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """Keep a table of session summaries whose stream holds no state.
+
+    ``messages(session_id, ts, turn, content)`` arrive as a stream. The parts of
+    ``session_stream``'s summary can be merged, so a micro-batch writes one narrow row
+    for each of its sessions below its own key (see ``index_stream``) and forgets
+    them: memory does not grow with the sessions ever seen, however late a message
+    is, and an idle session stays in the table. A repeated batch overwrites itself.
+    Messages without an order (``ts`` or ``turn`` null) come first; rows without a
+    session are one session.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        key = f"{batch.sparkSession.sparkContext.getLocalProperty('sql.streaming.queryId')}-{batch_id:010d}"
+        said = F.struct("ts", "turn", "content")
+        parts = batch.groupBy("session_id").agg(
+            F.count("*").alias("message_count"), F.min(said).alias("first"), F.max(said).alias("last"), F.max("ts").alias("updated_at")
+        )
+        parts.write.mode("overwrite").parquet(f"{table}/batch={key}")
+
+    return messages.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
+def _merged(parts: DataFrame) -> DataFrame:
+    return parts.groupBy("session_id").agg(
+        F.sum("message_count").alias("message_count"), F.min("first").alias("first"), F.max("last").alias("last"), F.max("updated_at").alias("updated_at")
+    )
+
+
+def current_sessions(spark, table: str) -> DataFrame:
+    """``session_id, message_count, first_content, last_content, updated_at`` of every session in the table."""
+    merged = _merged(spark.read.option("basePath", table).parquet(table))
+    return merged.select("session_id", "message_count", F.col("first.content").alias("first_content"), F.col("last.content").alias("last_content"), "updated_at")
+
+
+def compact_sessions(spark, table: str, target: str) -> None:
+    """Write ``table`` as a new table with one row for each session, which a stream can go on with."""
+    _merged(spark.read.option("basePath", table).parquet(table)).write.parquet(f"{target}/batch=compacted")

@@ -126,3 +126,26 @@ def test_incremental_index_equals_batch(spark):
     assert run("lost")[0] == {"a.py": "one", "b.py": "changed"}  # everything again after a lost checkpoint
     jobs.compact_index(spark, f"{folder}/index", f"{folder}/compact")
     assert {r["path"]: r["content"] for r in jobs.current_index(spark, f"{folder}/compact").collect()} == {"a.py": "one", "b.py": "changed"}
+
+
+def test_session_table_keeps_idle_sessions(spark, tmp_path):
+    """Late and repeated messages, a null session, a stream that starts anew, and a compacted table."""
+    kind = "session_id long, ts timestamp, turn int, content string"
+    runs = [
+        [(1, 10, 0, "a"), (1, 20, 1, "b"), (2, 5, 0, "idle"), (None, 1, 0, None)],
+        [(1, 1, 0, "late"), (3, 30, 0, "c"), (1, 20, 1, "b")],
+        [(3, 40, 1, None), (None, 9, 1, "n")],
+    ]
+    table = f"{tmp_path}/t"
+    for i, rows in enumerate(runs):
+        frame = spark.createDataFrame(rows, "session_id long, s int, turn int, content string").selectExpr("session_id", "timestamp_seconds(s) as ts", "turn", "content")
+        frame.write.parquet(f"{tmp_path}/in{i}")
+        arriving = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in{i}")
+        query = jobs.session_table_stream(arriving, table, f"{tmp_path}/state{i}")
+        query.awaitTermination()
+        assert not any(p["stateOperators"] for p in query.recentProgress)
+        if i == 1:
+            jobs.compact_sessions(spark, table, f"{tmp_path}/u")
+            table = f"{tmp_path}/u"
+    got = sorted((str(r.session_id), r.message_count, r.first_content, r.last_content) for r in jobs.current_sessions(spark, table).collect())
+    assert got == [("1", 4, "late", "b"), ("2", 1, "idle", "idle"), ("3", 2, "c", None), ("None", 2, None, "n")]
