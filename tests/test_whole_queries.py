@@ -46,3 +46,11 @@ def test_call_chain_reaches_the_fixed_point(spark, sf):
                 hop += 1
     got = {(r["project_id"], r["seed"], r["direction"], r["id"]): r["hop"] for r in PLANS["call_chain"].run(spark, sf).collect()}
     assert got == want and want
+
+
+def test_graph_joins_gather_no_table_on_the_driver(spark, sf):
+    """Checkpoints of written texts count as small tables, whatever they hold."""
+    nodes, edges = plans._graph(spark, sf)
+    seeds = nodes.where("name like 'main%'")
+    for df in (edges, plans.gr.entry_points(nodes, edges), plans.gr.leaf_functions(nodes, edges), plans.gr.neighbours(edges, seeds)):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
