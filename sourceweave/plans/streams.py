@@ -12,9 +12,10 @@ from sourceweave.streaming import jobs
 
 
 def _stream(spark, sf: str, name: str):
-    """One given table as a file stream."""
+    """One given table, a file or a folder of files, as a file stream."""
     schema = spark.read.parquet(f"{sf}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    # a stream takes a single file only as the match of a pattern
+    return spark.readStream.schema(schema).parquet(f"{sf}/{name}.parque[t]")
 
 
 def _result(df, spark, key: str):

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from sourceweave.operators import frontend as fe
 from sourceweave.operators import history as hi
 from sourceweave.operators import snapshots as sn
+from sourceweave.plans import PLANS
 from sourceweave.sources import files as fs
 from sourceweave.streaming import jobs
 
@@ -47,6 +48,14 @@ def test_unique_directories_with_a_hot_name(spark):
     assert got[0]["folder"] == "r0" and got[0]["source_type"] == "git" and got[1]["source_type"] == "github"
 
 
+def test_streams_read_tables_of_one_file_and_of_many(spark, sf, tmp_path):
+    rows = spark.read.parquet(f"{sf}/conversations.parquet")
+    rows.repartition(3).write.parquet(f"{tmp_path}/conversations.parquet")
+    for name in ("stream_sessions",):
+        one, many = (PLANS[name].run(spark, d).collect() for d in (sf, str(tmp_path)))
+        assert sorted(map(str, one)) == sorted(map(str, many)) and one
+
+
 def test_changes_add_up(spark):
     old = spark.createDataFrame([("p", "a", "1"), ("p", "b", "2"), ("p", "c", "3")], "project_id string, path string, sha256 string")
     new = spark.createDataFrame([("p", "b", "2"), ("p", "c", "9"), ("p", "d", "4")], "project_id string, path string, sha256 string")
