@@ -89,6 +89,14 @@ def test_topk_is_exact_with_many_copies(spark, block):
         assert got[q] == want
 
 
+def test_blocks_of_queries_do_not_widen_the_plan(spark):
+    vecs = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(40)], "id long, embedding array<float>")
+    qs = vecs.select(F.col("id").alias("query_id"), "embedding")
+    df = rt.topk_search(vecs, qs, 3, 4)
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") <= 1
+    assert df.count() == 120 and rt.topk_search(vecs, qs.limit(0), 3).count() == 0
+
+
 def test_threshold_applies_after_topk(spark):
     texts = ["login function", "logout handler", "zzz qqq"]
     vecs = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "id string, content string")
