@@ -48,6 +48,16 @@ def test_unique_directories_with_a_hot_name(spark):
     assert got[0]["folder"] == "r0" and got[0]["source_type"] == "git" and got[1]["source_type"] == "github"
 
 
+def test_folders_with_a_hot_name_go_by_one_set_of_cuts(spark):
+    """Quantiles of a large group are estimates: ranks and shifts must not take them twice."""
+    rows = [(i, f"https://github.com/o/{'app' if i % 3 else 'lib'}.git") for i in range(300)]
+    df = fs.assign_directories(spark.createDataFrame(rows, "id long, url string"), parts=7, hot=120)
+    assert "percentile_approx" not in df._jdf.queryExecution().optimizedPlan().toString()
+    got = df.orderBy("id").collect()
+    for name in ("app", "lib"):
+        assert [r["folder"] for r in got if r["name"] == name] == [name] + [f"{name}_{i}" for i in range(1, 200 if name == "app" else 100)]
+
+
 def test_streams_read_tables_of_one_file_and_of_many(spark, sf, tmp_path):
     rows = spark.read.parquet(f"{sf}/conversations.parquet")
     rows.repartition(3).write.parquet(f"{tmp_path}/conversations.parquet")
