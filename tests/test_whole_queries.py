@@ -6,6 +6,7 @@ import pytest
 from __spark_entry__ import oracle_sql
 from sourceweave.plans import PLANS
 from sourceweave.plans import graphs as plans
+from sourceweave.session import dealt
 from sourceweave.sources.tables import table
 from tools.check import TABLES, rows_of
 
@@ -54,3 +55,13 @@ def test_graph_joins_gather_no_table_on_the_driver(spark, sf):
     seeds = nodes.where("name like 'main%'")
     for df in (edges, plans.gr.entry_points(nodes, edges), plans.gr.leaf_functions(nodes, edges), plans.gr.neighbours(edges, seeds)):
         assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["classify_imports_boundary", "dependency_counts", "most_dependent"])
+def test_import_joins_gather_no_table_on_the_driver(spark, sf, name):
+    assert "Broadcast" not in PLANS[name].run(spark, sf)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_more_key_rows_get_more_tasks(spark):
+    assert dealt(spark.range(20_000), "id").rdd.getNumPartitions() == 8
+    assert dealt(spark.range(100_000), "id").rdd.getNumPartitions() == 25
