@@ -152,9 +152,8 @@ def extract_models(spark, sf):
 )
 def extract_models_typeorm(spark, sf):
     m = mo.extract_models(corpus(spark, sf), "typeorm")
-    return m.select("project_id", "path", "line_no", F.col("name").alias("model"), "table_name", F.inline("fields")).select(
-        "project_id", "path", "line_no", "model", "table_name", "name", "type", "nullable", "primary_key"
-    )
+    rows = m.select("project_id", "path", "line_no", F.col("name").alias("model"), "table_name", F.inline_outer("fields")).where("name is not null")
+    return rows.select("project_id", "path", "line_no", "model", "table_name", "name", "type", "nullable", "primary_key")
 
 
 @plan(

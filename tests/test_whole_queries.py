@@ -65,3 +65,10 @@ def test_import_joins_gather_no_table_on_the_driver(spark, sf, name):
 def test_more_key_rows_get_more_tasks(spark):
     assert dealt(spark.range(20_000), "id").rdd.getNumPartitions() == 8
     assert dealt(spark.range(100_000), "id").rdd.getNumPartitions() == 25
+
+
+@pytest.mark.parametrize("name", ["extract_models_typeorm", "extract_model_fields"])
+def test_only_heads_of_models_become_rows(spark, sf, name):
+    """A row carries its whole file, so other lines must not be unnested."""
+    plan = PLANS[name].run(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "posexplode(lines" not in plan
