@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sourceweave.functions.lines import non_empty
+from sourceweave.session import both_sided
 
 # --- fixed values -------------------------------------------------------------------
 PROJECT_STATUSES = ["indexing", "ready", "error", "failed"]
@@ -31,7 +32,7 @@ def cascade_delete(projects: DataFrame, children: dict[str, DataFrame], gone: Da
     """Projects and every child table without the deleted projects."""
     ids = gone.select("project_id").distinct()
     tables = {"projects": projects, **children}
-    return {name: df.join(ids, "project_id", "left_anti") for name, df in tables.items()}
+    return {name: df.join(both_sided(ids), "project_id", "left_anti") for name, df in tables.items()}
 
 
 def visible_projects(projects: DataFrame, users: DataFrame) -> DataFrame:

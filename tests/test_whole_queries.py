@@ -72,3 +72,8 @@ def test_only_heads_of_models_become_rows(spark, sf, name):
     """A row carries its whole file, so other lines must not be unnested."""
     plan = PLANS[name].run(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert "posexplode(lines" not in plan
+
+
+def test_deleted_projects_are_not_gathered_on_the_driver(spark, sf):
+    plan = PLANS["cascade_delete"].run(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan
