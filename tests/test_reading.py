@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from samples import files_of
 
 from sourceweave.functions import lexer as L
+from sourceweave.operators import graphs as gr
 from sourceweave.operators import symbols as sy
 from sourceweave.sources.corpus import _FASTAPI, _TRAP_PY, corpus
 
@@ -238,3 +239,28 @@ def test_one_pass_over_the_corpus(spark, sf):
     plan = sy.structure_summary(corpus(spark, sf))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("parquet") == 3  # one scan for each of the tables that the corpus is written from
     assert sy.file_facts(corpus(spark, sf)).select(F.size("spans")).where("false").count() == 0
+
+
+def test_calls_without_their_arguments(spark):
+    """Callers that ask for no argument texts get the same calls, and the pattern of arguments is not run."""
+    files = files_of(spark, b_ts=TS, c_java=JAVA, d_go=GO)
+    names = ["path", "ordinal", "line_no", "caller", "callee"]
+    plain = sy.extract_calls(files, arguments=False)
+    assert "arguments" not in plain.columns
+    assert rows(plain.orderBy("path", "ordinal"), *names) == rows(sy.extract_calls(files).orderBy("path", "ordinal"), *names)
+    plan = plain._jdf.queryExecution().optimizedPlan().toString()
+    assert "(?=" not in plan
+
+
+def test_many_imports_are_read_in_one_scan(spark):
+    """What is looked up for each import is read once for the file, not once for the import."""
+    files = files_of(spark, a_py="".join(f"from m{i} import a{i}, b{i}\n" for i in range(50)))
+    got = rows(sy.extract_imports(files).orderBy("ordinal"), "module", "names")
+    assert got == [(f"m{i}", [f"a{i}", f"b{i}"]) for i in range(50)]
+    plan = sy.extract_imports(files)._jdf.queryExecution().optimizedPlan().toString()
+    assert "arrays_zip(regexp_extract_all(masked" in plan
+
+
+def test_graph_summary_reads_the_texts_once(spark, sf):
+    summary = gr.project_graph_summary(corpus(spark, sf))
+    assert "parquet" not in summary._jdf.queryExecution().optimizedPlan().toString()
