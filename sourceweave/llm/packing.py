@@ -15,7 +15,6 @@ import os
 import zlib
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -23,8 +22,8 @@ from pyspark.sql import functions as F
 
 from sourceweave.llm.common import batches_of, kept, parallelism, trimmed, written
 
-#: Words that a worker keeps the ids of, and the longest word it keeps.
-CACHE, LONGEST = 250_000, 40
+#: Words of one of the two generations that a worker keeps the ids of, and the longest word it keeps.
+CACHE, LONGEST = 100_000, 40
 #: A round that places a smaller part of its documents opens new sequences.
 FEW = 0.1
 #: Rows of a range in a round's sort.
@@ -63,27 +62,31 @@ class Ids(dict):
         super().__init__()
         library = Tokenizer.from_file(path)
         self.encode, self.model = library.encode, library.model
+        self.older: dict[str, bytes] = {}
+        self.four = [i.to_bytes(4, "little") for i in range(library.get_vocab_size())]
         self[""] = b""
 
     def __missing__(self, word: str) -> bytes:
-        base = word.rstrip(".,")
-        if base != word and _latin(base):
-            found = self[base] + self[word[len(base) :]]
-        elif len(word) <= LONGEST and _latin(word):
-            signs = word.lower().encode().decode("latin-1").translate(self.signs)
-            found = np.array([x.id for x in self.model.tokenize(signs)], "<u4").tobytes()
-        else:
-            found = np.array(self.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        found = self.older.get(word)
+        if found is None:
+            found = self.made(word)
         if len(word) <= LONGEST:
             if len(self) >= CACHE:
-                self.forget()
+                # words that are met again come back from the older generation, rare ones go with it
+                self.older = dict(self)
+                self.clear()
             self[word] = found
         return found
 
-    def forget(self) -> None:
-        """Start the words anew; the tokenizer stays for the stage, they do not."""
-        self.clear()
-        self[""] = b""
+    def made(self, word: str) -> bytes:
+        """The ids by the library."""
+        base = word.rstrip(".,")
+        if base != word and _latin(base):
+            return self[base] + self[word[len(base) :]]
+        if len(word) <= LONGEST and _latin(word):
+            signs = word.lower().encode().decode("latin-1").translate(self.signs)
+            return b"".join([self.four[x.id] for x in self.model.tokenize(signs)])
+        return b"".join([self.four[i] for i in self.encode(word, add_special_tokens=False).ids])
 
     def of_text(self, text: str) -> bytes:
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
@@ -110,7 +113,6 @@ def tokenised_pieces(documents: DataFrame, path: str, limit: int, key: str = "do
             kinds = [pa.int64(), b.schema.field(0).type, pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             arrays = [pa.array(c, k) for c, k in zip(held, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays(arrays, ["row", "doc_id", "piece", "start", "length", "ids_crc32"])
-        ids.forget()
 
     narrow = documents.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     return narrow.mapInArrow(trimmed(cut), f"row long, doc_id {kind}, piece int, start long, length long, ids_crc32 long")

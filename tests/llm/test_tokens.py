@@ -78,3 +78,15 @@ def test_packing_is_tight(spark, kind):
             at += n
         assert at <= 400
     assert len(sequences) <= 1.02 * sum(size.values()) / 400 + 1
+
+
+def test_words_outlive_a_task_and_rare_ones_leave(monkeypatch):
+    """Two generations bound the words; one that is met again is kept, and ids never depend on it."""
+    import public_tokenizers
+    from sourceweave.llm import packing
+
+    monkeypatch.setattr(packing, "CACHE", 4)
+    ids = packing.Ids(public_tokenizers.path("word_bpe_49k.json"))
+    text = "the one, the Two. the three the 4 the fünf\nthe six the 七 the seven"
+    assert ids.of_text(text) == b"".join(i.to_bytes(4, "little") for i in ids.encode(text, add_special_tokens=False).ids)
+    assert len(ids) <= 4 and len(ids.older) <= 4 and "the" in {**ids, **ids.older} and "one," not in {**ids, **ids.older}
