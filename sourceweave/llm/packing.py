@@ -12,6 +12,7 @@ places few documents, new empty sequences are opened for the rest.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -23,7 +24,11 @@ from pyspark.sql import functions as F
 from sourceweave.llm.common import batches_of, kept, parallelism, trimmed, written
 
 #: Words of one of the two generations that a worker keeps the ids of, and the longest word it keeps.
-CACHE, LONGEST = 100_000, 40
+CACHE, LONGEST = 200_000, 40
+#: Letters that normalising leaves letters, lower-cased one by one; a word of them; a sign beyond their range; a mark after one.
+LETTERS = "A-Za-zªµºÀ-ÖØ-öø-įı-ſ"
+LATIN, NOT_LATIN = re.compile(f"[{LETTERS}]+"), re.compile(r"[^\x00-įı-ſ]")
+MARK = re.compile(f"[.,;:!?](?<=[{LETTERS}].)")
 #: A round that places a smaller part of its documents opens new sequences.
 FEW = 0.1
 #: Rows of a range in a round's sort.
@@ -39,18 +44,14 @@ def _byte_signs() -> dict[int, int]:
     return {b: 256 + i for i, b in enumerate(rest)}
 
 
-def _latin(word: str) -> bool:
-    """Only Latin letters that normalising leaves letters, lower-cased one by one."""
-    return word.isalpha() and max(word) < "\u0180" and "\u0130" not in word
-
-
 class Ids(dict):
     """The ids of a word as little-endian 32-bit numbers.
 
     The vocabulary's pre-tokenizer drops white space and never joins letters with
-    other characters, so Latin words and their final marks can be encoded apart. A
-    Latin word is one pre-token that normalising only lower-cases, so it
-    goes to the library's model without the steps before it.
+    other characters, so a blank between a Latin letter and a mark changes no id. A
+    text of Latin signs is lower-cased whole, as normalising does, unless it may hold a
+    control token, which is met before that. So the forms of a word are kept once. A
+    Latin word is one pre-token and goes to the library's model without the steps before it.
     """
 
     signs = _byte_signs()
@@ -80,16 +81,17 @@ class Ids(dict):
 
     def made(self, word: str) -> bytes:
         """The ids by the library."""
-        base = word.rstrip(".,")
-        if base != word and _latin(base):
-            return self[base] + self[word[len(base) :]]
-        if len(word) <= LONGEST and _latin(word):
-            signs = word.lower().encode().decode("latin-1").translate(self.signs)
+        if len(word) <= LONGEST and LATIN.fullmatch(word):
+            signs = word.lower()
+            if not signs.isascii():
+                signs = signs.encode().decode("latin-1").translate(self.signs)
             return b"".join([self.four[x.id] for x in self.model.tokenize(signs)])
         return b"".join([self.four[i] for i in self.encode(word, add_special_tokens=False).ids])
 
     def of_text(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
+        if "<|" not in text and not NOT_LATIN.search(text):
+            text = text.lower()
+        return b"".join(map(self.__getitem__, MARK.sub(r" \g<0>", text).replace("\n", " ").split(" ")))
 
 
 def tokenised_pieces(documents: DataFrame, path: str, limit: int, key: str = "doc_id", text: str = "text") -> DataFrame:

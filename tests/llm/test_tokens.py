@@ -90,3 +90,18 @@ def test_words_outlive_a_task_and_rare_ones_leave(monkeypatch):
     text = "the one, the Two. the three the 4 the fünf\nthe six the 七 the seven"
     assert ids.of_text(text) == b"".join(i.to_bytes(4, "little") for i in ids.encode(text, add_special_tokens=False).ids)
     assert len(ids) <= 4 and len(ids.older) <= 4 and "the" in {**ids, **ids.older} and "one," not in {**ids, **ids.older}
+
+
+def test_forms_of_a_word_are_kept_once():
+    """Case and marks after a word do not make new words; control strings keep their case."""
+    ids = Ids(WORDS)
+    want = lambda t: b"".join(i.to_bytes(4, "little") for i in ids.encode(t, add_special_tokens=False).ids)
+    text = "Straße, straße. STRAßE! straße?! (straße;) Straße..."
+    assert ids.of_text(text) == want(text)
+    assert [w for w in ids if "stra" in w.lower()] == ["straße", "(straße"]
+    rng = random.Random(7)
+    signs = ["Ab", "é", "É", ".", ",", "!", "?", ";", ":", "'s", "'", " ", "\n", "1", "<|", "|>", "<|endoftext|>", "<|EndOfText|>", "ª", "İ", "ŉ", "\u0301", "\t", "\x1c", "-"]
+    for size in (6, 14):
+        for _ in range(4000):
+            t = "".join(rng.choice(signs[: 14 if size == 14 else None]) for _ in range(rng.randint(1, size)))
+            assert ids.of_text(t) == want(t), repr(t)
