@@ -3,6 +3,8 @@
 import itertools
 import random
 
+import pytest
+
 from sourceweave.operators import graphs as gr
 
 
@@ -91,3 +93,23 @@ def test_callee_resolution(spark):
     )
     got = {(r["src"], r["dst"], r["line"]) for r in gr.call_edges(gr.call_nodes(fn), calls).collect()}
     assert got == {("a.py:main", "b.py:run", 10), ("a.py:main", "a.py:K.go", 11), ("a.py:K.go", "a.py:main", 6)}
+
+
+@pytest.mark.parametrize("boundary", [False, True])
+def test_imports_are_classified_in_tasks_of_bounded_rows(spark, monkeypatch, boundary):
+    """Names share prefixes over bundles, null and empty ones are there; more rows get more tasks."""
+    monkeypatch.setattr(gr, "PREFIX_ROWS", 4, raising=False)
+    monkeypatch.setattr(gr, "BUNDLE", 3, raising=False)
+    parts = ["a", "ab", "a.b", "a.bc", "a.b.c", "b", "b.", "ba.a", "c\u00e9", "c\u00e9.d", None]
+    modules = [("p", m) for m in parts[1::2]] + [("p", f"m{i}") for i in range(40)] + [("q", ""), ("r", None), (None, "a")]
+    targets = [("p", x) for x in [*parts, "m1", "m10.x", "m1z", "x", ""]] + [("q", "z"), ("q", None), ("r", "a"), (None, "a"), ("s", "a")]
+    names = spark.createDataFrame(modules, "project_id string, module string")
+    got = gr.classify_imports(spark.createDataFrame(targets * 2, "project_id string, target string"), names, boundary)
+    dot = "." if boundary else ""
+
+    def internal(p, x):
+        found = [m for q, m in modules if q == p and p is not None and x is not None and m is not None]
+        return any(m == x or m.startswith(x + dot) or x.startswith(m + dot) for m in found)
+
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted({(p, x, internal(p, x)) for p, x in targets}, key=repr)
+    assert got.rdd.getNumPartitions() > 8
