@@ -16,7 +16,9 @@ import re
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,7 +30,7 @@ CACHE, LONGEST = 200_000, 40
 #: Letters that normalising leaves letters, lower-cased one by one; a word of them; a sign beyond their range; a mark after one.
 LETTERS = "A-Za-zªµºÀ-ÖØ-öø-įı-ſ"
 LATIN, NOT_LATIN = re.compile(f"[{LETTERS}]+"), re.compile(r"[^\x00-įı-ſ]")
-MARK = re.compile(f"[.,;:!?](?<=[{LETTERS}].)")
+MARK = re.compile(rf"[!-&(-/:;=?@\[-`{{}}~](?<=[{LETTERS}].)")
 #: A round that places a smaller part of its documents opens new sequences.
 FEW = 0.1
 #: Rows of a range in a round's sort.
@@ -81,17 +83,34 @@ class Ids(dict):
 
     def made(self, word: str) -> bytes:
         """The ids by the library."""
-        if len(word) <= LONGEST and LATIN.fullmatch(word):
+        if len(word) <= LONGEST and (word.isalpha() if word.isascii() else LATIN.fullmatch(word)):
             signs = word.lower()
             if not signs.isascii():
                 signs = signs.encode().decode("latin-1").translate(self.signs)
             return b"".join([self.four[x.id] for x in self.model.tokenize(signs)])
         return b"".join([self.four[i] for i in self.encode(word, add_special_tokens=False).ids])
 
-    def of_text(self, text: str) -> bytes:
-        if "<|" not in text and not NOT_LATIN.search(text):
+    @staticmethod
+    def spaced(text: str) -> str:
+        """The text with blanks around its words."""
+        if "<|" not in text and (text.isascii() or not NOT_LATIN.search(text)):
             text = text.lower()
-        return b"".join(map(self.__getitem__, MARK.sub(r" \g<0>", text).replace("\n", " ").split(" ")))
+        return MARK.sub(r" \g<0>", text).replace("\n", " ")
+
+    def of_text(self, text: str) -> bytes:
+        return b"".join(map(self.__getitem__, self.spaced(text).split(" ")))
+
+    def of_texts(self, texts: list[str]) -> Iterator[bytes]:
+        """``of_text`` of each text of a batch; a word that the batch repeats is looked up once."""
+        words = pc.split_pattern(pa.array([self.spaced(t) for t in texts], pa.large_string()), " ")
+        coded = words.flatten().dictionary_encode()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        ids = pa.array([self[w] for w in distinct], pa.large_binary()).take(coded.indices)
+        _, starts, data = ids.buffers()
+        ends = np.frombuffer(starts, np.int64)[words.offsets.to_numpy()].tolist() if starts else [0]
+        data = memoryview(data or b"")
+        for first, last in zip(ends[:-1], ends[1:], strict=True):
+            yield bytes(data[first:last])
 
 
 def tokenised_pieces(documents: DataFrame, path: str, limit: int, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -105,11 +124,12 @@ def tokenised_pieces(documents: DataFrame, path: str, limit: int, key: str = "do
         ids, row = kept(Ids, path), TaskContext.get().partitionId() << 33
         for b in batches:
             held: list[list] = [[] for _ in range(6)]
-            for doc, t in zip(b.column(0), b.column(1), strict=True):
-                data = ids.of_text(t.as_py() or "") + b"\x01\x00\x00\x00"
+            texts = [t or "" for t in b.column(1).to_pylist()]
+            for doc, found in zip(b.column(0).to_pylist(), ids.of_texts(texts), strict=True):
+                data = found + b"\x01\x00\x00\x00"
                 for piece, at in enumerate(range(0, len(data), 4 * limit)):
                     part = data[at : at + 4 * limit]
-                    for column, v in zip(held, (row, doc.as_py(), piece, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):
+                    for column, v in zip(held, (row, doc, piece, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):
                         column.append(v)
                     row += 1
             kinds = [pa.int64(), b.schema.field(0).type, pa.int32(), pa.int64(), pa.int64(), pa.int64()]

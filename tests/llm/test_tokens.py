@@ -105,3 +105,17 @@ def test_forms_of_a_word_are_kept_once():
         for _ in range(4000):
             t = "".join(rng.choice(signs[: 14 if size == 14 else None]) for _ in range(rng.randint(1, size)))
             assert ids.of_text(t) == want(t), repr(t)
+
+
+def test_texts_of_a_batch_share_their_words(texts):
+    """Whatever sign follows a word, it is kept once; a batch gives each of its texts the library's ids."""
+    ids = Ids(WORDS)
+    batch = ["straße*** Straße### (straße) straße-", "", "straße$$$ straße/straße", *texts[:2000], *texts[:5], "a=\u0338 e\u0301* é_ a<|endoftext|>b| it's-it's"]
+    got = list(ids.of_texts(batch))
+    assert got == [b"".join(i.to_bytes(4, "little") for i in ids.encode(t, add_special_tokens=False).ids) for t in batch]
+    assert [w for w in ids if "stra" in w] == ["straße", "(straße", "/straße"]
+    assert list(ids.of_texts([])) == [] and list(ids.of_texts(["", ""])) == [b"", b""]
+    rng = random.Random(9)
+    signs = [chr(i) for i in range(33, 127)] + ["é", "e\u0301", " ", "\u0338", "\u0301", "'s", "<|", "<|endoftext|>", "\n"]
+    many = ["".join(rng.choice(signs) for _ in range(rng.randint(1, 9))) for _ in range(20000)]
+    assert list(ids.of_texts(many)) == [b"".join(i.to_bytes(4, "little") for i in e.ids) for e in map(lambda t: ids.encode(t, add_special_tokens=False), many)]
