@@ -57,6 +57,12 @@ def test_graph_joins_gather_no_table_on_the_driver(spark, sf):
         assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_graph_totals_gather_no_table_on_the_driver(spark, sf):
+    nodes, edges = plans._graph(spark, sf)
+    for df in (plans.gr.call_graph_stats(nodes, edges), plans.gr.graph_export_edges(edges)):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize("name", ["classify_imports_boundary", "dependency_counts", "most_dependent"])
 def test_import_joins_gather_no_table_on_the_driver(spark, sf, name):
     assert "Broadcast" not in PLANS[name].run(spark, sf)._jdf.queryExecution().executedPlan().toString()
