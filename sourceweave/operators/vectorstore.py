@@ -90,9 +90,8 @@ def update_store(
     if touched:
         coming = changes.where("new_hash is not null").select("project_id", "path", F.col("new_hash").alias("sha256"))
         wide = narrow.withColumn("sha256", F.sha2(F.col("content").cast("binary"), 256)).join(coming, ["project_id", "path", "sha256"], "left_semi")
-        # Embedding costs more than moving the text: files spread over all tasks first.
-        spread = wide.dropDuplicates(["project_id", "path", "sha256"]).repartition("project_id", "path")
-        chunks = chunk_lines(spread, max_tokens, max_lines, "sha256")
+        # Files given twice meet by their key, which also spreads a hot project; the texts move no further before they are embedded.
+        chunks = chunk_lines(wide.dropDuplicates(["project_id", "path", "sha256"]), max_tokens, max_lines, "sha256")
         new = chunks.select(
             F.concat_ws(":", "project_id", "chunk_id").alias("id"),
             "project_id",

@@ -84,3 +84,13 @@ def test_retrieval_reads_the_store(spark, tmp_path):
     assert vs.table_state(spark, table) == before
     spark.range(4).write.mode("append").parquet(table)
     assert vs.table_state(spark, table) != before
+
+
+def test_texts_move_once_before_they_are_embedded(spark, tmp_path, monkeypatch):
+    """The exchange in which copies of a file meet is the only one that carries texts."""
+    seen = []
+    monkeypatch.setattr(vs, "chunk_lines", lambda files, *a: seen.append(files) or rt.chunk_lines(files, *a))
+    files = spark.createDataFrame([("p", "a.py", "x = 1"), ("p", "a.py", "x = 1"), ("q", "b.py", "y")], "project_id string, path string, content string")
+    vs.update_store(str(tmp_path / "store"), files)
+    assert "Repartition" not in seen[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(r["id"] for r in vs.read_store(spark, str(tmp_path / "store")).collect()) == ["p:a.py:1:1", "q:b.py:1:1"]
