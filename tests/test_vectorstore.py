@@ -94,3 +94,12 @@ def test_texts_move_once_before_they_are_embedded(spark, tmp_path, monkeypatch):
     vs.update_store(str(tmp_path / "store"), files)
     assert "Repartition" not in seen[0]._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(r["id"] for r in vs.read_store(spark, str(tmp_path / "store")).collect()) == ["p:a.py:1:1", "q:b.py:1:1"]
+
+
+def test_payload_of_few_hits_is_not_shuffled(spark):
+    vectors = spark.range(200_000).selectExpr("concat('v', id) as id", "repeat('text ', 50) as content")
+    hits = spark.createDataFrame([("q", "v7", 0.5, 1), ("q", "v9", 0.4, 2)], "query_id string, id string, score double, rank int")
+    got = rt.with_payload(hits, vectors, "content")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert sorted((r["id"], r["rank"], len(r["content"])) for r in got.collect()) == [("v7", 1, 250), ("v9", 2, 250)]
