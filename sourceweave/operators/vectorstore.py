@@ -16,7 +16,7 @@ from pyspark.sql.types import StructType
 from sourceweave.functions import vectors as V
 from sourceweave.operators.retrieval import CHUNK_LINES, CHUNK_TOKENS, chunk_lines
 from sourceweave.operators.snapshots import detect_changes
-from sourceweave.session import cut_lineage
+from sourceweave.session import bound_batches, cut_lineage
 
 #: Parts of a new store; an existing one keeps its own number.
 PARTS = 64
@@ -78,6 +78,7 @@ def update_store(
     that a caller can tell whether its source has changed since. One writer at a time.
     """
     spark = files.sparkSession
+    bound_batches(spark)
     versions, last, known, _ = _manifest(spark, folder)
     parts, version = known or parts, last + 1
     narrow = files.select("project_id", "path", F.coalesce("content", F.lit("")).alias("content")).where("project_id is not null and path is not null")

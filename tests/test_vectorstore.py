@@ -103,3 +103,18 @@ def test_payload_of_few_hits_is_not_shuffled(spark):
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
     assert sorted((r["id"], r["rank"], len(r["content"])) for r in got.collect()) == [("v7", 1, 250), ("v9", 2, 250)]
+
+
+def test_search_and_embedding_see_small_batches(spark, tmp_path):
+    """A worker's memory must not grow with the rows of a task."""
+    names = ["spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"]
+    one = spark.createDataFrame([("a", [1.0, 0.0])], "id string, embedding array<float>")
+    files = spark.createDataFrame([("p", "a.py", "x = 1")], "project_id string, path string, content string")
+    for work in (
+        lambda: rt.topk_search(one, one.selectExpr("id as query_id", "embedding"), 1).collect(),
+        lambda: vs.update_store(str(tmp_path / "store"), files),
+    ):
+        for n in names:
+            spark.conf.unset(n)
+        work()
+        assert int(spark.conf.get(names[0])) <= 1000 and int(spark.conf.get(names[1])) <= 4 << 20
