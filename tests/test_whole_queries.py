@@ -83,3 +83,18 @@ def test_only_heads_of_models_become_rows(spark, sf, name):
 def test_deleted_projects_are_not_gathered_on_the_driver(spark, sf):
     plan = PLANS["cascade_delete"].run(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan
+
+
+@pytest.mark.parametrize("name", ["backend_top", "tree_counts"])
+def test_only_feature_hits_become_rows(spark, sf, name, monkeypatch):
+    """A row carries its whole file, so other lines must not be unnested; a staged table has no column that nobody reads."""
+    from sourceweave.operators.infra import detect_features
+    from sourceweave.plans import insight
+    from sourceweave.sources.corpus import corpus
+
+    plan = detect_features(corpus(spark, sf))._jdf.queryExecution().optimizedPlan().toString()
+    assert "posexplode" not in plan
+    staged = []
+    monkeypatch.setattr(insight, "cut_lineage", lambda df: staged.append(df.columns) or df)
+    PLANS[name].run(spark, sf)
+    assert not any("framework" in columns and "host" in columns for columns in staged)
