@@ -98,6 +98,25 @@ def test_blocks_of_queries_do_not_widen_the_plan(spark):
     assert df.count() == 120 and rt.topk_search(vecs, qs.limit(0), 3).count() == 0
 
 
+def test_every_vector_asks_in_blocks(spark, sf):
+    """The SQL asks for no part of the vectors either, and passes that are written give what one pass gives."""
+    names = ["query_id", "id", "score", "rank"]
+    got = sorted(tuple(r[n] for n in names) for r in PLANS["topk_search_blocks"].run(spark, sf).collect())
+    assert len({q for q, *_ in got}) == plans.vectors(spark, sf).count()
+    assert got == sorted(tuple(r[n] for n in names) for r in PLANS["topk_search"].run(spark, sf).collect())
+    assert PLANS["topk_search_blocks"].sql == PLANS["topk_search"].sql
+
+
+def test_passes_over_the_vectors_are_written(spark, monkeypatch):
+    vecs = spark.createDataFrame([(i, [float(i % 7), 1.0, float(i)]) for i in range(50)], "id long, embedding array<float>")
+    qs = vecs.select(F.col("id").alias("query_id"), "embedding")
+    whole = sorted(map(tuple, rt.topk_search(vecs, qs, 4, 3).collect()))
+    monkeypatch.setattr(rt, "QUERY_BLOCK", 13)
+    several = rt.topk_search(vecs, qs, 4, 3)
+    assert "MapInArrow" not in several._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, several.collect())) == whole and len(whole) == 200
+
+
 def test_threshold_applies_after_topk(spark):
     texts = ["login function", "logout handler", "zzz qqq"]
     vecs = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "id string, content string")
