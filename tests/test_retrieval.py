@@ -4,6 +4,7 @@ import hashlib
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from samples import files_of
 from hypothesis import HealthCheck, given, settings
@@ -117,6 +118,39 @@ def test_passes_over_the_vectors_are_written(spark, monkeypatch):
     assert sorted(map(tuple, several.collect())) == whole and len(whole) == 200
 
 
+@pytest.mark.parametrize("scale", [1.0, 1e-6])
+def test_screened_pairs_are_the_exact_ones(scale):
+    """Over many batches: copies, zero vectors and hardly different scores; short vectors are not screened."""
+    rng = np.random.default_rng(3)
+    m = rng.normal(size=(900, 24)) + 3
+    m[100:300] = m[0]
+    m[300:600] = m[1] + rng.normal(size=(300, 24)) * 1e-7
+    m[600:620] = 0
+    m, ids = (m[rng.permutation(900)] * scale).astype(np.float32).astype(np.float64), rng.permutation(900)
+    floats = [pa.array(list(m[i : i + 70].astype(np.float32)), pa.list_(pa.float32())) for i in range(0, 900, 70)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(ids[70 * n : 70 * n + 70]), e], names=["id", "embedding"]) for n, e in enumerate(floats)]
+    schema = pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("score", pa.float64())])
+    (out,) = V.topk_batches(iter(batches), ids.astype(object), m.astype(np.float32), 6, schema, 100)
+    got, norms = {}, np.linalg.norm(m, axis=1)
+    for q, i, s in sorted(zip(*(c.to_pylist() for c in out.columns)), key=lambda r: (r[0], -r[2], r[1])):
+        got.setdefault(q, []).append((i, s))
+    scores = np.round(m @ m.T / (np.outer(norms, norms) + V.COSINE_EPSILON), 9)
+    for q in range(900):
+        best = np.lexsort((ids, -scores[:, q]))[:6]
+        assert got[ids[q]] == [(ids[i], scores[i, q]) for i in best]
+
+
+def test_single_precision_rules_pairs_out(monkeypatch):
+    """Once a query has its best, a batch of far vectors is not scored densely again."""
+    dense = []
+    monkeypatch.setattr(V, "score_block", lambda ids, vecs, queries, *rest, f=V.score_block: dense.append(len(queries)) or f(ids, vecs, queries, *rest))
+    m = np.eye(8, dtype=np.float32)
+    near, far = (pa.RecordBatch.from_arrays([pa.array(range(a, a + 4)), pa.array(list(m[a : a + 4]))], names=["id", "embedding"]) for a in (0, 4))
+    schema = pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("score", pa.float64())])
+    (out,) = V.topk_batches(iter([near, *[far] * 9]), np.arange(4, dtype=object), m[:4], 1, schema)
+    assert dense == [4] and out.column(1).to_pylist() == [0, 1, 2, 3]
+
+
 def test_threshold_applies_after_topk(spark):
     texts = ["login function", "logout handler", "zzz qqq"]
     vecs = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "id string, content string")
