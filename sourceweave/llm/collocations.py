@@ -33,11 +33,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sourceweave.llm.common import Rows, bound_batches, parallelism, written
+from sourceweave.llm.common import Rows, bound_batches, parallelism, trimmed, written
 
 MIN_COUNT, DEPTH, TOP = 30, 4, 2000
 #: Tokens of a block, and estimated bytes of all open blocks of a task.
 BLOCK, HELD = 1 << 19, 32 << 20
+#: Tokens of the blocks that are written and read as one row group.
+ROW_GROUP = 4 * BLOCK
 #: Suffixes that a group has room for, and the least that it is given where there are few.
 BUDGET, LEAST = 50_000, 500
 #: Bits of a bitmap (4 MB); the table grows no bitmap, it only makes it prune less.
@@ -133,7 +135,7 @@ def encode(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", bloc
     """Blocks of word numbers, written."""
     bound_batches(docs.sparkSession)
     narrow = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.coalesce(F.col(lang_col).cast("string"), F.lit("und")))
-    return written(narrow.mapInArrow(_encode(block, slice_bytes), _BLOCK))
+    return written(narrow.mapInArrow(trimmed(_encode(block, slice_bytes)), _BLOCK), max(ROW_GROUP // block, 1))
 
 
 def _blocks(batch: pa.RecordBatch) -> Iterator[tuple]:
@@ -276,7 +278,7 @@ def _subtrees(min_count: int):
 def phrase_counts(blocks: DataFrame, min_count: int = MIN_COUNT, budget: int = BUDGET) -> DataFrame:
     """``lang, phrase, len, n`` of all words and phrases of up to four words from ``min_count`` on, written."""
     spark: SparkSession = blocks.sparkSession
-    words = blocks.mapInArrow(_word_counts, "lang string, phrase string, hash long, n long").groupBy("lang", "phrase")
+    words = blocks.mapInArrow(trimmed(_word_counts), "lang string, phrase string, hash long, n long").groupBy("lang", "phrase")
     words = written(words.agg(F.first("hash").alias("hash"), F.sum("n").alias("n")).where(F.col("n") >= min_count))
     slots = words.select(F.expr(f"cast(hash % {SLOTS} as int)").alias("slot"), "n")
     parts = parallelism(spark)
@@ -284,13 +286,13 @@ def phrase_counts(blocks: DataFrame, min_count: int = MIN_COUNT, budget: int = B
     budget = min(budget, max((words.agg(F.sum("n")).first()[0] or 0) // (8 * parts), LEAST))
     frequent, heavy = _bitmap(slots), _bitmap(slots.where(F.col("n") > budget))
     shared = spark.sparkContext.broadcast(frequent)
-    pairs = blocks.mapInArrow(_pair_counts(shared), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    pairs = blocks.mapInArrow(trimmed(_pair_counts(shared)), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n"))
     pairs = written(pairs.where(F.col("n") >= min_count))
     total = pairs.agg(F.sum("n")).first()[0] or 0
     maps = spark.sparkContext.broadcast((frequent, heavy, _bitmap(pairs), _bitmap(pairs.where(F.col("n") > budget))))
     groups = min(max(8 * parts, 2 * total // budget), (1 << 31) - 1)
-    leaves = blocks.mapInArrow(_leaves(maps, groups), _LEAF).repartition(parts, "grp").sortWithinPartitions("grp")
-    nodes = leaves.mapInArrow(_subtrees(min_count), "lang string, phrase string, len int, n long")
+    leaves = blocks.mapInArrow(trimmed(_leaves(maps, groups)), _LEAF).repartition(parts, "grp").sortWithinPartitions("grp")
+    nodes = leaves.mapInArrow(trimmed(_subtrees(min_count)), "lang string, phrase string, len int, n long")
     phrases = nodes.groupBy("lang", "phrase", "len").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count)
     return written(words.select("lang", "phrase", F.lit(1).alias("len"), "n").unionByName(phrases))
 

@@ -2,6 +2,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import pyarrow.parquet as pq
 import pytest
 
 from sourceweave.llm import collocations
@@ -71,3 +72,15 @@ def test_slices_never_cut_a_word():
     for size in (1, 3, 8, 1000):
         cut = list(collocations._slices(text, size))
         assert b"".join(cut) == text and [w for c in cut for w in c.split()] == text.split()
+
+
+def test_blocks_are_written_in_small_row_groups(spark, monkeypatch):
+    """However many blocks a task writes, few are held at once, and each has pages of its own."""
+    monkeypatch.setattr(collocations, "ROW_GROUP", 150)
+    df = spark.createDataFrame([(i, f"some words of text {i} " * 40, "en") for i in range(60)], SCHEMA).coalesce(1)
+    blocks = collocations.encode(df, block=50)
+    (path,) = blocks.inputFiles()
+    file = pq.ParquetFile(path.removeprefix("file://"))
+    assert blocks.count() >= 60
+    groups = [file.metadata.row_group(g) for g in range(file.num_row_groups)]
+    assert {g.num_rows for g in groups[:-1]} == {3}
