@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sourceweave.llm.common import Rows, bound_batches, parallelism, trimmed, written
+from sourceweave.llm.common import Rows, bound_batches, parallelism, shuffles_freed, trimmed, written
 
 MIN_COUNT, DEPTH, TOP = 30, 4, 2000
 #: Tokens of a block, and estimated bytes of all open blocks of a task.
@@ -319,8 +319,9 @@ def collocations(
     """
     blocks = encode(docs, text_col, lang_col, block, slice_bytes)
     totals = blocks.groupBy("lang").agg(F.sum("n").alias("words"))
-    counts = phrase_counts(blocks, min_count, budget)
-    every = blocks.agg(F.sum("n")).first()[0] or 0
+    with shuffles_freed(docs.sparkSession):
+        counts = phrase_counts(blocks, min_count, budget)
+        every = blocks.agg(F.sum("n")).first()[0] or 0
     phrases = counts.where("len > 1")
 
     cuts = phrases.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("len") - 1)))

@@ -1,5 +1,6 @@
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import pyarrow.parquet as pq
@@ -84,3 +85,19 @@ def test_blocks_are_written_in_small_row_groups(spark, monkeypatch):
     assert blocks.count() >= 60
     groups = [file.metadata.row_group(g) for g in range(file.num_row_groups)]
     assert {g.num_rows for g in groups[:-1]} == {3}
+
+
+def test_shuffles_do_not_pile_up(spark):
+    """Words, pairs and suffixes are each shuffled; the files of one are gone before the next needs as much."""
+
+    def files():
+        return set(re.findall(r"shuffle_\d+_\d+_\d+\.data", spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().toString()))
+
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, setting = files(), spark.conf.get(name)
+    collocations.collocations(spark.createDataFrame(sample(300), SCHEMA), min_count=3)
+    for _ in range(50):
+        if files() <= before:
+            break
+        time.sleep(0.2)
+    assert files() <= before and spark.conf.get(name) == setting
